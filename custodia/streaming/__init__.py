@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The governed pipeline has no stream, watermark or window: its only recurring work
+is two batch refreshes, which are ordinary idempotent functions here
+(``operators.catalog.harvest`` and ``operators.lineage.refresh_lineage``).
+"""
