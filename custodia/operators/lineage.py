@@ -40,6 +40,11 @@ def node(*parts: Column) -> Column:
     return S.dotted(*parts)
 
 
+def node_struct(prefix: str) -> Column:
+    """A node as one value: comparing it compares all parts, NULL column included."""
+    return F.struct(*[F.col(f"{prefix}{p}").alias(p) for p in PARTS])
+
+
 def anchors(spark, *names: str) -> DataFrame:
     """Anchor nodes from dotted names; a fourth part names a column."""
     rows = [tuple((n.split(".") + [None])[:4]) for n in names]
@@ -199,10 +204,10 @@ def impact(
         .drop("object_only")
         .withColumn("impact_evidence_type", F.lit(BY_OBJECT))
     )
-    here = node(*[F.col(f"target_{p}") for p in PARTS])
+    here = node_struct("target_")
     first = by_column.unionByName(by_object).select(
         "source_name", *IMPACT, F.lit(1).alias("hop"),
-        F.array(F.col("source_name"), here).alias("visited"), "impact_evidence_type",
+        F.array(node_struct("node_"), here).alias("visited"), "impact_evidence_type",
     )
     frontier = cut(first)
     hops = [frontier]
@@ -211,7 +216,7 @@ def impact(
             break
         p, nxt = frontier.alias("p"), e.alias("e")
         on = graph.same([F.col(f"p.target_{x}") for x in PARTS], [F.col(f"e.source_{x}") for x in PARTS])
-        there = node(*[F.col(f"e.target_{x}") for x in PARTS])
+        there = node_struct("e.target_")
         frontier = cut(
             p.join(nxt, on)
             .filter(~F.array_contains(F.col("p.visited"), there))
@@ -226,7 +231,9 @@ def impact(
         hops.append(frontier)
     out = R.union_all(hops).select(
         F.col("source_name").alias("source_column"), *IMPACT[:4], F.col("target_column").alias("affected_column"),
-        "hop", F.array_join("visited", " -> ").alias("path"), "impact_evidence_type",
+        "hop",
+        F.array_join(F.transform("visited", lambda v: node(*[v[x] for x in PARTS])), " -> ").alias("path"),
+        "impact_evidence_type",
     ).distinct()
     return with_governance(out, governance)
 
