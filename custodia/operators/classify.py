@@ -79,46 +79,58 @@ def hit(col: Column, detector: Detector) -> Column:
     found = col.rlike(detector.pattern)
     if detector.luhn:
         matches = F.regexp_extract_all(col, F.lit(f"({detector.pattern})"), F.lit(1))
-        found = found & F.exists(matches, lambda m: F.luhn_check(F.regexp_replace(m, "[- ]", "")))
+        found = found & F.exists(matches, lambda m: F.call_function("luhn_check", F.regexp_replace(m, "[- ]", F.lit(""))))
     return F.coalesce(found, F.lit(False))
 
 
 def scan(df: DataFrame, detectors: Sequence[Detector], columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column and detector: values seen, values matched, share, decision.
 
-    All pairs are measured by one aggregate over one pass; the pairs become rows only
-    afterwards, when a single row is left.
+    All pairs are measured by one aggregate over one pass. Only then, with a single row
+    left, are the counters unfolded into rows and named by position.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    measures, pairs = [], []
+    measures, counters = [], []
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
         text = isinstance(f.dataType, (T.StringType, T.VarcharType, T.CharType))
         measures.append(F.count(c).alias(f"n_{i}"))
+        matched = []
         for j, d in enumerate(detectors):
-            by_name = d.name_pattern is not None and re.search(d.name_pattern, f.name, re.IGNORECASE) is not None
-            by_value = text and d.pattern is not None
-            if by_value:
+            if text and d.pattern is not None:
                 measures.append(F.count_if(hit(c, d)).alias(f"m_{i}_{j}"))
-            matched = F.col(f"m_{i}_{j}") if by_value else F.lit(0).cast("bigint")
-            seen = F.col(f"n_{i}")
-            share = F.coalesce(matched / F.nullif(seen, F.lit(0)), F.lit(0.0)).cast("double")
-            enough = (share >= F.lit(d.threshold)) & (matched > 0)
-            pairs.append(
-                F.struct(
-                    F.lit(f.name).alias("column_name"),
-                    F.lit(i + 1).alias("ordinal_position"),
-                    F.lit(d.category).alias("semantic_category"),
-                    F.lit(d.privacy).alias("privacy_category"),
-                    F.lit(d.source).alias("classifier_source"),
-                    F.lit(j).alias("detector_order"),
-                    seen.alias("values_seen"),
-                    matched.alias("values_matched"),
-                    share.alias("share"),
-                    (F.lit(True) if by_name else enough).alias("detected"),
-                )
-            )
-    return df.agg(*measures).select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+                matched.append(F.col(f"m_{i}_{j}"))
+            else:
+                matched.append(F.lit(0).cast("bigint"))
+        counters.append(F.struct(F.col(f"n_{i}").alias("seen"), F.array(*matched).alias("matched")))
+    names = [f.name for f in fields]
+    named = [
+        d.name_pattern is not None and re.search(d.name_pattern, n, re.IGNORECASE) is not None
+        for n in names for d in detectors
+    ]
+    at_column = (
+        df.agg(*measures)
+        .select(F.posexplode(F.array(*counters)).alias("ci", "c"))
+        .select("ci", F.col("c.seen").alias("values_seen"), F.posexplode("c.matched").alias("dj", "values_matched"))
+    )
+
+    def of_detector(values: list) -> Column:
+        return F.get(F.lit(values), F.col("dj"))
+
+    share = F.coalesce(F.col("values_matched") / F.nullif("values_seen", F.lit(0)), F.lit(0.0)).cast("double")
+    enough = (F.col("share") >= of_detector([float(d.threshold) for d in detectors])) & (F.col("values_matched") > 0)
+    return at_column.withColumn("share", share).select(
+        F.get(F.lit(names), F.col("ci")).alias("column_name"),
+        (F.col("ci") + 1).alias("ordinal_position"),
+        of_detector([d.category for d in detectors]).alias("semantic_category"),
+        of_detector([d.privacy for d in detectors]).alias("privacy_category"),
+        of_detector([d.source for d in detectors]).alias("classifier_source"),
+        F.col("dj").alias("detector_order"),
+        "values_seen",
+        "values_matched",
+        "share",
+        (F.get(F.lit(named), F.col("ci") * len(detectors) + F.col("dj")) | enough).alias("detected"),
+    )
 
 
 def classify_table(df: DataFrame, name: tuple[str, str, str], detectors: Sequence[Detector]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from custodia.operators import checks as Q
 from custodia.operators import relational as R
 from custodia.plans import marts, staging
+from custodia.sinks import store
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,14 @@ def build(raw: Mapping[str, DataFrame], as_of: datetime) -> Build:
     )
 
 
+def materialized(b: Build, folder: str) -> Build:
+    """The same models read back from tables in ``folder``, each computed once.
+
+    The checks read the mart several times, so it is written before they run.
+    """
+    return Build(**{f.name: store.write_all(getattr(b, f.name), f"{folder.rstrip('/')}/{f.name}") for f in fields(b)})
+
+
 def build_counts(b: Build) -> DataFrame:
     """Rows of every model after a run."""
     return R.labelled_counts(

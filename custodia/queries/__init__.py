@@ -2,6 +2,9 @@
 
 from custodia.queries import (  # noqa: F401
     bank,
+    catalog,
+    evidence,
     quality,
+    sensitive,
 )
-from custodia.queries.registry import ORACLE, QUERIES  # noqa: F401
+from custodia.queries.registry import QUERIES, oracle  # noqa: F401

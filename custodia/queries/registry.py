@@ -40,7 +40,12 @@ def query(name: str, fn: Callable[[Inputs], DataFrame], sql: str | None = None)
         raise ValueError(f"query registered twice: {name}")
     QUERIES[name] = lambda spark, folder: plain(fn(Inputs(spark, folder)))
     if sql is not None:
-        ORACLE[name] = with_inputs(sql)
+        ORACLE[name] = sql
+
+
+def oracle() -> dict[str, str]:
+    """The registered SQL with the relations it names; composed late, so modules may refer to each other's."""
+    return {name: with_inputs(sql) for name, sql in ORACLE.items()}
 
 
 def with_inputs(sql: str) -> str:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLE_ROWS = (
     "database_name string, schema_name string, table_name string, object_type string, "
@@ -71,3 +73,33 @@ def _column_rows(df: DataFrame, database: str, schema: str, table: str) -> list[
         )
         for i, f in enumerate(df.schema.fields, start=1)
     ]
+
+
+def tables_of(spark: SparkSession, relations: Mapping[tuple[str, str, str], DataFrame]) -> DataFrame:
+    """Table rows for DataFrames under given names, with real row counts (one aggregate each)."""
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(database).alias("database_name"), F.lit(schema).alias("schema_name"), F.lit(table).alias("table_name"),
+            F.lit("BASE TABLE").alias("object_type"), "row_count",
+        )
+        for (database, schema, table), df in relations.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def filled_counts(spark: SparkSession, relations: Mapping[tuple[str, str, str], DataFrame]) -> DataFrame:
+    """Column rows with the number of filled values: one aggregate per table, whatever its width."""
+    parts = []
+    for (database, schema, table), df in relations.items():
+        fields = list(enumerate(df.schema.fields, start=1))
+        pairs = [
+            F.struct(F.lit(i).alias("ordinal_position"), F.lit(f.name).alias("column_name"), F.col(f"n_{i}").alias("filled"))
+            for i, f in fields
+        ]
+        row = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"n_{i}") for i, f in fields])
+        parts.append(
+            row.select(F.explode(F.array(*pairs)).alias("c")).select(
+                F.lit(database).alias("database_name"), F.lit(schema).alias("schema_name"), F.lit(table).alias("table_name"), "c.*"
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
