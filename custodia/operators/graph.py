@@ -2,9 +2,11 @@
 
 One hop is one equi-join of the nodes found last with the edges. The new nodes are
 deduplicated against all found before, so every node is expanded once; each hop is
-checkpointed, which keeps the plan short and survives a lost executor. A hub with a
-third of all edges is met by one row of the frontier: adaptive execution splits its
-edges over tasks.
+written to the shared folder, which keeps the plan short and survives a lost executor.
+The edges are scanned once per hop, two column groups wide: a small frontier is
+broadcast by its measured size and the edges are not moved at all, a large one meets
+them in a sort-merge join. A hub with a third of all edges is met by one row of the
+frontier, and adaptive execution splits its edges over tasks.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custodia.session import cut
+from custodia.session import cut, cut_counted
 
 
 def same(left: Sequence[Column], right: Sequence[Column]) -> Column:
@@ -42,8 +44,7 @@ def distances(
     carry, nodes = list(carry), list(nodes)
     links = edges.select(
         *[F.col(c).alias(f"near_{i}") for i, c in enumerate(near)], *[F.col(c).alias(f"far_{i}") for i, c in enumerate(far)]
-    ).distinct()
-    links = cut(links)
+    )
     found = cut(seeds.select(*carry, *nodes).distinct().withColumn("distance", F.lit(0)))
     frontier, hop = found, 0
     while max_distance is None or hop < max_distance:
@@ -60,8 +61,8 @@ def distances(
             .join(found.alias("k"), same([F.col(f"r.{c}") for c in key], [F.col(f"k.{c}") for c in key]), "left_anti")
             .withColumn("distance", F.lit(hop))
         )
-        frontier = cut(fresh)
-        if frontier.isEmpty():
+        frontier, rows = cut_counted(fresh)
+        if rows == 0:
             break
         found = found.unionByName(frontier)
     return found

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from custodia.functions import scalars as S
 from custodia.operators import graph
 from custodia.operators import relational as R
-from custodia.session import cut
+from custodia.session import cut_counted
 from custodia.sinks import store
 from custodia.sources import logs
 
@@ -192,7 +192,7 @@ def impact(
     per object. The result is as large as the number of paths; ``impacted`` gives the
     affected nodes without them.
     """
-    e = cut(edges.select(*SOURCE, *IMPACT).distinct())
+    e = edges.select(*SOURCE, *IMPACT)
     s = sources.select(*NODE).distinct().withColumn("source_name", node(*[F.col(c) for c in NODE]))
     by_column = s.join(e, graph.same([F.col(c) for c in NODE], [F.col(c) for c in SOURCE])).withColumn(
         "impact_evidence_type", F.lit(BY_COLUMN)
@@ -209,15 +209,15 @@ def impact(
         "source_name", *IMPACT, F.lit(1).alias("hop"),
         F.array(node_struct("node_"), here).alias("visited"), "impact_evidence_type",
     )
-    frontier = cut(first)
+    frontier, rows = cut_counted(first.distinct())
     hops = [frontier]
     for hop in range(2, max_hops + 1):
-        if frontier.isEmpty():
+        if rows == 0:
             break
         p, nxt = frontier.alias("p"), e.alias("e")
         on = graph.same([F.col(f"p.target_{x}") for x in PARTS], [F.col(f"e.source_{x}") for x in PARTS])
         there = node_struct("e.target_")
-        frontier = cut(
+        frontier, rows = cut_counted(
             p.join(nxt, on)
             .filter(~F.array_contains(F.col("p.visited"), there))
             .select(
@@ -227,6 +227,7 @@ def impact(
                     (F.col("p.impact_evidence_type") == BY_COLUMN) & F.col("p.target_column").isNotNull(), F.lit(BY_COLUMN)
                 ).otherwise(F.lit(BY_OBJECT)).alias("impact_evidence_type"),
             )
+            .distinct()
         )
         hops.append(frontier)
     out = R.union_all(hops).select(
@@ -234,7 +235,7 @@ def impact(
         "hop",
         F.array_join(F.transform("visited", lambda v: node(*[v[x] for x in PARTS])), " -> ").alias("path"),
         "impact_evidence_type",
-    ).distinct()
+    )
     return with_governance(out, governance)
 
 

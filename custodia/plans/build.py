@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, fields, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -43,12 +43,13 @@ def build(raw: Mapping[str, DataFrame], as_of: datetime) -> Build:
     )
 
 
-def materialized(b: Build, folder: str) -> Build:
+def materialized(b: Build, folder: str, names: Sequence[str] | None = None) -> Build:
     """The same models read back from tables in ``folder``, each computed once.
 
-    The checks read the mart several times, so it is written before they run.
+    ``names`` limits it to the models that are needed; the others stay lazy.
     """
-    return Build(**{f.name: store.write_all(getattr(b, f.name), f"{folder.rstrip('/')}/{f.name}") for f in fields(b)})
+    wanted = [f.name for f in fields(b)] if names is None else names
+    return replace(b, **{n: store.write_all(getattr(b, n), f"{folder.rstrip('/')}/{n}") for n in wanted})
 
 
 def build_counts(b: Build) -> DataFrame:

@@ -5,6 +5,7 @@ from custodia.queries import (  # noqa: F401
     catalog,
     evidence,
     quality,
+    scalars,
     sensitive,
 )
 from custodia.queries.registry import QUERIES, oracle  # noqa: F401

@@ -32,10 +32,10 @@ select e.*, '{direction}' as direction, (w.n + 1)::bigint as distance from f w j
 
 
 REGION = "'RAW' as d, 'PUBLIC' as s, 'REGION_1' as o, cast(null as varchar) as c"
-query("n02_downstream", lambda i: L.reach(i.edges, L.anchors(i.spark, "RAW.PUBLIC.REGION_1"), "DOWNSTREAM"), reach_sql(REGION, "DOWNSTREAM"))
-query("n02_downstream_two_hops", lambda i: L.reach(i.edges, L.anchors(i.spark, "RAW.PUBLIC.REGION_1"), "DOWNSTREAM", 2), reach_sql(REGION, "DOWNSTREAM", 2))
-query("n02_upstream", lambda i: L.reach(i.edges, L.anchors(i.spark, "ANALYTICS.MARTS.ORDERS_77"), "UPSTREAM"), reach_sql("'ANALYTICS' as d, 'MARTS' as s, 'ORDERS_77' as o, cast(null as varchar) as c", "UPSTREAM"))
-query("n02_downstream_column", lambda i: L.reach(i.edges, L.anchors(i.spark, "RAW.PUBLIC.NATION_3.NATIONKEY"), "DOWNSTREAM"), reach_sql("'RAW' as d, 'PUBLIC' as s, 'NATION_3' as o, 'NATIONKEY' as c", "DOWNSTREAM"))
+query("n02_downstream", lambda i: L.reach(i.stored_edges, L.anchors(i.spark, "RAW.PUBLIC.REGION_1"), "DOWNSTREAM"), reach_sql(REGION, "DOWNSTREAM"))
+query("n02_downstream_two_hops", lambda i: L.reach(i.stored_edges, L.anchors(i.spark, "RAW.PUBLIC.REGION_1"), "DOWNSTREAM", 2), reach_sql(REGION, "DOWNSTREAM", 2))
+query("n02_upstream", lambda i: L.reach(i.stored_edges, L.anchors(i.spark, "ANALYTICS.MARTS.ORDERS_77"), "UPSTREAM"), reach_sql("'ANALYTICS' as d, 'MARTS' as s, 'ORDERS_77' as o, cast(null as varchar) as c", "UPSTREAM"))
+query("n02_downstream_column", lambda i: L.reach(i.stored_edges, L.anchors(i.spark, "RAW.PUBLIC.NATION_3.NATIONKEY"), "DOWNSTREAM"), reach_sql("'RAW' as d, 'PUBLIC' as s, 'NATION_3' as o, 'NATIONKEY' as c", "DOWNSTREAM"))
 
 
 def _every_region(i: Inputs):
@@ -43,7 +43,7 @@ def _every_region(i: Inputs):
     starts = i.region.select(
         F.lit("RAW").alias("node_database"), F.lit("PUBLIC").alias("node_schema"),
         F.concat(F.lit("REGION_"), F.col("r_regionkey").cast("string")).alias("node_object"), F.lit(None).cast("string").alias("node_column"), F.col("r_name").alias("anchor"))
-    return L.reach(i.edges, starts, "DOWNSTREAM", carry=["anchor"]).groupBy("anchor", "distance").agg(F.count(F.lit(1)).alias("n"))
+    return L.reach(i.stored_edges, starts, "DOWNSTREAM", carry=["anchor"]).groupBy("anchor", "distance").agg(F.count(F.lit(1)).alias("n"))
 
 
 query("n02_downstream_many", _every_region, """
@@ -57,7 +57,7 @@ def _object_graph(i: Inputs):
     """The key graph with one customer's object named as the mart, so that all three evidence kinds meet."""
     def named(side):
         return F.when((F.col(f"{side}_object") == "CUSTOMER_5") & (F.col(f"{side}_schema") == "STAGING"), "MART_DEPOSITS").otherwise(F.col(f"{side}_object"))
-    return i.edges.withColumns({"source_object": named("source"), "target_object": named("target")})
+    return i.stored_edges.withColumns({"source_object": named("source"), "target_object": named("target")})
 
 
 STAGED_MART = ("ANALYTICS", "STAGING", "MART_DEPOSITS")
@@ -143,13 +143,13 @@ select distinct '{name}' as source_column, target_database, target_schema, targe
 
 
 def _impact(i: Inputs, *names: str):
-    return L.impact(i.edges, L.anchors(i.spark, *names))
+    return L.impact(i.stored_edges, L.anchors(i.spark, *names))
 
 
 query("n05_impact_column", lambda i: _impact(i, "RAW.PUBLIC.NATION_3.NATIONKEY"), impact_sql("NATION_3", "NATIONKEY"))
 query("n05_impact_fallback", lambda i: _impact(i, "RAW.PUBLIC.REGION_2.REGIONKEY"), impact_sql("REGION_2", "REGIONKEY"))
 query("j13_recursive_join", lambda i: _impact(i, "RAW.PUBLIC.NATION_7.NATIONKEY").select("affected_column", "hop", "target_object"), "select affected_column, hop, target_object from (" + impact_sql("NATION_7", "NATIONKEY") + ")")
-query("n05_impacted", lambda i: L.impacted(i.edges, L.anchors(i.spark, "RAW.PUBLIC.REGION_2")).groupBy("distance").agg(F.count(F.lit(1)).alias("n")), """
+query("n05_impacted", lambda i: L.impacted(i.stored_edges, L.anchors(i.spark, "RAW.PUBLIC.REGION_2")).groupBy("distance").agg(F.count(F.lit(1)).alias("n")), """
 select 1::bigint as distance, count(*) as n from {nation} where n_regionkey = 2 union all select 2, count(*) from {customer} join {nation} on c_nationkey = n_nationkey where n_regionkey = 2
 union all select 3, count(*) from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey where n_regionkey = 2
 union all select 4, count(distinct (l_orderkey, l_linenumber)) from {lineitem} join {orders} on l_orderkey = o_orderkey join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey where n_regionkey = 2""")
@@ -184,11 +184,11 @@ query("j14_flatten_two_arrays", lambda i: logs.access_edges(i.access_log).groupB
 query("n08_edge_freshness", lambda i: L.edge_freshness(i.snapshot), "select lineage_source, direction, count(*) as edge_count, max(captured_at) as last_captured_at from {snapshot} group by 1, 2")
 SNAP = f"{EDGE}, direction, distance::bigint as distance, lineage_source"
 SNAP_COLS = [*L.EDGE, "direction", "distance", "lineage_source"]
-OBJECT6 = ("RAW", "PUBLIC", "TBL_6")
-query("n09_object_edges", lambda i: L.object_edges(i.snapshot, OBJECT6).select(*SNAP_COLS), f"select {SNAP} from {{snapshot}} where lineage_source = 'NATIVE_LINEAGE' and target_object = 'TBL_6'")
-query("n09_column_edges", lambda i: L.column_edges(i.snapshot, OBJECT6).select(*SNAP_COLS), f"select {SNAP} from {{snapshot}} where lineage_source = 'NATIVE_LINEAGE' and target_object = 'TBL_6' and target_column is not null")
-query("x05_object_lineage", lambda i: X.object_lineage(i.snapshot, OBJECT6).select(*SNAP_COLS), f"select {SNAP} from {{snapshot}} where target_object = 'TBL_6'")
-query("x05_lineage_totals", lambda i: X.lineage_totals(i.snapshot, OBJECT6), "select count(*) as lineage_edges, count(*) filter (where lineage_source = 'NATIVE_LINEAGE') as native_edges from {snapshot} where target_object = 'TBL_6'")
+OBJECT6 = ("ANALYTICS", "MARTS", "TBL_37")
+query("n09_object_edges", lambda i: L.object_edges(i.snapshot, OBJECT6).select(*SNAP_COLS), f"select {SNAP} from {{snapshot}} where lineage_source = 'NATIVE_LINEAGE' and target_object = 'TBL_37'")
+query("n09_column_edges", lambda i: L.column_edges(i.snapshot, OBJECT6).select(*SNAP_COLS), f"select {SNAP} from {{snapshot}} where lineage_source = 'NATIVE_LINEAGE' and target_object = 'TBL_37' and target_column is not null")
+query("x05_object_lineage", lambda i: X.object_lineage(i.snapshot, OBJECT6).select(*SNAP_COLS), f"select {SNAP} from {{snapshot}} where target_object = 'TBL_37'")
+query("x05_lineage_totals", lambda i: X.lineage_totals(i.snapshot, OBJECT6), "select count(*) as lineage_edges, count(*) filter (where lineage_source = 'NATIVE_LINEAGE') as native_edges from {snapshot} where target_object = 'TBL_37'")
 
 # ---- adoption and ownership ------------------------------------------------------
 

@@ -14,13 +14,27 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.operators import checks, lineage
+from custodia.operators import checks
 from custodia.plans import marts, staging
-
-BASE = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+from custodia.session import cut
+
+# Declared schemas of the given tables, so that opening one runs no inference job.
+BASE = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 AS_OF = datetime(2024, 1, 31, tzinfo=UTC)
 SNAPSHOT = "2002-01-01"
 
@@ -366,10 +380,10 @@ class Inputs:
 
     def _make(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return self.spark.read.schema(BASE[name]).parquet(f"{self.folder}/{name}.parquet")
         if name in SQL:
-            needs = {n: getattr(self, n) for n in needed(SQL[name])}
-            return self.spark.sql(SQL[name], **needs)
+            text, tables = composed(name)
+            return self.spark.sql(text, **{t: getattr(self, t) for t in tables})
         if name in DERIVED:
             return DERIVED[name](self)
         raise AttributeError(name)
@@ -379,6 +393,28 @@ def needed(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{([a-z_]\w*)\}", sql)))
 
 
+def composed(name: str) -> tuple[str, list[str]]:
+    """One statement for a relation, with the ones it builds on as common table expressions."""
+    ctes: dict[str, str] = {}
+    tables: set[str] = set()
+
+    def add(text: str) -> None:
+        for n in needed(text):
+            if n in BASE:
+                tables.add(n)
+            elif n not in ctes:
+                add(SQL[n])
+                ctes[n] = SQL[n]
+
+    add(SQL[name])
+    text = SQL[name]
+    if ctes:
+        text = "with " + ",\n".join(f"{n} as ({body})" for n, body in ctes.items()) + text
+    for n in ctes:
+        text = text.replace("{" + n + "}", n)
+    return text, sorted(tables)
+
+
 def _drift(i: Inputs) -> DataFrame:
     extra = F.when(F.col("account_type") == "CHECKING", F.lit("1.00")).otherwise(F.lit("1.01")).cast("decimal(5,2)")
     return i.gl_control.withColumn("control_total", (F.col("control_total") + extra).cast("decimal(38,2)"))
@@ -421,5 +457,6 @@ DERIVED = {
     "gl_control_drift": _drift,
     "dq_results": lambda i: checks.resolve_status(i.outcomes),
     "access_log": _access,
-    "node_edges": lambda i: i.edges.select(*lineage.EDGE),
+    # Lineage is kept as a table; the hop loops read it once per hop.
+    "stored_edges": lambda i: cut(i.edges),
 }

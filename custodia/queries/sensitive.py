@@ -119,6 +119,8 @@ def _evaluation(i: Inputs):
 query("c06_capture_results", results, "select * from {class_results}")
 query("c06_capture_scanned", lambda i: C.capture_results(C.system_tags(staged_scan(i)), AS_OF).select("table_name", "column_name", "semantic_category", "classifier_source"),
       "select table_name, column_name, arg_max(semantic_category, share) as semantic_category, max(classifier_source) as classifier_source from {staged_scan} where detected group by 1, 2")
+query("j10_multi_key_join", lambda i: i.cat_columns.join(results(i), C.KEY, "left").select(*C.KEY, "semantic_category", "classifier_source"),
+      f"select c.database_name, c.schema_name, c.table_name, c.column_name, r.semantic_category, r.classifier_source from {{cat_columns}} c left join {{class_results}} r on c.database_name = r.database_name and c.schema_name = r.schema_name and c.table_name = r.table_name and c.column_name = r.column_name")
 query("c07_evaluate", _evaluation, "select * from {evaluation}")
 query("c08_precision_recall", lambda i: C.precision_recall(_evaluation(i)), """
 select tp, fp, fn, tn, round(tp::double / nullif(tp + fp, 0), 4) as precision, round(tp::double / nullif(tp + fn, 0), 4) as recall from (
@@ -231,7 +233,7 @@ def _tagged_nations(i: Inputs):
         F.when(F.col("n_regionkey") < 2, "PII").otherwise("SENSITIVE").alias("tag_value"), F.lit("MANUAL").alias("apply_method"))
 
 
-query("r06_propagate_tags", lambda i: P.propagate_tags(_tagged_nations(i), i.edges), """
+query("r06_propagate_tags", lambda i: P.propagate_tags(_tagged_nations(i), i.stored_edges), """
 with recursive e as (select * from {edges} where source_column is not null and target_column is not null),
 own as (select 'RAW' as d, 'PUBLIC' as s, concat('NATION_', cast(n_nationkey as varchar)) as o, 'NATIONKEY' as c, case when n_regionkey < 2 then 'PII' else 'SENSITIVE' end as v from {nation}),
 walk as (select d, s, o, c, v from own union select e.target_database, e.target_schema, e.target_object, e.target_column, w.v from walk w join e on e.source_database = w.d and e.source_schema = w.s and e.source_object = w.o and e.source_column = w.c)
@@ -241,6 +243,8 @@ query("r07_grant_branch", lambda i: P.grant_branch(P.entitlements_df(i.spark), i
       "select role_name, branch_code from {branch_grants} union select * from (values ('DATA_OWNER', '*'), ('DATA_STEWARD', '*'), ('DEPOSITS_ANALYST', '*'), ('BRANCH_HUDSON', 'BR_01')) v(role_name, branch_code)")
 query("r08_row_filter", lambda i: P.row_filter(i.mart_deposits, "branch_code", P.entitlements_df(i.spark), ["BRANCH_HUDSON"]).select("account_id", "branch_code"),
       "select account_id, branch_code from {mart_deposits} where branch_code = 'BR_01'")
+query("j07_semi_join", lambda i: P.row_filter(i.raw_account, "branch_code", i.branch_grants, ["BRANCH_ROLE_3", "BRANCH_ROLE_5"], inline=0).select("account_id", "branch_code"),
+      "select account_id, branch_code from {raw_account} a where exists (select 1 from {branch_grants} g where g.role_name in ('BRANCH_ROLE_3', 'BRANCH_ROLE_5') and g.branch_code = a.branch_code)")
 query("r08_row_filter_all", lambda i: P.row_filter(i.mart_deposits, "branch_code", P.entitlements_df(i.spark), ["DATA_STEWARD", "BRANCH_HUDSON"]).select("account_id"), "select account_id from {mart_deposits}")
 query("r08_row_filter_none", lambda i: P.row_filter(i.mart_deposits, "branch_code", P.entitlements_df(i.spark), ["SVC_PIPELINE"]).select("account_id"), "select account_id from {mart_deposits} where false")
 query("r08_row_filter_join", lambda i: P.row_filter(i.mart_deposits, "branch_code", i.branch_grants, ["BRANCH_ROLE_3"], inline=1).select("account_id", "branch_code"),
