@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custodia.functions import predicates as P
@@ -68,9 +68,27 @@ def key_not_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrence_count")).filter(bad)
 
 
+def failure_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
+    """Failing rows of many row-level checks from one pass, as (check_dimension, failed_rows)."""
+    row = df.agg(*[F.count_if(c).alias(n) for n, c in conditions.items()])
+    pairs = [F.struct(F.lit(n).alias("check_dimension"), F.col(n).alias("failed_rows")) for n in conditions]
+    return row.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+
+
 # ---- the six dimensions ----------------------------------------------------------
 
 
+def invalid_reason(column: str, by: str, patterns: Mapping[str, str]) -> Column:
+    """Why a value does not have the format its type asks for; NULL when it has."""
+    c, b = F.col(column), F.col(by)
+    return (
+        F.when(b.isNull(), F.lit(f"NULL_{by.upper()}"))
+        .when(~b.isin(*patterns), F.lit(f"UNSUPPORTED_{by.upper()}"))
+        .when(c.isNull(), F.lit(f"NULL_{column.upper()}"))
+        .when(~P.format_ok(c, b, patterns), F.lit(f"INVALID_{column.upper()}_FORMAT"))
+    )
+
+
 def validity(
     df: DataFrame, column: str, by: str, patterns: Mapping[str, str], keep: Sequence[str]
 ) -> DataFrame:
@@ -78,14 +96,7 @@ def validity(
 
     The value itself stays out of the evidence.
     """
-    c, b = F.col(column), F.col(by)
-    reason = (
-        F.when(b.isNull(), F.lit(f"NULL_{by.upper()}"))
-        .when(~b.isin(*patterns), F.lit(f"UNSUPPORTED_{by.upper()}"))
-        .when(c.isNull(), F.lit(f"NULL_{column.upper()}"))
-        .when(~P.format_ok(c, b, patterns), F.lit(f"INVALID_{column.upper()}_FORMAT"))
-    )
-    return df.withColumn("failure_reason", reason).filter(F.col("failure_reason").isNotNull()).select(*keep, "failure_reason")
+    return df.withColumn("failure_reason", invalid_reason(column, by, patterns)).filter(F.col("failure_reason").isNotNull()).select(*keep, "failure_reason")
 
 
 def consistency(child: DataFrame, parent: DataFrame, key: str, keep: Sequence[str]) -> DataFrame:
@@ -151,22 +162,18 @@ def balance_totals(mart: DataFrame) -> DataFrame:
 def reconciliation(mart: DataFrame, controls: DataFrame, expected_types: DataFrame) -> DataFrame:
     """Expected types, mart totals and controls side by side, one row per account type.
 
-    The three inputs are reduced to one row per type, so the union of keys and the
-    left joins run on a handful of rows whatever the mart's size. A NULL type joins
-    nothing, as in SQL equality.
+    Each input is read once and reduced to one row per type; the three sets of rows are
+    stacked and grouped once more, so no join is needed whatever the mart's size. A NULL
+    type has no totals, as it would join nothing.
     """
-    expected = expected_types.select("account_type").distinct()
-    mart_t, gl_t = balance_totals(mart), control_totals(controls)
-    types = (
-        expected.unionByName(mart_t.select("account_type")).unionByName(gl_t.select("account_type")).distinct()
+    expected = expected_types.select("account_type").distinct().withColumn("expected_type", F.col("account_type"))
+    stacked = R.union_all([expected, balance_totals(mart), control_totals(controls)])
+    measures = [c for c in stacked.columns if c != "account_type"]
+    side_by_side = stacked.groupBy("account_type").agg(
+        *[F.max(F.when(F.col("account_type").isNotNull(), F.col(c))).alias(c) for c in measures]
     )
-    snapshot_date = snapshot_shape(controls).select("first_date").scalar()
-    return (
-        types.join(expected.withColumn("expected_type", F.col("account_type")), "account_type", "left")
-        .join(mart_t, "account_type", "left")
-        .join(gl_t, "account_type", "left")
-        .withColumn("snapshot_date", snapshot_date)
-        .withColumn("reconciliation_difference", F.abs(F.col("mart_total_balance") - F.col("control_total")))
+    return side_by_side.withColumn("snapshot_date", snapshot_shape(controls).select("first_date").scalar()).withColumn(
+        "reconciliation_difference", F.abs(F.col("mart_total_balance") - F.col("control_total"))
     )
 
 

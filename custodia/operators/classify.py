@@ -61,9 +61,11 @@ BUILT_IN = (
     Detector("ADDRESS", "QUASI_IDENTIFIER", r"^[0-9]+ .* (St|Street|Ave|Avenue|Rd|Road)$", 0.5),
 )
 
-# Detectors for free text, where a value is a whole document.
+# Detectors for free text, where a value is a whole document. They only have to find a
+# match, so the e-mail rule asks for one character before the @: an open-ended run there
+# would be retried from every position of a long text without an @.
 FREE_TEXT = (
-    Detector("EMAIL", "IDENTIFIER", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", 0.05),
+    Detector("EMAIL", "IDENTIFIER", r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", 0.05),
     Detector("PHONE_NUMBER", "IDENTIFIER", r"[0-9]{3}-[0-9]{3}-[0-9]{4}", 0.05),
     Detector("IP_ADDRESS", "QUASI_IDENTIFIER", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", 0.05),
     Detector("CARD_NUMBER", "IDENTIFIER", r"[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}", 0.01, luhn=True),

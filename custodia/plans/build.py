@@ -84,15 +84,23 @@ def failing_rows(b: Build, controls: DataFrame) -> dict[str, DataFrame]:
 def outcomes(b: Build, controls: DataFrame) -> DataFrame:
     """Failure count and status of each check, with the not-empty prerequisite.
 
-    The counts are one-row aggregates joined to the registry of six rules. Callers that
+    Checks on single rows are counted together in one pass; the others are one-row
+    aggregates, all joined to the registry of six rules. Callers that
     keep the marts as tables pass a ``Build`` over those tables, so the models are not
     computed once per check.
     """
     spark = b.mart_deposits.sparkSession
+    checks = failing_rows(b, controls)
+    row_level = {
+        "COMPLETENESS": F.col("account_id").isNull(),
+        "VALIDITY": Q.invalid_reason("tax_id", "customer_type", Q.TAX_ID_FORMATS).isNotNull(),
+    }
     measured = R.union_all(
-        [
+        [Q.failure_counts(b.mart_deposits, row_level)]
+        + [
             df.agg(F.count(F.lit(1)).alias("failed_rows")).select(F.lit(d).alias("check_dimension"), "failed_rows")
-            for d, df in failing_rows(b, controls).items()
+            for d, df in checks.items()
+            if d not in row_level
         ]
     )
     empty = Q.not_empty(b.mart_deposits).agg(F.count(F.lit(1)).alias("n")).scalar()
