@@ -32,6 +32,9 @@ ALL_BRANCHES = "*"
 # is a semi join, which has no size limit.
 INLINE_VALUES = 1000
 
+# A session with more roles than this is refused: masks are built from the list of them.
+MAX_ROLES = 10_000
+
 
 def entitlements_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(ENTITLEMENTS), "role_name string, branch_code string")
@@ -53,9 +56,12 @@ def session_roles(grants: DataFrame, roles: DataFrame, carry: Sequence[str] = ()
 
 
 def held_roles(grants: DataFrame, role: str) -> list[str]:
-    """The same for one role as a list, for building masks. A list of role names, never data."""
+    """The same for one role as a list, for building masks. Refused beyond a fixed number of roles."""
     start = grants.sparkSession.createDataFrame([(role,)], "role string")
-    return sorted(r["role_name"] for r in session_roles(grants, start).limit(10_000).collect())
+    found = session_roles(grants, start).limit(MAX_ROLES + 1).collect()
+    if len(found) > MAX_ROLES:
+        raise ValueError(f"{role} holds more than {MAX_ROLES} roles")
+    return sorted(r["role_name"] for r in found)
 
 
 def masked(df: DataFrame, tags: Mapping[str, str], roles: Sequence[str]) -> DataFrame:
@@ -74,7 +80,7 @@ def masked(df: DataFrame, tags: Mapping[str, str], roles: Sequence[str]) -> Data
 
 
 def column_tags(tags: DataFrame, obj: tuple[str, str, str]) -> dict[str, str]:
-    """Classification tags of one table's columns: at most one row per column."""
+    """Classification tags of one table's columns: at most one row per column of its schema."""
     database, schema, table = obj
     rows = tags.filter(
         (F.col("tag_name") == "CLASSIFICATION")
@@ -83,7 +89,7 @@ def column_tags(tags: DataFrame, obj: tuple[str, str, str]) -> dict[str, str]:
         & (F.col("table_name") == table)
         & F.col("column_name").isNotNull()
     ).select("column_name", "tag_value")
-    return {r["column_name"]: r["tag_value"] for r in rows.limit(100_000).collect()}
+    return {r["column_name"]: r["tag_value"] for r in rows.collect()}
 
 
 def row_filter(

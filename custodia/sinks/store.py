@@ -34,38 +34,49 @@ def upsert(
     ``insert_values`` gives columns of new rows that source lacks. Keys must be unique
     in ``source``, as for MERGE; ``require_unique`` checks it.
 
-    One shuffle per side on the keys, however many columns are updated. NULL keys
-    never match, as in SQL equality.
+    The target is the left side of a left join and is never the side that is built, so a
+    small source is broadcast by its measured size and the target is not moved; a large
+    source meets it in a sort-merge join that adaptive execution may split. (A full join
+    would shuffle and sort the whole target every time.) NULL keys never match, as in SQL.
     """
     keys = list(keys)
     update = [c for c in source.columns if c not in keys and c in target.columns] if update is None else list(update)
-    may = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-    t = target.select(
-        F.struct(*target.columns).alias("t"), may.alias("may"), *[F.col(k).alias(f"tk_{i}") for i, k in enumerate(keys)]
+    s = source.select(*[F.col(c).alias(f"s__{c}") for c in source.columns], F.lit(True).alias("s__hit"))
+    joined = target.join(s, [target[k] == s[f"s__{k}"] for k in keys], "left")
+    hit = F.coalesce("s__hit", F.lit(False))
+    if when is not None:
+        hit = hit & F.coalesce(when, F.lit(False))
+    kept = joined.select(
+        *[
+            F.when(hit, F.col(f"s__{f.name}")).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name)
+            if f.name in update
+            else F.col(f.name)
+            for f in target.schema.fields
+        ]
+    )
+    given = dict(insert_values or {})
+    added = absent(source, target, keys).select(
+        *[
+            (F.col(f.name) if f.name in source.columns else given.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
+            for f in target.schema.fields
+        ]
     )
-    s = source.select(F.struct(*source.columns).alias("s"), *[F.col(k).alias(f"sk_{i}") for i, k in enumerate(keys)])
-    on = [F.col(f"tk_{i}") == F.col(f"sk_{i}") for i in range(len(keys))]
-    joined = t.join(s, on, "full")
-    old, new = F.col("t").isNotNull(), F.col("s").isNotNull()
-    extra = dict(insert_values or {})
-    out = []
-    for field in target.schema.fields:
-        c = field.name
-        kept = F.col("t")[c]
-        if c in update:
-            kept = F.when(new & F.col("may"), F.col("s")[c]).otherwise(kept)
-        if c in source.columns:
-            fresh = F.col("s")[c]
-        else:
-            fresh = extra.get(c, F.lit(None))
-        out.append(F.when(old, kept).otherwise(fresh).cast(field.dataType).alias(c))
-    return joined.select(*out)
+    return kept.unionByName(added)
+
+
+def absent(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Source rows whose keys the target lacks.
+
+    The target's keys are first reduced to those the source has, again with the target
+    as the streamed side; what is left is no larger than the source.
+    """
+    known = target.select(*keys).join(source.select(*keys), list(keys), "left_semi").distinct()
+    return source.join(known, list(keys), "left_anti").select(*source.columns)
 
 
 def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Target plus the source rows whose keys it lacks; matched rows stay untouched."""
-    fresh = source.join(target.select(*keys), list(keys), "left_anti")
-    return target.unionByName(fresh.select(*source.columns), allowMissingColumns=True)
+    return target.unionByName(absent(source, target, keys), allowMissingColumns=True)
 
 
 def replace_scope(target: DataFrame, fresh: DataFrame, scope: Mapping[str, str]) -> DataFrame:
