@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from custodia.functions import predicates as P
 from custodia.functions import scalars as S
 from custodia.operators import relational as R
+from custodia.sources.values import values_df
 
 # The six dimensions, tax-id formats and the reconciliation tolerance.
 DIMENSIONS = ("COMPLETENESS", "UNIQUENESS", "VALIDITY", "CONSISTENCY", "TIMELINESS", "ACCURACY")
@@ -246,7 +247,8 @@ def validate_registry(checks: Sequence[Check]) -> None:
 
 def registry_df(spark: SparkSession, checks: Sequence[Check]) -> DataFrame:
     validate_registry(checks)
-    return spark.createDataFrame(
+    return values_df(
+        spark,
         [(c.name, c.dimension, c.target_column, c.failure_unit) for c in checks],
         "check_type string, check_dimension string, target_column string, failure_unit string",
     )

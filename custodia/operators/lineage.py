@@ -14,6 +14,7 @@ from custodia.operators import relational as R
 from custodia.session import cut_counted
 from custodia.sinks import store
 from custodia.sources import logs
+from custodia.sources.values import values_df
 
 PARTS = ["database", "schema", "object", "column"]
 NODE = [f"node_{p}" for p in PARTS]
@@ -48,7 +49,7 @@ def node_struct(prefix: str) -> Column:
 def anchors(spark, *names: str) -> DataFrame:
     """Anchor nodes from dotted names; a fourth part names a column."""
     rows = [tuple((n.split(".") + [None])[:4]) for n in names]
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in NODE))
+    return values_df(spark, rows, ", ".join(f"{c} string" for c in NODE))
 
 
 def reach(
@@ -77,7 +78,7 @@ def reach(
 def declared_edges(specs: Sequence[tuple[str, str, str]], spark) -> DataFrame:
     """Column edges declared with a model: (input column, output column, note), dotted names."""
     rows = [(*s.split("."), *t.split("."), note) for s, t, note in specs]
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in [*EDGE, "evidence_note"]))
+    return values_df(spark, rows, ", ".join(f"{c} string" for c in [*EDGE, "evidence_note"]))
 
 
 def dependency_edges(deps: DataFrame, obj: tuple[str, str, str]) -> DataFrame:
@@ -190,26 +191,30 @@ def impact(
     otherwise the object edges of its table. A path never visits a node twice: visited
     nodes are kept as an array and compared whole. ``governance`` adds owner and steward
     per object. The result is as large as the number of paths; ``impacted`` gives the
-    affected nodes without them.
+    affected nodes without them. The sources are written first: their size is then known
+    and the edges are not moved to meet a few of them.
     """
     e = edges.select(*SOURCE, *IMPACT)
-    s = sources.select(*NODE).distinct().withColumn("source_name", node(*[F.col(c) for c in NODE]))
-    by_column = s.join(e, graph.same([F.col(c) for c in NODE], [F.col(c) for c in SOURCE])).withColumn(
-        "impact_evidence_type", F.lit(BY_COLUMN)
+    s, _ = cut_counted(sources.select(*NODE).distinct().withColumn("source_name", node(*[F.col(c) for c in NODE])))
+
+    def seeds(found: DataFrame, evidence: str) -> DataFrame:
+        return found.select(
+            "source_name", *IMPACT, F.lit(1).alias("hop"),
+            F.array(node_struct("node_"), node_struct("target_")).alias("visited"), F.lit(evidence).alias("impact_evidence_type"),
+        ).distinct()
+
+    here = [F.col(c) for c in NODE]
+    there = [F.col(c) for c in SOURCE]
+    by_column, _ = cut_counted(seeds(s.join(e, graph.same(here, there)), BY_COLUMN))
+    without = s.join(by_column.select("source_name").distinct(), "source_name", "left_anti")
+    no_column = F.lit(None).cast("string")
+    by_object = seeds(
+        without.withColumn("object_only", no_column)
+        .join(e, graph.same([*here[:3], F.col("object_only")], there))
+        .drop("object_only"),
+        BY_OBJECT,
     )
-    without = s.join(e.select(*SOURCE).distinct(), graph.same([F.col(c) for c in NODE], [F.col(c) for c in SOURCE]), "left_anti")
-    by_object = (
-        without.withColumn("object_only", F.lit(None).cast("string"))
-        .join(e, graph.same([*[F.col(c) for c in NODE[:3]], F.col("object_only")], [F.col(c) for c in SOURCE]))
-        .drop("object_only")
-        .withColumn("impact_evidence_type", F.lit(BY_OBJECT))
-    )
-    here = node_struct("target_")
-    first = by_column.unionByName(by_object).select(
-        "source_name", *IMPACT, F.lit(1).alias("hop"),
-        F.array(node_struct("node_"), here).alias("visited"), "impact_evidence_type",
-    )
-    frontier, rows = cut_counted(first.distinct())
+    frontier, rows = cut_counted(by_column.unionByName(by_object))
     hops = [frontier]
     for hop in range(2, max_hops + 1):
         if rows == 0:

@@ -12,6 +12,7 @@ from custodia.operators import graph, lineage
 from custodia.operators import relational as R
 from custodia.operators.classify import KEY
 from custodia.sinks import store
+from custodia.sources.values import values_df
 
 # Who may see which branch ('*' is every branch), and the role grants.
 ENTITLEMENTS = (
@@ -37,11 +38,11 @@ MAX_ROLES = 10_000
 
 
 def entitlements_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ENTITLEMENTS), "role_name string, branch_code string")
+    return values_df(spark, ENTITLEMENTS, "role_name string, branch_code string")
 
 
 def role_grants_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ROLE_GRANTS), "role string, granted_role string")
+    return values_df(spark, ROLE_GRANTS, "role string, granted_role string")
 
 
 def session_roles(grants: DataFrame, roles: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -57,7 +58,7 @@ def session_roles(grants: DataFrame, roles: DataFrame, carry: Sequence[str] = ()
 
 def held_roles(grants: DataFrame, role: str) -> list[str]:
     """The same for one role as a list, for building masks. Refused beyond a fixed number of roles."""
-    start = grants.sparkSession.createDataFrame([(role,)], "role string")
+    start = values_df(grants.sparkSession, [(role,)], "role string")
     found = session_roles(grants, start).limit(MAX_ROLES + 1).collect()
     if len(found) > MAX_ROLES:
         raise ValueError(f"{role} holds more than {MAX_ROLES} roles")

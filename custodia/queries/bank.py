@@ -16,6 +16,7 @@ from custodia.queries.registry import query
 from custodia.session import scratch_path
 from custodia.sinks import store
 from custodia.sources import catalog, files, schemas
+from custodia.sources.values import values_df
 
 NOW = "timestamp '2024-01-31 00:00:00'"
 STG_ACCOUNT = "account_id, customer_id, account_number, account_type, status, cast(balance as double) as balance, branch_code, cast(opened_date as varchar) as opened_date, source_table, source_system, dbt_loaded_at"
@@ -63,7 +64,7 @@ query(
 
 def _segments(i: Inputs):
     """Rules as data joined to a fact: each market segment's reporting domain."""
-    rules = catalog.values_df(
+    rules = values_df(
         i.spark, [("BUILDING", "LOAN"), ("AUTOMOBILE", "LOAN"), ("MACHINERY", "DEPOSIT")], "c_mktsegment string, business_domain string"
     )
     return i.customer.join(rules, "c_mktsegment", "left").groupBy("business_domain").agg(F.count(F.lit(1)).alias("row_count"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custodia.sources.values import values_df
+
 TABLE_ROWS = (
     "database_name string, schema_name string, table_name string, object_type string, "
     "table_comment string, row_count bigint, created_on timestamp_ntz, last_altered timestamp_ntz"
@@ -18,11 +20,6 @@ COLUMN_ROWS = (
 )
 
 
-def values_df(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Rules as data: a relation written in the program."""
-    return spark.createDataFrame(list(rows), schema)
-
-
 def relation(spark: SparkSession, name: str) -> DataFrame:
     """Any relation by its name at run time."""
     return spark.table(name)
@@ -37,7 +34,7 @@ def scan_tables(spark: SparkSession, databases: Sequence[str], catalog: str = "s
                 continue
             kind = "VIEW" if t.tableType == "VIEW" else "BASE TABLE"
             rows.append((catalog, database, t.name, kind, t.description, None, None, None))
-    return spark.createDataFrame(rows, TABLE_ROWS)
+    return values_df(spark, rows, TABLE_ROWS)
 
 
 def scan_columns(spark: SparkSession, databases: Sequence[str], catalog: str = "spark_catalog") -> DataFrame:
@@ -48,7 +45,7 @@ def scan_columns(spark: SparkSession, databases: Sequence[str], catalog: str = "
             if not t.isTemporary:
                 name = f"`{database}`.`{t.name}`"
                 rows.extend(_column_rows(spark.table(name), catalog, database, t.name))
-    return spark.createDataFrame(rows, COLUMN_ROWS)
+    return values_df(spark, rows, COLUMN_ROWS)
 
 
 def columns_of(spark: SparkSession, relations: Mapping[tuple[str, str, str], DataFrame]) -> DataFrame:
@@ -56,7 +53,7 @@ def columns_of(spark: SparkSession, relations: Mapping[tuple[str, str, str], Dat
     rows = []
     for (database, schema, table), df in relations.items():
         rows.extend(_column_rows(df, database, schema, table))
-    return spark.createDataFrame(rows, COLUMN_ROWS)
+    return values_df(spark, rows, COLUMN_ROWS)
 
 
 def _column_rows(df: DataFrame, database: str, schema: str, table: str) -> list[tuple]:
