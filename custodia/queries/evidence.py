@@ -125,21 +125,23 @@ NODE = "{0}.target_database, '.', {0}.target_schema, '.', {0}.target_object"
 NODE_NAME = "concat(" + NODE.format("e") + ", case when e.target_column is null then '' else concat('.', e.target_column) end)"
 
 
-def impact_sql(start: str, column: str | None) -> str:
-    """All simple paths of up to five hops from a column, or from its object when it has no edges."""
+def impact_sql(start: str, column: str) -> str:
+    """All simple paths of up to five hops from a column, or from its object when the column has no edges."""
     name = f"RAW.PUBLIC.{start}.{column}"
-    where = "e.source_database = 'RAW' and e.source_schema = 'PUBLIC' and e.source_object = '" + start + "'"
-    by_column = column == "NATIONKEY"
-    seed = f"{where} and e.source_column = '{column}'" if by_column else f"{where} and e.source_column is null"
-    kind = "COLUMN_LEVEL" if by_column else "OBJECT_LEVEL_FALLBACK"
+    at_object = f"source_database = 'RAW' and source_schema = 'PUBLIC' and source_object = '{start}'"
     return f"""
 with recursive w as (
-  select e.target_database, e.target_schema, e.target_object, e.target_object_domain, e.target_column, 1 as hop, concat('{name} -> ', {NODE_NAME}) as path, ['{name}', {NODE_NAME}] as seen from {{edges}} e where {seed}
+  select e.target_database, e.target_schema, e.target_object, e.target_object_domain, e.target_column, 1 as hop, concat('{name} -> ', {NODE_NAME}) as path, ['{name}', {NODE_NAME}] as seen,
+    case when e.source_column is null then 'OBJECT_LEVEL_FALLBACK' else 'COLUMN_LEVEL' end as kind
+  from {{edges}} e where {at_object} and (source_column = '{column}'
+    or (source_column is null and not exists (select 1 from {{edges}} x where x.source_database = 'RAW' and x.source_schema = 'PUBLIC' and x.source_object = '{start}' and x.source_column = '{column}')))
   union all
-  select e.target_database, e.target_schema, e.target_object, e.target_object_domain, e.target_column, w.hop + 1, concat(w.path, ' -> ', {NODE_NAME}), list_append(w.seen, {NODE_NAME}) from w join {{edges}} e
+  select e.target_database, e.target_schema, e.target_object, e.target_object_domain, e.target_column, w.hop + 1, concat(w.path, ' -> ', {NODE_NAME}), list_append(w.seen, {NODE_NAME}),
+    case when w.kind = 'COLUMN_LEVEL' and w.target_column is not null then 'COLUMN_LEVEL' else 'OBJECT_LEVEL_FALLBACK' end
+  from w join {{edges}} e
     on e.source_database = w.target_database and e.source_schema = w.target_schema and e.source_object = w.target_object and e.source_column is not distinct from w.target_column
   where w.hop < 5 and not list_contains(w.seen, {NODE_NAME}))
-select distinct '{name}' as source_column, target_database, target_schema, target_object, target_object_domain, target_column as affected_column, hop::bigint as hop, path, '{kind}' as impact_evidence_type from w"""
+select distinct '{name}' as source_column, target_database, target_schema, target_object, target_object_domain, target_column as affected_column, hop::bigint as hop, path, kind as impact_evidence_type from w"""
 
 
 def _impact(i: Inputs, *names: str):
