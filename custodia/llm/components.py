@@ -22,21 +22,24 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link to a smaller node, or is such a smaller node, but not both."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that has a link: the component is its smallest node. links: columns a and b; order and repeats are free.
 
-    Each round is written to the shared folder, and the round before deleted. Both steps reduce a node's links to a minimum before they are joined, so a node with very many
-    links is one row per task; the joins are plain equi-joins whose large partitions adaptive execution splits.
+    Each round is written to the shared folder, and the round before deleted. Both steps reduce a node's links to a minimum before they are
+    joined, so a node with very many links is one row per task; the joins are plain equi-joins whose large partitions adaptive execution splits.
     """
     links = cut(
         links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    mark = None
-    while True:
-        now = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1000003).alias("h")).first()
-        if now == mark or now["n"] == 0:
-            break
-        mark = now
+    while not _settled(links):
         before, links = links, cut(_small_star(_large_star(links)))
         release(before)
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

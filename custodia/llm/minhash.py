@@ -116,7 +116,8 @@ def near_groups(rows: DataFrame, size: int = 5, percent: int = 80, miss: float =
 
     own = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(1), F.col("blocks") - 1))
     cells = members.select("gid", "id", F.explode(own).alias("cell"), F.lit(0).alias("side"), F.col("id").alias("root"))
-    links = cut(_confirm(known.join(cells, "id"), size, percent))
+    texts = cut(known.join(members.select("id"), "id", "left_semi"))
+    links = cut(_confirm(texts.join(cells, "id"), size, percent))
 
     found = cut(components(links))
     large = (
@@ -124,6 +125,8 @@ def near_groups(rows: DataFrame, size: int = 5, percent: int = 80, miss: float =
     )
     tops = large.groupBy("gid", "root").count().groupBy("gid").agg(F.max(F.struct("count", "root"))["root"].alias("top"))
     loose = cut(large.join(tops, "gid").where("root <> top").select("gid", "id", "root", "blocks"))
+    if loose.isEmpty():
+        return _result(sketched, classes, found)
     sizes = loose.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
     cell = F.struct("part", "block")
     left = (
@@ -134,14 +137,16 @@ def near_groups(rows: DataFrame, size: int = 5, percent: int = 80, miss: float =
         large.join(sizes, "gid").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
         .select("gid", "id", F.to_json(cell).alias("cell"), F.lit(1).alias("side"), "root")
     )
-    more = _confirm(known.join(left.unionByName(right), "id"), size, percent)
+    more = _confirm(texts.join(left.unionByName(right), "id"), size, percent)
     links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = components(links)
+    return _result(sketched, classes, components(links))
 
+
+def _result(sketched: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     return (
         sketched.select("id", "n_shingles", "digest")
         .join(classes, "digest", "left")
-        .join(final, "node", "left")
+        .join(found, "node", "left")
         .select("id", "n_shingles", "digest", F.coalesce("component", F.when(F.col("id").isNotNull(), F.col("node")), "id").alias("component"))
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import lines, minhash, mixing, paragraphs, urls
+from custodia.llm import decontaminate, fingerprints, language, lines, minhash, mixing, pages, paragraphs, toxicity, urls
 from custodia.llm.common import table
 
 #: The rules that the url query applies: verdict, host and path.
@@ -29,11 +29,31 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), "kept")
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules=URL_RULES)
 
@@ -42,7 +62,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minmax_dedup, op2_line_dedup, op4_mixing, op9_url_filter, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_minmax_dedup, op2_line_dedup, op3_decontamination, op4_mixing, op5_page_text, op6_toxicity, op7_language, op8_fingerprints,
+        op9_url_filter, op10_substring_dedup,
+    )
+}
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": f"select doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from ({lines.line_dedup_sql('documents')})",
