@@ -123,20 +123,21 @@ def fit(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text",
     return fit_matrix(rows_of, [r["lang"] for r in got])
 
 
-def predict(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row. Null texts and texts without a letter are und with a score of 0."""
+def annotate(docs: DataFrame, model: LanguageModel, name: str, score: str, text: str = "text") -> DataFrame:
+    """docs with the language and the score of each row's text added. Null texts and texts without a letter are und with a score of 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            names, scores = shared.value.predict(list(batch["text"]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": names, "score": scores})
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        names, scores = shared.value.predict(list(texts))
+        return pd.DataFrame({"lang": names, "score": scores})
 
-    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    judged = F.pandas_udf(judge, "lang string, score double").asNondeterministic()  # so that a filter on the result does not run it twice
+    both = docs.withColumn("__judged", judged(F.col(f"`{text}`")))
+    return both.withColumns({name: F.col("__judged.lang"), score: F.col("__judged.score")}).drop("__judged")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from rows whose crc32 of the id modulo 3 is not 1, applied to all. A null id is held out."""
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(True))
-    return predict(docs, fit(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    model = fit(docs, ~held_out)
+    return annotate(docs.select("doc_id", "text"), model, "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -20,7 +20,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from custodia.llm.common import cut, runs
 from custodia.llm.components import components
@@ -30,23 +29,24 @@ from custodia.llm.shingles import MinMaxHash, banding, overlaps, shingle_set
 def features(rows: DataFrame, size: int, hasher: MinMaxHash) -> DataFrame:
     """(id, n_shingles, digest, bands) of each (id, text); texts without words have no digest and no bands."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for begin in range(0, len(batch), 500):
-                part = batch.iloc[begin : begin + 500]
-                sets = [shingle_set(t, size) for t in part["text"]]
-                keys = iter(hasher.band_keys([s for s in sets if len(s)]))
-                yield pd.DataFrame(
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        parts = []
+        for begin in range(0, len(texts), 500):
+            sets = [shingle_set(t, size) for t in texts.iloc[begin : begin + 500]]
+            keys = iter(hasher.band_keys([s for s in sets if len(s)]))
+            parts.append(
+                pd.DataFrame(
                     {
-                        "id": part["id"].to_numpy(),
                         "n_shingles": [len(s) for s in sets],
                         "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                         "bands": [next(keys) if len(s) else None for s in sets],
                     }
                 )
+            )
+        return pd.concat(parts, ignore_index=True)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(sketch, f"id {kind}, n_shingles bigint, digest binary, bands array<bigint>")
+    sketched = F.pandas_udf(sketch, "n_shingles bigint, digest binary, bands array<bigint>").asNondeterministic()
+    return rows.select("id", sketched("text").alias("s")).select("id", "s.*")
 
 
 def _linked(inter: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,10 +160,10 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of pages. A null or empty page has an empty text; nothing is cut, whatever its length."""
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [main_text(p) for p in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def extract(pages: pd.Series) -> pd.DataFrame:
+        texts = [main_text(p) for p in pages]
+        return pd.DataFrame({"text": texts, "n_chars": [len(t) for t in texts]})
 
-    rows = pages.select(F.col(f"`{id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html"))
-    return rows.mapInPandas(extract, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint")
+    found = F.pandas_udf(extract, "text string, n_chars bigint").asNondeterministic()
+    rows = pages.select(F.col(f"`{id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), found(F.col(f"`{page}`")).alias("found"))
+    return rows.select("page_id", "url", "found.text", "found.n_chars")

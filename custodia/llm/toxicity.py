@@ -29,34 +29,44 @@ def word_set(text: str | None) -> Counter:
 
 
 def terms_of(words: Counter) -> set[str]:
-    """What a text could be voted on: its words, and the beginnings of its longer words, marked by a star."""
-    return set(words).union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
+    """What a text could be voted on: its words, the beginnings of its longer words (one star), and those that two words share (two stars)."""
+    stems = Counter(w[:n] for w in words for n in STEMS if len(w) > n)
+    return set(words) | {s + "*" for s in stems} | {s + "**" for s, n in stems.items() if n > 1}
 
 
 @dataclass
 class ToxicityModel:
-    """Voters (words and starred beginnings), what the label model found out about them, and the classifier."""
+    """Voters (words, beginnings, beginnings shared by two words), what the label model found out about them, and the classifier."""
 
     words: dict[str, int]
     stems: dict[str, int]
+    pairs: dict[str, int]
     accuracy: np.ndarray
     correlation: np.ndarray
     weights: np.ndarray
 
     @property
     def mined(self) -> int:
-        return len(self.words) + len(self.stems)
+        return len(self.words) + len(self.stems) + len(self.pairs)
 
     def votes(self, text: str | None) -> np.ndarray:
         """How often each voter fires on a text, then the general patterns (0 or 1), and the number of words at the end."""
         counts = word_set(text)
         out = np.zeros(self.mined + len(PATTERNS) + 1)
+        shared: dict[str, list[int]] = {}
         for word, n in counts.items():
             if (k := self.words.get(word)) is not None:
                 out[k] += n
             for length in STEMS:
-                if len(word) > length and (k := self.stems.get(word[:length])) is not None:
-                    out[k] += n
+                if len(word) > length:
+                    stem = word[:length]
+                    if (k := self.stems.get(stem)) is not None:
+                        out[k] += n
+                    if stem in self.pairs:
+                        shared.setdefault(stem, []).append(n)
+        for stem, times in shared.items():
+            if len(times) > 1:
+                out[self.pairs[stem]] += sum(times)
         out[self.mined : -1] = [bool(p.search(text or "")) for p in PATTERNS.values()]
         out[-1] = sum(counts.values())
         return out
@@ -126,7 +136,7 @@ def choose_voters(terms: list[tuple[str, int, int]], toxic: int, clean: int, mos
     chosen: list[tuple[str, tuple[int, int]]] = []
     for _, _, term, counts in sorted(rated):
         bare = term.rstrip("*")
-        covered = any(c.endswith("*") and bare.startswith(c[:-1]) for c, _ in chosen)
+        covered = any(c.endswith("*") and bare.startswith(c.rstrip("*")) and (c[-2:] != "**" or term[-2:] == "**") for c, _ in chosen)
         repeated = any(n == counts and c.startswith(bare) for c, n in chosen)
         if not covered and not repeated and len(chosen) < most:
             chosen.append((term, counts))
@@ -157,14 +167,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", t
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not toxic or not clean:
-        return ToxicityModel({}, {}, np.zeros((2, 0)), np.eye(0), np.zeros(0))
+        return ToxicityModel({}, {}, {}, np.zeros((2, 0)), np.eye(0), np.zeros(0))
     counted = rows.mapInPandas(count, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     lift = (F.col("bad") + 0.5) / (toxic + 1) / ((F.col("good") + 0.5) / (clean + 1))
     best = counted.where((F.col("bad") >= max(LEAST_TOXIC, LEAST_SHARE * toxic)) & (lift >= LEAST_LIFT)).orderBy(F.desc(F.col("bad") * F.log(lift)), "term").limit(20 * VOTERS)
     chosen = choose_voters([(r["term"], r["bad"], r["good"]) for r in best.collect()], toxic, clean)
     words = [c for c in chosen if not c.endswith("*")]
-    stems = [c[:-1] for c in chosen if c.endswith("*")]
-    model = ToxicityModel({w: k for k, w in enumerate(words)}, {s: len(words) + k for k, s in enumerate(stems)}, np.zeros((2, 0)), np.eye(0), np.zeros(0))
+    stems = [c[:-1] for c in chosen if c.endswith("*") and c[-2:] != "**"]
+    pairs = [c[:-2] for c in chosen if c.endswith("**")]
+    at = {c: k for k, c in enumerate([*words, *(s + "*" for s in stems), *(p + "**" for p in pairs)])}
+    model = ToxicityModel({w: at[w] for w in words}, {s: at[s + "*"] for s in stems}, {p: at[p + "**"] for p in pairs}, np.zeros((2, 0)), np.eye(0), np.zeros(0))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -178,24 +190,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", t
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of every row, over the whole text; null and empty texts get the score of a text that no voter fires on."""
+def annotate(docs: DataFrame, model: ToxicityModel, name: str = "score", text: str = "text") -> DataFrame:
+    """docs with the score of each row's whole text added; null and empty texts get the score of a text that no voter fires on."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for batch in batches:
-            for begin in range(0, len(batch), 1000):
-                part = batch.iloc[begin : begin + 1000]
-                scores = model.scores(np.array([model.votes(t) for t in part["text"]])) if len(model.weights) else np.zeros(len(part))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "score": scores})
+    def rate(texts: pd.Series) -> pd.Series:
+        model, out = shared.value, [np.zeros(0)]
+        for begin in range(0, len(texts), 1000):
+            part = texts.iloc[begin : begin + 1000]
+            out.append(model.scores(np.array([model.votes(t) for t in part])) if len(model.weights) else np.zeros(len(part)))
+        return pd.Series(np.concatenate(out))
 
-    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.withColumn(name, F.pandas_udf(rate, "double").asNondeterministic()(F.col(f"`{text}`")))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): learned from labels whose crc32 of the id modulo 4 is not 2, applied to all. A null id is held out."""
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(True))
-    scored = score(docs, fit(docs, labels, ~held_out))
+    scored = annotate(docs.select("doc_id", "text"), fit(docs, labels, ~held_out))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
