@@ -43,19 +43,48 @@ def word_hashes(text: str | None, members: np.ndarray = NOT_WHITE) -> np.ndarray
     """
     data = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes.lower() knows only ASCII
     if len(data) <= _PIECE:
-        return _word_hashes(data, members)
+        return _word_hashes(data, members)[0]
     out, begin = [], 0
     while begin < len(data):
         end = min(begin + _PIECE, len(data))
         if end < len(data):  # cut between words; a single word of a whole piece is cut where the piece ends
             gaps = np.flatnonzero(~members[np.frombuffer(data, np.uint8, end - begin, begin)])
             end = begin + int(gaps[-1]) + 1 if len(gaps) else end
-        out.append(_word_hashes(data[begin:end], members))
+        out.append(_word_hashes(data[begin:end], members)[0])
         begin = end
     return np.concatenate(out)
 
 
-def _word_hashes(data: bytes, members: np.ndarray) -> np.ndarray:
+def words_of_all(texts: list[str], members: np.ndarray = NOT_WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of many texts one after another, and how many each text has; faster than a text at a time."""
+    out, counts, held, size = [], [], [], 0
+
+    def flush() -> None:
+        nonlocal size
+        hashes, starts = _word_hashes(b" ".join(held), members)
+        edges = np.cumsum([0, *(len(d) + 1 for d in held)])
+        counts.append(np.diff(np.searchsorted(starts, edges)))
+        out.append(hashes)
+        held.clear()
+        size = 0
+
+    for text in texts:
+        data = text.encode("utf-8", "surrogatepass").lower()
+        if held and size + len(data) + 1 > _PIECE // 4:
+            flush()
+        if len(data) > _PIECE // 4:
+            out.append(word_hashes(text, members))
+            counts.append(np.array([len(out[-1])]))
+        else:
+            held.append(data)
+            size += len(data) + 1
+    if held:
+        flush()
+    empty = np.empty(0, np.int64)
+    return np.concatenate([empty.astype(np.uint64), *out]), np.concatenate([empty, *counts])
+
+
+def _word_hashes(data: bytes, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = members[raw]
@@ -65,7 +94,7 @@ def _word_hashes(data: bytes, members: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _A)
+        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _A), starts
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
