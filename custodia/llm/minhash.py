@@ -90,7 +90,7 @@ def _confirm(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return dealt.select("gid", "cell", "side", "id", "root", "text").mapInPandas(compare, f"a {kind}, b {kind}")
 
 
-def near_groups(rows: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, block: int = 128, seed: int = 7) -> DataFrame:
+def near_groups(rows: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, values: int = 256, block: int = 128, seed: int = 7) -> DataFrame:
     """(id, n_shingles, digest, component) of each row (id, text): texts whose shingle sets satisfy 100 * intersection >= percent * union
     are linked, and the component is the smallest id that links reach.
 
@@ -99,7 +99,7 @@ def near_groups(rows: DataFrame, size: int = 5, percent: int = 80, miss: float =
     """
     rows = rows.select("id", "text")
     known = rows.where("id is not null")
-    hasher = MinMaxHash(*banding(percent / 100, miss), seed=seed)
+    hasher = MinMaxHash(*banding(percent / 100, miss, values), seed=seed)
     sketched = cut(features(rows, size, hasher))
     usable = sketched.where("digest is not null and id is not null")
     classes = cut(usable.groupBy("digest").agg(F.min("id").alias("node")))

@@ -19,10 +19,10 @@ from custodia.llm.common import WHITE
 from custodia.llm.minhash import near_groups
 from custodia.llm.shingles import shingle_hashes, word_hashes
 
-#: Words in the shortest paragraph and in a window; anchors are the least of so many neighbours. 30 + 16 + 4 = 50 words are never overlooked.
-MIN_WORDS, WINDOW, REACH = 30, 30, 16
-#: Probability that the bands overlook two paragraphs at the threshold: 18 bands of 4 values.
-MISS = 1e-4
+#: Words in the shortest paragraph and in a window; anchors are the least of so many neighbours. 26 + 20 + 4 = 50 words are never overlooked.
+MIN_WORDS, WINDOW, REACH = 30, 26, 20
+#: Probability that the bands overlook two paragraphs at the threshold, and signature values at most: 14 bands of 3 values.
+MISS, VALUES = 1e-4, 48
 
 
 def anchors(words: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -84,7 +84,7 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     """
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and text is not null")
     units = paragraphs(rows)
-    groups = near_groups(units, 5, percent, MISS)
+    groups = near_groups(units, 5, percent, MISS, VALUES)
     places = groups.select(
         F.floor(F.col("id") / F.lit(4294967296).cast("decimal(10,0)")).cast("long").alias("doc_id"),
         (F.col("id") % F.lit(4294967296).cast("decimal(10,0)")).cast("int").alias("start"),
