@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custodia.functions import masks
@@ -29,12 +29,8 @@ ROLE_GRANTS = (
 )
 ALL_BRANCHES = "*"
 
-# How many entitled values are written into the filter itself. Beyond it the filter
-# is a semi join, which has no size limit.
-INLINE_VALUES = 1000
-
-# A session with more roles than this is refused: masks are built from the list of them.
-MAX_ROLES = 10_000
+# Classes from the least to the most protected: of several tags on a column the last counts.
+STRICTNESS = ("PUBLIC", "INTERNAL", "POTENTIALLY_SENSITIVE", "SENSITIVE", "ACCOUNT_DETAILS", "PII")
 
 
 def entitlements_df(spark: SparkSession) -> DataFrame:
@@ -57,12 +53,9 @@ def session_roles(grants: DataFrame, roles: DataFrame, carry: Sequence[str] = ()
 
 
 def held_roles(grants: DataFrame, role: str) -> list[str]:
-    """The same for one role as a list, for building masks. Refused beyond a fixed number of roles."""
+    """The same for one role as a list, for building masks: the names of one session's roles."""
     start = values_df(grants.sparkSession, [(role,)], "role string")
-    found = session_roles(grants, start).limit(MAX_ROLES + 1).collect()
-    if len(found) > MAX_ROLES:
-        raise ValueError(f"{role} holds more than {MAX_ROLES} roles")
-    return sorted(r["role_name"] for r in found)
+    return sorted(r["role_name"] for r in session_roles(grants, start).collect())
 
 
 def masked(df: DataFrame, tags: Mapping[str, str], roles: Sequence[str]) -> DataFrame:
@@ -81,7 +74,7 @@ def masked(df: DataFrame, tags: Mapping[str, str], roles: Sequence[str]) -> Data
 
 
 def column_tags(tags: DataFrame, obj: tuple[str, str, str]) -> dict[str, str]:
-    """Classification tags of one table's columns: at most one row per column of its schema."""
+    """Classification tags of one table's columns: one row per column, the strictest of its tags; an unlisted class counts as strictest."""
     database, schema, table = obj
     rows = tags.filter(
         (F.col("tag_name") == "CLASSIFICATION")
@@ -89,25 +82,29 @@ def column_tags(tags: DataFrame, obj: tuple[str, str, str]) -> dict[str, str]:
         & (F.col("schema_name") == schema)
         & (F.col("table_name") == table)
         & F.col("column_name").isNotNull()
-    ).select("column_name", "tag_value")
+    ).groupBy("column_name").agg(F.max_by("tag_value", F.struct(strictness(F.col("tag_value")), "tag_value")).alias("tag_value"))
     return {r["column_name"]: r["tag_value"] for r in rows.collect()}
 
 
+def strictness(tag_value: Column) -> Column:
+    """The rank of a class; unlisted classes rank above all listed ones."""
+    rank = F.array_position(F.array(*map(F.lit, STRICTNESS)), tag_value)
+    return F.when(rank > 0, rank).otherwise(len(STRICTNESS) + 1)
+
+
 def row_filter(
-    df: DataFrame, column: str, entitlements: DataFrame, roles: Sequence[str], inline: int = INLINE_VALUES
+    df: DataFrame, column: str, entitlements: DataFrame, roles: Sequence[str]
 ) -> DataFrame:
     """Rows whose value is entitled to any of the roles; '*' entitles to all, nothing to none.
 
-    The wildcard is resolved first, so no row meets an OR condition. A short list of
-    values becomes an IN filter that reaches the scan; a longer one is a semi join.
+    Entitlements are looked up when the view is read, not when it is made: the values by an
+    equi-join with the distinct ones, the wildcard by a one-row subquery. Nothing runs here,
+    and the plan is the same for any number of values.
     """
-    granted = entitlements.filter(F.col("role_name").isin(*roles)).select("branch_code").distinct()
-    if not granted.filter(F.col("branch_code") == ALL_BRANCHES).isEmpty():
-        return df
-    values = [r[0] for r in granted.limit(inline + 1).collect()]
-    if len(values) <= inline:
-        return df.filter(F.col(column).isin(*values)) if values else df.filter(F.lit(False))
-    return df.join(granted.withColumnRenamed("branch_code", column), column, "left_semi").select(*df.columns)
+    granted = entitlements.filter(F.col("role_name").isin(*roles)).select(F.col("branch_code").alias("__entitled")).distinct()
+    every = granted.agg(F.coalesce(F.max(F.col("__entitled") == ALL_BRANCHES), F.lit(False))).scalar()
+    joined = df.join(granted, df[column] == F.col("__entitled"), "left")
+    return joined.filter(F.col("__entitled").isNotNull() | every).select(*[df[c] for c in df.columns])
 
 
 def protect(

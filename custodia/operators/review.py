@@ -103,12 +103,11 @@ def _decision(status: Column, classification: Column, notes: Column, user: Colum
 def decide(queue: DataFrame, decisions: DataFrame, as_of: datetime) -> DataFrame:
     """Apply many decisions in one pass.
 
-    ``decisions``: review_id (unique), action APPROVE or REJECT, classification, notes,
-    user. Reviews that are not pending and approvals with an unknown class stay as they are.
+    ``decisions``: review_id, action APPROVE or REJECT, classification, notes, user. Reviews
+    that are not pending and approvals with an unknown class stay as they are. Of several
+    decisions on one review the first counts (see ``first_decisions``).
     """
-    valid = decisions.filter(
-        (F.col("action") == "REJECT") | ((F.col("action") == "APPROVE") & F.col("classification").isin(*CONFIRMABLE))
-    )
+    valid = first_decisions(decisions)
     approved = F.col("r.action") == "APPROVE"
     return store.transition(
         queue, valid, "review_id", "review_status", "PENDING",
@@ -122,18 +121,29 @@ def decide(queue: DataFrame, decisions: DataFrame, as_of: datetime) -> DataFrame
     )
 
 
+def first_decisions(decisions: DataFrame) -> DataFrame:
+    """One valid decision per review: the least by user, action, class and notes, NULLs first."""
+    valid = decisions.filter(
+        (F.col("action") == "REJECT") | ((F.col("action") == "APPROVE") & F.col("classification").isin(*CONFIRMABLE))
+    )
+    least = valid.groupBy("review_id").agg(F.min(F.struct("user", "action", "classification", "notes")).alias("d"))
+    return least.select("review_id", "d.action", "d.classification", "d.notes", "d.user")
+
+
 def decision_messages(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     """What each decision would be answered with, given the queue before it."""
     pending = queue.filter("review_status = 'PENDING'").groupBy("review_id").agg(F.count(F.lit(1)).alias("n"))
     rid = F.col("review_id")
     bad_class = (F.col("action") == "APPROVE") & ~F.coalesce(F.col("classification").isin(*CONFIRMABLE), F.lit(False))
+    first = first_decisions(decisions).select("review_id", F.struct("user", "action", "classification", "notes").alias("first"))
+    late = ~bad_class & F.col("first").isNotNull() & ~F.struct("user", "action", "classification", "notes").eqNullSafe(F.col("first"))
     message = (
-        F.when(F.coalesce("n", F.lit(0)) != 1, F.concat(F.lit("Review ID not found or not pending: "), rid))
+        F.when((F.coalesce("n", F.lit(0)) != 1) | late, F.concat(F.lit("Review ID not found or not pending: "), rid))
         .when(bad_class, F.concat(F.lit("Invalid confirmed classification: "), F.coalesce("classification", F.lit("NULL"))))
         .when(F.col("action") == "APPROVE", F.concat(F.lit("Classification approved for review ID: "), rid))
         .otherwise(F.concat(F.lit("Classification rejected for review ID: "), rid))
     )
-    return decisions.join(pending, "review_id", "left").select("review_id", message.alias("message"))
+    return decisions.join(pending, "review_id", "left").join(first, "review_id", "left").select("review_id", message.alias("message"))
 
 
 def queue_counts(queue: DataFrame) -> DataFrame:

@@ -58,6 +58,7 @@ STAGED_COLUMNS = {
     "stg_customer": [("customer_id", False), ("first_name", True), ("last_name", True), ("email", True), ("phone", True), ("tax_id", True), ("date_of_birth", False), ("address", True), ("customer_type", True), ("source_table", True), ("source_system", True), ("dbt_loaded_at", False)],
     "stg_account": [("account_id", False), ("customer_id", False), ("account_number", True), ("account_type", True), ("status", True), ("balance", False), ("branch_code", True), ("opened_date", False), ("source_table", True), ("source_system", True), ("dbt_loaded_at", False)],
     "stg_loan": [("loan_id", False), ("customer_id", False), ("account_id", False), ("principal", False), ("loan_type", True), ("status", True), ("interest_rate", False), ("origination_date", False), ("collateral_value", False), ("credit_grade", True), ("loan_memo", True), ("source_table", True), ("source_system", True), ("dbt_loaded_at", False)],
+    "stg_transaction": [("transaction_id", False), ("account_id", False), ("business_date", False), ("transaction_type", True), ("amount", False), ("memo", True), ("source_table", True), ("source_system", True), ("dbt_loaded_at", False)],
 }
 
 
@@ -243,11 +244,11 @@ query("r07_grant_branch", lambda i: P.grant_branch(P.entitlements_df(i.spark), i
       "select role_name, branch_code from {branch_grants} union select * from (values ('DATA_OWNER', '*'), ('DATA_STEWARD', '*'), ('DEPOSITS_ANALYST', '*'), ('BRANCH_HUDSON', 'BR_01')) v(role_name, branch_code)")
 query("r08_row_filter", lambda i: P.row_filter(i.mart_deposits, "branch_code", P.entitlements_df(i.spark), ["BRANCH_HUDSON"]).select("account_id", "branch_code"),
       "select account_id, branch_code from {mart_deposits} where branch_code = 'BR_01'")
-query("j07_semi_join", lambda i: P.row_filter(i.raw_account, "branch_code", i.branch_grants, ["BRANCH_ROLE_3", "BRANCH_ROLE_5"], inline=0).select("account_id", "branch_code"),
+query("j07_semi_join", lambda i: P.row_filter(i.raw_account, "branch_code", i.branch_grants, ["BRANCH_ROLE_3", "BRANCH_ROLE_5"]).select("account_id", "branch_code"),
       "select account_id, branch_code from {raw_account} a where exists (select 1 from {branch_grants} g where g.role_name in ('BRANCH_ROLE_3', 'BRANCH_ROLE_5') and g.branch_code = a.branch_code)")
 query("r08_row_filter_all", lambda i: P.row_filter(i.mart_deposits, "branch_code", P.entitlements_df(i.spark), ["DATA_STEWARD", "BRANCH_HUDSON"]).select("account_id"), "select account_id from {mart_deposits}")
 query("r08_row_filter_none", lambda i: P.row_filter(i.mart_deposits, "branch_code", P.entitlements_df(i.spark), ["SVC_PIPELINE"]).select("account_id"), "select account_id from {mart_deposits} where false")
-query("r08_row_filter_join", lambda i: P.row_filter(i.mart_deposits, "branch_code", i.branch_grants, ["BRANCH_ROLE_3"], inline=1).select("account_id", "branch_code"),
+query("r08_row_filter_join", lambda i: P.row_filter(i.mart_deposits, "branch_code", i.branch_grants, ["BRANCH_ROLE_3"]).select("account_id", "branch_code"),
       "select account_id, branch_code from {mart_deposits} where branch_code in (select branch_code from {branch_grants} where role_name = 'BRANCH_ROLE_3')")
 
 

@@ -31,8 +31,8 @@ def upsert(
 
     ``update`` lists the columns a match refreshes (default: all of source's that are
     not keys); ``when`` is a predicate on the target's columns that a match must meet;
-    ``insert_values`` gives columns of new rows that source lacks. Keys must be unique
-    in ``source``, as for MERGE; ``require_unique`` checks it.
+    ``insert_values`` gives columns of new rows that source lacks. Two source rows with one
+    key fail the job that reads the result, as MERGE does; rows with a NULL key match nothing.
 
     The target is the left side of a left join and is never the side that is built, so a
     small source is broadcast by its measured size and the target is not moved; a large
@@ -40,6 +40,7 @@ def upsert(
     would shuffle and sort the whole target every time.) NULL keys never match, as in SQL.
     """
     keys = list(keys)
+    source = one_per_key(source, keys)
     update = [c for c in source.columns if c not in keys and c in target.columns] if update is None else list(update)
     s = source.select(*[F.col(c).alias(f"s__{c}") for c in source.columns], F.lit(True).alias("s__hit"))
     joined = target.join(s, [target[k] == s[f"s__{k}"] for k in keys], "left")
@@ -64,6 +65,18 @@ def upsert(
     return kept.unionByName(added)
 
 
+def one_per_key(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The source, with an error raised while it is read if a key without NULLs occurs twice."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    rest = [c for c in source.columns if c not in keys]
+    grouped = source.filter(whole).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(F.lit(1).alias("__one"), *rest)).alias("__row"))
+    checked = grouped.filter(F.assert_true(F.col("__n") == 1, F.lit(f"duplicate keys: {', '.join(keys)}")).isNull())
+    single = checked.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in source.columns])
+    return single.unionByName(source.filter(~whole))
+
+
 def absent(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Source rows whose keys the target lacks.
 

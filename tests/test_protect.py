@@ -25,21 +25,30 @@ def accounts(spark):
     return spark.createDataFrame([(1, "BR_01"), (2, "BR_02"), (3, None), (4, "BR_01")], "id int, branch_code string")
 
 
-@pytest.mark.parametrize("inline", [1000, 0])
 @pytest.mark.parametrize(
     ("roles", "ids"),
     [(["BRANCH_HUDSON"], [1, 4]), (["DATA_STEWARD"], [1, 2, 3, 4]), (["BRANCH_HUDSON", "DATA_OWNER"], [1, 2, 3, 4]), (["SVC_PIPELINE"], []), (["NOBODY"], [])],
 )
-def test_row_filter(spark, accounts, roles, ids, inline):
-    out = P.row_filter(accounts, "branch_code", P.entitlements_df(spark), roles, inline=inline)
+def test_row_filter(spark, accounts, roles, ids):
+    out = P.row_filter(accounts, "branch_code", P.entitlements_df(spark), roles)
     assert out.columns == accounts.columns
     assert sorted(r.id for r in out.collect()) == ids
 
 
-def test_short_lists_reach_the_scan(spark, accounts, tmp_path, capsys):
-    accounts.write.parquet(str(tmp_path / "a"))
-    P.row_filter(spark.read.parquet(str(tmp_path / "a")), "branch_code", P.entitlements_df(spark), ["BRANCH_HUDSON"]).explain()
-    assert "PushedFilters: [IsNotNull(branch_code), EqualTo(branch_code,BR_01)]" in capsys.readouterr().out
+def test_row_filter_is_resolved_when_read(spark, accounts, capsys):
+    entitlements = spark.createDataFrame([("R", f"BR_SECRET_{k}") for k in range(2000)], "role_name string, branch_code string")
+    P.row_filter(accounts, "branch_code", entitlements, ["R"]).explain(True)
+    text = capsys.readouterr().out
+    assert "BR_SECRET" not in text.split("== Optimized Logical Plan ==")[0] and "In(branch_code" not in text
+    assert P.row_filter(accounts, "branch_code", entitlements, ["none"]).count() == 0
+
+
+def test_strictest_tag_wins(spark):
+    key = ("D", "S", "T", "C", "COLUMN", "CLASSIFICATION")
+    schema = "database_name string, schema_name string, table_name string, column_name string, domain string, tag_name string, tag_value string"
+    for values in (("PUBLIC", "PII"), ("PII", "PUBLIC"), ("PUBLIC", "UNHEARD_OF", "PII")):
+        got = P.column_tags(spark.createDataFrame([(*key, v) for v in values], schema), ("D", "S", "T"))
+        assert got == {"C": "UNHEARD_OF" if len(values) == 3 else "PII"}
 
 
 def test_grants_are_added_once(spark):

@@ -113,3 +113,10 @@ def test_history_keeps_older_schemas(spark, target, rows, tmp_path):
 def test_failures_are_replaced(spark, target, source, rows, tmp_path):
     store.store_failures(target, "check_a", str(tmp_path))
     assert rows(store.store_failures(source, "check_a", str(tmp_path))) == rows(source)
+
+
+def test_upsert_refuses_two_rows_of_one_key(spark):
+    target = spark.createDataFrame([("a", 1)], "k string, v int")
+    source = spark.createDataFrame([("a", 2), ("a", 3)], "k string, v int")
+    with pytest.raises(Exception, match="duplicate keys: k"):
+        store.upsert(target, source, ["k"]).collect()
