@@ -1,11 +1,11 @@
 """Near-duplicate groups by min-max hashing: banded signatures propose, exact shingle sets confirm.
 
 1. One pass over the texts gives each its shingle count, a digest of its shingle set and its band keys.
-2. Equal sets are one class, represented by its smallest id, so exact copies cost one row from here on.
+2. Equal sets are one class, known by a 64-bit number of one of its rows, so exact copies cost one row from here on, whatever the ids are.
 3. Classes that meet in a band are chained to the band's smallest class; the components of these unconfirmed chains are candidate
    groups. Every pair that any band proposes lies within one group.
-4. Groups are dealt into cells of a bounded number of documents, each with the group's pivot block beside it. A cell compares all its
-   full sets at once and returns at most one link for each document, never the pairs.
+4. Groups are dealt into cells of a bounded number of documents and shingles, each with the group's pivot block beside it. A cell compares
+   all its full sets at once and returns at most one link for each document, never the pairs.
 5. In a group of more than one block, what is not yet in the group's largest component meets all blocks of the group, again in cells.
    So every pair of a group is compared unless both are already known to be connected.
 6. The components of the confirmed links are the result.
@@ -26,6 +26,14 @@ from custodia.llm.components import components
 from custodia.llm.shingles import MinMaxHash, banding, overlaps, shingle_set
 
 
+#: Documents in a block, and shingles in it on average, at most. A cell holds two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 32_768
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def features(rows: DataFrame, size: int, hasher: MinMaxHash) -> DataFrame:
     """(id, n_shingles, digest, bands) of each (id, text); texts without words have no digest and no bands."""
 
@@ -38,7 +46,7 @@ def features(rows: DataFrame, size: int, hasher: MinMaxHash) -> DataFrame:
                 pd.DataFrame(
                     {
                         "n_shingles": [len(s) for s in sets],
-                        "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                        "digest": [_digest(s) if len(s) else None for s in sets],
                         "bands": [next(keys) if len(s) else None for s in sets],
                     }
                 )
@@ -65,15 +73,20 @@ def _labels(link: np.ndarray) -> np.ndarray:
 
 
 def _confirm(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) found within the cells (cell, side, id, root, text). With both sides present, side 0 meets side 1 only."""
+    """Links (a, b) of nodes found within the cells (gid, cell, side, node, root, digest, text). With both sides present, side 0 meets side 1 only.
+
+    A text whose set is not the one of its digest belongs to another row with the same id, and is left out.
+    """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cell in runs(batches, ["gid", "cell"]):
             sides = cell["side"].to_numpy()
             cell = cell.iloc[np.argsort(sides, kind="stable")]
             sets = [shingle_set(t, size) for t in cell["text"]]
-            sizes, ids = np.array([len(s) for s in sets]), cell["id"].to_numpy()
-            left = int((sides == 0).sum())
+            own = np.array([_digest(s) == bytes(d) for s, d in zip(sets, cell["digest"], strict=True)])
+            cell, sets = cell[own], [s for s, mine in zip(sets, own, strict=True) if mine]
+            sizes, ids = np.array([len(s) for s in sets]), cell["node"].to_numpy()
+            left = int((cell["side"] == 0).sum())
             if len(ids) < 2 or not left:
                 continue
             if left == len(ids):
@@ -85,12 +98,11 @@ def _confirm(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 x, y = link.nonzero()
                 yield pd.DataFrame({"a": ids[x], "b": cell["root"].to_numpy()[left + y]}).drop_duplicates()
 
-    kind = rows.schema["id"].dataType.simpleString()
     dealt = rows.repartition("gid", "cell").sortWithinPartitions("gid", "cell")
-    return dealt.select("gid", "cell", "side", "id", "root", "text").mapInPandas(compare, f"a {kind}, b {kind}")
+    return dealt.select("gid", "cell", "side", "node", "root", "digest", "text").mapInPandas(compare, "a bigint, b bigint")
 
 
-def near_groups(rows: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, values: int = 256, block: int = 128, seed: int = 7) -> DataFrame:
+def near_groups(rows: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, values: int = 256, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """(id, n_shingles, digest, component) of each row (id, text): texts whose shingle sets satisfy 100 * intersection >= percent * union
     are linked, and the component is the smallest id that links reach.
 
@@ -100,54 +112,55 @@ def near_groups(rows: DataFrame, size: int = 5, percent: int = 80, miss: float =
     rows = rows.select("id", "text")
     known = rows.where("id is not null")
     hasher = MinMaxHash(*banding(percent / 100, miss, values), seed=seed)
-    sketched = cut(features(rows, size, hasher))
+    sketched = cut(features(rows, size, hasher).withColumn("node", F.monotonically_increasing_id()))
     usable = sketched.where("digest is not null and id is not null")
-    classes = cut(usable.groupBy("digest").agg(F.min("id").alias("node")))
+    classes = cut(usable.groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("least"), F.max("n_shingles").alias("size")))
 
-    keys = (
-        usable.alias("s").join(classes.alias("c"), F.expr("s.digest = c.digest and s.id = c.node"), "left_semi")
-        .select("id", F.explode("bands").alias("key"))
-    )
-    first = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
-    chains = keys.join(first, "key").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    members = components(chains).select(F.col("node").alias("id"), F.col("component").alias("gid"))
-    groups = members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    members = cut(members.join(groups, "gid").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")))
+    keys = usable.join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
+    first = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
+    chains = keys.join(first, "key").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    members = components(chains).withColumnRenamed("component", "gid").join(classes, "node")
+    parts = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int")
+    groups = members.groupBy("gid").agg(parts().alias("blocks"))
+    members = cut(members.join(groups, "gid").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
 
     own = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(1), F.col("blocks") - 1))
-    cells = members.select("gid", "id", F.explode(own).alias("cell"), F.lit(0).alias("side"), F.col("id").alias("root"))
-    texts = cut(known.join(members.select("id"), "id", "left_semi"))
-    links = cut(_confirm(texts.join(cells, "id"), size, percent))
+    cells = members.select("gid", "node", F.explode(own).alias("cell"), F.lit(0).alias("side"), F.col("node").alias("root"))
+    texts = cut(known.join(members.select(F.col("least").alias("id"), "node", "digest"), "id").drop("id"))
+    links = cut(_confirm(texts.join(cells, "node"), size, percent))
 
     found = cut(components(links))
-    large = (
-        members.where("blocks > 1").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
-    )
+    large = members.where("blocks > 1").join(found, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
     tops = large.groupBy("gid", "root").count().groupBy("gid").agg(F.max(F.struct("count", "root"))["root"].alias("top"))
-    loose = cut(large.join(tops, "gid").where("root <> top").select("gid", "id", "root", "blocks"))
+    loose = cut(large.join(tops, "gid").where("root <> top").select("gid", "node", "root", "blocks", "size"))
     if loose.isEmpty():
         return _result(sketched, classes, found)
-    sizes = loose.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
+    sizes = loose.groupBy("gid").agg(parts().alias("parts"))
     cell = F.struct("part", "block")
     left = (
-        loose.join(sizes, "gid").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("gid", "id", F.to_json(cell).alias("cell"), F.lit(0).alias("side"), "root")
+        loose.join(sizes, "gid").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .select("gid", "node", F.to_json(cell).alias("cell"), F.lit(0).alias("side"), "root")
     )
     right = (
         large.join(sizes, "gid").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
-        .select("gid", "id", F.to_json(cell).alias("cell"), F.lit(1).alias("side"), "root")
+        .select("gid", "node", F.to_json(cell).alias("cell"), F.lit(1).alias("side"), "root")
     )
-    more = _confirm(texts.join(left.unionByName(right), "id"), size, percent)
+    more = _confirm(texts.join(left.unionByName(right), "node"), size, percent)
     links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     return _result(sketched, classes, components(links))
 
 
 def _result(sketched: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The smallest id of each component, handed to all rows of its classes."""
+    labels = found.join(classes, "node").select("digest", "least", "component")
+    lows = labels.groupBy("component").agg(F.min("least").alias("low"))
+    lows = labels.join(lows, "component").select("digest", "low")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("low", "least", "id"))
     return (
         sketched.select("id", "n_shingles", "digest")
-        .join(classes, "digest", "left")
-        .join(found, "node", "left")
-        .select("id", "n_shingles", "digest", F.coalesce("component", F.when(F.col("id").isNotNull(), F.col("node")), "id").alias("component"))
+        .join(classes.select("digest", "least"), "digest", "left")
+        .join(lows, "digest", "left")
+        .select("id", "n_shingles", "digest", component.alias("component"))
     )
 
 
