@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from custodia.llm.common import cut, runs
 from custodia.llm.components import components
-from custodia.llm.shingles import MinMaxHash, banding, overlaps, shingle_set
+from custodia.llm.shingles import MinMaxHash, banding, overlaps, shingle_sets
 
 
 #: Documents in a block, and shingles in it on average, at most. A cell holds two blocks.
@@ -34,24 +34,30 @@ def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def _lots(texts: list[str | None], most: int = 500, characters: int = 1_000_000) -> Iterator[list[str | None]]:
+    """The texts, some at a time: so many at most, and no more once they have so many characters."""
+    lot, size = [], 0
+    for text in texts:
+        lot.append(text)
+        size += len(text or "")
+        if len(lot) == most or size >= characters:
+            yield lot
+            lot, size = [], 0
+    if lot:
+        yield lot
+
+
 def features(rows: DataFrame, size: int, hasher: MinMaxHash) -> DataFrame:
     """(id, n_shingles, digest, bands) of each (id, text); texts without words have no digest and no bands."""
 
     def sketch(texts: pd.Series) -> pd.DataFrame:
         parts = []
-        for begin in range(0, len(texts), 500):
-            sets = [shingle_set(t, size) for t in texts.iloc[begin : begin + 500]]
-            keys = iter(hasher.band_keys([s for s in sets if len(s)]))
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "n_shingles": [len(s) for s in sets],
-                        "digest": [_digest(s) if len(s) else None for s in sets],
-                        "bands": [next(keys) if len(s) else None for s in sets],
-                    }
-                )
-            )
-        return pd.concat(parts, ignore_index=True)
+        for some in _lots(texts.tolist()):
+            flat, sizes = shingle_sets(some, size)
+            keys, ends = iter(hasher.band_keys(flat, sizes[sizes > 0])), np.cumsum(sizes)
+            digests = [_digest(flat[end - n : end]) if n else None for end, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            parts.append(pd.DataFrame({"n_shingles": sizes, "digest": digests, "bands": [next(keys) if n else None for n in sizes]}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"n_shingles": [], "digest": [], "bands": []})
 
     sketched = F.pandas_udf(sketch, "n_shingles bigint, digest binary, bands array<bigint>").asNondeterministic()
     return rows.select("id", sketched("text").alias("s")).select("id", "s.*")
@@ -82,7 +88,8 @@ def _confirm(rows: DataFrame, size: int, percent: int) -> DataFrame:
         for cell in runs(batches, ["gid", "cell"]):
             sides = cell["side"].to_numpy()
             cell = cell.iloc[np.argsort(sides, kind="stable")]
-            sets = [shingle_set(t, size) for t in cell["text"]]
+            flat, sizes = shingle_sets(cell["text"].tolist(), size)
+            sets = np.split(flat, np.cumsum(sizes)[:-1])
             own = np.array([_digest(s) == bytes(d) for s, d in zip(sets, cell["digest"], strict=True)])
             cell, sets = cell[own], [s for s, mine in zip(sets, own, strict=True) if mine]
             sizes, ids = np.array([len(s) for s in sets]), cell["node"].to_numpy()

@@ -114,6 +114,25 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text), size))
 
 
+def shingle_sets(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle sets of many texts one after another, and the size of each; the same sets as shingle_set, faster than a text at a time."""
+    words, counts = words_of_all([t or "" for t in texts])
+    ends = np.cumsum(counts)
+    room = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    flat, owner = np.empty(room.sum(), np.uint64), np.repeat(np.arange(len(counts)), room)
+    stops = np.cumsum(room)
+    if len(words) >= size:
+        place = np.repeat(np.arange(len(counts)), counts)[: len(words) - size + 1]
+        flat[(counts >= size)[owner]] = shingle_hashes(words, size)[np.arange(len(place)) + size <= ends[place]]
+    for k in np.flatnonzero((counts > 0) & (counts < size)):
+        flat[stops[k] - 1] = shingle_hashes(words[ends[k] - counts[k] : ends[k]], size)[0]
+    for begin, end in zip((stops - room).tolist(), stops.tolist(), strict=True):
+        flat[begin:end].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    return flat[new], np.bincount(owner[new], minlength=len(counts))
+
+
 def banding(threshold: float, miss: float = 1e-6, most: int = 256) -> tuple[int, int]:
     """(bands, rows): the longest bands whose signature of at most `most` values overlooks a pair at the threshold with at most this probability."""
     best = (math.ceil(math.log(miss) / math.log(1 - threshold)), 1)
@@ -165,13 +184,13 @@ class MinMaxHash:
             values += self.offsets
         return values
 
-    def band_keys(self, sets: list[np.ndarray]) -> np.ndarray:
+    def band_keys(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """A row of 64-bit band keys for each set (none empty); keys of different bands never meet but by chance."""
-        if not sets:
+        if not len(sizes):
             return np.empty((0, self.bands), np.int64)
-        values = self.signatures(np.concatenate(sets), np.array([len(s) for s in sets]))
+        values = self.signatures(flat, sizes)
         with np.errstate(over="ignore"):
-            keys = (values.reshape(len(sets), self.bands, self.rows) * self.weights).sum(axis=2, dtype=np.uint64)
+            keys = (values.reshape(len(sizes), self.bands, self.rows) * self.weights).sum(axis=2, dtype=np.uint64)
             keys = mix(mix(keys) + np.arange(1, self.bands + 1, dtype=np.uint64) * _A)
         return keys.view(np.int64)
 
