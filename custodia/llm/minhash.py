@@ -34,7 +34,7 @@ def _digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _lots(texts: list[str | None], most: int = 500, characters: int = 1_000_000) -> Iterator[list[str | None]]:
+def lots(texts: list[str | None], most: int = 500, characters: int = 1_000_000) -> Iterator[list[str | None]]:
     """The texts, some at a time: so many at most, and no more once they have so many characters."""
     lot, size = [], 0
     for text in texts:
@@ -52,7 +52,7 @@ def features(rows: DataFrame, size: int, hasher: MinMaxHash) -> DataFrame:
 
     def sketch(texts: pd.Series) -> pd.DataFrame:
         parts = []
-        for some in _lots(texts.tolist()):
+        for some in lots(texts.tolist()):
             flat, sizes = shingle_sets(some, size)
             keys, ends = iter(hasher.band_keys(flat, sizes[sizes > 0])), np.cumsum(sizes)
             digests = [_digest(flat[end - n : end]) if n else None for end, n in zip(ends.tolist(), sizes.tolist(), strict=True)]

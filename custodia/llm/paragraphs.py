@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custodia.llm.common import WHITE
-from custodia.llm.minhash import near_groups
-from custodia.llm.shingles import shingle_hashes, word_hashes
+from custodia.llm.minhash import lots, near_groups
+from custodia.llm.shingles import shingle_hashes, shingle_hashes_at, words_of_all
 
 #: Words in the shortest paragraph and in a window; anchors are the least of so many neighbours. 26 + 20 + 4 = 50 words are never overlooked.
 MIN_WORDS, WINDOW, REACH = 30, 26, 20
@@ -25,13 +25,35 @@ MIN_WORDS, WINDOW, REACH = 30, 26, 20
 MISS, VALUES = 1e-4, 48
 
 
+def least_places(values: np.ndarray, reach: int) -> np.ndarray:
+    """The place of the least value (the last of equals) in every run of `reach` values, by runs of twice the length at a time."""
+    place, width = np.arange(len(values)), 1
+    while width < reach:
+        step = min(width, reach - width)
+        left, right = place[:-step], place[step:]
+        place = np.where(values[left] < values[right], left, right)
+        width += step
+    return place
+
+
 def anchors(words: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Places of the least five-word hash in every run of `reach` places (the last of equals)."""
+    """Places of the least five-word hash in every run of `reach` places of one text, or of all places where there are fewer."""
     order = shingle_hashes(words, 5)
-    if len(order) <= reach:
-        return np.unique(len(order) - 1 - np.argmin(order[::-1], keepdims=True)) if len(order) else np.empty(0, np.int64)
-    seen = np.lib.stride_tricks.sliding_window_view(order, reach)
-    return np.unique(np.arange(len(seen)) + reach - 1 - np.argmin(seen[:, ::-1], axis=1))
+    return np.unique(least_places(order, min(reach, len(order)))) if len(order) else np.empty(0, np.int64)
+
+
+def anchored(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, hash) of the windows of all texts. No run of places reaches over the end of a text."""
+    words, counts = words_of_all([t or "" for t in texts])
+    ends = np.cumsum(counts)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    if len(words) < REACH + 4:
+        return owner[:0], owner[:0], words[:0]
+    places = least_places(shingle_hashes(words, 5), REACH)
+    first = np.arange(len(places))
+    places = np.unique(places[first + REACH + 4 <= ends[owner[first]]])
+    places = places[places + WINDOW <= ends[owner[places]]]
+    return owner[places], places - (ends - counts)[owner[places]], shingle_hashes_at(words, places, WINDOW)
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -39,19 +61,11 @@ def windows(docs: DataFrame) -> DataFrame:
 
     def cut_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, places, marks = [], [], []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = word_hashes(text)
-                if len(words) < WINDOW:
-                    continue
-                starts = anchors(words)
-                starts = starts[starts <= len(words) - WINDOW]
-                ids.append(np.full(len(starts), doc_id))
-                places.append(starts)
-                marks.append(shingle_hashes(words, WINDOW)[starts])
-            if ids:
-                marks = np.concatenate(marks)
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "start": np.concatenate(places), "h": marks.view(np.int64)})
+            ids, done = batch["doc_id"].to_numpy(), 0
+            for some in lots(batch["text"].tolist()):
+                owner, starts, marks = anchored(some)
+                yield pd.DataFrame({"doc_id": ids[done + owner], "start": starts, "h": marks.view(np.int64)})
+                done += len(some)
 
     return docs.select("doc_id", "text").mapInPandas(cut_windows, "doc_id bigint, start int, h bigint")
 

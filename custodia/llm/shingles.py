@@ -110,6 +110,15 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def shingle_hashes_at(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of shingle_hashes at the given places only, each with `size` words from there on."""
+    out = np.full(len(starts), size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = (out ^ (out >> np.uint64(29))) * _A + words[starts + k]
+    return mix(out)
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text), size))
 
