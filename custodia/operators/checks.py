@@ -285,15 +285,17 @@ def result_rows(
     outcomes: DataFrame,
     controls: DataFrame,
     run_id: str,
-    mart_name: str,
+    mart: tuple[str, str, str],
     as_of: datetime,
     executed_by: str,
 ) -> DataFrame:
     """Result rows of one run: id, status, the snapshot date for ACCURACY, and provenance.
 
     ``outcomes``: test_unique_id, check_type, check_dimension, target_column,
-    failure_unit, dbt_status, failed_rows, failure_relation, prerequisite_*.
+    failure_unit, dbt_status, failed_rows, failure_relation, prerequisite_*. ``mart`` is the
+    full name, so that marts of one name in two schemas keep their own results.
     """
+    database, schema, mart_name = mart
     ran = F.col("dbt_status").isin("pass", "fail")
     dated = (F.col("check_dimension") == "ACCURACY") & ran & F.col("failed_rows").isNotNull()
     shown = F.coalesce(F.col("prerequisite_failures").cast("string"), F.lit("None"))
@@ -305,6 +307,8 @@ def result_rows(
         F.lit(mart_name).alias("mart_name"),
         "check_dimension",
         "check_type",
+        F.lit(database).alias("target_database"),
+        F.lit(schema).alias("target_schema"),
         F.lit(mart_name).alias("target_table"),
         "target_column",
         "check_result",
@@ -323,6 +327,8 @@ def result_rows(
 
 # ---- reading the history ---------------------------------------------------------
 
+TARGET = ["target_database", "target_schema", "target_table"]
+
 
 def not_passed(result: str = "check_result"):
     """NULL is not a pass; every reader of the history uses this one rule."""

@@ -177,9 +177,15 @@ def approved_tags(queue: DataFrame) -> DataFrame:
     )
 
 
-def sync_tags(queue: DataFrame, tags: DataFrame) -> DataFrame:
-    """The tag relation with every approved decision in it."""
-    return store.upsert(tags, approved_tags(queue), [*KEY, "tag_name"], update=["tag_value", "apply_method"])
+def sync_tags(queue: DataFrame, tags: DataFrame, tables: DataFrame) -> DataFrame:
+    """The tag relation with every approved decision in it.
+
+    Reading it fails, so nothing is written, if a decision names an object that ``tables`` (harvested metadata) lacks.
+    """
+    known = tables.select(*OBJECT, F.lit(True).alias("__known")).distinct()
+    named = F.concat(F.lit("object type not found in table metadata: "), S.dotted(*[F.col(k) for k in OBJECT]))
+    wanted = approved_tags(queue).join(known, list(OBJECT), "left").filter(F.assert_true(F.coalesce("__known", F.lit(False)), named).isNull())
+    return store.upsert(tags, wanted.drop("__known"), [*KEY, "tag_name"], update=["tag_value", "apply_method"])
 
 
 def sync_history(queue: DataFrame, tags: DataFrame, as_of: datetime) -> DataFrame:

@@ -117,4 +117,4 @@ def outcomes(b: Build, controls: DataFrame) -> DataFrame:
 
 def assess(b: Build, controls: DataFrame, run_id: str, as_of: datetime, executed_by: str = "SVC_PIPELINE") -> DataFrame:
     """Result rows of one assessment run, ready to be appended once."""
-    return Q.result_rows(outcomes(b, controls), controls, run_id, "MART_DEPOSITS", as_of, executed_by)
+    return Q.result_rows(outcomes(b, controls), controls, run_id, ("ANALYTICS", "MARTS", "MART_DEPOSITS"), as_of, executed_by)

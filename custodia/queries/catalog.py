@@ -139,8 +139,8 @@ query("d10_documentation_coverage", lambda i: D.documentation_coverage(i.cat_col
 select c.table_name, count(*) as total_columns, count(d.column_name) as documented_columns, round(100.0::double * count(d.column_name) / count(*), 2) as documentation_percentage
 from {cat_columns} c left join (select * from {dictionary} where trim(column_description) <> '') d on upper(c.table_name) = upper(d.table_name) and c.column_name = d.column_name group by 1""")
 VIEWS["latest_quality"] = """
-select target_table, case when count(*) filter (where check_result is distinct from 'PASS') = 0 and count(*) = 6 then 'PASS' else 'FAIL' end as latest_dq_status, max(executed_at) as latest_dq_run
-from {latest_results} group by 1"""
+select target_database, target_schema, target_table, case when count(*) filter (where check_result is distinct from 'PASS') = 0 and count(*) = 6 then 'PASS' else 'FAIL' end as latest_dq_status, max(executed_at) as latest_dq_run
+from {latest_results} group by 1, 2, 3"""
 VIEWS["usage_evidence"] = f"""
 select t.database_name, t.schema_name, t.table_name as object_name, query_id, role_name, start_time as query_start_time, query_text, {NOW} as captured_at
 from {{usage_history}} h join {{cat_tables}} t on h.query_text ilike concat('% ', t.database_name, '.', t.schema_name, '.', t.table_name, ' %')
@@ -155,7 +155,7 @@ left join {{cdes}} e on upper(c.table_name) = upper(e.table_name) and c.column_n
 left join {{tags}} o on o.table_name = c.table_name and o.tag_name = 'DATA_OWNER' left join {{tags}} s on s.table_name = c.table_name and s.tag_name = 'DATA_STEWARD'
 left join {{tags}} ce on ce.table_name = c.table_name and ce.tag_name = 'CERTIFICATION'
 left join {{tags}} cl on cl.table_name = c.table_name and cl.column_name = c.column_name and cl.tag_name = 'CLASSIFICATION'
-left join {{latest_quality}} q on q.target_table = c.table_name
+left join {{latest_quality}} q on q.target_database = c.database_name and q.target_schema = c.schema_name and q.target_table = c.table_name
 left join (select target_object, min(concat(source_database, '.', source_schema, '.', source_object)) as upstream_source from {{snapshot}} group by 1) up on up.target_object = c.table_name
 left join (select object_name, count(*) as query_count, count(distinct role_name) as distinct_roles from {{usage_evidence}} group by 1) u on u.object_name = c.table_name"""
 

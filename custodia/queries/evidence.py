@@ -228,11 +228,11 @@ CONTROL_SQL = {
     "defined": f"select {OBJ}, d = n as passed, concat(d, '/', n) as evidence_value from (select {OBJ}, count(*) as n, count(*) filter (where trim(description) <> '') as d from {{master}} group by all)",
     "traceable": "select target_database as database_name, target_schema as schema_name, target_object as table_name, true as passed, concat(count(*), ' native upstream edge(s)') as evidence_value from {snapshot} where lineage_source = 'NATIVE_LINEAGE' and direction = 'UPSTREAM' group by 1, 2, 3",
     "trusted": """select t.database_name, t.schema_name, t.table_name, n = 6 and dims = 6 and bad = 0 as passed, concat(dims, '/6 DQ dimensions; ', bad, ' failure(s)') as evidence_value from {cat_tables} t join (
-  select target_table, count(*) as n, count(distinct check_dimension) as dims, count(*) filter (where check_result is distinct from 'PASS') as bad from {latest_results} group by 1) r on r.target_table = t.table_name""",
+  select target_database, target_schema, target_table, count(*) as n, count(distinct check_dimension) as dims, count(*) filter (where check_result is distinct from 'PASS') as bad from {latest_results} group by 1, 2, 3) r on r.target_database = t.database_name and r.target_schema = t.schema_name and r.target_table = t.table_name""",
     "secure": f"select {OBJ}, false as passed, concat(count(*), ' protection gap(s)') as evidence_value from {{gaps}} group by 1, 2, 3",
     "adopted": "select database_name, schema_name, object_name as table_name, true as passed, concat(count(*), ' consumer query/queries in recent evidence window') as evidence_value from {usage_evidence} group by 1, 2, 3",
     "reconciled": """select t.database_name, t.schema_name, t.table_name, n = 1 as passed, concat(n, ' passing accuracy reconciliation row(s)') as evidence_value from {cat_tables} t join (
-  select target_table, count(*) filter (where check_dimension = 'ACCURACY' and check_result = 'PASS') as n from {latest_results} group by 1) r on r.target_table = t.table_name""",
+  select target_database, target_schema, target_table, count(*) filter (where check_dimension = 'ACCURACY' and check_result = 'PASS') as n from {latest_results} group by 1, 2, 3) r on r.target_database = t.database_name and r.target_schema = t.schema_name and r.target_table = t.table_name""",
 }
 for _n, _s in CONTROL_SQL.items():
     VIEWS[f"control_{_n}"] = _s

@@ -271,7 +271,7 @@ from {customer} group by 1, 2"""
 
 SQL["outcomes"] = f"""
 select case when r % 50 = 49 then null else concat('run-', lpad(cast(r as string), 9, '0')) end as invocation_id,
-  concat('test.', cast(event_id as string)) as test_unique_id, {E['table']} as target_table, {E['table']} as mart_name,
+  concat('test.', cast(event_id as string)) as test_unique_id, {E['db']} as target_database, {E['schema']} as target_schema, {E['table']} as target_table, {E['table']} as mart_name,
   case when event_type = 'signup' and r % 4 = 1 and event_id % 6 = 5 then 'UNIQUENESS' else
     case event_id % 6 when 0 then 'COMPLETENESS' when 1 then 'UNIQUENESS' when 2 then 'VALIDITY' when 3 then 'CONSISTENCY'
       when 4 then 'TIMELINESS' else 'ACCURACY' end end as check_dimension,

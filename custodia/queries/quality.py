@@ -118,7 +118,8 @@ def _persisted_twice(i: Inputs):
 query("q14_persist_results", _persisted_twice, f"""
 select md5(concat('run-1:test.test_mart_deposits_', lower(check_dimension))) as dq_result_id, 'run-1' as invocation_id,
   concat('test.test_mart_deposits_', lower(check_dimension)) as test_unique_id, 'MART_DEPOSITS' as mart_name, check_dimension,
-  concat('test_mart_deposits_', lower(check_dimension)) as check_type, 'MART_DEPOSITS' as target_table, target_column,
+  concat('test_mart_deposits_', lower(check_dimension)) as check_type,
+  'ANALYTICS' as target_database, 'MARTS' as target_schema, 'MART_DEPOSITS' as target_table, target_column,
   case when failed_rows = 0 then 'PASS' else 'FAIL' end as check_result, case when failed_rows = 0 then 'pass' else 'fail' end as dbt_status, failed_rows, failure_unit,
   case when check_dimension = 'ACCURACY' then '2002-01-01' end as snapshot_date,
   concat('GOVERNANCE.CATALOG.TEST_MART_DEPOSITS_', check_dimension) as failure_relation, 'Empty-mart prerequisite: pass; failures=0.' as details,
@@ -133,10 +134,10 @@ query("q15_dq_summary", lambda i: Q.dq_summary(i.dq_results), "select * from {dq
 query("q16_dq_framework", lambda i: Q.dq_framework(i.dq_results),
       "select invocation_id, mart_name, check_dimension, check_type, target_table, target_column, failure_unit, dbt_status, check_result from {dq_results} where invocation_id is not null")
 VIEWS["latest_results"] = """
-select r.* from {dq_results} r join (select target_table, invocation_id from (select target_table, invocation_id,
-  row_number() over (partition by target_table order by max(executed_at) desc) as rn from {dq_results} where invocation_id is not null group by 1, 2) where rn = 1) l
-on r.target_table = l.target_table and r.invocation_id = l.invocation_id"""
-query("q17_latest_review", lambda i: Q.dq_summary(R.latest_rows(i.dq_results, ["target_table"], "invocation_id", "executed_at")).select("mart_name", "invocation_id", "assessment_result", "passed"),
+select r.* from {dq_results} r join (select target_database, target_schema, target_table, invocation_id from (select target_database, target_schema, target_table, invocation_id,
+  row_number() over (partition by target_database, target_schema, target_table order by max(executed_at) desc) as rn from {dq_results} where invocation_id is not null group by 1, 2, 3, 4) where rn = 1) l
+on r.target_database = l.target_database and r.target_schema = l.target_schema and r.target_table = l.target_table and r.invocation_id = l.invocation_id"""
+query("q17_latest_review", lambda i: Q.dq_summary(R.latest_rows(i.dq_results, Q.TARGET, "invocation_id", "executed_at")).select("mart_name", "invocation_id", "assessment_result", "passed"),
       "select s.mart_name, s.invocation_id, s.assessment_result, s.passed from {dq_summary} s join (select distinct mart_name, invocation_id from {latest_results}) l on s.mart_name = l.mart_name and s.invocation_id = l.invocation_id")
 query("q17_dimension_counts", lambda i: Q.dimension_counts(i.dq_results), "select invocation_id, check_dimension, count(*) as result_count from {dq_results} group by 1, 2 having count(*) <> 1")
 query("q17_dimension_coverage", lambda i: Q.dimension_coverage(i.dq_results),

@@ -184,14 +184,14 @@ select t.database_name, t.schema_name, t.table_name, t.column_name, t.domain, t.
 from {{tags}} t left join a on t.tag_name = 'CLASSIFICATION' and t.database_name = a.database_name and t.schema_name = a.schema_name and t.table_name = a.table_name and t.column_name = a.column_name
 union all select database_name, schema_name, table_name, column_name, 'COLUMN', 'CLASSIFICATION', v, 'MANUAL' from a
 where not exists (select 1 from {{tags}} t where t.tag_name = 'CLASSIFICATION' and t.database_name = a.database_name and t.schema_name = a.schema_name and t.table_name = a.table_name and t.column_name = a.column_name)"""
-query("c14_sync_tags", lambda i: V.sync_tags(i.queue, i.tags), "select * from {synced}")
-query("c14_sync_tags_again", lambda i: V.sync_tags(i.queue, V.sync_tags(i.queue, i.tags)), "select * from {synced}")
+query("c14_sync_tags", lambda i: V.sync_tags(i.queue, i.tags, i.cat_tables), "select * from {synced}")
+query("c14_sync_tags_again", lambda i: V.sync_tags(i.queue, V.sync_tags(i.queue, i.tags, i.cat_tables), i.cat_tables), "select * from {synced}")
 query("c14_sync_history", lambda i: V.sync_history(i.queue, i.tags, AS_OF), f"""
 select 'CLASSIFICATION' as tag_name, 'COLUMN' as object_type, concat(database_name, '.', schema_name, '.', table_name, '.', column_name) as object_identifier,
   confirmed_classification as tag_value, reviewed_by as assigned_by, {NOW} as assigned_at, concat('STEWARD_APPROVAL:', review_id) as harvest_id
 from {{queue}} q where review_status = 'APPROVED' and confirmed_classification is not null and not exists (select 1 from {{tags}} t where t.tag_name = 'CLASSIFICATION'
   and t.database_name = q.database_name and t.schema_name = q.schema_name and t.table_name = q.table_name and t.column_name = q.column_name and t.tag_value = q.confirmed_classification)""")
-query("c14_sync_history_again", lambda i: V.sync_history(i.queue, V.sync_tags(i.queue, i.tags), AS_OF).groupBy().agg(F.count(F.lit(1)).alias("n")),
+query("c14_sync_history_again", lambda i: V.sync_history(i.queue, V.sync_tags(i.queue, i.tags, i.cat_tables), AS_OF).groupBy().agg(F.count(F.lit(1)).alias("n")),
       "select 0::bigint as n from {queue} limit 1")
 query("c15_unknown_objects", lambda i: V.unknown_objects(V.approved(i.queue), i.cat_tables.filter("most > 46")),
       "select distinct database_name, schema_name, table_name from {queue} where review_status = 'APPROVED' and confirmed_classification is not null and table_name not in (select table_name from {cat_tables} where most > 46)")

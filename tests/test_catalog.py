@@ -22,8 +22,8 @@ def master(spark, **kw):
     words = spark.createDataFrame([("account", "memo", "free text"), ("ACCOUNT", "ID", "not used"), ("LOAN", "ID", "")], DICT)
     cdes = spark.createDataFrame([(1, "raw", "public", "account", "id", "CRITICAL", "Deposits")], CDE)
     tags = spark.createDataFrame([tag(A, "DATA_STEWARD", "Ann"), tag(B, "DATA_OWNER", "Lending"), tag(B, "CERTIFICATION", "IN_PROGRESS"), tag(A, "CLASSIFICATION", "PII", "MEMO")], D.TAG_SCHEMA)
-    results = kw.get("results") or [("r1", "ACCOUNT", d, "PASS", 2) for d in DIMENSIONS] + [("r2", "LOAN", d, "PASS", 9) for d in DIMENSIONS[:5]] + [("r2", "LOAN", "ACCURACY", None, 9)]
-    dq = spark.createDataFrame(results, "invocation_id string, target_table string, check_dimension string, check_result string, executed_at int")
+    results = kw.get("results") or [("r1", *A, d, "PASS", 2) for d in DIMENSIONS] + [("r2", *B, d, "PASS", 9) for d in DIMENSIONS[:5]] + [("r2", *B, "ACCURACY", None, 9)]
+    dq = spark.createDataFrame(results, "invocation_id string, target_database string, target_schema string, target_table string, check_dimension string, check_result string, executed_at int")
     return D.catalog_master(columns, words, cdes, tags, dq)
 
 

@@ -130,12 +130,15 @@ def test_refresh_leaves_decided_reviews_alone(spark, queue, as_of):
 def test_sync_only_approved_and_only_once(spark, queue, as_of):
     done, _ = V.approve(queue, review_id(spark, "EMAIL"), "PII", None, "steward", as_of)
     tags = spark.createDataFrame([], "database_name string, schema_name string, table_name string, column_name string, domain string, tag_name string, tag_value string, apply_method string")
-    synced = V.sync_tags(done, tags)
+    known = spark.createDataFrame([("A", "S", "T")], "database_name string, schema_name string, table_name string")
+    synced = V.sync_tags(done, tags, known)
+    with pytest.raises(Exception, match="not found in table metadata: A.S.T"):
+        V.sync_tags(done, tags, known.limit(0)).collect()
     assert [(r.column_name, r.tag_value) for r in synced.collect()] == [("EMAIL", "PII")]
     log = V.sync_history(done, tags, as_of).collect()
     assert [(r.object_identifier, r.harvest_id) for r in log] == [("A.S.T.EMAIL", f"STEWARD_APPROVAL:{review_id(spark, 'EMAIL')}")]
     assert V.sync_history(done, synced, as_of).count() == 0
-    assert V.sync_tags(done, synced).count() == 1
+    assert V.sync_tags(done, synced, known).count() == 1
 
 
 def test_unknown_object_stops_the_sync(spark, queue):
