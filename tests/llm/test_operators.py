@@ -145,6 +145,32 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0 and decontaminate.find_leaks(more, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("replaced", [0.0, 0.2, 0.3, 0.45])
+def test_every_leak_that_the_checks_accept_is_found(spark, replaced):
+    """Items planted word for word and reworded, against checking every region; the latent space is of no use here."""
+    draw = np.random.default_rng(8)
+    space = draw.normal(size=(1 << decontaminate.BITS, decontaminate.RANK)).astype(np.float32)
+    rows = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").limit(60).collect()]
+    texts = [decontaminate.terms(r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) between 300 and 3000").limit(40).collect()]
+    items = decontaminate.make_items(rows, space)
+    assert len(items.ids) == 60
+    length = {int(k): blocks for blocks, chosen in items.scales for k in chosen}
+    planted, want = [], set()
+    for k, item in enumerate(items.words):
+        item, text = item.copy(), texts[k % len(texts)]
+        body = len(item) - len(decontaminate.answer_of(item)) if replaced > 0.3 else len(item)  # many are replaced only before the answer
+        away = draw.choice(body, min(body, int(replaced * len(item))), replace=False)
+        item[away] = draw.integers(0, 2**63, len(away)).astype(np.uint64)
+        at = draw.integers(len(text) + 1)
+        planted.append(np.concatenate([text[:at], item, text[at:]]))
+        n, half = length[k], length[k] // 2
+        regions = [planted[-1][max(0, o - half) * 6 : (o + n + half) * 6] for o in range(0, max(1, -(-len(planted[-1]) // 6) - n + 1), max(1, n // 3))]
+        if any(decontaminate.confirmed(items.words[k], region)[1] for region in regions):
+            want.add((k, items.ids[k]))
+    got = {(t, i) for t, i, _, _ in decontaminate.leaks_in(np.concatenate(planted), np.array([len(x) for x in planted]), items, space)}
+    assert len(want) >= 50 and want <= got
+
+
 def test_subsequence():
     draw = np.random.default_rng(1)
     for _ in range(30):
