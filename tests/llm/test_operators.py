@@ -192,6 +192,20 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(odd).count() == 12 and mixing.mix(none).count() == 0
 
 
+def test_kept_tokens_meet_all_marginals(spark):
+    """Expected shares of all three margins, the remainder of values with too few tokens, and the rate; the SQL's cut meets neither."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mixed = mixing.mix(docs)
+    got = mixing.shortfall(mixed).toPandas()
+    assert set(got.margin) == set(mixing.MARGINS) and (got.wanted <= got.tokens + 1e-6).all()
+    assert np.allclose(got.groupby("margin").expected.sum(), mixing.RATE * got.groupby("margin").tokens.sum(), rtol=0.01)
+    assert (got.expected - got.wanted).abs().max() < 0.01 * mixing.RATE * got[got.margin == "lang"].tokens.sum()
+    out = mixed.toPandas()
+    assert out.probability.max() <= 1 and np.allclose(out.probability, mixing.RATE * out.weight)
+    cut = mixing.shortfall(mixing.mix(docs, calibrated=False)).toPandas()
+    assert (cut.expected - cut.wanted).abs().max() > 0.02 * mixing.RATE * cut[cut.margin == "lang"].tokens.sum()
+
+
 def test_pages(spark):
     page = """<html><head><title>t</title><script>if (a < b) "</p>"</script></head><body><header>Site</header><nav><a href=/>Home</a></nav><!-- x --><div class="cookie notice">Cookies.</div>
     <article><h1>Head &amp; &lt;more&gt;</h1><p>One   two,\n three.<br>four<p>&eacute;t&eacute; 1 < 2</p><ul><li>a<li>b</ul><form>Name</form></article><div id="comments"><p>First!</p></div><aside>s</aside><footer>&copy;"""
