@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import decontaminate, fingerprints, language, lines, minhash, mixing, pages, paragraphs, toxicity, urls
+from custodia.llm import decontaminate, fingerprints, language, lines, minhash, mixing, pages, paragraphs, prefixes, repair, toxicity, urls
 from custodia.llm.common import table
 
 #: The rules that the url query applies: verdict, host and path.
@@ -62,15 +62,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"), share_every=20)
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minmax_dedup, op2_line_dedup, op3_decontamination, op4_mixing, op5_page_text, op6_toxicity, op7_language, op8_fingerprints,
-        op9_url_filter, op10_substring_dedup,
+        op9_url_filter, op10_substring_dedup, op12_prefix_trie,
+        op13_structure_repair,
     )
 }
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": f"select doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from ({lines.line_dedup_sql('documents')})",
     "op4_mixing": mixing.mixing_sql("documents"),
+    "op12_prefix_trie": prefixes.trie_sql("conversations"),
 }
