@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import decontaminate, fingerprints, language, lines, minhash, mixing, pages, paragraphs, prefixes, repair, toxicity, urls
+from custodia.llm import decontaminate, fingerprints, language, lines, minhash, mixing, nearest, pages, paragraphs, prefixes, repair, toxicity, urls
 from custodia.llm.common import table
 
 #: The rules that the url query applies: verdict, host and path.
@@ -62,6 +62,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.prefix_trie(table(spark, sf_dir, "conversations"), share_every=20)
 
@@ -74,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minmax_dedup, op2_line_dedup, op3_decontamination, op4_mixing, op5_page_text, op6_toxicity, op7_language, op8_fingerprints,
-        op9_url_filter, op10_substring_dedup, op12_prefix_trie,
+        op9_url_filter, op10_substring_dedup, op11_nearest, op12_prefix_trie,
         op13_structure_repair,
     )
 }
