@@ -52,23 +52,27 @@ def anchors(spark, *names: str) -> DataFrame:
     return values_df(spark, rows, ", ".join(f"{c} string" for c in NODE))
 
 
+def stored(edges: DataFrame | graph.EdgeTable, direction: str) -> graph.EdgeTable:
+    """The edges as a table bucketed by the end that a walk in this direction comes from."""
+    near, far = (SOURCE, TARGET) if direction == "DOWNSTREAM" else (TARGET, SOURCE)
+    return graph.as_table(edges, near, far)
+
+
 def reach(
-    edges: DataFrame, start: DataFrame, direction: str, max_distance: int = MAX_DISTANCE, carry: Sequence[str] = ()
+    edges: DataFrame | graph.EdgeTable, start: DataFrame, direction: str, max_distance: int = MAX_DISTANCE, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Edges within ``max_distance`` of the anchors, each with its distance.
 
     An anchor without a column follows object edges, one with a column follows column
     edges. Node distances come from the hop loop; one last join with the edges gives
-    every edge that leaves a found node exactly once per anchor.
+    every edge that leaves a found node exactly once per anchor. Edges that are stored by
+    ``stored`` serve any number of calls.
     """
-    down = direction == "DOWNSTREAM"
-    near, far = (SOURCE, TARGET) if down else (TARGET, SOURCE)
-    found = graph.distances(edges, start, near, far, NODE, carry, max_distance - 1)
-    n, e = found.alias("n"), edges.alias("e")
-    on = graph.same([F.col(f"n.{c}") for c in NODE], [F.col(f"e.{c}") for c in near])
+    table = stored(edges, direction)
+    found = graph.distances(table, start, table.near, table.far, NODE, carry, max_distance - 1)
     return (
-        n.join(e, on)
-        .select(*[F.col(f"n.{c}") for c in carry], "e.*", (F.col("n.distance") + 1).alias("hop"))
+        table.leaving(found, NODE)
+        .select(*[F.col(f"n.{c}") for c in carry], *[F.col(f"e.{c}") for c in table.columns], (F.col("n.distance") + 1).alias("hop"))
         .withColumn("direction", F.lit(direction))
         .withColumn("distance", F.col("hop"))
         .drop("hop")
@@ -179,8 +183,92 @@ def trace(snapshot: DataFrame, declared: DataFrame, target: Sequence[str], input
 IMPACT = ["target_database", "target_schema", "target_object", "target_object_domain", "target_column"]
 
 
+def impact_edges(edges: DataFrame | graph.EdgeTable) -> graph.EdgeTable:
+    """Distinct edges as impact analysis follows them, stored by the node they leave."""
+    if isinstance(edges, graph.EdgeTable):
+        return graph.as_table(edges, SOURCE, TARGET)
+    return graph.store_edges(edges.select(*SOURCE, *IMPACT).distinct(), SOURCE, TARGET)
+
+
+def impact_levels(edges: DataFrame | graph.EdgeTable, sources: DataFrame, max_hops: int = MAX_DISTANCE) -> DataFrame:
+    """Everything downstream of the source columns, one row per node and hop: how many paths of that length lead there, and on what evidence.
+
+    Columns source_column, the IMPACT columns, hop, impact_evidence_type and n_paths (a decimal; counts outgrow 64 bits). Starts, evidence
+    and hops are those of ``impact``, but paths are added up hop by hop and never listed, so a hop costs no more than the edges and holds
+    one row per node and evidence. A path is a chain of edges; on a cycle within ``max_hops`` it may meet a node again, which ``impact``
+    leaves out. ``draw_paths`` lists single paths of chosen nodes.
+    """
+    table = impact_edges(edges)
+    s, _ = cut_counted(sources.select(*NODE).distinct().withColumn("source_column", node(*[F.col(c) for c in NODE])))
+    one = F.lit(1).cast("decimal(38,0)")
+    starts = s.withColumns({"impact_evidence_type": F.lit(BY_COLUMN), "n_paths": one})
+    first, _ = cut_counted(_level(table, starts, NODE, 1))
+    without = s.join(first.select("source_column").distinct(), "source_column", "left_anti")
+    whole = without.withColumns({"node_column": F.lit(None).cast("string"), "impact_evidence_type": F.lit(BY_OBJECT), "n_paths": one})
+    levels, (frontier, rows) = [], cut_counted(first.unionByName(_level(table, whole, NODE, 1)))
+    for hop in range(2, max_hops + 2):
+        levels.append(frontier)
+        if rows == 0 or hop > max_hops:
+            break
+        by_column = (F.col("impact_evidence_type") == BY_COLUMN) & F.col("target_column").isNotNull()
+        onward = frontier.withColumn("impact_evidence_type", F.when(by_column, BY_COLUMN).otherwise(BY_OBJECT))
+        frontier, rows = cut_counted(_level(table, onward, TARGET, hop))
+    return R.union_all(levels)
+
+
+def _level(table: graph.EdgeTable, nodes: DataFrame, columns: Sequence[str], hop: int) -> DataFrame:
+    """The nodes one edge on, with the paths that lead there added up."""
+    renamed = nodes.select("source_column", "impact_evidence_type", "n_paths", *[F.col(c).alias(n) for c, n in zip(columns, NODE, strict=True)])
+    return (
+        table.leaving(renamed, NODE)
+        .select("n.source_column", "n.impact_evidence_type", "n.n_paths", *[F.col(f"e.{c}") for c in IMPACT])
+        .groupBy("source_column", *IMPACT, "impact_evidence_type")
+        .agg(F.sum("n_paths").cast("decimal(38,0)").alias("n_paths"))
+        .withColumn("hop", F.lit(hop))
+    )
+
+
+def draw_paths(edges: DataFrame | graph.EdgeTable, levels: DataFrame, chosen: DataFrame, max_hops: int = MAX_DISTANCE) -> DataFrame:
+    """One path for each chosen row of ``impact_levels`` (source_column, TARGET columns and hop), as ``impact`` prints it.
+
+    Walks back one hop at a time over the edges stored by their far end, always to the least predecessor that the level before holds, so
+    there is one row per chosen node throughout.
+    """
+    if isinstance(edges, graph.EdgeTable):
+        if edges.near != tuple(TARGET):
+            raise ValueError("paths are drawn over edges stored by their far end")
+        back = edges
+    else:
+        back = graph.store_edges(edges.select(*SOURCE, *TARGET).distinct(), TARGET, SOURCE)
+    held = levels.select("source_column", *[F.col(t).alias(s) for s, t in zip(SOURCE, TARGET, strict=True)], F.col("hop").alias("level")).distinct()
+    wanted = chosen.select("source_column", *TARGET, "hop").distinct()
+    open_ = wanted.select("*", F.col("hop").alias("level"), *[F.col(t).alias(n) for n, t in zip(NODE, TARGET, strict=True)],
+                          node(*[F.col(t) for t in TARGET]).alias("path"))
+    key = ["source_column", *TARGET, "hop"]
+    done = []
+    for _ in range(max_hops):
+        open_, rows = cut_counted(open_)
+        if rows == 0:
+            break
+        at_start = open_.where("level = 1")
+        done.append(at_start.withColumn("path", F.concat_ws(" -> ", "source_column", "path")).select(*key, "path"))
+        steps = (
+            back.leaving(open_.where("level > 1"), NODE)
+            .select("n.source_column", *[F.col(f"n.{t}").alias(t) for t in TARGET], "n.hop", (F.col("n.level") - 1).alias("level"), "n.path", *[F.col(f"e.{c}") for c in SOURCE])
+            .alias("s")
+        )
+        h = held.alias("h")
+        on = graph.same([F.col(f"s.{c}") for c in ["source_column", "level", *SOURCE]], [F.col(f"h.{c}") for c in ["source_column", "level", *SOURCE]])
+        before = F.struct(*[F.col(c).alias(n) for n, c in zip(NODE, SOURCE, strict=True)])
+        open_ = (
+            steps.join(h, on, "left_semi").groupBy(*key, "level", "path").agg(F.min(before).alias("before"))
+            .select(*key, "level", "before.*", F.concat_ws(" -> ", node(*[F.col(f"before.{n}") for n in NODE]), "path").alias("path"))
+        )
+    return R.union_all(done) if done else wanted.withColumn("path", F.lit(None).cast("string"))
+
+
 def impact(
-    edges: DataFrame,
+    edges: DataFrame | graph.EdgeTable,
     sources: DataFrame,
     governance: DataFrame | None = None,
     max_hops: int = MAX_DISTANCE,
@@ -190,11 +278,11 @@ def impact(
     ``sources`` has the node columns. A source follows its column edges if it has any,
     otherwise the object edges of its table. A path never visits a node twice: visited
     nodes are kept as an array and compared whole. ``governance`` adds owner and steward
-    per object. The result is as large as the number of paths; ``impacted`` gives the
-    affected nodes without them. The sources are written first: their size is then known
+    per object. The result is as large as the number of paths; ``impact_levels`` counts
+    them instead and ``impacted`` gives the affected nodes alone. The sources are written first: their size is then known
     and the edges are not moved to meet a few of them.
     """
-    e = edges.select(*SOURCE, *IMPACT)
+    table = impact_edges(edges)
     s, _ = cut_counted(sources.select(*NODE).distinct().withColumn("source_name", node(*[F.col(c) for c in NODE])))
 
     def seeds(found: DataFrame, evidence: str) -> DataFrame:
@@ -203,33 +291,25 @@ def impact(
             F.array(node_struct("node_"), node_struct("target_")).alias("visited"), F.lit(evidence).alias("impact_evidence_type"),
         ).distinct()
 
-    here = [F.col(c) for c in NODE]
-    there = [F.col(c) for c in SOURCE]
-    by_column, _ = cut_counted(seeds(s.join(e, graph.same(here, there)), BY_COLUMN))
+    by_column, _ = cut_counted(seeds(table.leaving(s, NODE), BY_COLUMN))
     without = s.join(by_column.select("source_name").distinct(), "source_name", "left_anti")
-    no_column = F.lit(None).cast("string")
-    by_object = seeds(
-        without.withColumn("object_only", no_column)
-        .join(e, graph.same([*here[:3], F.col("object_only")], there))
-        .drop("object_only"),
-        BY_OBJECT,
-    )
+    object_only = without.withColumns({"column_asked": F.col("node_column"), "node_column": F.lit(None).cast("string")})
+    by_object = seeds(table.leaving(object_only, NODE).withColumn("node_column", F.col("column_asked")), BY_OBJECT)
     frontier, rows = cut_counted(by_column.unionByName(by_object))
     hops = [frontier]
     for hop in range(2, max_hops + 1):
         if rows == 0:
             break
-        p, nxt = frontier.alias("p"), e.alias("e")
-        on = graph.same([F.col(f"p.target_{x}") for x in PARTS], [F.col(f"e.source_{x}") for x in PARTS])
         there = node_struct("e.target_")
+        ends = frontier.withColumnsRenamed(dict(zip(TARGET, NODE, strict=True))).drop("target_object_domain", "hop")
         frontier, rows = cut_counted(
-            p.join(nxt, on)
-            .filter(~F.array_contains(F.col("p.visited"), there))
+            table.leaving(ends, NODE)
+            .filter(~F.array_contains(F.col("n.visited"), there))
             .select(
-                "p.source_name", *[F.col(f"e.{c}") for c in IMPACT], F.lit(hop).alias("hop"),
-                F.array_append(F.col("p.visited"), there).alias("visited"),
+                "n.source_name", *[F.col(f"e.{c}") for c in IMPACT], F.lit(hop).alias("hop"),
+                F.array_append(F.col("n.visited"), there).alias("visited"),
                 F.when(
-                    (F.col("p.impact_evidence_type") == BY_COLUMN) & F.col("p.target_column").isNotNull(), F.lit(BY_COLUMN)
+                    (F.col("n.impact_evidence_type") == BY_COLUMN) & F.col("n.node_column").isNotNull(), F.lit(BY_COLUMN)
                 ).otherwise(F.lit(BY_OBJECT)).alias("impact_evidence_type"),
             )
             .distinct()
@@ -254,7 +334,7 @@ def with_governance(rows: DataFrame, governance: DataFrame | None) -> DataFrame:
     return rows.join(g, ["target_database", "target_schema", "target_object"], "left")
 
 
-def impacted(edges: DataFrame, sources: DataFrame, max_hops: int = MAX_DISTANCE) -> DataFrame:
+def impacted(edges: DataFrame | graph.EdgeTable, sources: DataFrame, max_hops: int = MAX_DISTANCE) -> DataFrame:
     """Affected nodes with their least hop, however many paths lead there."""
     s = sources.select(*NODE).distinct().withColumn("source_column", node(*[F.col(c) for c in NODE]))
     return graph.distances(edges, s, SOURCE, TARGET, NODE, ["source_column"], max_hops).filter("distance > 0")
