@@ -240,31 +240,30 @@ def draw_paths(edges: DataFrame | graph.EdgeTable, levels: DataFrame, chosen: Da
         back = edges
     else:
         back = graph.store_edges(edges.select(*SOURCE, *TARGET).distinct(), TARGET, SOURCE)
-    held = levels.select("source_column", *[F.col(t).alias(s) for s, t in zip(SOURCE, TARGET, strict=True)], F.col("hop").alias("level")).distinct()
-    wanted = chosen.select("source_column", *TARGET, "hop").distinct()
+    held = levels.select(F.col("source_column").alias("start"), *[F.col(t).alias(s) for s, t in zip(SOURCE, TARGET, strict=True)], F.col("hop").alias("level")).distinct()
+    wanted = chosen.select(F.col("source_column").alias("start"), *TARGET, "hop").distinct()
     open_ = wanted.select("*", F.col("hop").alias("level"), *[F.col(t).alias(n) for n, t in zip(NODE, TARGET, strict=True)],
                           node(*[F.col(t) for t in TARGET]).alias("path"))
-    key = ["source_column", *TARGET, "hop"]
+    key, place = ["start", *TARGET, "hop"], ["start", "level", *SOURCE]
     done = []
     for _ in range(max_hops):
         open_, rows = cut_counted(open_)
         if rows == 0:
             break
-        at_start = open_.where("level = 1")
-        done.append(at_start.withColumn("path", F.concat_ws(" -> ", "source_column", "path")).select(*key, "path"))
+        done.append(open_.where("level = 1").withColumn("path", F.concat_ws(" -> ", "start", "path")).select(*key, "path"))
         steps = (
             back.leaving(open_.where("level > 1"), NODE)
-            .select("n.source_column", *[F.col(f"n.{t}").alias(t) for t in TARGET], "n.hop", (F.col("n.level") - 1).alias("level"), "n.path", *[F.col(f"e.{c}") for c in SOURCE])
+            .select(*[F.col(f"n.{c}") for c in key], (F.col("n.level") - 1).alias("level"), "n.path", *[F.col(f"e.{c}") for c in SOURCE])
             .alias("s")
         )
-        h = held.alias("h")
-        on = graph.same([F.col(f"s.{c}") for c in ["source_column", "level", *SOURCE]], [F.col(f"h.{c}") for c in ["source_column", "level", *SOURCE]])
+        on = graph.same([F.col(f"s.{c}") for c in place], [F.col(f"h.{c}") for c in place])
         before = F.struct(*[F.col(c).alias(n) for n, c in zip(NODE, SOURCE, strict=True)])
         open_ = (
-            steps.join(h, on, "left_semi").groupBy(*key, "level", "path").agg(F.min(before).alias("before"))
+            steps.join(held.alias("h"), on, "left_semi").groupBy(*key, "level", "path").agg(F.min(before).alias("before"))
             .select(*key, "level", "before.*", F.concat_ws(" -> ", node(*[F.col(f"before.{n}") for n in NODE]), "path").alias("path"))
         )
-    return R.union_all(done) if done else wanted.withColumn("path", F.lit(None).cast("string"))
+    out = R.union_all(done) if done else wanted.withColumn("path", F.lit(None).cast("string"))
+    return out.withColumnRenamed("start", "source_column")
 
 
 def impact(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from custodia.operators import certify as C
+from custodia.operators import closure as K
 from custodia.operators import lineage as L
 from custodia.operators import search as X
 from custodia.queries.catalog import MART, master, usage
@@ -38,12 +39,15 @@ query("n02_upstream", lambda i: L.reach(i.stored_edges, L.anchors(i.spark, "ANAL
 query("n02_downstream_column", lambda i: L.reach(i.stored_edges, L.anchors(i.spark, "RAW.PUBLIC.NATION_3.NATIONKEY"), "DOWNSTREAM"), reach_sql("'RAW' as d, 'PUBLIC' as s, 'NATION_3' as o, 'NATIONKEY' as c", "DOWNSTREAM"))
 
 
-def _every_region(i: Inputs):
-    """All regions at once: the closure of many anchors is one loop."""
-    starts = i.region.select(
+def _regions(i: Inputs):
+    return i.region.select(
         F.lit("RAW").alias("node_database"), F.lit("PUBLIC").alias("node_schema"),
         F.concat(F.lit("REGION_"), F.col("r_regionkey").cast("string")).alias("node_object"), F.lit(None).cast("string").alias("node_column"), F.col("r_name").alias("anchor"))
-    return L.reach(i.stored_edges, starts, "DOWNSTREAM", carry=["anchor"]).groupBy("anchor", "distance").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _every_region(i: Inputs):
+    """All regions at once: the closure of many anchors is one loop."""
+    return L.reach(i.stored_edges, _regions(i), "DOWNSTREAM", carry=["anchor"]).groupBy("anchor", "distance").agg(F.count(F.lit(1)).alias("n"))
 
 
 query("n02_downstream_many", _every_region, """
@@ -53,6 +57,23 @@ union all select r_name, 3, count(*) from {region} join {nation} on n_regionkey
 union all select r_name, 4, count(*) from {region} join {nation} on n_regionkey = r_regionkey join {customer} on c_nationkey = n_nationkey join {orders} on o_custkey = c_custkey join {lineitem} on l_orderkey = o_orderkey group by 1""")
 
 
+def _refreshed(i: Inputs):
+    """The closure of every region over edges of yesterday, refreshed by the one in a hundred that came and the one that went."""
+    now = i.stored_edges
+    part = F.crc32(F.concat("source_object", F.lit(">"), "target_object").cast("binary")) % 100
+    came = now.where(part == 0)
+    went = now.where(part == 1).withColumn("target_object", F.concat(F.lit("GONE_"), "target_object"))
+    yesterday = now.where(part != 0).unionByName(went)
+    return K.refresh(K.build(yesterday, _regions(i), "DOWNSTREAM", ["anchor"]), came, went).snapshot
+
+
+query("n01_refresh_by_difference", _refreshed, f"""
+with recursive w as (select r_name as anchor, 'RAW' as d, 'PUBLIC' as s, concat('REGION_', r_regionkey) as o, cast(null as varchar) as c, 0 as n from {{region}}
+  union select w.anchor, e.target_database, e.target_schema, e.target_object, e.target_column, w.n + 1 from w join {{edges}} e on {SRC} where w.n < 4),
+f as (select anchor, d, s, o, c, min(n) as n from w group by all)
+select distinct anchor, e.*, 'DOWNSTREAM' as direction, (w.n + 1)::bigint as distance from f w join {{edges}} e on {SRC}""")  # repeated edges count once
+
+
 def _object_graph(i: Inputs):
     """The key graph with one customer's object named as the mart, so that all three evidence kinds meet."""
     def named(side):
@@ -157,6 +178,29 @@ union all select 3, count(*) from {orders} join {customer} on o_custkey = c_cust
 union all select 4, count(distinct (l_orderkey, l_linenumber)) from {lineitem} join {orders} on l_orderkey = o_orderkey join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey where n_regionkey = 2""")
 
 
+LEVELS = "source_column, target_database, target_schema, target_object, target_object_domain, affected_column, hop, impact_evidence_type"
+
+
+def _levels(i: Inputs, *names: str):
+    return L.impact_levels(i.stored_edges, L.anchors(i.spark, *names)).withColumnRenamed("target_column", "affected_column")
+
+
+def _drawn(i: Inputs, name: str):
+    """One path to every node that is affected at the fourth hop."""
+    levels = L.impact_levels(i.stored_edges, L.anchors(i.spark, name))
+    return L.draw_paths(i.stored_edges, levels, levels.where("hop = 4")).select("target_object", "hop", "path")
+
+
+def levels_sql(*starts: tuple[str, str]) -> str:
+    """Paths to a node, counted per hop and evidence, from the list of all of them."""
+    return " union all ".join(f"select {LEVELS}, count(*)::double as n_paths from ({impact_sql(*s)}) group by all" for s in starts)
+
+
+query("n05_impact_levels", lambda i: _levels(i, "RAW.PUBLIC.NATION_3.NATIONKEY", "RAW.PUBLIC.REGION_2.REGIONKEY"), levels_sql(("NATION_3", "NATIONKEY"), ("REGION_2", "REGIONKEY")))
+query("n05_drawn_paths", lambda i: _drawn(i, "RAW.PUBLIC.REGION_4.REGIONKEY"),
+      "select target_object, hop, min(path) as path from (" + impact_sql("REGION_4", "REGIONKEY") + ") where hop = 4 group by 1, 2")
+
+
 def _impact_governed(i: Inputs):
     """Owners of what the catalog's own edges reach: every brand source as a seed, one closure."""
     seeds = i.part.select(F.lit("RAW").alias("node_database"), F.lit("PUBLIC").alias("node_schema"), F.concat(F.lit("SRC_"), F.col("p_brand")).alias("node_object"), F.lit("EMAIL").alias("node_column")).distinct()
