@@ -54,6 +54,13 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def hashed_below(share: float, *columns: Column | str) -> Column:
+    """A share of all rows, chosen by a hash of some columns; shares of any smallness are met, as the bound has 63 bits."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*columns).bitwiseAND(F.lit(2**63 - 1)) < F.lit(int(share * 2.0**63))
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The rows of each key, from batches that are sorted by key. Holds one batch and one key's rows."""
     rest: pd.DataFrame | None = None

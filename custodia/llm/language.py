@@ -34,11 +34,11 @@ def gram_hashes(text: str) -> Iterator[np.ndarray]:
 
 
 def presence(text: str | None) -> np.ndarray:
-    """Which n-gram hashes occur in a text; how often does not matter."""
+    """The n-gram hashes that occur in a text, each once and in order."""
     out = np.zeros(1 << BITS, bool)
     for hashes in gram_hashes(text or ""):
         out[hashes] = True
-    return out
+    return np.flatnonzero(out).astype(np.uint16)
 
 
 @dataclass
@@ -79,25 +79,32 @@ class LanguageModel:
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def fit_matrix(rows: np.ndarray, names: list[str], landmarks: int = LANDMARKS, grams: int = GRAMS, ridge: float = RIDGE) -> LanguageModel:
-    """The model of presence rows over all n-gram hashes and their languages. Landmarks are taken from the languages in turn."""
+def fit_grams(grams: list[np.ndarray], names: list[str], landmarks: int = LANDMARKS, most: int = GRAMS, ridge: float = RIDGE) -> LanguageModel:
+    """The model of texts' n-gram hashes and their languages. Landmarks are taken from the languages in turn; only n-grams of theirs are in use."""
     languages = sorted(set(names))
     if not languages:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
     labels = np.array([languages.index(n) for n in names])
     turn = np.concatenate([np.column_stack([np.arange((labels == k).sum()), np.flatnonzero(labels == k)]) for k in range(len(languages))])
     chosen = turn[np.argsort(turn[:, 0], kind="stable")][:landmarks, 1]
-    often = rows[chosen].sum(axis=0, dtype=np.int64)
-    kept = np.sort(np.argsort(-often, kind="stable")[: min(grams, int((often > 0).sum()))])
-    place = np.full(rows.shape[1], len(kept))
+    often = np.bincount(np.concatenate([grams[k] for k in chosen]), minlength=1 << BITS)
+    kept = np.sort(np.argsort(-often, kind="stable")[: min(most, int((often > 0).sum()))])
+    place = np.full(1 << BITS, len(kept))
     place[kept] = np.arange(len(kept))
-    model = LanguageModel(languages, place, rows[chosen][:, kept].astype(np.float32), np.zeros((0, 0)))
+
+    def rows_of(some: np.ndarray | range) -> np.ndarray:
+        out = np.zeros((len(some), len(kept) + 1), np.float32)
+        for at, k in enumerate(some):
+            out[at, place[grams[k]]] = 1
+        return out[:, : len(kept)]
+
+    model = LanguageModel(languages, place, rows_of(chosen), np.zeros((0, 0)))
     values, vectors = np.linalg.eigh(model.kernel(model.landmarks).astype(float))
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])
-    features = np.concatenate([model.kernel(rows[k : k + 512][:, kept].astype(np.float32)) for k in range(0, len(rows), 512)]) @ root
+    features = np.concatenate([model.kernel(rows_of(range(k, min(k + 256, len(grams))))) for k in range(0, len(grams), 256)]) @ root
     goal = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    weights = np.linalg.solve(features.T @ features + ridge * len(rows) * np.eye(features.shape[1]) / 10, features.T @ goal)
+    weights = np.linalg.solve(features.T @ features + ridge * len(grams) * np.eye(features.shape[1]) / 10, features.T @ goal)
     model.weights = root @ weights
     return model
 
@@ -105,22 +112,24 @@ def fit_matrix(rows: np.ndarray, names: list[str], landmarks: int = LANDMARKS, g
 def fit(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> LanguageModel:
     """Fit on about `sample` texts of the rows that `learn` allows, the same number of each language, chosen by a hash of the id.
 
-    Only the presence of n-grams, 8 KB a text, comes to the driver. Rows without a language are not learned from.
+    Only the n-grams that occur, 2 bytes each and at most 128 KB a text, come to the driver. Rows without a language are not learned from.
     """
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), learn.alias("learn")).where("learn and lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     each = sample / max(1, len(counts))
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int(1_000_000 * min(1.0, each / n)))]) if counts else F.lit(None)
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")]) if counts else rows.limit(0)
+    chosen = rows.limit(0)
+    if counts:
+        bounds = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(2**63 - 1, int(min(1.0, each / n) * 2.0**63)))])
+        chosen = rows.where(F.xxhash64("id").bitwiseAND(F.lit(2**63 - 1)) <= bounds[F.col("lang")])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "bits": [np.packbits(presence(t)).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "grams": [presence(t).tobytes() for t in batch["text"]]})
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = sorted(chosen.select("id", "text", "lang").mapInPandas(pack, f"id {kind}, lang string, bits binary").collect(), key=lambda r: (r["lang"], str(r["id"]), bytes(r["bits"])))
-    rows_of = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in got]).reshape(len(got), 1 << BITS)
-    return fit_matrix(rows_of, [r["lang"] for r in got])
+    packed = chosen.select("id", "text", "lang").mapInPandas(pack, f"id {kind}, lang string, grams binary").toArrow().to_pylist()
+    packed.sort(key=lambda r: (r["lang"], str(r["id"]), r["grams"]))
+    return fit_grams([np.frombuffer(r["grams"], np.uint16) for r in packed], [r["lang"] for r in packed])
 
 
 def annotate(docs: DataFrame, model: LanguageModel, name: str, score: str, text: str = "text") -> DataFrame:

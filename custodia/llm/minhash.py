@@ -21,11 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custodia.llm.common import cut, runs
+from custodia.llm.common import cut, release, runs
 from custodia.llm.components import components
 from custodia.llm.shingles import MinMaxHash, banding, overlaps, shingle_sets
 
 
+#: log2 of the bits of the largest table that tells wanted ids from others, bits of one row of such a table, and bits for each id.
+TABLE_BITS, ROW_BITS, BITS_EACH = 28, 15, 16
 #: Documents in a block, and shingles in it on average, at most. A cell holds two blocks.
 BLOCK, BLOCK_SHINGLES = 512, 32_768
 
@@ -109,6 +111,21 @@ def _confirm(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return dealt.select("gid", "cell", "side", "node", "root", "digest", "text").mapInPandas(compare, "a bigint, b bigint")
 
 
+def only_wanted(rows: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """rows without most of those whose id is not among `ids` (about `count` of them), so that only few texts move to meet their ids.
+
+    A table of bits over hashes of the ids, 32 MB at most, goes to every task and is asked while rows are scanned. It knows every wanted id; of the
+    others it lets some through, one in 16 while the table may grow and more beyond. The join that follows decides.
+    """
+    size = min(TABLE_BITS, max(ROW_BITS, (BITS_EACH * max(1, count)).bit_length()))
+    bit = F.xxhash64("id").bitwiseAND(F.lit((1 << size) - 1))
+    within = F.lit((1 << ROW_BITS) - 1).cast("long")
+    table = ids.select(F.shiftright(bit, ROW_BITS).alias("__row"), bit.bitwiseAND(within).alias("__at")).groupBy("__row").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    marked = rows.withColumns({"__row": F.shiftright(bit, ROW_BITS), "__at": bit.bitwiseAND(within)}).join(F.broadcast(table), "__row")  # 8,192 rows of 4 KB at most
+    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright("__at", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return marked.where(F.getbit(byte, F.col("__at").bitwiseAND(F.lit(7)).cast("int")) == 1).drop("__row", "__at", "__bits")
+
+
 def near_groups(rows: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, values: int = 256, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """(id, n_shingles, digest, component) of each row (id, text): texts whose shingle sets satisfy 100 * intersection >= percent * union
     are linked, and the component is the smallest id that links reach.
@@ -132,15 +149,17 @@ def near_groups(rows: DataFrame, size: int = 5, percent: int = 80, miss: float =
     members = cut(members.join(groups, "gid").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
 
     own = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(1), F.col("blocks") - 1))
-    cells = members.select("gid", "node", F.explode(own).alias("cell"), F.lit(0).alias("side"), F.col("node").alias("root"))
-    texts = cut(known.join(members.select(F.col("least").alias("id"), "node", "digest"), "id").drop("id"))
-    links = cut(_confirm(texts.join(cells, "node"), size, percent))
+    cells = members.select("gid", "node", F.col("least").alias("id"), "digest", F.explode(own).alias("cell"), F.lit(0).alias("side"), F.col("node").alias("root"))
+    few = only_wanted(known, members.select(F.col("least").alias("id")), members.count())
+    links = cut(_confirm(few.join(cells, "id"), size, percent))
 
     found = cut(components(links))
     large = members.where("blocks > 1").join(found, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
     tops = large.groupBy("gid", "root").count().groupBy("gid").agg(F.max(F.struct("count", "root"))["root"].alias("top"))
     loose = cut(large.join(tops, "gid").where("root <> top").select("gid", "node", "root", "blocks", "size"))
     if loose.isEmpty():
+        for done in (links, loose, members):
+            release(done)
         return _result(sketched, classes, found)
     sizes = loose.groupBy("gid").agg(parts().alias("parts"))
     cell = F.struct("part", "block")
@@ -152,9 +171,14 @@ def near_groups(rows: DataFrame, size: int = 5, percent: int = 80, miss: float =
         large.join(sizes, "gid").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
         .select("gid", "node", F.to_json(cell).alias("cell"), F.lit(1).alias("side"), "root")
     )
-    more = _confirm(texts.join(left.unionByName(right), "node"), size, percent)
-    links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    return _result(sketched, classes, components(links))
+    cells = left.unionByName(right).join(members.select("node", F.col("least").alias("id"), "digest"), "node")
+    wanted = cut(cells)
+    few = only_wanted(known, wanted.select("id").distinct(), wanted.select("id").distinct().count())
+    more = _confirm(few.join(wanted, "id"), size, percent)
+    out = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    for done in (links, loose, members, wanted):
+        release(done)
+    return _result(sketched, classes, out)
 
 
 def _result(sketched: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ MARGINS = ("source", "lang", "topic")
 POWER = 0.7
 #: Share of all tokens to keep, and sweeps over the three marginals for the weights and for the probabilities.
 RATE, SWEEPS, CALIBRATION = 0.7, 8, 16
-#: Tables of cells up to this many rows are sent to all executors; larger ones are joined by a shuffle.
+#: Tables of cells up to this many rows are fitted by one task and sent to all executors; larger ones are fitted sweep by sweep and joined by a shuffle.
 BROADCAST_CELLS = 50_000
 
 
@@ -110,6 +114,63 @@ def calibrate(cells: DataFrame, rate: float = RATE, sweeps: int = CALIBRATION) -
     return out
 
 
+def fitted(cells: DataFrame, targets: dict[str, DataFrame], rate: float, calibrated: bool) -> DataFrame:
+    """What rake and, if calibrated, calibrate give for a table of at most BROADCAST_CELLS cells, in one task instead of a job for each sweep."""
+    for margin in MARGINS:
+        cells = cells.join(targets[margin].withColumnRenamed("target", f"target_{margin}"), margin, "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [b for b in batches if len(b)]
+        if not frames:
+            return
+        frame = pd.concat(frames).sort_values(list(MARGINS), ignore_index=True)
+        tokens = frame["tokens"].to_numpy(float)
+        codes = {m: pd.factorize(frame[m])[0] for m in MARGINS}
+        total = lambda m, values: np.bincount(codes[m], values)
+        goals = {m: frame.groupby(codes[m])[f"target_{m}"].first().to_numpy(float) for m in MARGINS}
+        weight = np.ones(len(frame))
+        for _ in range(SWEEPS):
+            for m in MARGINS:
+                now = total(m, weight * tokens)
+                goal = np.where(np.isnan(goals[m]), now, goals[m])
+                weight = weight * np.where(now > 0, goal / np.where(now > 0, now, 1.0), 1.0)[codes[m]]
+        frame["weight"] = weight
+        frame["probability"] = np.minimum(1.0, rate * weight)
+        if calibrated:
+            frame["probability"] = _probabilities(codes, tokens, weight, rate)
+        yield frame[[*MARGINS, "tokens", "weight", "probability"]]
+
+    kind = cells.schema["tokens"].dataType.simpleString()
+    return cells.repartition(1).mapInPandas(run, f"source string, lang string, topic string, tokens {kind}, weight double, probability double")
+
+
+def _probabilities(codes: dict[str, np.ndarray], tokens: np.ndarray, weight: np.ndarray, rate: float) -> np.ndarray:
+    """The probabilities of calibrate, over arrays."""
+    goal = min(rate * float((weight * tokens).sum()), float(tokens.sum()))
+    out, wanted = np.minimum(1.0, rate * weight), {}
+    for m in MARGINS:
+        size, target = np.bincount(codes[m], tokens), np.bincount(codes[m], weight * tokens)
+        level = 0.0
+        while True:
+            full = (target * level >= size) if level else np.zeros(len(size), bool)
+            rest = target[~full].sum()
+            higher = (goal - size[full].sum()) / rest if rest else 0.0
+            if higher <= level * (1 + 1e-12):
+                break
+            level = higher
+        wanted[m] = np.minimum(size, target * level)
+    for _ in range(CALIBRATION):
+        for m in MARGINS:
+            whole, kept = out >= 1, out * tokens
+            fixed, free = np.bincount(codes[m], np.where(whole, kept, 0.0)), np.bincount(codes[m], np.where(whole, 0.0, kept))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                shrink, grow = (wanted[m] / (fixed + free))[codes[m]], ((wanted[m] - fixed) / free)[codes[m]]
+            have, want, loose = (fixed + free)[codes[m]], wanted[m][codes[m]], free[codes[m]] > 0
+            over, under = (have > 0) & (have > want), (have > 0) & (have <= want) & ~whole & loose
+            out = np.where(over, out * np.where(over, shrink, 1.0), np.where(under, np.minimum(1.0, out * np.where(under, grow, 1.0)), out))
+    return out
+
+
 def shortfall(mixed: DataFrame, rate: float = RATE) -> DataFrame:
     """(margin, value, tokens, target, wanted, expected) of a mixed frame with its raked weights: tokens there are, tokens by the targets, tokens
     that can be had of them, and tokens that the probabilities keep in expectation. target - wanted is the remainder that no sample can hold.
@@ -149,14 +210,16 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", targets: dict[s
     cells = cut(sized.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).withColumns({m: F.coalesce(m, F.lit("(none)")) for m in MARGINS}).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     if targets is None:
         targets = {m: cut(power_targets(cells, m)) for m in MARGINS}
-    raked = rake(cells, targets)
-    if calibrated:
+    small = cells.count() <= BROADCAST_CELLS
+    raked = cut(fitted(cells, targets, rate, calibrated)) if small else rake(cells, targets)
+    if calibrated and not small:
         raked = calibrate(raked.select(*MARGINS, "tokens", "weight"), rate)
+    if calibrated:
         weight, probability = F.col("probability") / F.lit(rate), F.col("probability")
     else:
         weight, probability = F.col("weight"), F.least(F.lit(1.0), F.lit(rate) * F.col("weight"))
     weights = raked.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("weight").alias("raked"), weight.alias("weight"), probability.alias("probability"))
-    if weights.count() <= BROADCAST_CELLS:
+    if small:
         weights = F.broadcast(weights)
     same = [F.coalesce(F.col(m), F.lit("(none)")) == F.col(f"__{m}") for m in MARGINS]
     return (

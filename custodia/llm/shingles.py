@@ -47,14 +47,35 @@ def word_hashes(text: str | None, members: np.ndarray = NOT_WHITE) -> np.ndarray
     out, begin = [], 0
     while begin < len(data):
         end = min(begin + _PIECE, len(data))
-        if end < len(data):  # cut between words; a single word of a whole piece is cut where the piece ends
+        if end < len(data):  # cut between words
             gaps = np.flatnonzero(~members[np.frombuffer(data, np.uint8, end - begin, begin)])
-            end = begin + int(gaps[-1]) + 1 if len(gaps) else end
+            if not len(gaps):
+                word, begin = _long_word(data, begin, members)
+                out.append(word)
+                continue
+            end = begin + int(gaps[-1]) + 1
         out.append(_word_hashes(data[begin:end], members)[0])
         begin = end
     return np.concatenate(out)
 
 
+def _long_word(data: bytes, begin: int, members: np.ndarray) -> tuple[np.ndarray, int]:
+    """The hash of a word of more than one piece and where it ends: its pieces' sums are shifted to their place in the word and added."""
+    powers, total, place = _tables()[0], 0, begin
+    while place < len(data):
+        raw = np.frombuffer(data, np.uint8, min(_PIECE, len(data) - place), place)
+        gaps = np.flatnonzero(~members[raw])
+        raw = raw[: gaps[0]] if len(gaps) else raw
+        with np.errstate(over="ignore"):
+            part = int(((raw + np.uint64(1)) * powers[: len(raw)]).sum(dtype=np.uint64))
+        total = (total + part * pow(_BASE, place - begin, 1 << 64)) % (1 << 64)
+        place += len(raw)
+        if len(gaps):
+            break
+    with np.errstate(over="ignore"):
+        return mix(np.array([total], np.uint64) + np.array([place - begin], np.uint64) * _A), place
+
+
 def words_of_all(texts: list[str], members: np.ndarray = NOT_WHITE) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of many texts one after another, and how many each text has; faster than a text at a time."""
     out, counts, held, size = [], [], [], 0

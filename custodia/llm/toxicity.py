@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custodia.llm.common import crc_mod
+from custodia.llm.common import crc_mod, hashed_below
 
 #: Labelled texts to learn from, mined voters, lengths of word beginnings that may vote, and the score from which a text is called toxic.
 SAMPLE, VOTERS, STEMS, CUTOFF = 12_000, 160, (3, 4, 5, 6, 7, 8), 0.3
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", t
     """
     known = labels.select(F.col("doc_id"), "toxic").where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    known = known.where(hashed_below(share, "doc_id"))
     rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(known), "doc_id")  # about `sample` rows
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

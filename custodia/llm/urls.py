@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custodia.llm.common import UPPER
+from custodia.llm.common import UPPER, hashed_below
 
 #: Words that mark a host as unwanted; urls are labelled by them where no labels are given.
 SEED_TERMS = ("ads", "adult", "bet", "bets", "casino", "cheap", "escort", "gambling", "loans", "pills", "poker", "porn", "sex", "spam", "torrent", "track", "viagra", "warez", "xxx")
@@ -127,7 +127,7 @@ def judge_urls(
         names = [*lexical_features(), "suffix_count", "suffix_blocked"]
         assemble = VectorAssembler(inputCols=names, outputCol="features")
         share = min(1.0, sample / sum(classes.values()))
-        chosen = known.where(F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(1_000_000)) < int(share * 1_000_000))
+        chosen = known.where(hashed_below(share, F.lit(seed), "url"))
         prepare = lambda f: assemble.transform(f.withColumns(lexical_features()).join(stats, "suffix", "left").fillna(0.5, ["suffix_blocked"]).fillna(0.0, names))
         trees = GBTClassifier(maxIter=12, maxDepth=3, maxBins=32, stepSize=0.3, seed=seed, checkpointInterval=-1)
         model = trees.fit(prepare(chosen).select("features", F.col("label").cast("double")))
