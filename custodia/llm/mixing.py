@@ -16,6 +16,8 @@ MARGINS = ("source", "lang", "topic")
 POWER = 0.7
 #: Share of all tokens to keep, and sweeps over the three marginals for the weights and for the probabilities.
 RATE, SWEEPS, CALIBRATION = 0.7, 8, 16
+#: A probability from here on counts as 1, so that rounding does not decide which cells can still grow.
+WHOLE = 1 - 1e-9
 #: Tables of cells up to this many rows are fitted by one task and sent to all executors; larger ones are fitted sweep by sweep and joined by a shuffle.
 BROADCAST_CELLS = 50_000
 
@@ -100,7 +102,7 @@ def calibrate(cells: DataFrame, rate: float = RATE, sweeps: int = CALIBRATION) -
     for _ in range(sweeps):
         for margin in MARGINS:
             per, kept = Window.partitionBy(margin), F.col("probability") * F.col("tokens")
-            whole = F.col("probability") >= 1
+            whole = F.col("probability") >= WHOLE
             out = out.withColumns({"fixed": F.sum(F.when(whole, kept).otherwise(0.0)).over(per), "free": F.sum(F.when(whole, 0.0).otherwise(kept)).over(per)})
             wanted = F.col(f"wanted_{margin}")
             shrunk = F.col("probability") * wanted / (F.col("fixed") + F.col("free"))
@@ -161,7 +163,7 @@ def _probabilities(codes: dict[str, np.ndarray], tokens: np.ndarray, weight: np.
         wanted[m] = np.minimum(size, target * level)
     for _ in range(CALIBRATION):
         for m in MARGINS:
-            whole, kept = out >= 1, out * tokens
+            whole, kept = out >= WHOLE, out * tokens
             fixed, free = np.bincount(codes[m], np.where(whole, kept, 0.0)), np.bincount(codes[m], np.where(whole, 0.0, kept))
             with np.errstate(divide="ignore", invalid="ignore"):
                 shrink, grow = (wanted[m] / (fixed + free))[codes[m]], ((wanted[m] - fixed) / free)[codes[m]]
