@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest data set: same columns, types and rows."""
+"""Every query of the library against its SQL on the smallest data set: same columns, types and rows."""
 
 import math
 import sys
@@ -10,10 +10,11 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
+from custodia.queries import QUERIES, oracle  # noqa: E402
 from custodia.queries.inputs import BASE  # noqa: E402
 
 DATA = Path("/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+ORACLE = oracle()
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables not present")
 
@@ -46,6 +47,10 @@ def test_every_query_has_its_sql():
     assert set(ORACLE) == set(QUERIES)
 
 
+def test_entry_has_all_queries():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 414
 
