@@ -6,7 +6,6 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 
@@ -226,13 +225,3 @@ def test_repair_of_dropped_conversations(spark):
     assert [tuple(r) for r in repair.repair_report(repair.damaged(df)).collect()] == [(gone, 0, 0, 0, 0, 0, 0, "", EMPTY)]
     edits = repair.repair_turns(repair.prepared(df)).collect()
     assert [tuple(r) for r in edits] == [(gone, 1, "K", "user", "Hi."), (gone, 2, "I", "assistant", "")]
-
-
-def test_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{DATA}/conversations.parquet'")
-    for name in ("op12_prefix_trie", "op13_structure_repair"):
-        if name in queries.ORACLE:
-            got = queries.QUERIES[name](spark, DATA)
-            want = con.sql(queries.ORACLE[name])
-            assert sorted(map(repr, map(tuple, got.select(sorted(got.columns)).collect()))) == sorted(map(repr, want.project(", ".join(sorted(got.columns))).fetchall()))
