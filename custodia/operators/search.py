@@ -2,16 +2,72 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia.functions import predicates as P
 from custodia.functions import scalars as S
 from custodia.operators import certify as C
 from custodia.operators import lineage as L
+from custodia.operators import graph
 from custodia.operators.classify import OBJECT
+from custodia.session import cut
+
+
+#: Length of the indexed pieces of names and descriptions; shorter search texts are looked for in the rows themselves.
+GRAM = 3
+SEARCHED = ("table_name", "column_name", "description")
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """A catalog with a number for each row, and (gram, row) postings stored by gram."""
+
+    rows: DataFrame
+    postings: DataFrame
+
+
+def _grams(text: Column) -> Column:
+    last = F.length(text) - GRAM + 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.substring(text, at, F.lit(GRAM)))
+
+
+def build_index(catalog: DataFrame) -> SearchIndex:
+    """Inverted index over the pieces of three characters of every searched text, in lower case.
+
+    A row has each gram once, whichever of its texts holds it; pieces never span two texts.
+    Postings are sorted by gram within their files and the grams asked for are pushed into the
+    scan, so a search skips the row groups that hold none of them.
+    """
+    rows = cut(catalog.withColumn("row_id", F.monotonically_increasing_id()))  # written, so rows and postings agree on the numbers
+    pieces = [_grams(F.lower(F.coalesce(F.col(name), F.lit("")))) for name in SEARCHED]
+    grams = rows.select("row_id", F.explode(F.array_distinct(F.concat(*pieces))).alias("gram"))
+    return SearchIndex(rows, graph.bucketed(grams, "gram", graph.default_buckets(catalog.sparkSession))[0])
+
+
+def candidates(index: SearchIndex, text: str) -> DataFrame:
+    """Numbers of the rows that have all grams of the text. Reads the postings of these grams only."""
+    low = text.lower()
+    grams = sorted({low[k : k + GRAM] for k in range(len(low) - GRAM + 1)})
+    asked = index.postings.filter(F.col("gram").isin(grams))
+    return asked.groupBy("row_id").agg(F.count(F.lit(1)).alias("grams")).filter(F.col("grams") == len(grams)).select("row_id")
+
+
+def search_index(
+    index: SearchIndex, text: str = "", database: str | None = None, schema: str | None = None, cde_only: bool = False
+) -> DataFrame:
+    """What ``search`` finds, by the index: rows with all grams of the text, whose texts are then compared.
+
+    Texts of fewer than three characters have no gram and are looked for in all rows.
+    """
+    rows = index.rows
+    if len(text) >= GRAM:
+        rows = rows.join(candidates(index, text), "row_id", "left_semi")
+    return search(rows.drop("row_id"), text, database, schema, cde_only)
 
 
 def search(
@@ -20,7 +76,7 @@ def search(
     """Rows whose table, column or description contains the text, as written, in any case."""
     out = catalog
     if text:
-        fields = [F.lower(F.coalesce(c, F.lit(""))).contains(text.lower()) for c in ("table_name", "column_name", "description")]
+        fields = [F.lower(F.coalesce(c, F.lit(""))).contains(text.lower()) for c in SEARCHED]
         out = out.filter(reduce(lambda a, b: a | b, fields))
     if database is not None:
         out = out.filter(F.col("database_name") == database)

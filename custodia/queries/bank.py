@@ -54,6 +54,20 @@ def _good_rows(i: Inputs):
     return files.read_csv(i.spark, path, schemas.BRANCH)
 
 
+def _rejected(i: Inputs):
+    """Transactions as CSV with planted faults: an amount that is no number, a record with a field too many, and one with too few."""
+    path = scratch_path(i.spark, "transactions")
+    n = F.col("transaction_id") % 1000
+    fields = [F.col("transaction_id"), F.col("account_id"), F.col("transaction_type"), F.when(n == 1, "12,5").otherwise(F.when(n == 0, "many").otherwise(F.col("amount").cast("string"))), F.col("business_date")]
+    lines = i.raw_transaction.select(F.when(n == 2, F.concat_ws(",", *fields[:3])).otherwise(F.concat_ws(",", *[f.cast("string") for f in fields])))
+    lines.write.text(path)
+    bad = files.rejects(i.spark, path, "transaction_id bigint, account_id bigint, transaction_type string, amount decimal(12,2), business_date date", header=False)
+    return bad.select(F.split("record", ",")[0].cast("bigint").alias("transaction_id"), "reason", F.col("file_path").contains("/transactions/").alias("named"))
+
+
+query("s02_rejects", _rejected, """
+select transaction_id, case transaction_id % 1000 when 0 then 'amount: not decimal(12,2)' else 'number of fields' end as reason, true as named
+from {raw_transaction} where transaction_id % 1000 in (0, 1, 2)""")
 query("s02_read_failfast", _good_rows, "select branch_code, branch_name, cast(null as varchar) as branch_manager, region from {raw_branch}")
 query(
     "s03_load_table",
@@ -116,22 +130,34 @@ query("s14_relation_by_name", _by_name, "select count(*) as mart_row_count from
 # ---- sinks -----------------------------------------------------------------------
 
 
+def _table(i: Inputs, model: str):
+    """A model's table in the session's catalog, its files in the shared folder."""
+    path = scratch_path(i.spark, model)
+    return f"{model}_{path.split('/')[-2][-32:]}", path
+
+
 def _written(i: Inputs):
-    return store.write_all(i.mart_deposits, scratch_path(i.spark, "mart_deposits"))
+    """The mart as a table object, refreshed whole twice and read back by its name."""
+    name, path = _table(i, "mart_deposits")
+    store.materialize(i.mart_deposits.limit(0), name, path)
+    store.materialize(i.mart_deposits, name, path)
+    return catalog.relation(i.spark, name)
 
 
 query("k01_materialize", _written, f"select {MART} from {{mart_deposits}}")
 
 
 def _reloaded(i: Inputs):
-    """Write the raw accounts, then replace the rows by the staged ones at the same place."""
-    path = scratch_path(i.spark, "account")
+    """Reload the table of raw accounts with the staged ones; a property of the table object is still there afterwards."""
     columns = ["account_id", "customer_id", "account_type", "status"]
-    store.write_all(i.raw_account.select(*columns), path)
-    return store.write_all(i.stg_account.select(*columns), path)
+    name, path = _table(i, "account")
+    store.materialize(i.raw_account.select(*columns), name, path)
+    i.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('data_owner' = 'Deposits')")
+    rows = store.reload(i.stg_account.select(*reversed(columns)), name)
+    return rows.withColumn("table_owner", F.lit(store.properties(i.spark, name).get("data_owner")))
 
 
-query("k02_reload", _reloaded, "select account_id, customer_id, account_type, status from {stg_account}")
+query("k02_reload", _reloaded, "select account_id, customer_id, account_type, status, 'Deposits' as table_owner from {stg_account}")
 
 
 def _non_empty(i: Inputs):

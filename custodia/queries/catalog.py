@@ -187,6 +187,8 @@ query("a13_status_rollup", lambda i: D.latest_quality(i.dq_results), "select * f
 
 query("x01_search", lambda i: X.search(master(i), "BRANCH", database="RAW").select(*KEY.split(", ")), f"select {KEY} from {{master}} where database_name = 'RAW' and (contains(lower(table_name), 'branch') or contains(lower(column_name), 'branch') or contains(lower(coalesce(description, '')), 'branch'))")
 query("x01_search_critical", lambda i: X.search(master(i), "about", cde_only=True).select(*KEY.split(", "), "description"), f"select {KEY}, description from {{master}} where cde_flag = 'YES' and (table_name ilike '%about%' or column_name ilike '%about%' or description ilike '%about%')")
+query("x01_search_indexed", lambda i: X.search_index(X.build_index(master(i)), "BRANCH", database="RAW").select(*KEY.split(", ")), f"select {KEY} from {{master}} where database_name = 'RAW' and (contains(lower(table_name), 'branch') or contains(lower(column_name), 'branch') or contains(lower(coalesce(description, '')), 'branch'))")
+query("x01_search_indexed_critical", lambda i: X.search_index(X.build_index(master(i)), "about", cde_only=True).select(*KEY.split(", "), "description"), f"select {KEY}, description from {{master}} where cde_flag = 'YES' and (table_name ilike '%about%' or column_name ilike '%about%' or description ilike '%about%')")
 query("x02_catalog_metrics", lambda i: X.catalog_metrics(master(i)), f"select count(distinct ({OBJ})) as objects, count(*) as columns, count(*) filter (where cde_flag = 'YES') as critical_data_elements, count(*) filter (where trim(description) <> '') as documented_columns from {{master}}")
 query("x03_object_names", lambda i: X.object_names(i.cat_columns), "select distinct concat(database_name, '.', schema_name, '.', table_name) as object_name from {cat_columns}")
 query("x03_assets", lambda i: X.assets(master(i)), """

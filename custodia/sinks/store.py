@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,6 +185,11 @@ def reload(df: DataFrame, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def properties(spark: SparkSession, name: str) -> dict[str, str]:
+    """Properties of a table object."""
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+
+
 def append_to(df: DataFrame, path: str) -> DataFrame:
     """Add rows to a history kept as Parquet files; readers merge older schemas."""
     df.write.mode("append").parquet(path)

@@ -49,6 +49,42 @@ def read_csv(
     return clean.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in declared.fields])
 
 
+def _checked(spark: SparkSession, path: str, schema: str, null_tokens: Sequence[str], header: bool) -> DataFrame:
+    """Records as text with file_path, the record's own text where its width is wrong, and the reason why it cannot be loaded, if any."""
+    declared = schemas.struct(schema)
+    as_text = ", ".join(f"`{f.name}` string" for f in declared.fields)
+    raw = (
+        spark.read.schema(f"{as_text}, __record string")
+        .options(header=header, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="__record", enforceSchema=True)
+        .csv(path)
+        .withColumn("file_path", F.col("_metadata.file_path"))
+    )
+    reason = F.when(F.col("__record").isNotNull(), F.lit("number of fields"))
+    for f in declared.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if kind != "string":
+            filled = c.isNotNull() & ~c.isin(*null_tokens)
+            reason = reason.when(filled & c.try_cast(f.dataType).isNull(), F.lit(f"{f.name}: not {kind}"))
+    return raw.withColumn("__reason", reason)
+
+
+def rejects(spark: SparkSession, path: str, schema: str, null_tokens: Sequence[str] = NULL_TOKENS, header: bool = True) -> DataFrame:
+    """(file_path, record, reason) of the records that a load would refuse: those of the wrong width, and those with a
+    text that does not fit its declared type (the first such column is named). One pass over the files."""
+    names = [f"`{f.name}`" for f in schemas.struct(schema).fields]
+    whole = F.coalesce(F.col("__record"), F.concat_ws(",", *[F.coalesce(F.col(n), F.lit("")) for n in names]))
+    return _checked(spark, path, schema, null_tokens, header).where("__reason is not null").select("file_path", whole.alias("record"), F.col("__reason").alias("reason"))
+
+
+def load_or_refuse(spark: SparkSession, path: str, schema: str, null_tokens: Sequence[str] = NULL_TOKENS, header: bool = True) -> DataFrame:
+    """The typed records; the job that reads them fails at the first bad one, naming its file and what is wrong with it."""
+    checked = _checked(spark, path, schema, null_tokens, header)
+    fault = F.concat(F.col("file_path"), F.lit(": "), F.col("__reason"))
+    good = checked.where(F.assert_true(F.col("__reason").isNull(), fault).isNull())
+    fields = schemas.struct(schema).fields
+    return good.select(*[F.when(~F.col(f"`{f.name}`").isin(*null_tokens), F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name) for f in fields])
+
+
 def load_table(df: DataFrame, columns: Sequence[str], as_of: datetime) -> DataFrame:
     """Keep the listed columns and add the load clock column of the wider target."""
     return df.select(*columns).withColumn("_load_timestamp", F.lit(as_of).cast("timestamp_ntz"))
