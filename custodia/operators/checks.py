@@ -127,92 +127,124 @@ def timeliness(mart: DataFrame, mart_clock: str, source: DataFrame, source_clock
     return both.filter((F.col("mart_rows") == 0) | ~F.coalesce(same, F.lit(False)))
 
 
-def snapshot_shape(controls: DataFrame, clock: str = "as_of_date") -> DataFrame:
-    """Rows, dated rows, first and last date of a control table."""
-    return controls.agg(
-        F.count(F.lit(1)).alias("gl_rows"),
-        F.count(clock).alias("dated_rows"),
-        F.min(clock).alias("first_date"),
-        F.max(clock).alias("last_date"),
-    )
+@dataclass(frozen=True)
+class Ledger:
+    """What a control table states about a dataset: which columns hold the group, its total, its row count and the day.
+
+    ``required`` are the fields that a usable control row fills; ``measure`` is the dataset's column that must add up to ``total``.
+    """
+
+    group: str = "account_type"
+    measure: str = "current_balance"
+    total: str = "control_total"
+    rows: str = "record_count"
+    day: str = "as_of_date"
+    required: Sequence[str] = ("gl_code", "control_total", "record_count", "as_of_date")
+
 
+DEPOSITS_LEDGER = Ledger()
 
-def control_totals(controls: DataFrame) -> DataFrame:
-    """Per account type: control rows, filled fields, and the control values."""
-    return controls.groupBy("account_type").agg(
+
+def control_day(controls: DataFrame, day: str = "as_of_date") -> DataFrame:
+    """One row: the control table's rows, its first day, and whether all of them are of that day (false without rows)."""
+    return controls.agg(
         F.count(F.lit(1)).alias("control_rows"),
-        F.count("gl_code").alias("non_null_codes"),
-        F.count("control_total").alias("non_null_totals"),
-        F.count("record_count").alias("non_null_counts"),
-        F.count("as_of_date").alias("non_null_dates"),
-        F.min("as_of_date").alias("control_date"),
-        F.min("control_total").alias("control_total"),
-        F.min("record_count").alias("record_count"),
+        F.min(day).alias("snapshot_date"),
+        F.coalesce(F.bool_and(F.col(day).isNotNull()) & (F.min(day) == F.max(day)), F.lit(False)).alias("is_single"),
     )
 
 
-def balance_totals(mart: DataFrame) -> DataFrame:
-    """Per account type: rows, filled balances, total balance."""
-    return mart.groupBy("account_type").agg(
+def balance_totals(mart: DataFrame, ledger: Ledger = DEPOSITS_LEDGER) -> DataFrame:
+    """What the dataset holds per group: rows, filled measures, their total."""
+    return mart.groupBy(ledger.group).agg(
         F.count(F.lit(1)).alias("mart_rows"),
-        F.count("current_balance").alias("non_null_balances"),
-        F.sum("current_balance").alias("mart_total_balance"),
+        F.count(ledger.measure).alias("non_null_balances"),
+        F.sum(ledger.measure).alias("mart_total_balance"),
     )
 
 
-def reconciliation(mart: DataFrame, controls: DataFrame, expected_types: DataFrame) -> DataFrame:
-    """Expected types, mart totals and controls side by side, one row per account type.
+def control_totals(controls: DataFrame, ledger: Ledger = DEPOSITS_LEDGER) -> DataFrame:
+    """What the control table states per group, and how many of its rows leave a required field empty."""
+    filled = F.lit(True)
+    for field in ledger.required:
+        filled = filled & F.col(field).isNotNull()
+    return controls.groupBy(ledger.group).agg(
+        F.count(F.lit(1)).alias("control_rows"),
+        F.count_if(~filled).alias("unfilled_rows"),
+        *[F.min(c).alias(name) for c, name in ((ledger.day, "control_date"), (ledger.total, "control_total"), (ledger.rows, "record_count"))],
+    )
 
-    Each input is read once and reduced to one row per type; the three sets of rows are
-    stacked and grouped once more, so no join is needed whatever the mart's size. A NULL
-    type has no totals, as it would join nothing.
+
+def reconciliation(mart: DataFrame, controls: DataFrame, expected_types: DataFrame, ledger: Ledger = DEPOSITS_LEDGER) -> DataFrame:
+    """Expected groups, the dataset's totals and the control's side by side, one row per group.
+
+    Each input is read once and reduced to one row per group; the three sets of rows are
+    stacked and grouped once more, so no join is needed whatever the dataset's size. A NULL
+    group has no totals, as it would join nothing.
     """
-    expected = expected_types.select("account_type").distinct().withColumn("expected_type", F.col("account_type"))
-    stacked = R.union_all([expected, balance_totals(mart), control_totals(controls)])
-    measures = [c for c in stacked.columns if c != "account_type"]
-    side_by_side = stacked.groupBy("account_type").agg(
-        *[F.max(F.when(F.col("account_type").isNotNull(), F.col(c))).alias(c) for c in measures]
-    )
-    return side_by_side.withColumn("snapshot_date", snapshot_shape(controls).select("first_date").scalar()).withColumn(
-        "reconciliation_difference", F.abs(F.col("mart_total_balance") - F.col("control_total"))
+    group = F.col(ledger.group)
+    expected = expected_types.select(ledger.group).distinct().withColumn("expected_type", group)
+    stacked = R.union_all([expected, balance_totals(mart, ledger), control_totals(controls, ledger)])
+    side_by_side = stacked.groupBy(ledger.group).agg(
+        *[F.max(F.when(group.isNotNull(), F.col(c))).alias(c) for c in stacked.columns if c != ledger.group]
     )
+    return side_by_side.withColumns({
+        "snapshot_date": control_day(controls, ledger.day).select("snapshot_date").scalar(),
+        "reconciliation_difference": F.abs(F.col("mart_total_balance") - F.col("control_total")),
+    })
 
 
-def accuracy(mart: DataFrame, controls: DataFrame, expected_types: DataFrame, tolerance: str = TOLERANCE) -> DataFrame:
-    """Snapshot problems and account types that do not reconcile to their control row."""
-    money = "decimal(38,2)"
-    shape = snapshot_shape(controls).filter(
-        (F.col("gl_rows") == 0) | (F.col("dated_rows") != F.col("gl_rows")) | (F.col("first_date") != F.col("last_date"))
-    )
-    bad_snapshot = shape.select(
-        F.lit("INVALID_GL_SNAPSHOT").alias("failure_reason"),
-        F.lit(None).cast("string").alias("account_type"),
-        F.lit(None).cast("date").alias("snapshot_date"),
-        F.col("gl_rows").alias("control_rows"),
-        F.lit(None).cast("bigint").alias("mart_rows"),
-        F.lit(None).cast("bigint").alias("record_count"),
-        *[F.lit(None).cast(money).alias(c) for c in ("mart_total_balance", "control_total", "reconciliation_difference")],
-    )
+def reconciliation_rules(tolerance: str = TOLERANCE) -> dict[str, Column]:
+    """What must hold for a row of ``reconciliation``, by name. A rule that is NULL does not hold."""
     c = F.col
-    missing = c("account_type").isNull() | c("expected_type").isNull() | c("mart_rows").isNull() | c("control_rows").isNull()
-    control_bad = c("control_rows") != 1
-    for filled in ("non_null_codes", "non_null_totals", "non_null_counts", "non_null_dates"):
-        control_bad = control_bad | (c(filled) != c("control_rows"))
-    values_bad = (
-        (c("control_date") != c("snapshot_date"))
-        | (c("non_null_balances") != c("mart_rows"))
-        | c("mart_total_balance").isNull()
-        | (c("record_count") != c("mart_rows"))
-        | P.outside(c("mart_total_balance"), c("control_total"), tolerance)
+    return {
+        "EXPECTED": c("expected_type").isNotNull(),
+        "PRESENT": c("mart_rows") > 0,
+        "ONE_CONTROL_ROW": c("control_rows") == 1,
+        "CONTROL_FILLED": c("unfilled_rows") == 0,
+        "CONTROL_OF_THE_DAY": c("control_date") == c("snapshot_date"),
+        "MEASURE_FILLED": c("non_null_balances") == c("mart_rows"),
+        "ROWS_AGREE": c("record_count") == c("mart_rows"),
+        "TOTAL_AGREES": ~P.outside(c("mart_total_balance"), c("control_total"), tolerance),
+    }
+
+
+def broken_rules(
+    mart: DataFrame, controls: DataFrame, expected_types: DataFrame, tolerance: str = TOLERANCE, ledger: Ledger = DEPOSITS_LEDGER
+) -> DataFrame:
+    """The groups that do not reconcile, with the names of the rules they break in ``broken_rules``."""
+    named = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in reconciliation_rules(tolerance).items()]
+    return (
+        reconciliation(mart, controls, expected_types, ledger)
+        .withColumn("broken_rules", F.array_compact(F.array(*named)))
+        .filter(F.size("broken_rules") > 0)
     )
-    wrong = reconciliation(mart, controls, expected_types).filter(missing | control_bad | values_bad)
-    bad_types = wrong.select(
-        F.lit("ACCOUNT_TYPE_RECONCILIATION").alias("failure_reason"),
-        "account_type", "snapshot_date", "control_rows", "mart_rows",
-        c("record_count").cast("bigint").alias("record_count"),
-        *[c(n).cast(money).alias(n) for n in ("mart_total_balance", "control_total", "reconciliation_difference")],
+
+
+# The columns of an accuracy finding; a finding about the snapshot leaves those of a group empty.
+FINDING = {
+    "snapshot_date": "date", "control_rows": "bigint", "mart_rows": "bigint", "record_count": "bigint",
+    "mart_total_balance": "decimal(38,2)", "control_total": "decimal(38,2)", "reconciliation_difference": "decimal(38,2)",
+}
+
+
+def accuracy(
+    mart: DataFrame, controls: DataFrame, expected_types: DataFrame, tolerance: str = TOLERANCE, ledger: Ledger = DEPOSITS_LEDGER
+) -> DataFrame:
+    """A control table that is not of one day, and the groups that do not reconcile to their control row."""
+
+    def finding(reason: str, df: DataFrame, known: Sequence[str]) -> DataFrame:
+        return df.select(
+            F.lit(reason).alias("failure_reason"),
+            (F.col(ledger.group) if ledger.group in known else F.lit(None)).cast("string").alias(ledger.group),
+            *[(F.col(n) if n in known else F.lit(None)).cast(t).alias(n) for n, t in FINDING.items()],
+        )
+
+    snapshot = control_day(controls, ledger.day).filter(~F.col("is_single"))
+    groups = broken_rules(mart, controls, expected_types, tolerance, ledger)
+    return finding("INVALID_GL_SNAPSHOT", snapshot, ["control_rows"]).unionByName(
+        finding("ACCOUNT_TYPE_RECONCILIATION", groups, [ledger.group, *FINDING])
     )
-    return bad_snapshot.unionByName(bad_types)
 
 
 # ---- registry, outcomes, history -------------------------------------------------
@@ -275,10 +307,7 @@ def resolve_status(outcomes: DataFrame) -> DataFrame:
 
 def single_snapshot_date(controls: DataFrame) -> DataFrame:
     """The control table's date if it is the only one and never NULL, else NULL."""
-    one = (
-        (F.col("gl_rows") > 0) & (F.col("dated_rows") == F.col("gl_rows")) & (F.col("first_date") == F.col("last_date"))
-    )
-    return snapshot_shape(controls).select(F.when(one, F.col("first_date")).alias("snapshot_date"))
+    return control_day(controls).select(F.when(F.col("is_single"), F.col("snapshot_date")).alias("snapshot_date"))
 
 
 def result_rows(

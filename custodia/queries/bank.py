@@ -374,7 +374,7 @@ select e.account_id as source_account_id, m.account_id as mart_account_id, e.acc
 from e full join m on e.account_id = m.account_id and e.account_type = m.account_type
 where e.account_id is null or m.account_id is null or source_rows <> 1 or mart_rows <> 1""")
 query("j09_one_row_value",
-      lambda i: i.gl_control.select("account_type", "control_total", Q.snapshot_shape(i.gl_control).select("first_date").scalar().alias("snapshot_date")),
+      lambda i: i.gl_control.select("account_type", "control_total", Q.control_day(i.gl_control).select("snapshot_date").scalar().alias("snapshot_date")),
       "select account_type, cast(control_total as double) as control_total, cast(s.d as varchar) as snapshot_date from {gl_control} cross join (select min(as_of_date) as d from {gl_control}) s")
 query("j11_join_ignoring_case",
       lambda i: R.join_ignoring_case(i.cat_columns.select("table_name", "column_name"), i.dictionary.select("table_name", "column_name", "column_description"), ["table_name", "column_name"]),

@@ -75,6 +75,23 @@ for _name, _control, _relation in (
     ("q06_accuracy_bad_controls", "two_controls", _two_controls),
 ):
     query(_name, lambda i, r=_relation: Q.accuracy(i.mart_deposits, r(i), M.eligible_deposits(i.stg_account)), ACCURACY.replace("{CONTROL}", "{" + _control + "}"))
+query("q06_broken_rules",
+      lambda i: Q.broken_rules(i.mart_deposits, _two_controls(i), M.eligible_deposits(i.stg_account)).select("account_type", F.explode("broken_rules").alias("rule")),
+      """with books as (select account_type, count(*) as n, sum(current_balance) as held, count(*) filter (current_balance is null) as blanks from {mart_deposits} where account_type is not null group by 1),
+ledger as (select account_type, count(*) as n, min(control_total) as stated, min(record_count) as counted, min(as_of_date) as day,
+  count(*) filter (gl_code is null or control_total is null or record_count is null or as_of_date is null) as unfilled from {two_controls} where account_type is not null group by 1),
+due as (select distinct account_type from {stg_account} where status = 'ACTIVE' and account_type in ('SAVINGS', 'CHECKING')),
+kinds as (select account_type from due union select account_type from {two_controls} union select account_type from {mart_deposits}),
+side as (select k.account_type, d.account_type as due, b.n as mart_rows, b.held, b.blanks, l.n as control_rows, l.stated, l.counted, l.day, l.unfilled, (select min(as_of_date) from {two_controls}) as first_day
+  from kinds k left join due d using (account_type) left join books b using (account_type) left join ledger l using (account_type))
+select account_type, 'EXPECTED' as rule from side where due is null
+union all select account_type, 'PRESENT' from side where mart_rows is null
+union all select account_type, 'ONE_CONTROL_ROW' from side where control_rows is distinct from 1
+union all select account_type, 'CONTROL_FILLED' from side where unfilled is distinct from 0
+union all select account_type, 'CONTROL_OF_THE_DAY' from side where (day = first_day) is not true
+union all select account_type, 'MEASURE_FILLED' from side where blanks is distinct from 0
+union all select account_type, 'ROWS_AGREE' from side where (counted = mart_rows) is not true
+union all select account_type, 'TOTAL_AGREES' from side where (abs(held - stated) <= 1.00) is not true""")
 query("q07_not_empty", lambda i: Q.not_empty(i.mart_deposits), "select count(*) as mart_row_count from {mart_deposits} having count(*) = 0")
 query("q08_unique", lambda i: Q.unique(i.raw_transaction, "transaction_id"), "select transaction_id, count(*) as occurrence_count from {raw_transaction} where transaction_id is not null group by 1 having count(*) > 1")
 query("q08_unique_last_name", lambda i: Q.unique(i.raw_customer, "last_name"), "select last_name, count(*) as occurrence_count from {raw_customer} where last_name is not null group by 1 having count(*) > 1")
