@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from custodia.functions import masks
 from custodia.operators import graph, lineage
@@ -64,13 +65,13 @@ def masked(df: DataFrame, tags: Mapping[str, str], roles: Sequence[str]) -> Data
     ``tags`` gives the classification of tagged columns (any spelling); columns without
     a tag are left alone.
     """
-    by_name = {k.upper(): v for k, v in tags.items()}
-    return df.select(
-        *[
-            masks.mask_for(f, by_name[f.name.upper()], roles) if f.name.upper() in by_name else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    return df.select(*[shown(f, tags, roles) for f in df.schema.fields])
+
+
+def shown(field: T.StructField, tags: Mapping[str, str], roles: Sequence[str]) -> Column:
+    """One column as the roles may see it."""
+    tag = {k.upper(): v for k, v in tags.items()}.get(field.name.upper())
+    return F.col(f"`{field.name}`") if tag is None else masks.mask_for(field, tag, roles)
 
 
 def column_tags(tags: DataFrame, obj: tuple[str, str, str]) -> dict[str, str]:
@@ -206,22 +207,32 @@ def policy_gaps(tags: DataFrame, columns: DataFrame, bindings: DataFrame, queue:
 def masking_by_role(
     df: DataFrame, tags: Mapping[str, str], roles: Mapping[str, Sequence[str]], columns: Sequence[str]
 ) -> DataFrame:
-    """The same columns as each role sees them, labelled by role."""
-    return R.union_all(
-        [masked(df, tags, held).select(F.lit(role).alias("role_name"), *columns) for role, held in roles.items()]
-    )
+    """The same columns as each role sees them, labelled by role.
+
+    The table is scanned once: each row is unfolded into one per role.
+    """
+    fields = [df.schema[c] for c in columns]
+    views = [F.struct(F.lit(role).alias("role_name"), *[shown(f, tags, held).alias(f.name) for f in fields]) for role, held in roles.items()]
+    return df.select(F.inline(F.array(*views)))
 
 
 def branch_distribution(
     tables: Mapping[str, DataFrame], column: str, entitlements: DataFrame, roles: Mapping[str, Sequence[str]]
 ) -> DataFrame:
-    """Rows per branch that each role gets to see of each table."""
-    return R.union_all(
-        [
-            R.count_by(row_filter(df, column, entitlements, held), column).select(
-                F.lit(role).alias("role_name"), F.lit(name).alias("object_name"), column, "row_count"
-            )
-            for role, held in roles.items()
-            for name, df in tables.items()
-        ]
+    """Rows per branch that each role gets to see of each table.
+
+    Every table is counted by branch once, whatever the number of roles. Branches then meet the
+    list of roles entitled to them; the roles entitled to all are a one-row subquery. Both
+    lists hold names out of ``roles`` and no others.
+    """
+    spark = entitlements.sparkSession
+    held = values_df(spark, [(role, h) for role, names in roles.items() for h in names], "viewer string, role_name string")
+    granted = entitlements.join(held, "role_name").select("viewer", F.col("branch_code").alias("__entitled")).distinct()
+    every = granted.agg(F.collect_set(F.when(F.col("__entitled") == ALL_BRANCHES, F.col("viewer")))).scalar()
+    viewers = granted.groupBy("__entitled").agg(F.collect_set("viewer").alias("__viewers"))
+    counts = R.union_all(
+        [R.count_by(df, column).select(F.lit(name).alias("object_name"), column, "row_count") for name, df in tables.items()]
     )
+    met = counts.join(viewers, counts[column] == viewers["__entitled"], "left")
+    seen_by = F.array_union(F.coalesce("__viewers", F.array().cast("array<string>")), every)
+    return met.select(F.explode(seen_by).alias("role_name"), "object_name", counts[column], "row_count")
