@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from custodia.functions import predicates as P
 from custodia.functions import scalars as S
 from custodia.operators import checks as Q
+from custodia.operators import digest
 from custodia.operators import relational as R
 from custodia.plans import build as B
 from custodia.plans import marts as M
 from custodia.queries import views  # noqa: F401
 from custodia.queries.inputs import AS_OF, Inputs
-from custodia.queries.registry import query
+from custodia.queries.registry import ORACLE, query
 from custodia.session import scratch_path
-from custodia.sinks import store
+from custodia.sinks import partitions, store
 from custodia.sources import catalog, files, schemas
 from custodia.sources.values import values_df
 
@@ -182,6 +183,17 @@ query(
   union all select 'LOAN', (select count(*) from {raw_loan}), null
   union all select 'BRANCH', null, (select count(*) from {raw_branch})) x where expected_rows is distinct from loaded_rows""",
 )
+query(
+    "k04_reconcile_content",
+    lambda i: digest.reconcile(
+        {"ACCOUNT": i.raw_account.select("account_id", "status"), "LOAN": i.raw_loan, "CUSTOMER": i.raw_customer.select("customer_id", "email")},
+        {"ACCOUNT": i.stg_account.select("status", "account_id"), "LOAN": i.raw_loan, "BRANCH": i.raw_branch,
+         "CUSTOMER": i.raw_customer.select("customer_id", F.when(F.col("customer_id") % 2 == 0, F.col("email")).otherwise("").alias("email"))}),
+    """select * from (
+  select 'ACCOUNT' as object_name, (select count(*) from {raw_account}) as expected_rows, (select count(*) from {stg_account}) as loaded_rows
+  union all select 'CUSTOMER', (select count(*) from {raw_customer}), (select count(*) from {raw_customer})
+  union all select 'BRANCH', null, (select count(*) from {raw_branch})) x""",
+)
 query(
     "k05_replace_scope",
     lambda i: store.replace_scope(
@@ -197,6 +209,19 @@ where database_name = 'ANALYTICS' and schema_name = 'STAGING' and p_size > 10"""
 )
 
 
+def _scope_swapped(i: Inputs):
+    """The same on a table partitioned by scope: only that scope's partition is written."""
+    columns = ["database_name", "schema_name", "table_name", "column_name", "column_type"]
+    name, path = _table(i, "catalog_column")
+    scope = {"database_name": "ANALYTICS", "schema_name": "STAGING"}
+    partitions.create(i.cat_columns.select(*columns), name, list(scope), path)
+    fresh = i.cat_columns.filter("database_name = 'ANALYTICS' and schema_name = 'STAGING' and p_size > 10")
+    return partitions.replace_scope(name, fresh.withColumn("column_type", F.lit("FRESH")).select(*columns), scope)
+
+
+query("k05_replace_scope_partition", _scope_swapped, ORACLE["k05_replace_scope"])
+
+
 def _replaced(i: Inputs):
     path = scratch_path(i.spark, "edges")
     store.write_all(i.edges.filter("source_column is not null"), path)
@@ -232,6 +257,17 @@ select table_name, column_name, column_description, data_type, sensitivity_class
   case when p_size >= 25 then concat('new ', notes) else notes end as notes from {dictionary}""")
 
 
+def _keyed_upsert(i: Inputs):
+    """The same into a table partitioned by its keys' hash: only the partitions of the new rows' keys are written."""
+    name, path = _table(i, "dictionary")
+    partitions.create_keyed(i.dictionary.filter("p_size <= 35").select(*DICT), name, ["table_name", "column_name"], 8, path)
+    rows = i.dictionary.filter("p_size >= 25").select(*DICT).withColumn("notes", F.concat(F.lit("new "), "notes"))
+    return partitions.upsert(name, rows).drop(partitions.PART)
+
+
+query("k08_upsert_partitions", _keyed_upsert, ORACLE["k08_upsert"])
+
+
 def _partial_upsert(i: Inputs):
     keep = ["table_name", "column_name", "ordinal_position", "column_type", "column_comment"]
     stored = i.cat_columns.filter("p_size <= 40").select(*keep)
@@ -458,6 +494,20 @@ query("u03_multiset_difference", lambda i: R.compare_keys(i.raw_transaction, i.s
 select e.transaction_id as source_transaction_id, m.transaction_id as mart_transaction_id, source_rows, mart_rows from e full join m on e.transaction_id = m.transaction_id
 where e.transaction_id is null or m.transaction_id is null or source_rows <> 1 or mart_rows <> 1""")
 
+
+def _doubled(i: Inputs):
+    """Transactions and a copy of them that lacks some, repeats some and has lost some of the types."""
+    left = i.raw_transaction.select("account_id", "transaction_type", "amount")
+    right = i.raw_transaction.filter("transaction_id % 50 <> 1").withColumn("transaction_type", F.expr("case when transaction_id % 50 <> 2 then transaction_type end"))
+    return left, right.unionByName(right.filter("transaction_id % 50 = 3")).select(*left.columns)
+
+
+query("u03_difference_by_digest", lambda i: digest.difference(*_doubled(i)), """
+with r as (select transaction_id as k, account_id, case when transaction_id % 50 <> 2 then transaction_type end as transaction_type, amount from {raw_transaction} where transaction_id % 50 <> 1),
+sides as (select account_id, transaction_type, amount, 1 as l, 0 as r from {raw_transaction} union all select account_id, transaction_type, amount, 0, 1 from r
+  union all select account_id, transaction_type, amount, 0, 1 from r where k % 50 = 3)
+select account_id, transaction_type, cast(amount as double) as amount, sum(l)::bigint as left_rows, sum(r)::bigint as right_rows from sides group by account_id, transaction_type, amount having sum(l) <> sum(r)""")
+
 # ---- models ----------------------------------------------------------------------
 
 query("m01_mart_deposits", lambda i: i.mart_deposits, f"select {MART} from {{mart_deposits}}")
