@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from custodia.functions import scalars as S
 from custodia.operators import relational as R
+from custodia.session import cut
 
 OBJECT = ["database_name", "schema_name", "table_name"]
 KEY = [*OBJECT, "column_name"]
@@ -91,8 +92,18 @@ def scan(df: DataFrame, detectors: Sequence[Detector], columns: Sequence[str] |
     All pairs are measured by one aggregate over one pass. Only then, with a single row
     left, are the counters unfolded into rows and named by position.
     """
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    measures, counters = [], []
+    return decide(counters(df, detectors, columns), detectors)
+
+
+def counters(
+    df: DataFrame, detectors: Sequence[Detector], columns: Sequence[str] | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """(by ..., column_name, ordinal_position, detector_order, values_seen, values_matched), from one pass.
+
+    ``by`` names columns that split the rows into parts; counters of disjoint parts add up to those of the whole.
+    """
+    fields = [f for f in df.schema.fields if f.name not in by and (columns is None or f.name in columns)]
+    measures, pairs = [], []
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
         text = isinstance(f.dataType, (T.StringType, T.VarcharType, T.CharType))
@@ -104,37 +115,109 @@ def scan(df: DataFrame, detectors: Sequence[Detector], columns: Sequence[str] |
                 matched.append(F.col(f"m_{i}_{j}"))
             else:
                 matched.append(F.lit(0).cast("bigint"))
-        counters.append(F.struct(F.col(f"n_{i}").alias("seen"), F.array(*matched).alias("matched")))
-    names = [f.name for f in fields]
-    named = [
-        d.name_pattern is not None and re.search(d.name_pattern, n, re.IGNORECASE) is not None
-        for n in names for d in detectors
-    ]
-    at_column = (
-        df.agg(*measures)
-        .select(F.posexplode(F.array(*counters)).alias("ci", "c"))
-        .select("ci", F.col("c.seen").alias("values_seen"), F.posexplode("c.matched").alias("dj", "values_matched"))
+        pairs.append(F.struct(F.col(f"n_{i}").alias("seen"), F.array(*matched).alias("matched")))
+    return (
+        df.groupBy(*by).agg(*measures)
+        .select(*by, F.posexplode(F.array(*pairs)).alias("ci", "c"))
+        .select(*by, "ci", F.col("c.seen").alias("values_seen"), F.posexplode("c.matched").alias("detector_order", "values_matched"))
+        .select(*by, F.get(F.lit([f.name for f in fields]), F.col("ci")).alias("column_name"), (F.col("ci") + 1).alias("ordinal_position"),
+                "detector_order", "values_seen", "values_matched")
     )
 
+
+def decide(counted: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
+    """The scan result that counters lead to; other columns of ``counted`` are carried along."""
+
     def of_detector(values: list) -> Column:
-        return F.get(F.lit(values), F.col("dj"))
+        return F.get(F.lit(values), F.col("detector_order"))
 
+    named = F.lit(False)
+    for j, d in enumerate(detectors):
+        if d.name_pattern is not None:
+            named = named | ((F.col("detector_order") == j) & F.col("column_name").rlike(f"(?i){d.name_pattern}"))
     share = F.coalesce(F.col("values_matched") / F.nullif("values_seen", F.lit(0)), F.lit(0.0)).cast("double")
     enough = (F.col("share") >= of_detector([float(d.threshold) for d in detectors])) & (F.col("values_matched") > 0)
-    return at_column.withColumn("share", share).select(
-        F.get(F.lit(names), F.col("ci")).alias("column_name"),
-        (F.col("ci") + 1).alias("ordinal_position"),
+    known = ("column_name", "ordinal_position", "detector_order", "values_seen", "values_matched")
+    return counted.withColumn("share", share).select(
+        *[c for c in counted.columns if c not in known],
+        "column_name",
+        "ordinal_position",
         of_detector([d.category for d in detectors]).alias("semantic_category"),
         of_detector([d.privacy for d in detectors]).alias("privacy_category"),
         of_detector([d.source for d in detectors]).alias("classifier_source"),
-        F.col("dj").alias("detector_order"),
+        "detector_order",
         "values_seen",
         "values_matched",
         "share",
-        (F.get(F.lit(named), F.col("ci") * len(detectors) + F.col("dj")) | enough).alias("detected"),
+        (named | enough).alias("detected"),
     )
 
 
+# ---- rescans by difference -------------------------------------------------------
+
+#: Paths that a rescan hands to the scan as a list; more of them are chosen by a join, with the same result.
+LISTED_FILES = 10_000
+
+FILE = ["file_path", "file_modified"]
+
+
+def rules_id(detectors: Sequence[Detector]) -> str:
+    """A digest of the detectors; counters taken with other ones do not count any more."""
+    return hashlib.md5(repr([astuple(d) for d in detectors]).encode()).hexdigest()
+
+
+def rescan(
+    files: DataFrame,
+    stored: DataFrame | None,
+    detectors: Sequence[Detector],
+    as_of: datetime,
+    profile: Profile | None = None,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Counters of every file of a table, of which only new, changed and expired files are read.
+
+    ``files`` reads files, so that it has ``_metadata``; ``stored`` is what the last call returned, and
+    the next content of that relation is what this one returns: one row per file, column and
+    detector with ``rules_id`` and ``captured_at``. A file that is gone loses its counters. Counters
+    older than the profile's validity, or of other detectors, are taken anew. With no ``stored`` all files are read.
+
+    An empty table has no counters. Files are told apart by path and modification time.
+    """
+    profile = profile or Profile()
+    rules = rules_id(detectors)
+    path, changed_at = F.col("_metadata.file_path"), F.col("_metadata.file_modification_time")
+    present = cut(files.select(path.alias("file_path"), changed_at.alias("file_modified")).distinct())
+    kept = None
+    due = present
+    if stored is not None:
+        valid = stored.filter((F.col("rules_id") == rules) & ~is_expired(profile, as_of))
+        kept = valid.join(present, FILE, "left_semi")
+        due = present.join(valid.select(*FILE).distinct(), FILE, "left_anti")
+    due = cut(due.select("file_path"))
+    listed = [r["file_path"] for r in due.limit(LISTED_FILES + 1).collect()]
+    marked = files.select("*", path.alias("file_path"), changed_at.alias("file_modified"))
+    part = marked.join(due, "file_path", "left_semi") if len(listed) > LISTED_FILES else marked.filter(path.isin(listed))
+    fresh = counters(part, detectors, None if columns is None else list(columns), FILE).select(
+        "*", F.lit(rules).alias("rules_id"), F.lit(as_of).alias("captured_at")
+    )
+    return fresh if kept is None else kept.select(*fresh.columns).unionByName(fresh)
+
+
+def merged(counted: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
+    """The scan result of the whole table from the counters of its files."""
+    whole = counted.groupBy("column_name", "ordinal_position", "detector_order").agg(
+        F.sum("values_seen").alias("values_seen"), F.sum("values_matched").alias("values_matched")
+    )
+    return decide(whole, detectors)
+
+
+def is_expired(profile: Profile, as_of: datetime) -> Column:
+    return F.col("captured_at") < F.lit(as_of) - F.make_interval(days=F.lit(profile.validity_days))
+
+
+# ---- tables and schemas ----------------------------------------------------------
+
+
 def classify_table(df: DataFrame, name: tuple[str, str, str], detectors: Sequence[Detector]) -> DataFrame:
     database, schema, table = name
     return scan(df, detectors).select(
@@ -147,10 +230,13 @@ def classify_schema(tables: Mapping[tuple[str, str, str], DataFrame], detectors:
     return R.union_all([classify_table(df, name, detectors) for name, df in tables.items()])
 
 
-def system_tags(scanned: DataFrame) -> DataFrame:
-    """The detected categories as tag rows: the best-supported category of each column."""
+def system_tags(scanned: DataFrame, profile: Profile | None = None) -> DataFrame:
+    """The detected categories as tag rows: the best-supported category of each column.
+
+    A profile without ``auto_tag`` records what was found but sets no tags.
+    """
     best = (
-        scanned.filter("detected")
+        scanned.filter(F.col("detected") & F.lit((profile or Profile()).auto_tag))
         .groupBy(*KEY)
         .agg(
             F.max(
@@ -197,7 +283,7 @@ def capture_results(tags: DataFrame, as_of: datetime, custom: Mapping[str, str]
 
 def expired(results: DataFrame, profile: Profile, as_of: datetime) -> DataFrame:
     """Columns whose classification is older than the profile allows."""
-    return results.filter(F.col("captured_at") < F.lit(as_of) - F.make_interval(days=F.lit(profile.validity_days)))
+    return results.filter(is_expired(profile, as_of))
 
 
 def in_scope(tables: DataFrame, profile: Profile, as_of: datetime) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from custodia.operators import catalog as D
 from custodia.operators import certify as C
+from custodia.operators import protect as P
+from custodia.operators import relational as R
 from custodia.operators import search as X
 from custodia.queries.inputs import AS_OF, BASE, Inputs
 from custodia.queries.registry import VIEWS, query
@@ -38,11 +42,51 @@ query("s07_scan_tables", lambda i: scans.tables_of(i.spark, given(i)),
 query("s08_scan_columns", lambda i: scans.filled_counts(i.spark, given(i)).join(scans.columns_of(i.spark, given(i)).select("table_name", "column_name", "is_nullable"), ["table_name", "column_name"]),
       "\nunion all ".join(f"select '{t.upper()}' as table_name, '{c}' as column_name, 'TESTDATA' as database_name, 'PUBLIC' as schema_name, {k}::bigint as ordinal_position, count({c}) as filled, 'YES' as is_nullable from {{{t}}}"
                           for t, cols in GIVEN_COLUMNS.items() for k, c in enumerate(cols, 1)))
+
+
+def registered(i: Inputs) -> str:
+    """The given tables as external tables of a database of their own in the session's catalog; no row is read for it."""
+    database = f"custodia_given_{hashlib.md5(i.folder.encode()).hexdigest()[:12]}"
+    i.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for t in BASE:
+        if not i.spark.catalog.tableExists(f"{database}.{t}"):
+            i.spark.catalog.createTable(f"{database}.{t}", path=f"{i.folder}/{t}.parquet", source="parquet", schema=getattr(i, t).schema, description=f"given table {t}")
+    return database
+
+
+def _catalog_tables(i: Inputs):
+    """Tables found in the session's catalog, each counted through its registered name."""
+    database = registered(i)
+    found = scans.scan_tables(i.spark, [database])
+    rows = R.labelled_counts({t: scans.relation(i.spark, f"{database}.{t}") for t in BASE}, "table_name")
+    return found.drop("row_count").join(rows, "table_name").select(F.lit("GIVEN").alias("database_name"), "table_name", "object_type", "table_comment", "row_count")
+
+
+def _catalog_columns(i: Inputs):
+    """Columns found in the session's catalog, with their filled values read through the registered names."""
+    database = registered(i)
+    names = {("C", database, t): scans.relation(i.spark, f"{database}.{t}") for t in BASE}
+    found = scans.scan_columns(i.spark, [database], pattern="c*|pa*")
+    return found.join(scans.filled_counts(i.spark, names).select("table_name", "column_name", "filled"), ["table_name", "column_name"]).select(
+        "table_name", "ordinal_position", "column_name", "is_nullable", "filled")
+
+
+query("s07_scan_session_catalog", _catalog_tables,
+      "\nunion all ".join(f"select 'GIVEN' as database_name, '{t}' as table_name, 'BASE TABLE' as object_type, 'given table {t}' as table_comment, count(*) as row_count from {{{t}}}" for t in BASE))
+query("s08_scan_session_catalog", _catalog_columns,
+      "\nunion all ".join(f"select '{t}' as table_name, {k}::bigint as ordinal_position, '{c}' as column_name, 'YES' as is_nullable, count({c}) as filled from {{{t}}}"
+                          for t, cols in GIVEN_COLUMNS.items() if t.startswith(("c", "pa")) for k, c in enumerate(cols, 1)))
 query("s09_tag_references_object", lambda i: logs.tag_references(i.tags, ["data_owner", "DATA_STEWARD"], obj=("RAW", "PUBLIC", "TBL_3")),
       "select * from {tags} where tag_name in ('DATA_OWNER', 'DATA_STEWARD') and database_name = 'RAW' and schema_name = 'PUBLIC' and table_name = 'TBL_3'")
 query("s09_tag_references_columns", lambda i: logs.tag_references(i.tags, obj=("RAW", "PUBLIC", "TBL_3"), domains=["COLUMN"]),
       "select * from {tags} where domain = 'COLUMN' and database_name = 'RAW' and schema_name = 'PUBLIC' and table_name = 'TBL_3'")
 query("s09_tag_references_all", lambda i: logs.tag_references(i.tags, ["CLASSIFICATION"]), "select * from {tags} where tag_name = 'CLASSIFICATION'")
+query("s09_tag_references_propagated", lambda i: logs.tag_references(P.propagate_tags(i.tags, i.edges), ["CLASSIFICATION"], domains=["COLUMN"]).filter("apply_method = 'PROPAGATED'").select("database_name", "schema_name", "table_name", "column_name", "tag_value"), """
+with recursive e as (select * from {edges} where source_column is not null and target_column is not null),
+own as (select database_name as d, schema_name as s, table_name as o, column_name as c, tag_value as v from {tags} where tag_name = 'CLASSIFICATION' and column_name is not null),
+walk as (select d, s, o, c, v from own union select e.target_database, e.target_schema, e.target_object, e.target_column, w.v from walk w join e on e.source_database = w.d and e.source_schema = w.s and e.source_object = w.o and e.source_column = w.c)
+select d as database_name, s as schema_name, o as table_name, c as column_name, v as tag_value from walk where (d, s, o, c) not in (select (d, s, o, c) from own)
+union all select database_name, schema_name, table_name, column_name, tag_value from {tags} where tag_name = 'CLASSIFICATION' and domain = 'COLUMN' and apply_method = 'PROPAGATED'""")
 query("s10_query_history", lambda i: logs.query_history(i.query_history, AS_OF, 167).select("query_id", "role_name", "start_time"),
       f"select query_id, role_name, start_time from {{query_history}} where execution_status = 'SUCCESS' and start_time between {NOW} - interval 167 hour and {NOW}")
 query("s10_query_history_newest", lambda i: logs.query_history(i.query_history, AS_OF, 400, limit=100).select("query_id", "start_time"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from custodia.functions import masks
@@ -11,6 +13,7 @@ from custodia.operators import relational as R
 from custodia.operators import review as V
 from custodia.queries.inputs import AS_OF, Inputs
 from custodia.queries.registry import VIEWS, query
+from custodia.session import cut, scratch_path
 
 NOW = "timestamp '2024-01-31 00:00:00'"
 KEY = "database_name, schema_name, table_name, column_name"
@@ -69,6 +72,22 @@ def staged_scan(i: Inputs):
 
 VIEWS["staged_scan"] = "\nunion all ".join(sql_scan(n, cols, BUILT_IN_SQL, ("ANALYTICS", "STAGING", n.upper())) for n, cols in STAGED_COLUMNS.items())
 query("c03_classify_schema", lambda i: _shown(staged_scan(i), "database_name", "schema_name", "table_name"), "select * from {staged_scan}")
+
+
+def _rescanned(i: Inputs):
+    """Loans classified file by file; then more arrive and only their files are read."""
+    path, text = scratch_path(i.spark, "loans"), ["loan_memo", "credit_grade"]
+    i.raw_loan.filter("loan_id % 10 < 7").select("loan_id", *text).repartition(3).write.parquet(path)
+    first = cut(C.rescan(i.spark.read.parquet(path), None, ALL, AS_OF, columns=text))
+    i.raw_loan.filter("loan_id % 10 >= 7").select("loan_id", *text).write.mode("append").parquet(path)
+    both = C.rescan(i.spark.read.parquet(path), first, ALL, AS_OF + timedelta(days=1), columns=text)
+    return _shown(C.merged(both, ALL))
+
+
+query("c03_rescan", _rescanned, sql_scan("raw_loan", [("loan_memo", True), ("credit_grade", True)], BUILT_IN_SQL))
+query("c01_auto_tag",
+      lambda i: R.union_all([C.system_tags(staged_scan(i), C.Profile(auto_tag=on)).select(F.lit(on).alias("auto_tag"), "table_name", "column_name", "tag_name") for on in (True, False)]),
+      """select distinct true as auto_tag, table_name, column_name, tag_name from {staged_scan} cross join (values ('SEMANTIC_CATEGORY'), ('PRIVACY_CATEGORY')) t(tag_name) where detected""")
 query("c04_classify_table", lambda i: _shown(C.classify_table(i.stg_loan, ("ANALYTICS", "STAGING", "STG_LOAN"), ALL), "table_name").filter("detected"),
       "select column_name, semantic_category, privacy_category, classifier_source, values_seen, values_matched, share, detected, table_name from {staged_scan} where table_name = 'STG_LOAN' and detected")
 TEXT_SQL = [

@@ -25,11 +25,16 @@ def relation(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def scan_tables(spark: SparkSession, databases: Sequence[str], catalog: str = "spark_catalog") -> DataFrame:
-    """One row per table or view of the listed databases. Metadata only: no table is read."""
+def scan_tables(
+    spark: SparkSession, databases: Sequence[str], catalog: str = "spark_catalog", pattern: str | None = None
+) -> DataFrame:
+    """One row per table or view of the listed databases. Metadata only: no table is read.
+
+    The catalog itself is asked for those databases and for names like ``pattern`` (``*`` and ``|`` as in SHOW TABLES) only.
+    """
     rows = []
     for database in databases:
-        for t in spark.catalog.listTables(database):
+        for t in spark.catalog.listTables(database, pattern):
             if t.isTemporary:
                 continue
             kind = "VIEW" if t.tableType == "VIEW" else "BASE TABLE"
@@ -37,11 +42,13 @@ def scan_tables(spark: SparkSession, databases: Sequence[str], catalog: str = "s
     return values_df(spark, rows, TABLE_ROWS)
 
 
-def scan_columns(spark: SparkSession, databases: Sequence[str], catalog: str = "spark_catalog") -> DataFrame:
-    """One row per column, in order, with type, comment and nullability."""
+def scan_columns(
+    spark: SparkSession, databases: Sequence[str], catalog: str = "spark_catalog", pattern: str | None = None
+) -> DataFrame:
+    """One row per column of those tables, in order, with type, comment and nullability."""
     rows = []
     for database in databases:
-        for t in spark.catalog.listTables(database):
+        for t in spark.catalog.listTables(database, pattern):
             if not t.isTemporary:
                 name = f"`{database}`.`{t.name}`"
                 rows.extend(_column_rows(spark.table(name), catalog, database, t.name))

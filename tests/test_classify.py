@@ -1,3 +1,5 @@
+from datetime import timedelta
+
 import pytest
 
 from custodia.functions.scalars import key_id
@@ -146,3 +148,61 @@ def test_unknown_object_stops_the_sync(spark, queue):
     V.require_known(queue, known)
     with pytest.raises(ValueError, match="A.S.T"):
         V.require_known(queue, known.limit(0))
+
+
+# ---- rescans by difference -------------------------------------------------------
+
+
+def counted(df, rows):
+    return rows(df.select("column_name", "detector_order", "values_seen", "values_matched", "share", "detected"))
+
+
+def test_rescan_reads_only_what_changed(spark, tmp_path, rows, as_of):
+    rules, path = [*C.BUILT_IN, C.CARD_PAN], str(tmp_path / "t")
+    table = spark.range(60).select(
+        F.col("id"), F.when(F.col("id") % 2 == 0, F.concat(F.col("id").cast("string"), F.lit("@a.org"))).alias("mail"), F.lit("x").alias("last_name"))
+    table.filter("id < 40").repartition(2).write.parquet(path)
+    first = C.rescan(spark.read.parquet(path), None, rules, as_of)
+    first.write.parquet(str(tmp_path / "c1"))
+    first = spark.read.parquet(str(tmp_path / "c1"))
+    assert counted(C.merged(first, rules), rows) == counted(C.scan(spark.read.parquet(path), rules), rows)
+
+    table.filter("id >= 40").coalesce(1).write.mode("append").parquet(path)
+    later = as_of + timedelta(days=1)
+    second = C.rescan(spark.read.parquet(path), first, rules, later)
+    assert counted(C.merged(second, rules), rows) == counted(C.scan(spark.read.parquet(path), rules), rows)
+    fresh = second.filter(F.col("captured_at") == F.lit(later)).select("file_path").distinct().collect()
+    assert len(fresh) == 1 and second.select("file_path").distinct().count() == 3
+
+    # Other detectors, and counters older than the profile allows, count everything anew.
+    assert C.rescan(spark.read.parquet(path), second, rules[:2], later).filter(F.col("captured_at") < F.lit(later)).isEmpty()
+    much_later = as_of + timedelta(days=40)
+    assert C.rescan(spark.read.parquet(path), second, rules, much_later).filter(F.col("captured_at") < F.lit(much_later)).isEmpty()
+
+
+def test_rescan_forgets_files_that_are_gone(spark, tmp_path, rows, as_of):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a@b.org",), ("c",)], "mail string").repartition(2).write.parquet(path)
+    first = C.rescan(spark.read.parquet(path), None, C.BUILT_IN, as_of)
+    first.write.parquet(str(tmp_path / "c1"))
+    gone = sorted(tmp_path.glob("t/*.parquet"))[0]
+    gone.unlink()
+    (tmp_path / "t" / f".{gone.name}.crc").unlink()
+    left = spark.read.parquet(path)
+    again = C.rescan(left, spark.read.parquet(str(tmp_path / "c1")), C.BUILT_IN, as_of)
+    assert counted(C.merged(again, C.BUILT_IN), rows) == counted(C.scan(left, C.BUILT_IN), rows)
+
+
+def test_many_changed_files_are_joined(spark, tmp_path, rows, as_of, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a@b.org",), ("c",), (None,)], "mail string").repartition(3).write.parquet(path)
+    df = spark.read.parquet(path)
+    whole = counted(C.merged(C.rescan(df, None, C.BUILT_IN, as_of), C.BUILT_IN), rows)
+    monkeypatch.setattr(C, "LISTED_FILES", 1)
+    assert counted(C.merged(C.rescan(df, None, C.BUILT_IN, as_of), C.BUILT_IN), rows) == whole
+
+
+def test_profile_decides_about_tags(spark):
+    df = spark.createDataFrame([("a@b.org",)], "mail string")
+    found = C.classify_table(df, ("D", "S", "T"), C.BUILT_IN)
+    assert C.system_tags(found).count() == 2 and C.system_tags(found, C.Profile(auto_tag=False)).count() == 0
