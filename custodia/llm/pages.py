@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,31 +30,47 @@ _NOISE = re.compile(
     r"widget|toolbar|pagination|pager|copyright|legal|disclaimer|search|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+#: Of these words, the ones that also rule over an article inside the element: comments and teasers are articles themselves.
+_OTHERS = re.compile(r"(?:^|[\s_-])(?:related|recommended|comments?|replies|disqus|widget|promo(?:tion)?s?|sponsor(?:ed|s)?|ads?|adverts?|advertisement|advertising)(?:$|[\s_-])", re.I)
 _MAIN = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold the whole page, so content in them is no element of its own.
+_PAGE = frozenset(("", "html", "body"))
 _CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _STOPS = ("ul", "ol", "dl", "table", "tbody", "div", "article", "section", "td", "body")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»\"“”]")
-#: Share of the page's mean path ratio that a path needs, and the reach of the smoothing in blocks.
-THRESHOLD, REACH = 0.05, 1
+#: Standard deviations of the ratios that a content path needs, the reach of the smoothing in blocks, and the linked share of a menu's path.
+SPREAD, REACH, LINKS = 1.0, 1, 0.85
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     """A run of text between block elements."""
 
-    path: str
+    path: int
+    node: int
     text: str
     linked: int
     main: bool
     aside: bool
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, each with its root-to-leaf path. Inline elements are not part of a path; white space is one space."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, whether in main content, whether in an aside
+@dataclass
+class Page:
+    """The blocks of a page in order. A path is the number of a root-to-leaf tag path, a node that of an element; node 0 is the page."""
+
+    blocks: list[Block]
+    tags: list[str]
+    parents: list[int]
+
+
+def parse(page: str) -> Page:
+    """The blocks of a page with their paths and elements. Inline elements are not part of a path; white space is one space."""
+    stack: list[tuple[str, int, int, bool, str]] = []  # tag, path, node, whether in main content, why it is aside
+    tags, parents, paths = [""], [0], {}
     out: list[Block] = []
     words: list[str] = []
     linked = depth_a = at = 0
@@ -62,8 +79,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(words).split())
         if text:
-            _, main, aside = stack[-1] if stack else ("", False, False)
-            out.append(Block("/".join(t for t, _, _ in stack), text, linked, main, aside))
+            _, path, node, main, aside = stack[-1] if stack else ("", 0, 0, False, "")
+            out.append(Block(path, node, text, linked, main, aside != ""))
         words.clear()
         linked = 0
 
@@ -76,7 +93,7 @@ def blocks(page: str) -> list[Block]:
 
     def close(name: str) -> None:
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0].split(".")[0] == name:
+            if stack[k][0] == name:
                 del stack[k:]
                 return
 
@@ -106,7 +123,7 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if name in _SAME:
             for k in range(len(stack) - 1, -1, -1):
-                tag = stack[k][0].split(".")[0]
+                tag = stack[k][0]
                 if tag in _SAME[name]:
                     del stack[k:]
                     break
@@ -115,12 +132,19 @@ def blocks(page: str) -> list[Block]:
         if name in _VOID:
             continue
         marks = " ".join(next(filter(None, m), "") for m in _MARK.findall(token[3] or ""))
-        _, main, aside = stack[-1] if stack else ("", False, False)
-        aside = aside or name in _ASIDE and not (name == "header" and main) or name not in ("body", "html", *_MAIN) and bool(_NOISE.search(marks))
+        _, path, node, main, aside = stack[-1] if stack else ("", 0, 0, False, "")
+        if name in _MAIN and not main and aside == "layout":
+            aside = ""
+        if name in _ASIDE and not (name == "header" and main):
+            aside = "element"
+        elif aside != "element" and name not in ("body", "html", *_MAIN) and _NOISE.search(marks):
+            aside = "element" if main or _OTHERS.search(marks) else aside or "layout"
         label = name + ("." + marks.split()[0] if marks.split() else "")
-        stack.append((label, main or name in _MAIN, aside))
+        tags.append(name)
+        parents.append(node)
+        stack.append((name, paths.setdefault((path, label), len(paths) + 1), len(tags) - 1, main or name in _MAIN, aside))
     flush()
-    return out
+    return Page(out, tags, parents)
 
 
 def _smooth(values: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -130,35 +154,94 @@ def _smooth(values: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), mode="valid")
 
 
+def content_paths(found: list[Block]) -> np.ndarray:
+    """Whether each block lies on a content path.
+
+    Of every path, the unlinked text and the punctuation are added up over its blocks; text per block x (1 + punctuation) is its ratio. The ratios are
+    handed to the blocks, smoothed in page order, averaged per path again, and fused with the path's own (geometric mean), so that neither a
+    short path beside the story nor a lone long one counts as much as the story. Content are the paths that reach SPREAD standard
+    deviations of the blocks' fused ratios.
+    """
+    _, index, count = np.unique([b.path for b in found], return_inverse=True, return_counts=True)
+    mean = lambda x: np.bincount(index, x, len(count)) / count
+    length = mean(np.array([max(0, len(b.text) - b.linked) for b in found], float))
+    own = length * (1 + np.bincount(index, [len(_PUNCTUATION.findall(b.text)) for b in found]))
+    fused = np.sqrt(own * mean(_smooth(own[index])))
+    return (fused >= SPREAD * fused[index].std())[index]
+
+
+def container(page: Page, nodes: list[int]) -> tuple[int, bool]:
+    """(the deepest element around the parents of these elements, whether it is one of those parents)."""
+    above = list(dict.fromkeys(page.parents[n] for n in nodes))
+
+    def chain(node: int) -> Iterator[int]:
+        while True:
+            yield node
+            if node == 0:
+                return
+            node = page.parents[node]
+
+    common = list(chain(above[0]))
+    depth = {node: k for k, node in enumerate(common)}
+    top = 0
+    for node in above[1:]:
+        for up in chain(node):
+            if up in depth:
+                top = max(top, depth[up])
+                break
+    return common[top], common[top] in above
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page.
 
-    Per path: mean text length per block (longer paths of running text weigh more), the share of text outside links, and punctuation per
-    character. The three are fused into one ratio for each path, handed to the path's blocks, smoothed over the blocks in page order, and
-    averaged per path again. Paths under a fixed share of the best path's ratio are dropped. Blocks within menus, page headers and footers,
-    sidebars, forms, adverts, notices and comments never count; where a page has an article or main element, only its blocks do.
+    The content paths are found by their ratios (``content_paths``) among the blocks outside menus, page headers and footers, sidebars, forms, adverts,
+    notices and comments. They lead to the content's element, whose other blocks (headings, lists, tables) belong to the text as well:
+    the article and main elements if these hold half of the content, else the element around the content. Where that element is
+    the whole page or holds content only inside further elements, the text reaches from the first content block (and the headings right before it) to the last.
+    Paths of links are left out. Words in classes and ids never rule out an article in a mere layout element.
     """
-    found = [b for b in blocks(page or "") if not b.aside]
-    if any(b.main for b in found):
-        found = [b for b in found if b.main]
+    parsed = parse(page or "")
+    found = [b for b in parsed.blocks if not b.aside]
     if not found:
         return ""
-    paths, index = np.unique([b.path for b in found], return_inverse=True)
-    size = np.array([len(b.text) for b in found], float)
-    marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in found], float)
-    linked = np.array([min(b.linked, len(b.text)) for b in found], float)
-    total = lambda x: np.bincount(index, x, len(paths))
-    length = total(size) / total(np.ones(len(found)))
-    plain = 1 - total(linked) / total(size)
-    fused = np.log1p(length) * plain * (1 + 10 * total(marks) / total(size))
-    smooth = total(_smooth(fused[index])) / total(np.ones(len(found)))
-    ratio = np.minimum(smooth, np.where(plain > 0.3, np.inf, fused))  # neighbours do not save a path of links
-    kept = ratio >= THRESHOLD * ratio.max()
-    return "\n".join(b.text for b, k in zip(found, kept[index], strict=True) if k)
+    chosen = content_paths(found)
+    mass = np.array([max(0, len(b.text) - b.linked) for b in found], float) * chosen
+    in_main = np.array([b.main for b in found])
+    if in_main.any() and 2 * mass[in_main].sum() >= mass.sum():
+        kept = in_main
+    else:
+        kept = np.zeros(len(found), bool)
+        around, direct = container(parsed, [b.node for b, c in zip(found, chosen, strict=True) if c])
+        if direct and parsed.tags[around] not in _PAGE:
+            inside = _within(parsed, around)
+            kept[:] = [inside[b.node] for b in found]
+        else:
+            first, last = np.flatnonzero(chosen)[[0, -1]]
+            while first > 0 and parsed.tags[found[first - 1].node] in _HEADINGS:
+                first -= 1
+            kept[first : last + 1] = True
+    _, index = np.unique([b.path for b in found], return_inverse=True)
+    size, linked = (np.bincount(index, [f(b) for b in found]) for f in (lambda b: len(b.text), lambda b: min(b.linked, len(b.text))))
+    kept = kept & (linked <= LINKS * size)[index]
+    return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
+
+
+def _within(page: Page, node: int) -> np.ndarray:
+    """Whether each element is the given one or lies in it; parents come before their children."""
+    inside = np.zeros(len(page.tags), bool)
+    inside[node] = True
+    for k in range(node + 1, len(page.tags)):
+        inside[k] = inside[page.parents[k]]
+    return inside
 
 
 def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars), one row per row of pages. A null or empty page has an empty text; nothing is cut, whatever its length."""
+    """(page_id, url, text, n_chars), one row per row of pages; repeated rows and rows with a null id or url each keep their own.
+
+    A null or empty page has an empty text; nothing is cut, whatever its length. An empty table has no rows. Only the three named columns
+    are read, so others may have any name, those of the result included.
+    """
 
     def extract(pages: pd.Series) -> pd.DataFrame:
         texts = [main_text(p) for p in pages]
