@@ -2,8 +2,9 @@
 
 Paragraphs (lines of at least MIN_WORDS words) go through MinHash banding, exact Jaccard confirmation and components. A passage that is
 copied into the middle of other paragraphs is found by windows: WINDOW words from every anchor, an anchor being the smallest hash of five
-words among REACH neighbours. Anchors depend only on the words around them, so a copied run of WINDOW + REACH + 4 words or more always
-holds one whole window that is equal in both documents, wherever it stands.
+words among REACH neighbours. Anchors depend only on the words around them, so every copied run of RUN words holds one whole window that is
+equal in both documents, at most REACH - 1 words from its start. So only the runs of RUN words that start there are compared, and of those all
+that another document holds are found. Runs that overlap are one passage, which is thus the whole of what was copied.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custodia.llm.common import WHITE
-from custodia.llm.minhash import lots, near_groups
-from custodia.llm.shingles import shingle_hashes, shingle_hashes_at, words_of_all
+from custodia.llm.common import WHITE, cut, release
+from custodia.llm.minhash import BITS_EACH, ROW_BITS, TABLE_BITS, lots, near_groups
+from custodia.llm.shingles import run_hashes, shingle_hashes, shingle_hashes_at, words_of_all
 
 #: Words in the shortest paragraph and in a window; anchors are the least of so many neighbours. 26 + 20 + 4 = 50 words are never overlooked.
 MIN_WORDS, WINDOW, REACH = 30, 26, 20
+RUN = WINDOW + REACH + 4
+#: A run that more than this share of all rows hold is spread over several parts, so at most so many runs are; and the least rows of a part.
+HOT_SHARE, HOT_ROWS = 1 / 1024, 2_000
 #: Probability that the bands overlook two paragraphs at the threshold, and signature values at most: 14 bands of 3 values.
 MISS, VALUES = 1e-4, 48
 
@@ -42,9 +46,9 @@ def anchors(words: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.unique(least_places(order, min(reach, len(order)))) if len(order) else np.empty(0, np.int64)
 
 
-def anchored(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, hash) of the windows of all texts. No run of places reaches over the end of a text."""
-    words, counts = words_of_all([t or "" for t in texts])
+def anchored(texts: list[str | None], hashed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, hash) of the windows of all texts. No run of places reaches over the end of a text. hashed: their words, where known."""
+    words, counts = hashed or words_of_all([t or "" for t in texts])
     ends = np.cumsum(counts)
     owner = np.repeat(np.arange(len(counts)), counts)
     if len(words) < REACH + 4:
@@ -70,11 +74,76 @@ def windows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(cut_windows, "doc_id bigint, start int, h bigint")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, first) of the windows that several documents hold; first is the smallest of them."""
-    found = windows(docs)
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h", "first")
-    return found.join(shared, "h").select("doc_id", "start", "first")
+def wanted_bits(hashes: DataFrame, count: int) -> np.ndarray:
+    """A table of bits, 32 MB at most, that knows every h of `hashes` (about `count` rows) by its last bits, and few others while it may grow."""
+    size = min(TABLE_BITS, max(ROW_BITS, (BITS_EACH * max(1, count)).bit_length()))
+    bit = F.col("h").bitwiseAND(F.lit((1 << size) - 1))
+    rows = hashes.groupBy(F.shiftright(bit, ROW_BITS).alias("row")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << ROW_BITS) - 1))).alias("bits")).collect()
+    table = np.zeros((1 << (size - ROW_BITS), (1 << ROW_BITS) // 8), np.uint8)
+    for row in rows:
+        table[row["row"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.ravel()
+
+
+def known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a table of wanted_bits knows."""
+    at = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def runs_at(texts: list[str | None], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, hash) of the runs of RUN words that hold a known window at most REACH - 1 words from their start."""
+    words, counts = words_of_all([t or "" for t in texts])
+    ends = np.cumsum(counts)
+    owner, places, marks = anchored(texts, (words, counts))
+    hit = known(bits, marks)
+    owner, places = owner[hit], places[hit]
+    begins = (ends - counts)[owner]
+    starts = (begins + places)[:, None] - np.arange(REACH)
+    inside = (starts >= begins[:, None]) & (starts + RUN <= ends[owner][:, None])
+    starts = np.unique(starts[inside])
+    if not len(starts):
+        return owner[:0], starts, words[:0]
+    of = np.searchsorted(ends, starts, "right")
+    return of, starts - (ends - counts)[of], run_hashes(words, RUN)[starts]
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, words, first, removed) of the passages of RUN words or more that several documents hold.
+
+    A run belongs to the smallest document that holds it; there it stays, everywhere else it is removed. Overlapping runs of a document that
+    are removed, or that stay, are one passage, and first is the smallest document that any of them belongs to. The windows only say where to
+    look: a table of bits over those that several documents hold goes to the tasks, which hash the runs around them in a second pass.
+    """
+    several = F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
+    windowed = cut(windows(docs).groupBy("h").agg(*several).where("first <> last").select("h"))
+    table = docs.sparkSession.sparkContext.broadcast(wanted_bits(windowed, windowed.count()))
+    release(windowed)
+
+    def cut_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, done = batch["doc_id"].to_numpy(), 0
+            for some in lots(batch["text"].tolist()):
+                owner, starts, marks = runs_at(some, table.value)
+                yield pd.DataFrame({"doc_id": ids[done + owner], "start": starts, "h": marks.view(np.int64)})
+                done += len(some)
+
+    marks = cut(docs.select("doc_id", "text").mapInPandas(cut_runs, "doc_id bigint, start int, h bigint"))
+    table.destroy()
+    shared = cut(marks.groupBy("h").agg(*several, F.count("*").alias("n")).where("first <> last").select("h", "first", "n"))
+    most = max(HOT_ROWS, int((shared.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
+    parts = F.ceil(F.col("n") / F.lit(most)).cast("int")
+    hot = shared.where(F.col("n") > most).select("h", parts.alias("parts"))  # 1 / HOT_SHARE rows at most
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int"), F.lit(0))
+    dealt = marks.join(F.broadcast(hot), "h", "left").withColumn("part", part).drop("parts")
+    found = dealt.join(shared.select("h", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), ["h", "part"])
+    placed = found.select("doc_id", (F.col("first") != F.col("doc_id")).alias("removed"), "start", "first")
+    line = Window.partitionBy("doc_id", "removed").orderBy("start")
+    begins = F.coalesce(F.col("start") >= F.lag("start").over(line) + RUN, F.lit(True)).cast("int")
+    joined = placed.withColumn("begins", begins).withColumn("passage", F.sum("begins").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.groupBy("doc_id", "removed", "passage").agg(
+        F.min("start").alias("start"), (F.max("start") - F.min("start") + RUN).cast("int").alias("words"), F.min("first").alias("first")
+    ).drop("passage")
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -90,11 +159,12 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """(doc_id, n_passages, n_removed, first_docs, spans): one row per document that shares a passage with another document.
 
-    spans holds (kind, start, words, first_doc, removed): kind paragraph counts start in lines, kind window in words; words is null for a
-    paragraph. first_doc is the smallest document of the passage's component, and only its copy stays: removed marks all others.
+    spans holds (kind, start, words, first_doc, removed): kind paragraph counts start in lines, kind passage in words; words is null for a
+    paragraph. first_doc is the smallest document of the paragraph's component or of the passage's holders, and only its copy stays: removed marks
+    all others. A word lies in a span of kind passage if and only if it lies in RUN words that another document holds as well.
 
-    Null texts, empty texts and rows with a null id have no passages. Repeats within one document alone are not reported. Rows that repeat a
-    doc_id count as one document. Other columns are not read.
+    Null texts, empty texts, empty tables and rows with a null id have no passages. Repeats within one document alone are not reported. Rows that
+    repeat a doc_id count as one document. An id that is no whole number fails. Other columns are not read, whatever their names.
     """
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and text is not null")
     units = paragraphs(rows)
@@ -107,8 +177,9 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     )
     shared = places.groupBy("component").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("component")
     near = places.join(shared, "component").select("doc_id", F.lit("paragraph").alias("kind"), "start", F.lit(None).cast("int").alias("words"), "first")
-    same = repeated_windows(rows).select("doc_id", F.lit("window").alias("kind"), "start", F.lit(WINDOW).alias("words"), "first")
-    span = F.struct("kind", "start", "words", F.col("first").alias("first_doc"), (F.col("first") != F.col("doc_id")).alias("removed"))
+    near = near.withColumn("removed", F.col("first") != F.col("doc_id"))
+    same = repeated_runs(rows).select("doc_id", F.lit("passage").alias("kind"), "start", "words", "first", "removed")
+    span = F.struct("kind", "start", "words", F.col("first").alias("first_doc"), "removed")
     return (
         near.unionByName(same).groupBy("doc_id").agg(F.sort_array(F.collect_set(span)).alias("spans"))
         .select(

@@ -140,6 +140,21 @@ def shingle_hashes_at(words: np.ndarray, starts: np.ndarray, size: int) -> np.nd
     return mix(out)
 
 
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each run of `size` words, in order, put together from runs of twice the length at a time; none with fewer words."""
+    count = max(len(words) - size + 1, 0)
+    out, run, width, done = np.full(count, size, np.uint64), words, 1, 0
+    with np.errstate(over="ignore"):
+        while count:
+            if size & width:
+                out = mix(out * _A + run[done : done + count])
+                done += width
+            if done == size:
+                break
+            run, width = mix(run[:-width] * _A + run[width:]), 2 * width
+    return out
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text), size))
 

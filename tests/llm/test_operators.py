@@ -322,9 +322,41 @@ def test_passages(spark, odd, none):
     got = {r.doc_id: r for r in paragraphs.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert set(got) == {1, 2, 3, 4, 7} and got[1].n_removed == got[3].n_removed == 0
     assert got[2].first_docs == [1] and 3 in got[4].first_docs and got[4].n_removed > 0
+    assert [(s.kind, s.start, s.words, s.removed) for s in got[1].spans] == [("passage", 45, 60, False)]
+    assert [(s.start, s.words) for s in got[2].spans if s.kind == "passage"] == [(0, 60)]
     assert paragraphs.substring_dedup(odd).where("doc_id in (1, 2, 3, 4, 7)").count() == 0 and paragraphs.substring_dedup(none).count() == 0
 
 
+def test_passages_are_whole(spark, monkeypatch):
+    """The spans cover exactly the words of the runs that several documents hold, found by comparing all runs; one run is hot."""
+    monkeypatch.setattr(paragraphs, "HOT_ROWS", 2)
+    draw, size = np.random.default_rng(5), paragraphs.RUN
+    sources = [words(500 + k, n).split() for k, n in enumerate([49, 50, 51, 70, 120, 400])]
+    texts = []
+    for k in range(60):
+        text = words(600 + k, int(draw.integers(0, 60))).split()
+        for _ in range(int(draw.integers(0, 4))):
+            source = sources[draw.integers(len(sources))]
+            begin = int(draw.integers(0, max(1, len(source) - 48)))
+            text += source[begin : begin + int(draw.integers(40, 200))] + words(int(draw.integers(1 << 30)), int(draw.integers(0, 30))).split()
+        texts.append(text)
+    holders = {}
+    for k, text in enumerate(texts):
+        for s in range(len(text) - size + 1):
+            holders.setdefault(tuple(text[s : s + size]), set()).add(k)
+    want, gone = set(), set()
+    for k, text in enumerate(texts):
+        for s in range(len(text) - size + 1):
+            held = holders[tuple(text[s : s + size])]
+            if len(held) > 1:
+                (gone if min(held) != k else want).update((k, w) for w in range(s, s + size))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = paragraphs.repeated_runs(docs).collect()
+    cover = lambda removed: {(r.doc_id, w) for r in got if r.removed == removed for w in range(r.start, r.start + r.words)}
+    assert want and gone and cover(False) == want and cover(True) == gone
+    assert len(got) == len({(r.doc_id, r.removed, r.start) for r in got}) and all(r.words >= size and (r.first != r.doc_id) == r.removed for r in got)
+
+
 def test_every_copied_run_of_fifty_words_holds_a_common_window():
     draw = np.random.default_rng(11)
     for k in range(200):
