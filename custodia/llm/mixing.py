@@ -201,8 +201,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", targets: dict[s
 
     raked is the weight of the document's cell by the marginals. A document is kept with a probability of at most 1 for which the kept tokens
     meet the raked marginals in expectation, as far as there are tokens (see calibrate and shortfall); weight is probability / rate. Not
-    calibrated, weight is raked and the probability is rate * weight cut at 1, as mixing_sql has it: cells with a weight over 1 / rate then
-    keep too little, and nothing makes up for it.
+    calibrated, weight is raked and the probability is rate * weight cut at 1: cells with a weight over 1 / rate then keep too little, and
+    nothing makes up for it. mixing_sql states the calibrated result. An empty table gives an empty result.
 
     Sampling is the feature here: the decision is drawn from a hash of the id and is the same on every run. Null sources and languages are
     values of their own; a null id is drawn like any other; empty texts have no tokens and take part with their cell's weight.
@@ -230,8 +230,12 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", targets: dict[s
     )
 
 
-def mixing_sql(docs: str, sweeps: int = SWEEPS, power: float = POWER, rate: float = RATE) -> str:
-    """DuckDB: (doc_id, source, lang, topic, n_tokens, weight, kept) of a relation with the columns of documents; each sweep is written out."""
+def mixing_sql(docs: str, sweeps: int = SWEEPS, power: float = POWER, rate: float = RATE, calibration: int = CALIBRATION) -> str:
+    """DuckDB: (doc_id, source, lang, topic, n_tokens, weight, kept) of a relation with the columns of documents; each sweep is written out.
+
+    The level to which the tokens of a margin's values are filled, at most to their size, is the largest of (goal - sizes before) / targets from
+    here on, over the values in order of size / target.
+    """
     white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     marks = lambda m: f"(length(t) - length(translate(t, '{m}', '')))"
     parts = [f"""sized as materialized (select doc_id, source, lang,
@@ -251,7 +255,24 @@ def mixing_sql(docs: str, sweeps: int = SWEEPS, power: float = POWER, rate: floa
     c.weight * case when n.now > 0 then t.target / n.now else 1.0 end as weight
   from c{step} c join (select {m}, sum(weight * tokens) as now from c{step} group by {m}) n using ({m}) join t_{m} t using ({m}))""")
             step += 1
+    parts.append(f"goal as materialized (select least({rate} * sum(weight * tokens), sum(tokens)) as goal from c{step})")
+    for m in MARGINS:
+        parts.append(f"""z_{m} as materialized (select *, case when target > 0 then size / target else 0.0 end as ratio
+  from (select {m}, sum(tokens) as size, sum(weight * tokens) as target from c{step} group by {m}))""")
+        parts.append(f"""w_{m} as materialized (select {m}, least(size, target * level) as wanted from z_{m}, (select max((goal - before) / rest) as level from goal,
+    (select coalesce(sum(size) over (order by ratio, {m} rows between unbounded preceding and 1 preceding), 0) as before,
+            sum(target) over (order by ratio, {m} rows between current row and unbounded following) as rest from z_{m}) where rest > 0))""")
+    parts.append(f"p0 as materialized (select source, lang, topic, tokens, least(1.0::double, {rate} * weight) as p from c{step})")
+    turn = 0
+    for _ in range(calibration):
+        for m in MARGINS:
+            parts.append(f"""p{turn + 1} as materialized (select c.source, c.lang, c.topic, c.tokens,
+    case when n.fixed + n.free <= 0 then c.p when n.fixed + n.free > w.wanted then c.p * w.wanted / (n.fixed + n.free)
+         when c.p >= {WHOLE!r} or n.free <= 0 then c.p else least(1.0, c.p * (w.wanted - n.fixed) / n.free) end as p
+  from p{turn} c join w_{m} w using ({m}) join (select {m}, sum(case when p >= {WHOLE!r} then p * tokens else 0.0 end) as fixed,
+    sum(case when p >= {WHOLE!r} then 0.0 else p * tokens end) as free from p{turn} group by {m}) n using ({m}))""")
+            turn += 1
     return f"""with {", ".join(parts)}
-select s.doc_id, s.source, s.lang, s.topic, s.n_tokens::bigint as n_tokens, round(c.weight, 6) as weight,
-       ('0x' || substr(md5(s.doc_id::varchar), 1, 8))::bigint / 4294967296.0 < least(1.0, {rate} * c.weight) as kept
-from sized s join c{step} c on coalesce(s.source, '(none)') = c.source and coalesce(s.lang, '(none)') = c.lang and s.topic = c.topic"""
+select s.doc_id, s.source, s.lang, s.topic, s.n_tokens::bigint as n_tokens, round(c.p / {rate}, 6) as weight,
+       ('0x' || substr(md5(coalesce(s.doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 < c.p as kept
+from sized s join p{turn} c on coalesce(s.source, '(none)') = c.source and coalesce(s.lang, '(none)') = c.lang and s.topic = c.topic"""
