@@ -1,4 +1,9 @@
-"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests that subtract, and peel to what differs."""
+"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests that subtract, and peel to what differs.
+
+A printed fingerprint has the least cells, doubled from CELLS, from which its own digests peel, so its size grows with the text. Two of them are
+folded to the size of the smaller and subtracted; if the difference does not peel, both are peeled by themselves. So `compare` gets the exact
+likeness of any two texts from their fingerprints alone.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,7 @@ from pyspark.sql import types as T
 
 from custodia.llm.shingles import mix
 
-#: Hash functions, cells of a printed fingerprint and of the first sketch that is peeled, and the mean length of a piece of a long paragraph.
+#: Hash functions, cells of the smallest sketch, and the mean length of a piece of a long paragraph.
 HASHES, CELLS, PIECE = 3, 30, 64
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -56,20 +61,106 @@ def _check(keys: np.ndarray) -> np.ndarray:
     return mix(keys + _SEEDS[2])
 
 
-def sketch(keys: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(count, xor of keys, xor of check sums) per cell."""
-    count, total, check = np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
-    for at in _cells(keys, cells):
-        np.add.at(count, at, 1)
-        np.bitwise_xor.at(total, at, keys)
-        np.bitwise_xor.at(check, at, _check(keys))
-    return count, total, check
+def fold(cells: np.ndarray, size: int, join: np.ufunc) -> np.ndarray:
+    """One row of a sketch, as a sketch of the same keys with fewer cells (a doubling of whose number gives the present one) has it."""
+    return join.reduce(cells.reshape(HASHES, -1, size // HASHES), axis=1).ravel()
+
+
+def peel(count: np.ndarray, total: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The keys of a sketch, or of the difference of two, with 1 or -1 for each; None if they do not come out. check: the upper 32 bits."""
+    count, total, check = count.copy(), total.copy(), check.copy()
+    upper = lambda keys: (_check(keys) >> np.uint64(32)).astype(np.uint32)
+    keys, signs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    while len(pure := np.flatnonzero((np.abs(count) == 1) & (check == upper(total)))):
+        found, first = np.unique(total[pure], return_index=True)
+        sign = count[pure[first]].astype(np.int64)
+        for at in _cells(found, len(count)):
+            np.add.at(count, at, -sign)
+            np.bitwise_xor.at(total, at, found)
+            np.bitwise_xor.at(check, at, upper(found))
+        keys.append(found)
+        signs.append(sign)
+        if sum(map(len, keys)) > 4 * len(count):  # a false key turns up again and again
+            return None
+    return None if count.any() or total.any() or check.any() else (np.concatenate(keys), np.concatenate(signs))
+
+
+def printed(keys: list[np.ndarray]) -> list[str]:
+    """Each text's fingerprint as text: the number of its digests, and the least sketch that they peel from."""
+    out, todo = [""] * len(keys), np.arange(len(keys))
+    sizes = np.array([CELLS * (1 << max(0, -(-len(k) // CELLS) - 1).bit_length()) for k in keys], np.int64)
+    none = [np.empty(0, np.uint64)] * len(keys)
+    while len(todo):
+        cells, offset, _, dirty = _peeled([keys[t] for t in todo], none[: len(todo)], sizes[todo])
+        count, total, upper = cells[0].astype(np.int32), cells[1], (cells[2] >> np.uint64(32)).astype(np.uint32)
+        for k in np.flatnonzero(~dirty):
+            at = slice(offset[k], offset[k + 1])
+            out[todo[k]] = base64.b64encode(np.int64(len(keys[todo[k]])).tobytes() + count[at].tobytes() + total[at].tobytes() + upper[at].tobytes()).decode()
+        todo = todo[dirty]
+        sizes[todo] *= 2
+    return out
+
+
+def read(fingerprint: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of digests, counts, keys, check sums) of a printed fingerprint."""
+    data = base64.b64decode(fingerprint)
+    cells = (len(data) - 8) // 16
+    parts = data[8 : 8 + 4 * cells], data[8 + 4 * cells : 8 + 12 * cells], data[8 + 12 * cells :]
+    return int(np.frombuffer(data[:8], np.int64)[0]), *(np.frombuffer(p, t) for p, t in zip(parts, (np.int32, np.uint64, np.uint32), strict=True))
+
+
+def compare(left: str, right: str) -> float:
+    """The likeness of two texts, from their printed fingerprints alone: common digests over all; two without any are alike."""
+    (n, *a), (m, *b) = read(left), read(right)
+    size = min(len(a[0]), len(b[0]))
+    small = [[fold(x, size, join) for x, join in zip(side, (np.add, np.bitwise_xor, np.bitwise_xor), strict=True)] for side in (a, b)]
+    found = peel(small[0][0] - small[1][0], small[0][1] ^ small[1][1], small[0][2] ^ small[1][2])
+    if found is not None:
+        less, more = int((found[1] > 0).sum()), int((found[1] < 0).sum())
+    else:  # each peels by itself
+        own, other = peel(*a)[0], peel(*b)[0]
+        less, more = len(np.setdiff1d(own, other)), len(np.setdiff1d(other, own))
+    return (n - less) / (n + more) if n + more else 1.0
 
 
-def printed(keys: np.ndarray) -> str:
-    """A sketch of CELLS cells and the number of digests, as text."""
-    count, total, check = sketch(keys)
-    return base64.b64encode(np.int32(len(keys)).tobytes() + count.astype(np.int16).tobytes() + total.tobytes() + (check >> np.uint64(32)).astype(np.uint32).tobytes()).decode()
+def _peeled(left: list[np.ndarray], right: list[np.ndarray], size: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
+    """The differences of the sketches of all pairs, peeled side by side: (cells before peeling, where each pair's begin, how many digests only
+    the left and only the right text has, whether something is left that does not peel)."""
+    pairs = len(left)
+    lengths = [[len(x) for x in side] for side in (left, right)]
+    owner = np.concatenate([np.repeat(np.arange(pairs), n) for n in lengths])
+    keys = np.concatenate([*left, *right])
+    sign = np.repeat([1, -1], [sum(n) for n in lengths])
+    offset = np.concatenate([[0], np.cumsum(size)])
+    count, total, check = np.zeros(offset[-1], np.int64), np.zeros(offset[-1], np.uint64), np.zeros(offset[-1], np.uint64)
+    home = np.repeat(np.arange(pairs), size)
+    found = np.zeros((2, pairs), np.int64)
+
+    def toggle(keys: np.ndarray, owner: np.ndarray, sign: np.ndarray) -> None:
+        sums = _check(keys)
+        for at in _cells(keys, size[owner]):
+            at = at + offset[owner]
+            np.add.at(count, at, sign)
+            np.bitwise_xor.at(total, at, keys)
+            np.bitwise_xor.at(check, at, sums)
+
+    toggle(keys, owner, sign)
+    before = count.copy(), total.copy(), check.copy()
+    active = np.arange(offset[-1])
+    while len(active):
+        pure = active[(np.abs(count[active]) == 1) & (check[active] == _check(total[active]))]
+        if not len(pure):
+            break
+        order = np.lexsort((total[pure], home[pure]))
+        pure = pure[order]
+        again = (home[pure][1:] == home[pure][:-1]) & (total[pure][1:] == total[pure][:-1])
+        pure = pure[np.concatenate([[True], ~again])]
+        marks, owners, signs = total[pure], home[pure], count[pure]
+        toggle(marks, owners, -signs)
+        np.add.at(found, (np.where(signs > 0, 0, 1), owners), 1)
+        active = np.unique(np.concatenate([at + offset[owners] for at in _cells(marks, size[owners])]))
+    dirty = np.bincount(home, (count != 0) | (total != 0) | (check != 0), pairs) > 0
+    return before, offset, found, dirty
 
 
 def differences(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,39 +168,11 @@ def differences(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.nda
 
     All pairs are peeled side by side. A pair whose sketch does not peel to nothing is sketched again with twice the cells.
     """
-    pairs = len(left)
-    only_left, only_right = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
-    sizes = np.full(pairs, CELLS)
-    todo = np.arange(pairs)
+    only_left, only_right = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    sizes = np.full(len(left), CELLS)
+    todo = np.arange(len(left))
     while len(todo):
-        owner = np.concatenate([np.repeat(np.arange(len(todo)), [len(side[p]) for p in todo]) for side in (left, right)])
-        keys = np.concatenate([side[p] for side in (left, right) for p in todo])
-        sign = np.repeat([1, -1], [sum(len(side[p]) for p in todo) for side in (left, right)])
-        size = sizes[todo]
-        offset = np.concatenate([[0], np.cumsum(size)])
-        count, total, check = np.zeros(offset[-1], np.int64), np.zeros(offset[-1], np.uint64), np.zeros(offset[-1], np.uint64)
-        home = np.repeat(np.arange(len(todo)), size)
-        found = np.zeros((2, len(todo)), np.int64)
-
-        def toggle(keys: np.ndarray, owner: np.ndarray, sign: np.ndarray) -> None:
-            for at in _cells(keys, size[owner]):
-                at = at + offset[owner]
-                np.add.at(count, at, sign)
-                np.bitwise_xor.at(total, at, keys)
-                np.bitwise_xor.at(check, at, _check(keys))
-
-        toggle(keys, owner, sign)
-        active = np.arange(offset[-1])
-        while len(active):
-            pure = active[(np.abs(count[active]) == 1) & (check[active] == _check(total[active]))]
-            if not len(pure):
-                break
-            marks = np.unique(np.rec.fromarrays([home[pure], total[pure], count[pure]], names="home,key,sign"))
-            toggle(marks["key"], marks["home"], -marks["sign"])
-            np.add.at(found, (np.where(marks["sign"] > 0, 0, 1), marks["home"]), 1)
-            touched = np.concatenate([at + offset[marks["home"]] for at in _cells(marks["key"], size[marks["home"]])])
-            active = np.unique(touched)
-        dirty = np.bincount(home, (count != 0) | (total != 0) | (check != 0), len(todo)) > 0
+        _, _, found, dirty = _peeled([left[t] for t in todo], [right[t] for t in todo], sizes[todo])
         only_left[todo[~dirty]], only_right[todo[~dirty]] = found[0][~dirty], found[1][~dirty]
         todo = todo[dirty]
         sizes[todo] *= 2
@@ -156,7 +219,9 @@ def fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
     The edited text has its last third replaced by as many code points from the start of the next document (all, if it has fewer). The next
     document is the one that follows in descending order of ids; rows that share an id follow each other by text, null ids come last, and after
-    the last row comes the first. Null texts count as empty. A single row is its own next. Other columns are not read.
+    the last row comes the first. Null texts count as empty. A single row is its own next. An empty table gives no rows, an id that is no whole
+    number fails. Other columns are not read, whatever their names. near_edited and near_next are what `compare` gives for the fingerprints; here
+    they are had for many rows at once, from the digests at hand.
     """
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -185,8 +250,8 @@ def fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
                         "doc_id": pd.array([None if pd.isna(a[1]) else int(a[1]) for a, _ in pairs], "Int64"),
                         "n_chars": [len(t) for t in texts],
                         "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
-                        "fingerprint": [printed(x) for x in own],
-                        "edited_fingerprint": [printed(x) for x in changed],
+                        "fingerprint": printed(own),
+                        "edited_fingerprint": printed(changed),
                         "near_edited": likeness(own, changed),
                         "near_next": likeness(own, after),
                     }

@@ -297,11 +297,26 @@ def test_fingerprints(spark, odd, none):
         for text, value in ((edited, own.near_edited), (n.text, own.near_next)):
             a, b = (set(fingerprints.digests(t).tolist()) for t in (r.text, text))
             assert value == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        assert fingerprints.compare(own.fingerprint, own.edited_fingerprint) == pytest.approx(own.near_edited)
+        assert fingerprints.compare(own.fingerprint, got[n.doc_id].fingerprint) == pytest.approx(own.near_next)
     few = fingerprints.fingerprint(odd).collect()
     assert len(few) == 12 and sum(r.doc_id is None for r in few) == 1
     assert fingerprints.fingerprint(none).count() == 0 and fingerprints.fingerprint(odd.limit(1)).count() == 1
 
 
+@pytest.mark.parametrize("size", [0, 1, 500, 1_000, 20_000, 400_000])
+def test_fingerprints_alone_tell_the_likeness(size):
+    draw = np.random.default_rng(size)
+    text = "".join(map(chr, draw.integers(97, 123, size)))
+    for other in (text, text[: size - size // 3] + "z" * (size // 3), text[:40], "", "".join(map(chr, draw.integers(97, 123, size * 2)))):
+        a, b = (fingerprints.digests(t) for t in (text, other))
+        want = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist())) if len(a) + len(b) else 1.0
+        left, right = fingerprints.printed([a, b])
+        assert fingerprints.compare(left, right) == pytest.approx(want) and fingerprints.compare(right, left) == pytest.approx(want)
+        keys, signs = fingerprints.peel(*fingerprints.read(left)[1:])
+        assert sorted(keys.tolist()) == sorted(a.tolist()) and (signs == 1).all()
+
+
 def test_urls(spark):
     rows = ["http://a.COM/x", "http://example.com/en/1", "https://www.example.com/en/2?q", "https://m.net/es/", "http://net/fr/#a", "http://x.com", "no url", None, "a://casino-win.org?x", "http://notexample.com/en/"]
     got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id int, url string"), rules=queries.URL_RULES).collect()}
