@@ -40,9 +40,9 @@ def upsert(
     would shuffle and sort the whole target every time.) NULL keys never match, as in SQL.
     """
     keys = list(keys)
-    source = one_per_key(source, keys)
+    single, loose = one_per_key(source, keys)
     update = [c for c in source.columns if c not in keys and c in target.columns] if update is None else list(update)
-    s = source.select(*[F.col(c).alias(f"s__{c}") for c in source.columns], F.lit(True).alias("s__hit"))
+    s = single.select(*[F.col(c).alias(f"s__{c}") for c in source.columns], F.lit(True).alias("s__hit"))
     joined = target.join(s, [target[k] == s[f"s__{k}"] for k in keys], "left")
     hit = F.coalesce("s__hit", F.lit(False))
     if when is not None:
@@ -56,7 +56,7 @@ def upsert(
         ]
     )
     given = dict(insert_values or {})
-    added = absent(source, target, keys).select(
+    added = absent(single, target, keys).unionByName(loose).select(
         *[
             (F.col(f.name) if f.name in source.columns else given.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
             for f in target.schema.fields
@@ -65,8 +65,8 @@ def upsert(
     return kept.unionByName(added)
 
 
-def one_per_key(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The source, with an error raised while it is read if a key without NULLs occurs twice."""
+def one_per_key(source: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The source rows whose keys hold no NULL, with an error raised while they are read if a key occurs twice, and all others."""
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
@@ -74,7 +74,7 @@ def one_per_key(source: DataFrame, keys: Sequence[str]) -> DataFrame:
     grouped = source.filter(whole).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(F.lit(1).alias("__one"), *rest)).alias("__row"))
     checked = grouped.filter(F.assert_true(F.col("__n") == 1, F.lit(f"duplicate keys: {', '.join(keys)}")).isNull())
     single = checked.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in source.columns])
-    return single.unionByName(source.filter(~whole))
+    return single, source.filter(~whole)
 
 
 def absent(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
