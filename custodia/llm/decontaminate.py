@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from custodia.llm.common import cut, release
 from custodia.llm.shingles import WORD_BYTES, word_hashes, words_of_all
 
-#: Bits of a term's hash, latent dimensions with spare ones, documents the space is fitted on, words in a passage of it, and power rounds.
-BITS, RANK, SPARE, SAMPLE, PASSAGE, ROUNDS = 14, 48, 16, 3000, 40, 2
+#: Bits of a term's hash, latent dimensions with spare ones, words in a passage that the space is fitted on, passages in a lot, and power rounds.
+BITS, RANK, SPARE, PASSAGE, LOT, ROUNDS = 14, 48, 16, 40, 50, 2
 #: Words in a block. Windows are whole blocks, this much longer than their items, start every so-many-th of their length (rounded down), and are
 #: candidates from this cosine.
 BLOCK, SLACK, STEP, COSINE = 6, 1.1, 3, 0.48
@@ -37,23 +38,43 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many documents each term bucket occurs, over all documents, and their number. Partitions add up before the shuffle."""
+def passage_terms(docs: DataFrame) -> DataFrame:
+    """The terms of all passages of all documents, written once, in lots of LOT passages at most; and in how many documents each occurs.
+
+    A lot holds the term buckets of one passage after another (2 bytes each), how often the passage has each (1 byte) and how many each passage
+    has (1 byte). Each partition ends with a row that has no lot but, for each bucket, the number of its documents with it, and for -1 of all.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, rows = np.zeros(1 << BITS, np.int64), 0
+        found, rows, some = np.zeros(1 << BITS, np.int64), 0, (1 << BITS) - 1
         for batch in batches:
             rows += len(batch)
             for begin in range(0, len(batch), 200):
                 hashes, counts = words_of_all(list(batch["text"].iloc[begin : begin + 200]), WORD_BYTES)
-                pairs = np.unique(np.repeat(np.arange(len(counts)) << BITS, counts) + buckets(hashes))
-                found += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+                place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+                first = place % PASSAGE == 0
+                pairs, times = np.unique(((np.cumsum(first) - 1) << BITS) + buckets(hashes), return_counts=True)
+                owner = np.repeat(np.arange(len(counts)), counts)[first]
+                found += np.bincount(np.unique((owner[pairs >> BITS] << BITS) + (pairs & some)) & some, minlength=1 << BITS)
+                sizes = np.bincount(pairs >> BITS, minlength=len(owner))
+                ends = np.append(0, np.cumsum(sizes))
+                lots = []
+                for low in range(0, len(sizes), LOT):
+                    high = min(low + LOT, len(sizes))
+                    part = slice(ends[low], ends[high])
+                    lots.append(((pairs[part] & some).astype(np.uint16).tobytes(), times[part].astype(np.uint8).tobytes(), sizes[low:high].astype(np.uint8).tobytes(), None, None))
+                yield pd.DataFrame(lots, columns=["terms", "times", "sizes", "bucket", "n"])
         used = np.flatnonzero(found)
-        yield pd.DataFrame({"bucket": np.append(used, -1).astype(np.int64), "n": np.append(found[used], rows)})
+        yield pd.DataFrame({"terms": [None], "times": [None], "sizes": [None], "bucket": [np.append(used, -1)], "n": [np.append(found[used], rows)]})
+
+    return cut(docs.select("text").mapInPandas(count, "terms binary, times binary, sizes binary, bucket array<bigint>, n array<bigint>"))
 
-    counted = docs.select("text").mapInPandas(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+
+def document_counts(passages: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many documents each term bucket occurs, over all documents, and their number. Partitions have added up theirs."""
+    pairs = passages.where("terms is null").select(F.explode(F.arrays_zip("bucket", "n")).alias("x")).select("x.*")
     out, rows = np.zeros(1 << BITS, np.int64), 0
-    for r in counted:
+    for r in pairs.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         if r["bucket"] < 0:
             rows = r["n"]
         else:
@@ -61,40 +82,51 @@ def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, rows
 
 
-def _product(passages: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A times a basis, A being the unit TF-IDF rows of the passages: each partition adds up its part, Spark adds the parts by slices."""
+def _products(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, small: bool = False) -> np.ndarray:
+    """A'A times a basis, A being the unit TF-IDF rows of all passages; small: the square matrix of the basis, A'A and the basis.
+
+    Each task adds up its part, Spark adds the parts by slices.
+    """
     context = passages.sparkSession.sparkContext
     shared = context.broadcast((idf.astype(np.float32), basis.astype(np.float32)))
     slices = 64
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, basis = shared.value
-        total = np.zeros(basis.shape, np.float32)
+        total = np.zeros((basis.shape[1], basis.shape[1]) if small else basis.shape)
         for batch in batches:
-            for text in batch["text"]:
-                ids = buckets(terms(text))
-                for begin in range(0, len(ids), PASSAGE):
-                    part, counts = np.unique(ids[begin : begin + PASSAGE], return_counts=True)
-                    row = counts * idf[part]
-                    row /= max(np.sqrt((row**2).sum()), 1e-9)
-                    total[part] += np.outer(row, row @ basis[part])
+            for terms, times, sizes in zip(batch["terms"], batch["times"], batch["sizes"], strict=True):
+                terms, sizes = np.frombuffer(terms, np.uint16), np.frombuffer(sizes, np.uint8)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                values = np.frombuffer(times, np.uint8) * idf[terms]
+                values /= np.maximum(np.sqrt(np.bincount(row, values**2, len(sizes))), 1e-9).astype(np.float32)[row]
+                distinct, column = np.unique(terms, return_inverse=True)
+                lot = np.zeros((len(sizes), len(distinct)), np.float32)
+                lot[row, column] = values
+                placed = lot @ basis[distinct]
+                if small:
+                    total += placed.T @ placed
+                else:
+                    total[distinct] += lot.T @ placed
         yield pd.DataFrame({"slice": range(slices), "part": [x.tobytes() for x in np.split(total, slices)]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.float32) for x in rows["part"]], axis=0)
-        return pd.DataFrame({"slice": rows["slice"][:1], "part": [total.astype(np.float32).tobytes()]})
+        total = np.sum([np.frombuffer(x) for x in rows["part"]], axis=0)
+        return pd.DataFrame({"slice": rows["slice"][:1], "part": [total.tobytes()]})
 
-    summed = passages.select("text").mapInPandas(multiply, "slice int, part binary").groupBy("slice").applyInPandas(add, "slice int, part binary")
+    lots = passages.where("terms is not null").select("terms", "times", "sizes").coalesce(2 * context.defaultParallelism)  # so many parts to add
+    summed = lots.mapInPandas(multiply, "slice int, part binary").groupBy("slice").applyInPandas(add, "slice int, part binary")
     got = sorted((r["slice"], bytes(r["part"])) for r in summed.collect())
-    return np.concatenate([np.frombuffer(x, np.float32) for _, x in got]).reshape(basis.shape).astype(float)
+    shared.destroy()
+    return np.concatenate([np.frombuffer(x) for _, x in got]).reshape(-1, basis.shape[1])
 
 
-def latent_space(sample: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarray:
+def latent_space(passages: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarray:
     """A vector for each term bucket: its idf times its row of the leading right singular vectors, each divided by its singular value."""
     basis = np.random.default_rng(seed).normal(size=(1 << BITS, RANK + SPARE))
     for _ in range(ROUNDS):
-        basis = np.linalg.qr(_product(sample, idf, basis))[0]
-    inner = basis.T @ _product(sample, idf, basis)
+        basis = np.linalg.qr(_products(passages, idf, basis))[0]
+    inner = _products(passages, idf, basis, small=True)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     order = np.argsort(-values)[:RANK]
     return (idf[:, None] * (basis @ vectors[:, order]) / np.sqrt(np.maximum(values[order], 1e-9))).astype(np.float32)
@@ -257,7 +289,12 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
     first = np.cumsum(blocks) - blocks
     at = np.repeat(begins - first * BLOCK, blocks) + np.arange(blocks.sum()) * BLOCK
     sums = np.zeros((len(at) + 1, RANK), np.float32)
-    np.cumsum(np.add.reduceat(space[buckets(hashes)], at, axis=0), axis=0, out=sums[1:])
+    terms_, left_in = buckets(hashes), np.repeat(ends_of, blocks) - at
+    summed = space[terms_[at]]
+    for k in range(1, BLOCK):  # a word of every block at a time
+        more = np.flatnonzero(left_in > k)
+        summed[more] += space[terms_[at[more] + k]]
+    np.cumsum(summed, axis=0, out=sums[1:])
     best: dict[tuple[int, int], tuple[float, float]] = {}
     place = None
     rare_item, rare_place = rare_places(hashes, items)
@@ -308,21 +345,22 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, share): the benchmark items that each document holds, word for word or reworded. Clean documents have no row.
 
-    Term statistics cover all documents. The latent space is fitted on about SAMPLE documents, chosen by a hash of the id; every window of
-    every text is searched. The space cannot lose a leak, for windows that it overlooks are found by their rare words. Items are taken ITEMS at a time, one pass over the documents for each lot. Null or empty texts, items of fewer
+    Term statistics and the latent space cover all passages of all documents, whose terms are written once and read by each round of the fit;
+    every window of every text is searched. The space cannot lose a leak, for windows that it overlooks are found by their rare words. Items are taken ITEMS at a time, one pass over the documents for each lot. Null or empty texts, items of fewer
     than four words, and rows with a null id hold or are nothing. Rows that repeat an id are searched on their own.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and text is not null")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counts, total = document_counts(rows)
+    passages = passage_terms(rows)
+    counts, total = document_counts(passages)
     schema = f"doc_id {kind}, item_id bigint, cosine double, share double"
-    if not total:
+    if not counts.any():
+        release(passages)
         return spark.createDataFrame([], schema)
     idf = np.where(counts > 0, np.log((1 + total) / (1 + counts)) + 0.1, 0.0)
-    share = min(1.0, SAMPLE / total)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).repartition(8)
-    space = latent_space(sample, idf)
+    space = latent_space(passages, idf)
+    release(passages)
     wanted = benchmark.select(F.col(f"`{item}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).where("item_id is not null and text is not null")
 
     def search(items: Items) -> DataFrame:

@@ -174,6 +174,28 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0 and decontaminate.find_leaks(more, bench.limit(0)).count() == 0
 
 
+def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
+    """A'A times a basis as the fit has it, against a matrix of all passages."""
+    texts = [words(k, 1 + k % 90) for k in range(3500)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    bench = spark.createDataFrame([(1, words(90, 30))], "item_id bigint, text string")
+    seen, products = [], decontaminate._products
+    monkeypatch.setattr(decontaminate, "_products", lambda *a, **k: seen.append((a[1:], products(*a, **k))) or seen[-1][1])
+    decontaminate.find_leaks(docs, bench).count()
+    (idf, basis), got = seen[0]
+    rows, used = [], np.flatnonzero(idf)
+    for t in texts:
+        ids = decontaminate.buckets(decontaminate.terms(t))
+        for k in range(0, len(ids), decontaminate.PASSAGE):
+            row = (np.bincount(ids[k : k + decontaminate.PASSAGE], minlength=len(idf)) * idf)[used]
+            rows.append(row / np.linalg.norm(row))
+    matrix = np.array(rows)
+    assert np.allclose(got[used], matrix.T @ (matrix @ basis[used]), rtol=1e-3, atol=1e-3 * np.abs(got).max())
+    (_, basis), got = seen[-1]
+    placed = matrix @ basis[used]
+    assert np.allclose(got, placed.T @ placed, rtol=1e-3, atol=1e-3 * np.abs(got).max())
+
+
 @pytest.mark.parametrize("replaced", [0.0, 0.2, 0.3, 0.45])
 def test_every_leak_that_the_checks_accept_is_found(spark, replaced):
     """Items planted word for word and reworded, against checking every region; the latent space is of no use here."""
