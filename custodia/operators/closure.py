@@ -52,14 +52,15 @@ class Closure:
 def build(edges: DataFrame, start: DataFrame, direction: str, carry: Sequence[str], max_distance: int = L.MAX_DISTANCE) -> Closure:
     """The closure of the anchors in ``start`` (node columns and ``carry``), from the edges as they are. Repeated edges count once."""
     columns = edges.columns
-    table = L.stored(edges.distinct(), direction)
+    near, far = L.ends(direction)
+    table = graph.store_edges(edges, near, far, distinct=True)
     key = [*carry, *L.NODE]
     level = cut(start.select(*key).distinct().withColumns({"hop": F.lit(0), "walks": F.lit(1).cast(WALKS)}))
     levels = [level]
     for hop in range(1, max_distance):
         level = cut(_add_up(_onward(table, None, level, carry, key), key, hop))
         levels.append(level)
-    state = cut(reduce(DataFrame.unionByName, levels))
+    state = reduce(DataFrame.unionByName, levels)
     closure = Closure(table, None, state, state, None, direction, tuple(carry), max_distance)
     return replace(closure, snapshot=cut(_edges_of(closure, state, columns)))
 

@@ -37,15 +37,18 @@ def alike(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, [x.eqNullSafe(y).cast("int") for x, y in zip(left, right, strict=True)]) == len(left)
 
 
-def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, int]:
-    """``df`` stored with one sorted file per bucket of ``key``, and its number of rows.
+def bucketed(df: DataFrame, key: str, buckets: int, distinct: bool = False) -> tuple[DataFrame, int]:
+    """``df`` (its distinct rows) stored with one sorted file per bucket of ``key``, and its number of rows.
 
     The files lie in the shared scratch folder; the session's catalog holds the bucketing.
     """
     spark = df.sparkSession
     name = f"custodia_{uuid.uuid4().hex}"
     seen = Observation()
-    dealt = df.repartition(buckets, key).observe(seen, F.count(F.lit(1)).alias("rows"))
+    dealt = df.repartition(buckets, key)
+    if distinct:  # equal rows lie in one bucket, so they do not move again
+        dealt = dealt.distinct()
+    dealt = dealt.observe(seen, F.count(F.lit(1)).alias("rows"))
     dealt.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_path(spark, name)).format("parquet").saveAsTable(name)
     return spark.table(name), seen.get["rows"]
 
@@ -84,8 +87,8 @@ class EdgeTable:
         return [c for c in self.rows.columns if c != BUCKET]
 
 
-def store_edges(edges: DataFrame, near: Sequence[str], far: Sequence[str], buckets: int | None = None) -> EdgeTable:
-    """Store an edge relation by the node its edges leave. It moves here, once, and in no hop."""
+def store_edges(edges: DataFrame, near: Sequence[str], far: Sequence[str], buckets: int | None = None, distinct: bool = False) -> EdgeTable:
+    """Store an edge relation, or its distinct edges, by the node its edges leave. It moves here, once, and in no hop."""
     spark = edges.sparkSession
     buckets = buckets or default_buckets(spark)
     keyed = edges.withColumn(KEY, F.xxhash64(*near))
@@ -101,7 +104,7 @@ def store_edges(edges: DataFrame, near: Sequence[str], far: Sequence[str], bucke
         keyed = keyed.join(F.broadcast(hubs), KEY, "left")
         slot = F.pmod(F.xxhash64(F.lit(1), *far), F.coalesce("__slots", F.lit(1)))
     placed = keyed.withColumn(BUCKET, F.xxhash64(F.col(KEY), slot)).drop(KEY, "__slots")
-    return EdgeTable(bucketed(placed, BUCKET, buckets)[0], tuple(near), tuple(far), buckets, hubs)
+    return EdgeTable(bucketed(placed, BUCKET, buckets, distinct)[0], tuple(near), tuple(far), buckets, hubs)
 
 
 def as_table(edges: DataFrame | EdgeTable, near: Sequence[str], far: Sequence[str]) -> EdgeTable:

@@ -52,10 +52,14 @@ def anchors(spark, *names: str) -> DataFrame:
     return values_df(spark, rows, ", ".join(f"{c} string" for c in NODE))
 
 
+def ends(direction: str) -> tuple[list[str], list[str]]:
+    """The end of an edge that a walk in this direction comes from, and the one it goes to."""
+    return (SOURCE, TARGET) if direction == "DOWNSTREAM" else (TARGET, SOURCE)
+
+
 def stored(edges: DataFrame | graph.EdgeTable, direction: str) -> graph.EdgeTable:
     """The edges as a table bucketed by the end that a walk in this direction comes from."""
-    near, far = (SOURCE, TARGET) if direction == "DOWNSTREAM" else (TARGET, SOURCE)
-    return graph.as_table(edges, near, far)
+    return graph.as_table(edges, *ends(direction))
 
 
 def reach(
@@ -187,7 +191,7 @@ def impact_edges(edges: DataFrame | graph.EdgeTable) -> graph.EdgeTable:
     """Distinct edges as impact analysis follows them, stored by the node they leave."""
     if isinstance(edges, graph.EdgeTable):
         return graph.as_table(edges, SOURCE, TARGET)
-    return graph.store_edges(edges.select(*SOURCE, *IMPACT).distinct(), SOURCE, TARGET)
+    return graph.store_edges(edges.select(*SOURCE, *IMPACT), SOURCE, TARGET, distinct=True)
 
 
 def impact_levels(edges: DataFrame | graph.EdgeTable, sources: DataFrame, max_hops: int = MAX_DISTANCE) -> DataFrame:
@@ -231,37 +235,34 @@ def _level(table: graph.EdgeTable, nodes: DataFrame, columns: Sequence[str], hop
 def draw_paths(edges: DataFrame | graph.EdgeTable, levels: DataFrame, chosen: DataFrame, max_hops: int = MAX_DISTANCE) -> DataFrame:
     """One path for each chosen row of ``impact_levels`` (source_column, TARGET columns and hop), as ``impact`` prints it.
 
-    Walks back one hop at a time over the edges stored by their far end, always to the least predecessor that the level before holds, so
-    there is one row per chosen node throughout.
+    Each row of ``levels`` is first given its least predecessor among those that the level before holds, over the edges that leave these: only
+    what was reached is looked at. Then the chosen nodes walk back a hop at a time, so there is one row per chosen node throughout.
     """
-    if isinstance(edges, graph.EdgeTable):
-        if edges.near != tuple(TARGET):
-            raise ValueError("paths are drawn over edges stored by their far end")
-        back = edges
-    else:
-        back = graph.store_edges(edges.select(*SOURCE, *TARGET).distinct(), TARGET, SOURCE)
-    held = levels.select(F.col("source_column").alias("start"), *[F.col(t).alias(s) for s, t in zip(SOURCE, TARGET, strict=True)], F.col("hop").alias("level")).distinct()
+    if isinstance(edges, graph.EdgeTable) and edges.near == tuple(TARGET):
+        edges = edges.rows
+    table = edges if isinstance(edges, graph.EdgeTable) else graph.store_edges(edges.select(*SOURCE, *TARGET), SOURCE, TARGET, distinct=True)
+    held = levels.select(F.col("source_column").alias("start"), *[F.col(t).alias(n) for n, t in zip(NODE, TARGET, strict=True)], F.col("hop").alias("level")).distinct()
+    before = F.struct(*[F.col(s).alias(n) for n, s in zip(NODE, SOURCE, strict=True)])
+    least, _ = cut_counted(
+        graph.as_table(table, SOURCE, TARGET).leaving(held, NODE)
+        .select("n.start", (F.col("n.level") + 1).alias("level"), *[F.col(f"e.{c}") for c in [*TARGET, *SOURCE]])
+        .groupBy("start", "level", *TARGET).agg(F.min(before).alias("before"))
+    )
     wanted = chosen.select(F.col("source_column").alias("start"), *TARGET, "hop").distinct()
     open_ = wanted.select("*", F.col("hop").alias("level"), *[F.col(t).alias(n) for n, t in zip(NODE, TARGET, strict=True)],
                           node(*[F.col(t) for t in TARGET]).alias("path"))
-    key, place = ["start", *TARGET, "hop"], ["start", "level", *SOURCE]
+    key = ["start", *TARGET, "hop"]
     done = []
     for _ in range(max_hops):
         open_, rows = cut_counted(open_)
         if rows == 0:
             break
         done.append(open_.where("level = 1").withColumn("path", F.concat_ws(" -> ", "start", "path")).select(*key, "path"))
-        steps = (
-            back.leaving(open_.where("level > 1"), NODE)
-            .select(*[F.col(f"n.{c}") for c in key], (F.col("n.level") - 1).alias("level"), "n.path", *[F.col(f"e.{c}") for c in SOURCE])
-            .alias("s")
-        )
-        on = graph.same([F.col(f"s.{c}") for c in place], [F.col(f"h.{c}") for c in place])
-        before = F.struct(*[F.col(c).alias(n) for n, c in zip(NODE, SOURCE, strict=True)])
-        open_ = (
-            steps.join(held.alias("h"), on, "left_semi").groupBy(*key, "level", "path").agg(F.min(before).alias("before"))
-            .select(*key, "level", "before.*", F.concat_ws(" -> ", node(*[F.col(f"before.{n}") for n in NODE]), "path").alias("path"))
-        )
+        o, b = open_.where("level > 1").alias("o"), least.alias("b")
+        on = graph.same([F.col(f"o.{c}") for c in ["start", "level", *NODE]], [F.col(f"b.{c}") for c in ["start", "level", *TARGET]])
+        open_ = o.join(b, on).select(
+            *[F.col(f"o.{c}") for c in key], (F.col("o.level") - 1).alias("level"), *[F.col(f"b.before.{n}").alias(n) for n in NODE],
+            F.concat_ws(" -> ", node(*[F.col(f"b.before.{n}") for n in NODE]), F.col("o.path")).alias("path"))
     out = R.union_all(done) if done else wanted.withColumn("path", F.lit(None).cast("string"))
     return out.withColumnRenamed("start", "source_column")
 

@@ -187,8 +187,9 @@ def _levels(i: Inputs, *names: str):
 
 def _drawn(i: Inputs, name: str):
     """One path to every node that is affected at the fourth hop."""
-    levels = L.impact_levels(i.stored_edges, L.anchors(i.spark, name))
-    return L.draw_paths(i.stored_edges, levels, levels.where("hop = 4")).select("target_object", "hop", "path")
+    edges = L.impact_edges(i.stored_edges)
+    levels = L.impact_levels(edges, L.anchors(i.spark, name))
+    return L.draw_paths(edges, levels, levels.where("hop = 4")).select("target_object", "hop", "path")
 
 
 def levels_sql(*starts: tuple[str, str]) -> str:
