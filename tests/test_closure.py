@@ -97,6 +97,20 @@ def test_drawn_paths_are_listed_paths(spark, dense):
     assert drawn <= listed and len(drawn) == levels.count()
 
 
+def test_paths_are_drawn_over_the_edges_that_levels_walked(spark, dense, rows):
+    """The table stored by the node its edges leave serves both, so edges are dealt to buckets once."""
+    table = L.impact_edges(dense.unionByName(dense))
+    levels = L.impact_levels(table, L.anchors(spark, "D.S.S.col"))
+    assert rows(L.draw_paths(table, levels, levels)) == rows(L.draw_paths(dense, levels, levels))
+
+
+def test_repeated_edges_are_stored_once(spark):
+    """Also where a hub is spread over buckets: equal edges meet in the shuffle that deals them."""
+    pairs = [("HUB", f"H{k}") for k in range(300)] + [(f"A{k}", None) for k in range(20)]
+    table = graph.store_edges(frame(spark, pairs * 3), L.SOURCE, L.TARGET, 4, distinct=True)
+    assert table.hubs is not None and table.rows.count() == 320 and table.rows.select(*table.columns).distinct().count() == 320
+
+
 @pytest.mark.parametrize("threshold", ["-1", "10m"])
 def test_hops_do_not_move_the_edges(spark, capsys, threshold):
     """At any size of the frontier: dealt to the buckets where it is large, broadcast where it is small."""
