@@ -18,6 +18,8 @@ from custodia.llm.shingles import WORD_BYTES, word_hashes, words_of_all
 
 #: Bits of a term's hash, latent dimensions with spare ones, words in a passage that the space is fitted on, passages in a lot, and power rounds.
 BITS, RANK, SPARE, PASSAGE, LOT, ROUNDS = 14, 48, 16, 40, 50, 2
+#: Lots whose products are added up in single precision before they go into a sum of double precision.
+SUMMED = 64
 #: Words in a block. Windows are whole blocks, this much longer than their items, start every so-many-th of their length (rounded down), and are
 #: candidates from this cosine.
 BLOCK, SLACK, STEP, COSINE = 6, 1.1, 3, 0.48
@@ -41,33 +43,40 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
 def passage_terms(docs: DataFrame) -> DataFrame:
     """The terms of all passages of all documents, written once, in lots of LOT passages at most; and in how many documents each occurs.
 
-    A lot holds the term buckets of one passage after another (2 bytes each), how often the passage has each (1 byte) and how many each passage
-    has (1 byte). Each partition ends with a row that has no lot but, for each bucket, the number of its documents with it, and for -1 of all.
+    A lot holds the distinct term buckets of its passages (2 bytes each) and how many passages have each (1 byte), and, one bucket after another,
+    these passages' numbers and how often they have it (1 byte each). Each partition ends with a row that has no lot but, for each bucket, the
+    number of its documents with it, and for -1 of all.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, rows, some = np.zeros(1 << BITS, np.int64), 0, (1 << BITS) - 1
+        found, rows, some, row_bits = np.zeros(1 << BITS, np.int64), 0, (1 << BITS) - 1, LOT.bit_length()
+        seen = np.zeros(200 << BITS, bool)
         for batch in batches:
             rows += len(batch)
             for begin in range(0, len(batch), 200):
                 hashes, counts = words_of_all(list(batch["text"].iloc[begin : begin + 200]), WORD_BYTES)
-                place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-                first = place % PASSAGE == 0
-                pairs, times = np.unique(((np.cumsum(first) - 1) << BITS) + buckets(hashes), return_counts=True)
-                owner = np.repeat(np.arange(len(counts)), counts)[first]
-                found += np.bincount(np.unique((owner[pairs >> BITS] << BITS) + (pairs & some)) & some, minlength=1 << BITS)
-                sizes = np.bincount(pairs >> BITS, minlength=len(owner))
-                ends = np.append(0, np.cumsum(sizes))
+                terms_, owner = buckets(hashes), np.repeat(np.arange(len(counts)), counts)
+                cells = (owner << BITS) + terms_
+                seen[cells] = True
+                found += np.bincount(np.flatnonzero(seen) & some, minlength=1 << BITS)
+                seen[cells] = False
+                first = (np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)) % PASSAGE == 0
+                passage = np.cumsum(first) - 1
+                keys, times = np.unique(((passage // LOT << BITS) + terms_ << row_bits) + passage % LOT, return_counts=True)
+                places, times = (keys & (1 << row_bits) - 1).astype(np.uint8), times.astype(np.uint8)
+                keys >>= row_bits
+                heads = np.flatnonzero(np.diff(keys, prepend=-1))
+                held, distinct, lot = np.diff(np.append(heads, len(keys))).astype(np.uint8), (keys[heads] & some).astype(np.uint16), keys[heads] >> BITS
                 lots = []
-                for low in range(0, len(sizes), LOT):
-                    high = min(low + LOT, len(sizes))
-                    part = slice(ends[low], ends[high])
-                    lots.append(((pairs[part] & some).astype(np.uint16).tobytes(), times[part].astype(np.uint8).tobytes(), sizes[low:high].astype(np.uint8).tobytes(), None, None))
-                yield pd.DataFrame(lots, columns=["terms", "times", "sizes", "bucket", "n"])
+                ends = np.append(np.flatnonzero(np.diff(lot, prepend=-1)), len(heads))
+                for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    part = slice(heads[low], heads[high] if high < len(heads) else len(keys))
+                    lots.append((distinct[low:high].tobytes(), held[low:high].tobytes(), places[part].tobytes(), times[part].tobytes(), None, None))
+                yield pd.DataFrame(lots, columns=["terms", "held", "places", "times", "bucket", "n"])
         used = np.flatnonzero(found)
-        yield pd.DataFrame({"terms": [None], "times": [None], "sizes": [None], "bucket": [np.append(used, -1)], "n": [np.append(found[used], rows)]})
+        yield pd.DataFrame({"terms": [None], "held": [None], "places": [None], "times": [None], "bucket": [np.append(used, -1)], "n": [np.append(found[used], rows)]})
 
-    return cut(docs.select("text").mapInPandas(count, "terms binary, times binary, sizes binary, bucket array<bigint>, n array<bigint>"))
+    return cut(docs.select("text").mapInPandas(count, "terms binary, held binary, places binary, times binary, bucket array<bigint>, n array<bigint>"))
 
 
 def document_counts(passages: DataFrame) -> tuple[np.ndarray, int]:
@@ -93,28 +102,37 @@ def _products(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, small: bo
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, basis = shared.value
-        total = np.zeros((basis.shape[1], basis.shape[1]) if small else basis.shape)
+        shape = (basis.shape[1], basis.shape[1]) if small else basis.shape
+        total, recent, done = np.zeros(shape), np.zeros(shape, np.float32), 0
+        lots, taken, added = np.empty(basis.shape[0] * LOT, np.float32), np.empty_like(basis), np.empty_like(basis)  # kept, as new memory costs more than the sums
         for batch in batches:
-            for terms, times, sizes in zip(batch["terms"], batch["times"], batch["sizes"], strict=True):
-                terms, sizes = np.frombuffer(terms, np.uint16), np.frombuffer(sizes, np.uint8)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                values = np.frombuffer(times, np.uint8) * idf[terms]
-                values /= np.maximum(np.sqrt(np.bincount(row, values**2, len(sizes))), 1e-9).astype(np.float32)[row]
-                distinct, column = np.unique(terms, return_inverse=True)
-                lot = np.zeros((len(sizes), len(distinct)), np.float32)
-                lot[row, column] = values
-                placed = lot @ basis[distinct]
+            for distinct, held, places, times in zip(batch["terms"], batch["held"], batch["places"], batch["times"], strict=True):
+                distinct, held, places = np.frombuffer(distinct, np.uint16), np.frombuffer(held, np.uint8), np.frombuffer(places, np.uint8)
+                values, count = np.frombuffer(times, np.uint8) * np.repeat(idf[distinct], held), int(places.max()) + 1
+                values /= np.maximum(np.sqrt(np.bincount(places, values**2, count)), 1e-9).astype(np.float32)[places]
+                lot, near, more = lots[: len(distinct) * count], taken[: len(distinct)], added[: len(distinct)]
+                lot[:] = 0
+                lot[np.repeat(np.arange(len(distinct)) * count, held) + places] = values
+                lot = lot.reshape(len(distinct), count)
+                placed = lot.T @ basis.take(distinct, axis=0, out=near, mode="clip")
                 if small:
-                    total += placed.T @ placed
+                    recent += placed.T @ placed
                 else:
-                    total[distinct] += lot.T @ placed
+                    np.matmul(lot, placed, out=more)
+                    more += recent.take(distinct, axis=0, out=near, mode="clip")
+                    recent[distinct] = more
+                done += 1
+                if done % SUMMED == 0:
+                    total += recent
+                    recent[:] = 0
+        total += recent
         yield pd.DataFrame({"slice": range(slices), "part": [x.tobytes() for x in np.split(total, slices)]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x) for x in rows["part"]], axis=0)
         return pd.DataFrame({"slice": rows["slice"][:1], "part": [total.tobytes()]})
 
-    lots = passages.where("terms is not null").select("terms", "times", "sizes").coalesce(2 * context.defaultParallelism)  # so many parts to add
+    lots = passages.where("terms is not null").select("terms", "held", "places", "times").coalesce(2 * context.defaultParallelism)  # so many parts to add
     summed = lots.mapInPandas(multiply, "slice int, part binary").groupBy("slice").applyInPandas(add, "slice int, part binary")
     got = sorted((r["slice"], bytes(r["part"])) for r in summed.collect())
     shared.destroy()
@@ -132,11 +150,17 @@ def latent_space(passages: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndar
     return (idf[:, None] * (basis @ vectors[:, order]) / np.sqrt(np.maximum(values[order], 1e-9))).astype(np.float32)
 
 
-def subsequence(needle: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence, a word of the text at a time, with one bit for each word of the needle."""
+def bits_of(needle: np.ndarray) -> dict[int, int]:
+    """For each word of the needle, a number with the bits of its places."""
     masks: dict[int, int] = {}
     for k, word in enumerate(needle.tolist()):
         masks[word] = masks.get(word, 0) | 1 << k
+    return masks
+
+
+def subsequence(needle: np.ndarray, text: np.ndarray, masks: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, a word of the text at a time, with one bit for each word of the needle. masks: bits_of it, if known."""
+    masks = bits_of(needle) if masks is None else masks
     every = (1 << len(needle)) - 1
     state = every
     for word in text.tolist():
@@ -151,9 +175,9 @@ def answer_of(item: np.ndarray) -> np.ndarray:
     return item[-max(4, int(len(item) * ANSWER)) :]
 
 
-def confirmed(item: np.ndarray, region: np.ndarray) -> tuple[float, bool]:
+def confirmed(item: np.ndarray, region: np.ndarray, masks: dict[int, int] | None = None) -> tuple[float, bool]:
     """(share of the item's words found in order, whether that is a leak): many of them, or fewer that hold the answer."""
-    share = subsequence(item, region) / len(item)
+    share = subsequence(item, region, masks) / len(item)
     if share >= SHARE:
         return share, True
     answer = answer_of(item)
@@ -164,11 +188,14 @@ def confirmed(item: np.ndarray, region: np.ndarray) -> tuple[float, bool]:
 class Items:
     """Benchmark items: ids, words, unit vectors, and for each window length in blocks the items it is made for.
 
-    vocabulary holds all words; counted, for each window length, its items' distinct words as places in the vocabulary (filled up with a
-    place after the last), how often an item has each, and how often its answer has.
+    vocabulary holds all words, sorted; table says where those with the same leading bits begin there, and most how many these are at most.
+    counted has, for each window length, its items' distinct words as places in the vocabulary (filled up with a place after the last), how often
+    an item has each, and how often its answer has. holders has the same by word: for each word of the vocabulary where its items begin in a
+    list of all, this list, and both numbers. masks are the items' words as subsequence takes them, lengths their number, answered the words of its
+    answer that an item needs.
 
-    Besides, the rare words: a table of the leading bits of their hashes, the words, and for each where its items begin in a list of all;
-    rare_needed says for each item how many of its rare words a region must hold at least.
+    Besides, the rare words: for each word of the vocabulary where the items that it is rare for begin in a list of all; rare_needed says for
+    each item how many of its rare words a region must hold at least.
     """
 
     ids: list[int]
@@ -176,9 +203,13 @@ class Items:
     vectors: np.ndarray
     scales: list[tuple[int, np.ndarray]]
     vocabulary: np.ndarray
+    table: np.ndarray
+    most: int
     counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    rare_table: np.ndarray
-    rare_words: np.ndarray
+    holders: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+    masks: list[dict[int, int]]
+    lengths: np.ndarray
+    answered: np.ndarray
     rare_begins: np.ndarray
     rare_items: np.ndarray
     rare_needed: np.ndarray
@@ -218,28 +249,65 @@ def make_items(rows: list[tuple[int, str]], space: np.ndarray, often: np.ndarray
             where[row, : len(u)], times[row, : len(u)] = np.searchsorted(vocabulary, u), n
             np.add.at(answers[row], np.searchsorted(u, answer_of(words[k])), 1)
         counted.append((where, times, answers))
+    every = np.arange(len(vocabulary) + 2)  # with the place after the last, which no item has
+    held = [(where, np.broadcast_to(chosen[:, None], where.shape), times, answers) for (_, chosen), (where, times, answers) in zip(scales, counted, strict=True)]
+    held = np.concatenate([np.empty((4, 0), np.int64), *(np.stack([x[part[2] > 0] for x in part]) for part in held)], axis=1)
+    held = held[:, np.argsort(held[0], kind="stable")]
     rare = [rare_words(w, (np.zeros(1 << BITS) if often is None else often)[buckets(w)]) for w in words]
-    pairs = np.concatenate([np.empty(0, np.uint64), *(w for w, _ in rare)]), np.repeat(np.arange(len(rare)), [len(w) for w, _ in rare])
-    order = np.argsort(pairs[0], kind="stable")
-    distinct, begins = np.unique(pairs[0][order], return_index=True)
-    table = np.zeros(1 << FILTER_BITS, bool)
-    table[(distinct >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    needed = np.array([k for _, k in rare], np.int64)
-    return Items([i for i, _ in usable], words, vectors.astype(np.float32), scales, vocabulary, counted, table, distinct, np.append(begins, len(order)), pairs[1][order], needed)
-
-
-def rare_places(hashes: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(item, place) of all places where a rare word of an item stands, sorted."""
-    places = np.flatnonzero(items.rare_table[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-    word = np.minimum(np.searchsorted(items.rare_words, hashes[places]), len(items.rare_words) - 1)
-    same = items.rare_words[word] == hashes[places]
-    places, word = places[same], word[same]
-    sizes = items.rare_begins[word + 1] - items.rare_begins[word]
-    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    item = items.rare_items[np.repeat(items.rare_begins[word], sizes) + within]
-    place = np.repeat(places, sizes)
-    order = np.lexsort((place, item))
-    return item[order], place[order]
+    rare_places = np.searchsorted(vocabulary, np.concatenate([np.empty(0, np.uint64), *(w for w, _ in rare)]))
+    order = np.argsort(rare_places, kind="stable")
+    leading = (vocabulary >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return Items(
+        ids=[i for i, _ in usable], words=words, vectors=vectors.astype(np.float32), scales=scales, vocabulary=vocabulary,
+        table=np.searchsorted(leading, np.arange(1 << FILTER_BITS)).astype(np.int32), most=int(np.bincount(leading).max(initial=0)), counted=counted,
+        holders=(np.searchsorted(held[0], every), *held[1:]), masks=[bits_of(w) for w in words],
+        lengths=lengths, answered=ANSWER_SHARE * np.array([len(answer_of(w)) for w in words]),
+        rare_begins=np.searchsorted(rare_places[order], every), rare_items=np.repeat(np.arange(len(rare)), [len(w) for w, _ in rare])[order],
+        rare_needed=np.array([k for _, k in rare], np.int64),
+    )
+
+
+def places_of(hashes: np.ndarray, items: Items) -> np.ndarray:
+    """The place in the vocabulary of each word; the place after the last for those that no item has."""
+    out, last = np.full(len(hashes), len(items.vocabulary)), len(items.vocabulary) - 1
+    begins = items.table[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+    for k in range(items.most):
+        place = np.minimum(begins + k, last)
+        same = np.flatnonzero(items.vocabulary[place] == hashes)
+        out[same] = place[same]
+    return out
+
+
+def held_by_texts(place: np.ndarray, owner: np.ndarray, texts: int, items: Items) -> np.ndarray:
+    """Whether a text holds enough of an item's words, anywhere and in any order, for the checks to accept a region of it: texts by items.
+
+    place is the place in the vocabulary of every word of the texts, owner its text.
+    """
+    begins, holder, times, answers = items.holders
+    size, count = len(items.vocabulary) + 1, len(items.ids)
+    out, step = np.zeros((texts, count), bool), max(1, 4_000_000 // max(size, count))
+    for at in range(0, texts, step):
+        part, rows = slice(*np.searchsorted(owner, [at, at + step])), min(step, texts - at)
+        seen = np.zeros(rows * size, bool)
+        seen[(owner[part] - at) * size + place[part]] = True
+        text, word = np.divmod(np.flatnonzero(seen), size)
+        row, entry = ranges(begins[word], begins[word + 1] - 1)
+        cell = text[row] * count + holder[entry]
+        share = np.bincount(cell, times[entry], rows * count).reshape(rows, count) / items.lengths
+        answered = np.bincount(cell, answers[entry], rows * count).reshape(rows, count) >= items.answered
+        out[at : at + rows] = (share >= SHARE) | (share >= LOWER) & answered
+    return out
+
+
+def rare_places(place: np.ndarray, owner: np.ndarray, held: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(item, place) of all places where a rare word of an item stands, sorted, in texts that hold enough of the item."""
+    places = np.flatnonzero((place < len(items.vocabulary)) & held.any(axis=1)[owner])
+    row, entry = ranges(items.rare_begins[place[places]], items.rare_begins[place[places] + 1] - 1)
+    item, at = items.rare_items[entry], places[row]
+    kept = held[owner[at], item]
+    item, at = item[kept], at[kept]
+    order = np.lexsort((at, item))
+    return item[order], at[order]
 
 
 def ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +345,7 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
     A window's region is the window and half of it to both sides. A window is a candidate for an item where their cosine is high, or where
     its region holds as many of the item's rare words as a leak must. The latter overlooks none that the checks accept, so the outcome is that
     of checking every region for every item. Regions are compared word by word if they hold enough of the item's words, and of its
-    answer's, in any order, which bounds the subsequences from above. Of an item's regions in a text the one with the largest share counts, then the largest cosine.
+    answer's, in any order, which bounds the subsequences from above; the same is asked of whole texts first, for all of their regions at once. Of an item's regions in a text the one with the largest share counts, then the largest cosine.
     """
     texts = np.flatnonzero(counts)
     if not len(texts):
@@ -288,17 +356,23 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
     blocks = -(-sizes // BLOCK)
     first = np.cumsum(blocks) - blocks
     at = np.repeat(begins - first * BLOCK, blocks) + np.arange(blocks.sum()) * BLOCK
-    sums = np.zeros((len(at) + 1, RANK), np.float32)
+    sums, more = np.empty((len(at) + 1, RANK), np.float32), np.empty((len(at), RANK), np.float32)
     terms_, left_in = buckets(hashes), np.repeat(ends_of, blocks) - at
-    summed = space[terms_[at]]
+    sums[0], summed = 0, sums[1:]
+    space.take(terms_[at], axis=0, out=summed, mode="clip")
     for k in range(1, BLOCK):  # a word of every block at a time
-        more = np.flatnonzero(left_in > k)
-        summed[more] += space[terms_[at[more] + k]]
-    np.cumsum(summed, axis=0, out=sums[1:])
+        space.take(terms_[np.minimum(at + k, len(terms_) - 1)], axis=0, out=more, mode="clip")
+        more[left_in <= k] = 0
+        summed += more
+    np.cumsum(summed, axis=0, out=summed)
+    other = np.empty_like(more)
     best: dict[tuple[int, int], tuple[float, float]] = {}
-    place = None
-    rare_item, rare_place = rare_places(hashes, items)
-    rare_text = np.searchsorted(ends_of, rare_place, side="right")
+    place, text_of = places_of(hashes, items), np.repeat(np.arange(len(texts)), sizes)
+    known = np.flatnonzero(place < len(items.vocabulary))  # no other word is in any subsequence
+    known_words = hashes[known]
+    held = held_by_texts(place, text_of, len(texts), items)
+    rare_item, rare_place = rare_places(place, text_of, held, items)
+    rare_text = text_of[rare_place]
     for scale, (length, chosen) in enumerate(items.scales):
         step = max(1, length // STEP)
         windows = np.maximum(1, -(-(blocks - length + step) // step))
@@ -307,10 +381,13 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
         offset = (np.arange(len(owner)) - np.repeat(before, windows)) * step
         starts = first[owner] + offset
         ends = first[owner] + np.minimum(offset + length, blocks[owner])
-        rows = sums[ends] - sums[starts]
+        rows = sums.take(ends, axis=0, out=more[: len(ends)], mode="clip")
+        rows -= sums.take(starts, axis=0, out=other[: len(ends)], mode="clip")
         rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
         cosines = rows @ items.vectors[chosen].T
-        w, c = np.nonzero(cosines >= COSINE)
+        w, c = np.divmod(np.flatnonzero(cosines >= COSINE), len(chosen))
+        stays = held[owner[w], chosen[c]]
+        w, c = w[stays], c[stays]
         # Regions that hold enough rare places: all from the first to the last window that reaches over a place and the needed-th from it.
         local = np.full(len(items.words), -1)
         local[chosen] = np.arange(len(chosen))
@@ -328,15 +405,13 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
         w, c = pairs // len(chosen), pairs % len(chosen)
         if not len(w):
             continue
-        if place is None:
-            place = np.searchsorted(items.vocabulary, hashes)
-            place[items.vocabulary[np.minimum(place, len(items.vocabulary) - 1)] != hashes] = len(items.vocabulary)
         left = np.maximum(begins[owner], begins[owner] + (offset - length // 2) * BLOCK)
         right = np.minimum(ends_of[owner], begins[owner] + (offset + length + length // 2) * BLOCK)
         stays = possible(w, left, right, place, c, scale, items)
         w, c = w[stays], c[stays]
-        for text, item, begin, end, cosine in zip(owner[w].tolist(), chosen[c].tolist(), left[w].tolist(), right[w].tolist(), cosines[w, c].tolist(), strict=True):
-            share, leak = confirmed(items.words[item], hashes[begin:end])
+        left, right = np.searchsorted(known, left[w]), np.searchsorted(known, right[w])
+        for text, item, begin, end, cosine in zip(owner[w].tolist(), chosen[c].tolist(), left.tolist(), right.tolist(), cosines[w, c].tolist(), strict=True):
+            share, leak = confirmed(items.words[item], known_words[begin:end], items.masks[item])
             if leak and (share, cosine) > best.get((text, item), (-1.0, 0.0))[::-1]:
                 best[text, item] = (cosine, share)
     return [(int(texts[t]), items.ids[k], *v) for (t, k), v in sorted(best.items())]

@@ -23,6 +23,8 @@ NOT_WHITE = ~np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 WORD_BYTES = np.array([x > 127 or chr(x).isalnum() for x in range(256)])
 _BASE = 0x5851F42D4C957F2D
 _PIECE = 1 << 20
+#: Bytes of short texts that are hashed together: few enough that the sums stay near the processor.
+_TOGETHER = 1 << 16
 
 
 def _powers(base: int) -> np.ndarray:
@@ -91,9 +93,9 @@ def words_of_all(texts: list[str], members: np.ndarray = NOT_WHITE) -> tuple[np.
 
     for text in texts:
         data = text.encode("utf-8", "surrogatepass").lower()
-        if held and size + len(data) + 1 > _PIECE // 4:
+        if held and size + len(data) + 1 > _TOGETHER:
             flush()
-        if len(data) > _PIECE // 4:
+        if len(data) > _TOGETHER:
             out.append(word_hashes(text, members))
             counts.append(np.array([len(out[-1])]))
         else:

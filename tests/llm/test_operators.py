@@ -222,6 +222,36 @@ def test_every_leak_that_the_checks_accept_is_found(spark, replaced):
     assert len(want) >= 50 and want <= got
 
 
+def test_texts_without_enough_of_an_item_are_not_compared_by_region(monkeypatch):
+    """Regions with an item's rare words are no candidates where the whole text lacks too many of its other words."""
+    draw = np.random.default_rng(9)
+    space = draw.normal(size=(1 << decontaminate.BITS, decontaminate.RANK)).astype(np.float32)
+    rows = [(k, " ".join(f"w{k}x{n}" for n in range(40))) for k in range(5)]
+    items = decontaminate.make_items(rows, space)
+    rare = [f"w{k}x{n}" for k in range(5) for n in range(18)]  # of 40 words, so no leak
+    texts = [decontaminate.terms(" ".join(draw.choice(rare, 400))) for _ in range(20)] + [decontaminate.terms(f"{words(3, 50)} {rows[2][1]} {words(4, 50)}")]
+    seen, possible = [], decontaminate.possible
+    monkeypatch.setattr(decontaminate, "possible", lambda region, *a: seen.append(len(region)) or possible(region, *a))
+    got = decontaminate.leaks_in(np.concatenate(texts), np.array([len(x) for x in texts]), items, space)
+    assert [(t, i) for t, i, _, _ in got] == [(20, 2)] and sum(seen) < 50
+
+
+def test_texts_that_hold_an_item_are_never_left_out():
+    """held_by_texts against counting the words of every text and item, with repeated words and words that share their leading bits."""
+    draw = np.random.default_rng(10)
+    space = draw.normal(size=(1 << decontaminate.BITS, decontaminate.RANK)).astype(np.float32)
+    items = decontaminate.make_items([(k, " ".join(f"v{n}" for n in draw.integers(0, 60, int(draw.integers(4, 30))))) for k in range(25)], space)
+    texts = [decontaminate.terms(" ".join(f"v{n}" for n in draw.integers(0, 90, int(draw.integers(1, 120))))) for _ in range(30)]
+    place = decontaminate.places_of(np.concatenate(texts), items)
+    assert [items.vocabulary[p] if p < len(items.vocabulary) else None for p in place.tolist()] == [h if h in items.vocabulary else None for h in np.concatenate(texts)]
+    got = decontaminate.held_by_texts(place, np.repeat(np.arange(30), [len(t) for t in texts]), 30, items)
+    for t, text in enumerate(texts):
+        for k, item in enumerate(items.words):
+            answer = decontaminate.answer_of(item)
+            share = np.isin(item, text).mean()
+            assert got[t, k] == (share >= decontaminate.SHARE or share >= decontaminate.LOWER and np.isin(answer, text).sum() >= decontaminate.ANSWER_SHARE * len(answer))
+
+
 def test_subsequence():
     draw = np.random.default_rng(1)
     for _ in range(30):
