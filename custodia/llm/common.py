@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only characters that part words and are stripped from lines.
 WHITE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Whether a query's shuffle files are deleted when it ends; otherwise they stay until the driver collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +39,12 @@ def cut(frame: DataFrame) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")  # the table is there, so what was shuffled to write it need not stay on disk
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.schema(frame.schema).parquet(path)
     out._cut_path = path
     return out
@@ -61,8 +69,8 @@ def hashed_below(share: float, *columns: Column | str) -> Column:
     return F.xxhash64(*columns).bitwiseAND(F.lit(2**63 - 1)) < F.lit(int(share * 2.0**63))
 
 
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of each key, from batches that are sorted by key. Holds one batch and one key's rows."""
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """The rows of many keys at once, from batches that are sorted by key, and where each key's rows begin and the last end. Holds one batch and one key's rows."""
     rest: pd.DataFrame | None = None
     for batch in batches:
         if not len(batch):
@@ -71,8 +79,8 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
         changed = (frame[keys].ne(frame[keys].shift())).any(axis=1).to_numpy().copy()
         changed[0] = True
         starts = changed.nonzero()[0]
-        for begin, end in zip(starts[:-1], starts[1:], strict=True):
-            yield frame.iloc[begin:end].reset_index(drop=True)
+        if len(starts) > 1:
+            yield frame.iloc[: starts[-1]], starts
         rest = frame.iloc[starts[-1] :].reset_index(drop=True)
     if rest is not None:
-        yield rest
+        yield rest, np.array([0, len(rest)])

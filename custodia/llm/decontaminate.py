@@ -18,8 +18,6 @@ from custodia.llm.shingles import WORD_BYTES, word_hashes, words_of_all
 
 #: Bits of a term's hash, latent dimensions with spare ones, words in a passage that the space is fitted on, passages in a lot, and power rounds.
 BITS, RANK, SPARE, PASSAGE, LOT, ROUNDS = 14, 48, 16, 40, 50, 2
-#: Lots whose products are added up in single precision before they go into a sum of double precision.
-SUMMED = 64
 #: Words in a block. Windows are whole blocks, this much longer than their items, start every so-many-th of their length (rounded down), and are
 #: candidates from this cosine.
 BLOCK, SLACK, STEP, COSINE = 6, 1.1, 3, 0.48
@@ -102,30 +100,24 @@ def _products(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, small: bo
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, basis = shared.value
-        shape = (basis.shape[1], basis.shape[1]) if small else basis.shape
-        total, recent, done = np.zeros(shape), np.zeros(shape, np.float32), 0
-        lots, taken, added = np.empty(basis.shape[0] * LOT, np.float32), np.empty_like(basis), np.empty_like(basis)  # kept, as new memory costs more than the sums
+        total = np.zeros((basis.shape[1], basis.shape[1]) if small else basis.shape)
+        room, taken, product, added = np.empty(basis.shape[0] * LOT, np.float32), np.empty_like(basis), np.empty_like(basis), np.empty(basis.shape)  # kept, as new memory costs more than the sums
         for batch in batches:
             for distinct, held, places, times in zip(batch["terms"], batch["held"], batch["places"], batch["times"], strict=True):
                 distinct, held, places = np.frombuffer(distinct, np.uint16), np.frombuffer(held, np.uint8), np.frombuffer(places, np.uint8)
                 values, count = np.frombuffer(times, np.uint8) * np.repeat(idf[distinct], held), int(places.max()) + 1
                 values /= np.maximum(np.sqrt(np.bincount(places, values**2, count)), 1e-9).astype(np.float32)[places]
-                lot, near, more = lots[: len(distinct) * count], taken[: len(distinct)], added[: len(distinct)]
+                lot = room[: len(distinct) * count]
                 lot[:] = 0
                 lot[np.repeat(np.arange(len(distinct)) * count, held) + places] = values
                 lot = lot.reshape(len(distinct), count)
-                placed = lot.T @ basis.take(distinct, axis=0, out=near, mode="clip")
+                placed = lot.T @ basis.take(distinct, axis=0, out=taken[: len(distinct)], mode="clip")
                 if small:
-                    recent += placed.T @ placed
+                    total += placed.T @ placed
                 else:
-                    np.matmul(lot, placed, out=more)
-                    more += recent.take(distinct, axis=0, out=near, mode="clip")
-                    recent[distinct] = more
-                done += 1
-                if done % SUMMED == 0:
-                    total += recent
-                    recent[:] = 0
-        total += recent
+                    more = total.take(distinct, axis=0, out=added[: len(distinct)], mode="clip")
+                    more += np.matmul(lot, placed, out=product[: len(distinct)])
+                    total[distinct] = more
         yield pd.DataFrame({"slice": range(slices), "part": [x.tobytes() for x in np.split(total, slices)]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:

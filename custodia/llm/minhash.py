@@ -80,6 +80,19 @@ def _labels(link: np.ndarray) -> np.ndarray:
         labels = low
 
 
+def _some_cells(texts: list[str | None], starts: list[int], characters: int = 1_000_000) -> Iterator[list[int]]:
+    """Where cells begin and the last ends, some cells at a time: no more once they have so many characters."""
+    some, size = starts[:1], 0
+    for begin, end in zip(starts[:-1], starts[1:], strict=True):
+        some.append(end)
+        size += sum(len(t or "") for t in texts[begin:end])
+        if size >= characters:
+            yield some
+            some, size = [end], 0
+    if len(some) > 1:
+        yield some
+
+
 def _confirm(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of nodes found within the cells (gid, cell, side, node, root, digest, text). With both sides present, side 0 meets side 1 only.
 
@@ -87,25 +100,36 @@ def _confirm(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cell in runs(batches, ["gid", "cell"]):
-            sides = cell["side"].to_numpy()
-            cell = cell.iloc[np.argsort(sides, kind="stable")]
-            flat, sizes = shingle_sets(cell["text"].tolist(), size)
-            sets = np.split(flat, np.cumsum(sizes)[:-1])
-            own = np.array([_digest(s) == bytes(d) for s, d in zip(sets, cell["digest"], strict=True)])
-            cell, sets = cell[own], [s for s, mine in zip(sets, own, strict=True) if mine]
-            sizes, ids = np.array([len(s) for s in sets]), cell["node"].to_numpy()
-            left = int((cell["side"] == 0).sum())
-            if len(ids) < 2 or not left:
-                continue
-            if left == len(ids):
-                labels = _labels(_linked(overlaps(sets), sizes, sizes, percent))
-                far = np.flatnonzero(labels != np.arange(len(ids)))
-                yield pd.DataFrame({"a": ids[far], "b": ids[labels[far]]})
-            else:
-                link = _linked(overlaps(sets, left), sizes[:left], sizes[left:], percent)
-                x, y = link.nonzero()
-                yield pd.DataFrame({"a": ids[x], "b": cell["root"].to_numpy()[left + y]}).drop_duplicates()
+        for frame, starts in runs(batches, ["gid", "cell"]):
+            columns = [frame[c].to_numpy() for c in ("side", "node", "root")]
+            texts, digests = frame["text"].tolist(), frame["digest"].tolist()
+            found = [np.empty((2, 0), np.int64)]
+            for cells in _some_cells(texts, starts.tolist()):
+                begin, end = cells[0], cells[-1]
+                flat, sizes = shingle_sets(texts[begin:end], size)
+                sets = np.split(flat, np.cumsum(sizes)[:-1])
+                own = np.array([_digest(s) == bytes(d) for s, d in zip(sets, digests[begin:end], strict=True)])
+                for first, last in zip(cells[:-1], cells[1:], strict=True):
+                    part = slice(first, last)
+                    found.append(links(*(c[part] for c in columns), sets[first - begin : last - begin], own[first - begin : last - begin]))
+            a, b = np.concatenate(found, axis=1)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    def links(sides: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+        """The links of one cell: ends a, ends b."""
+        order = np.argsort(sides, kind="stable")
+        order = order[own[order]]
+        left = int((sides[order] == 0).sum())
+        if len(order) < 2 or not left:
+            return np.empty((2, 0), np.int64)
+        sets, ids = [sets[k] for k in order.tolist()], nodes[order]
+        sizes = np.array([len(s) for s in sets])
+        if left == len(ids):
+            labels = _labels(_linked(overlaps(sets), sizes, sizes, percent))
+            far = np.flatnonzero(labels != np.arange(len(ids)))
+            return np.stack([ids[far], ids[labels[far]]])
+        x, y = _linked(overlaps(sets, left), sizes[:left], sizes[left:], percent).nonzero()
+        return np.unique(np.stack([ids[x], roots[order][left + y]]), axis=1) if len(x) else np.empty((2, 0), np.int64)
 
     dealt = rows.repartition("gid", "cell").sortWithinPartitions("gid", "cell")
     return dealt.select("gid", "cell", "side", "node", "root", "digest", "text").mapInPandas(compare, "a bigint, b bigint")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custodia.llm.common import WHITE, cut, release
@@ -30,7 +30,7 @@ MISS, VALUES = 1e-4, 48
 
 
 def least_places(values: np.ndarray, reach: int) -> np.ndarray:
-    """The place of the least value (the last of equals) in every run of `reach` values, by runs of twice the length at a time."""
+    """The place of the least value (the last of equals) in every run of `reach` values, by runs of twice the length at a time; they never decrease."""
     place, width = np.arange(len(values)), 1
     while width < reach:
         step = min(width, reach - width)
@@ -55,7 +55,8 @@ def anchored(texts: list[str | None], hashed: tuple[np.ndarray, np.ndarray] | No
         return owner[:0], owner[:0], words[:0]
     places = least_places(shingle_hashes(words, 5), REACH)
     first = np.arange(len(places))
-    places = np.unique(places[first + REACH + 4 <= ends[owner[first]]])
+    places = places[first + REACH + 4 <= ends[owner[first]]]
+    places = places[np.flatnonzero(np.diff(places, prepend=-1))]
     places = places[places + WINDOW <= ends[owner[places]]]
     return owner[places], places - (ends - counts)[owner[places]], shingle_hashes_at(words, places, WINDOW)
 
@@ -101,7 +102,9 @@ def runs_at(texts: list[str | None], bits: np.ndarray) -> tuple[np.ndarray, np.n
     begins = (ends - counts)[owner]
     starts = (begins + places)[:, None] - np.arange(REACH)
     inside = (starts >= begins[:, None]) & (starts + RUN <= ends[owner][:, None])
-    starts = np.unique(starts[inside])
+    begin = np.zeros(len(words), bool)
+    begin[starts[inside]] = True
+    starts = np.flatnonzero(begin)
     if not len(starts):
         return owner[:0], starts, words[:0]
     of = np.searchsorted(ends, starts, "right")
@@ -138,19 +141,37 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     dealt = marks.join(F.broadcast(hot), "h", "left").withColumn("part", part).drop("parts")
     found = dealt.join(shared.select("h", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), ["h", "part"])
     placed = found.select("doc_id", (F.col("first") != F.col("doc_id")).alias("removed"), "start", "first")
-    line = Window.partitionBy("doc_id", "removed").orderBy("start")
-    begins = F.coalesce(F.col("start") >= F.lag("start").over(line) + RUN, F.lit(True)).cast("int")
-    joined = placed.withColumn("begins", begins).withColumn("passage", F.sum("begins").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return joined.groupBy("doc_id", "removed", "passage").agg(
-        F.min("start").alias("start"), (F.max("start") - F.min("start") + RUN).cast("int").alias("words"), F.min("first").alias("first")
-    ).drop("passage")
+    return placed.repartition("doc_id").sortWithinPartitions("doc_id", "removed", "start").mapInPandas(joined_runs, "doc_id bigint, removed boolean, start int, words int, first bigint")
+
+
+def joined_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Passages from runs (doc_id, removed, start, first) sorted by the first three: runs that overlap are one passage. Holds one batch and one passage."""
+    names = ["doc_id", "removed", "start", "last", "first"]
+    held: list[np.ndarray] = []  # the last passage so far, which the next batch may go on with; last is where its last run starts
+    for batch in batches:
+        if not len(batch):
+            continue
+        part = [batch[c].to_numpy() for c in ("doc_id", "removed", "start", "start", "first")]
+        doc, removed, start, last, first = (np.concatenate(x) for x in zip(held, part, strict=True)) if held else part
+        heads = np.ones(len(doc), bool)
+        heads[1:] = (doc[1:] != doc[:-1]) | (removed[1:] != removed[:-1]) | (start[1:] >= last[:-1] + RUN)
+        heads = np.flatnonzero(heads)
+        found = [doc[heads], removed[heads], start[heads], last[np.append(heads[1:], len(doc)) - 1], np.minimum.reduceat(first, heads)]
+        held = [x[-1:] for x in found]
+        yield _passages(dict(zip(names, (x[:-1] for x in found), strict=True)))
+    if held:
+        yield _passages(dict(zip(names, held, strict=True)))
+
+
+def _passages(found: dict[str, np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": found["doc_id"], "removed": found["removed"], "start": found["start"], "words": found["last"] - found["start"] + RUN, "first": found["first"]})
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, doc_id, line, text) of the paragraphs with enough words; id orders them by document and line."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    words = F.size(F.split(F.btrim("text", F.lit(WHITE)), f"[{WHITE}]+"))
-    return lines.where((F.length("text") >= 2 * min_words - 1) & (words >= min_words)).select(
+    enough = F.col("text").rlike(f"^[{WHITE}]*+(?:[^{WHITE}]++[{WHITE}]++){{{min_words - 1}}}[^{WHITE}]")  # reads no further than the last word it needs
+    return lines.where((F.length("text") >= 2 * min_words - 1) & enough).select(
         (F.col("doc_id").cast("decimal(19,0)") * F.lit(4294967296).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")).cast("decimal(30,0)").alias("id"),
         "doc_id", "line", "text",
     )

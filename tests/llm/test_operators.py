@@ -2,13 +2,16 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from custodia.llm import decontaminate, fingerprints, language, lines, minhash, mixing, pages, paragraphs, queries, toxicity, urls
+from custodia.llm import common, decontaminate, fingerprints, language, lines, minhash, mixing, pages, paragraphs, queries, toxicity, urls
 from custodia.llm.common import hashed_below
 from custodia.llm.components import components
 from custodia.llm.shingles import MinMaxHash, banding, overlaps, shingle_set, word_hashes, words_of_all
@@ -424,6 +427,49 @@ def test_passages_are_whole(spark, monkeypatch):
     assert len(got) == len({(r.doc_id, r.removed, r.start) for r in got}) and all(r.words >= size and (r.first != r.doc_id) == r.removed for r in got)
 
 
+def test_runs_are_joined_across_batches():
+    draw = np.random.default_rng(6)
+    rows = sorted({(int(draw.integers(3)), bool(draw.integers(2)), int(draw.integers(0, 2000))) for _ in range(120)})
+    frame = pd.DataFrame([(*r, int(draw.integers(100))) for r in rows], columns=["doc_id", "removed", "start", "first"])
+    want, last = [], None
+    for r in frame.itertuples():
+        if last and want[-1][:2] == [r.doc_id, r.removed] and r.start < last + paragraphs.RUN:
+            want[-1][3], want[-1][4] = r.start - want[-1][2] + paragraphs.RUN, min(want[-1][4], r.first)
+        else:
+            want.append([r.doc_id, r.removed, r.start, paragraphs.RUN, r.first])
+        last = r.start
+    for size in (1, 7, 1000):
+        batches = [frame.iloc[k : k + size] for k in range(0, len(frame), size)]
+        got = pd.concat(list(paragraphs.joined_runs(iter([frame[:0], *batches]))))[["doc_id", "removed", "start", "words", "first"]]
+        assert got.values.tolist() == want
+    assert not list(paragraphs.joined_runs(iter([])))
+
+
+def test_paragraphs_are_told_by_their_words(spark):
+    texts = [" ".join(["wordy"] * n) for n in (28, 29, 30, 31)]
+    texts += [f" \t{t}\x0b\r" for t in texts] + [t.replace(" ", " \t\x0c") for t in texts] + ["\u00a0".join(["wordy"] * 40), "x" * 500, " " * 500, ""]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    assert {r.doc_id for r in paragraphs.paragraphs(docs).collect()} == {k for k, t in enumerate(texts) if len(re.findall(r"[^ \t\n\x0b\x0c\r]+", t)) >= 30}
+
+
+def test_many_cells_are_handed_over_at_once():
+    frame = pd.DataFrame({"gid": np.repeat(np.arange(50), 3), "cell": 0, "x": np.arange(150)})
+    got = list(common.runs(iter([frame[:70], frame[:0], frame[70:]]), ["gid", "cell"]))
+    cells = [part["x"].iloc[a:b].tolist() for part, starts in got for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert cells == [[k, k + 1, k + 2] for k in range(0, 150, 3)] and len(got) == 3
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    files = lambda: sum("shuffle_" in f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(","))
+    before = files()
+    out = common.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and out.count() == 7
+
+
 def test_every_copied_run_of_fifty_words_holds_a_common_window():
     draw = np.random.default_rng(11)
     for k in range(200):
