@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from custodia.llm import common, decontaminate, fingerprints, language, lines, minhash, mixing, pages, paragraphs, queries, toxicity, urls
 from custodia.llm.common import hashed_below
+from custodia.llm import components as components_of
 from custodia.llm.components import components
 from custodia.llm.shingles import MinMaxHash, banding, overlaps, shingle_set, word_hashes, words_of_all
 
@@ -97,6 +98,42 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(31), 0), 100: 100, 200: 100, 300: 100}
 
 
+def test_components_of_hubs_and_paths(spark, monkeypatch):
+    """Rounds are written by no more tasks than there are cores, however many shuffle partitions hold the few links; results are those of a plain search."""
+    draw = np.random.default_rng(3)
+    path, names = draw.permutation(300), draw.permutation(2000) + 1000
+    links = [*zip(path[1:], path[:-1], strict=True)] + [(900, 400 + k) for k in range(200)] + [(600, 601 + k) for k in range(200)]  # hubs: largest, smallest
+    links += [tuple(draw.choice(names, 2)) for _ in range(1100)] * 2
+    links = [(int(a), int(b)) for a, b in links]
+    low = {x: x for link in links for x in link if link[0] != link[1]}
+    while any(low[a] != low[b] for a, b in links if a != b):
+        for a, b in links:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    files = []
+    write = components_of.cut
+    monkeypatch.setattr(components_of, "cut", lambda frame: files.append(len((out := write(frame)).inputFiles())) or out)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "50"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = [tuple(r) for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(dict(got)) and dict(got) == low
+    assert len(files) > 1 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
+def test_forests_of_some_links_at_a_time(monkeypatch):
+    monkeypatch.setattr(components_of, "AT_ONCE", 4)
+    some = [len(x) for x in components_of._some(pd.DataFrame({"a": range(n)}) for n in (3, 0, 2, 9, 1, 1))]
+    assert some == [5, 9, 2] and not list(components_of._some(iter([pd.DataFrame({"a": []})])))
+    a, b = components_of.forest(np.array([5, 4, 9, 3, 9]), np.array([4, 3, 8, 1, 8]))
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(3, 1), (4, 1), (5, 1), (9, 8)]
+
+
 def test_signatures_estimate_similarity():
     bands, rows = banding(0.8)
     hasher = MinMaxHash(bands, rows)
