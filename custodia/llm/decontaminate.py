@@ -25,8 +25,10 @@ BLOCK, SLACK, STEP, COSINE = 6, 1.1, 3, 0.48
 SHARE, LOWER, ANSWER, ANSWER_SHARE = 0.7, 0.5, 0.2, 0.8
 #: Of the words that a leak must hold at least, the share that is asked of an item's rarest words; and bits of the table that finds these.
 RARE, FILTER_BITS = 0.4, 20
-#: Items that are searched for in one pass over the documents, and words that are searched at once.
-ITEMS, WORDS_AT_ONCE = 2000, 20_000
+#: Lots that are read at once.
+LOTS_AT_ONCE = 32
+#: Items that are searched for in one pass over the documents, words that are searched at once, and items that make a word a common one.
+ITEMS, WORDS_AT_ONCE, COMMON = 2000, 20_000, 4
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -48,16 +50,14 @@ def passage_terms(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, rows, some, row_bits = np.zeros(1 << BITS, np.int64), 0, (1 << BITS) - 1, LOT.bit_length()
-        seen = np.zeros(200 << BITS, bool)
         for batch in batches:
             rows += len(batch)
             for begin in range(0, len(batch), 200):
                 hashes, counts = words_of_all(list(batch["text"].iloc[begin : begin + 200]), WORD_BYTES)
                 terms_, owner = buckets(hashes), np.repeat(np.arange(len(counts)), counts)
-                cells = (owner << BITS) + terms_
-                seen[cells] = True
-                found += np.bincount(np.flatnonzero(seen) & some, minlength=1 << BITS)
-                seen[cells] = False
+                cells = ((owner << BITS) + terms_).astype(np.int32)
+                cells.sort()
+                found += np.bincount(cells[np.diff(cells, prepend=-1) > 0] & some, minlength=1 << BITS)
                 first = (np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)) % PASSAGE == 0
                 passage = np.cumsum(first) - 1
                 keys, times = np.unique(((passage // LOT << BITS) + terms_ << row_bits) + passage % LOT, return_counts=True)
@@ -89,6 +89,22 @@ def document_counts(passages: DataFrame) -> tuple[np.ndarray, int]:
     return out, rows
 
 
+def _lots(rows: pd.DataFrame, idf: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """(distinct term buckets, number of passages, cells, their values) of each lot; a cell is a bucket's place times this number, plus the passage."""
+    joined = [b"".join(rows[c]) for c in ("terms", "held", "places", "times")]
+    distinct, held, places, times = (np.frombuffer(x, np.uint16 if k == 0 else np.uint8) for k, x in enumerate(joined))
+    buckets_in, entries_in = rows["held"].str.len().to_numpy(), rows["places"].str.len().to_numpy()
+    distinct, buckets_to, entries_to = distinct.astype(np.int64), np.cumsum(buckets_in), np.cumsum(entries_in)
+    counts = np.maximum.reduceat(places, entries_to - entries_in).astype(np.int64) + 1
+    passage = np.repeat(np.cumsum(counts) - counts, entries_in) + places
+    values = times * np.repeat(idf[distinct], held)
+    values /= np.maximum(np.sqrt(np.bincount(passage, values**2, counts.sum())), 1e-9).astype(np.float32)[passage]
+    cells = np.repeat((np.arange(len(distinct)) - np.repeat(buckets_to - buckets_in, buckets_in)) * np.repeat(counts, buckets_in), held) + places
+    for k, count in enumerate(counts.tolist()):
+        entries = slice(entries_to[k] - entries_in[k], entries_to[k])
+        yield distinct[buckets_to[k] - buckets_in[k] : buckets_to[k]], count, cells[entries], values[entries]
+
+
 def _products(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, small: bool = False) -> np.ndarray:
     """A'A times a basis, A being the unit TF-IDF rows of all passages; small: the square matrix of the basis, A'A and the basis.
 
@@ -103,13 +119,10 @@ def _products(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, small: bo
         total = np.zeros((basis.shape[1], basis.shape[1]) if small else basis.shape)
         room, taken, product, added = np.empty(basis.shape[0] * LOT, np.float32), np.empty_like(basis), np.empty_like(basis), np.empty(basis.shape)  # kept, as new memory costs more than the sums
         for batch in batches:
-            for distinct, held, places, times in zip(batch["terms"], batch["held"], batch["places"], batch["times"], strict=True):
-                distinct, held, places = np.frombuffer(distinct, np.uint16), np.frombuffer(held, np.uint8), np.frombuffer(places, np.uint8)
-                values, count = np.frombuffer(times, np.uint8) * np.repeat(idf[distinct], held), int(places.max()) + 1
-                values /= np.maximum(np.sqrt(np.bincount(places, values**2, count)), 1e-9).astype(np.float32)[places]
+            for distinct, count, cells, values in (lot for at in range(0, len(batch), LOTS_AT_ONCE) for lot in _lots(batch[at : at + LOTS_AT_ONCE], idf)):
                 lot = room[: len(distinct) * count]
                 lot[:] = 0
-                lot[np.repeat(np.arange(len(distinct)) * count, held) + places] = values
+                lot[cells] = values
                 lot = lot.reshape(len(distinct), count)
                 placed = lot.T @ basis.take(distinct, axis=0, out=taken[: len(distinct)], mode="clip")
                 if small:
@@ -155,12 +168,10 @@ def subsequence(needle: np.ndarray, text: np.ndarray, masks: dict[int, int] | No
     masks = bits_of(needle) if masks is None else masks
     every = (1 << len(needle)) - 1
     state = every
-    for word in text.tolist():
-        if (mask := masks.get(word)) is not None:
-            hit = state & mask
-            state = (state + hit) | (state - hit)
-            state &= every
-    return len(needle) - bin(state).count("1")
+    for mask in filter(None, map(masks.get, text.tolist())):
+        hit = state & mask
+        state = (state + hit) | (state - hit)  # what is carried beyond the last bit reaches no other
+    return len(needle) - (state & every).bit_count()
 
 
 def answer_of(item: np.ndarray) -> np.ndarray:
@@ -183,7 +194,8 @@ class Items:
     vocabulary holds all words, sorted; table says where those with the same leading bits begin there, and most how many these are at most.
     counted has, for each window length, its items' distinct words as places in the vocabulary (filled up with a place after the last), how often
     an item has each, and how often its answer has. holders has the same by word: for each word of the vocabulary where its items begin in a
-    list of all, this list, and both numbers. masks are the items' words as subsequence takes them, lengths their number, answered the words of its
+    list of all, this list, and both numbers. Words that COMMON items have or more are not there but in common: their places in the vocabulary, and
+    both numbers as matrices, words by items. masks are the items' words as subsequence takes them, lengths their number, answered the words of its
     answer that an item needs.
 
     Besides, the rare words: for each word of the vocabulary where the items that it is rare for begin in a list of all; rare_needed says for
@@ -199,6 +211,7 @@ class Items:
     most: int
     counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     holders: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+    common: tuple[np.ndarray, np.ndarray, np.ndarray]
     masks: list[dict[int, int]]
     lengths: np.ndarray
     answered: np.ndarray
@@ -245,6 +258,11 @@ def make_items(rows: list[tuple[int, str]], space: np.ndarray, often: np.ndarray
     held = [(where, np.broadcast_to(chosen[:, None], where.shape), times, answers) for (_, chosen), (where, times, answers) in zip(scales, counted, strict=True)]
     held = np.concatenate([np.empty((4, 0), np.int64), *(np.stack([x[part[2] > 0] for x in part]) for part in held)], axis=1)
     held = held[:, np.argsort(held[0], kind="stable")]
+    shared = (np.bincount(held[0], minlength=len(vocabulary)) >= COMMON)[held[0]]
+    common, row = np.unique(held[0, shared], return_inverse=True)
+    numbers = np.zeros((2, len(common), len(usable)), np.float32)
+    numbers[:, row, held[1, shared]] = held[2:, shared]
+    held = held[:, ~shared]
     rare = [rare_words(w, (np.zeros(1 << BITS) if often is None else often)[buckets(w)]) for w in words]
     rare_places = np.searchsorted(vocabulary, np.concatenate([np.empty(0, np.uint64), *(w for w, _ in rare)]))
     order = np.argsort(rare_places, kind="stable")
@@ -252,7 +270,7 @@ def make_items(rows: list[tuple[int, str]], space: np.ndarray, often: np.ndarray
     return Items(
         ids=[i for i, _ in usable], words=words, vectors=vectors.astype(np.float32), scales=scales, vocabulary=vocabulary,
         table=np.searchsorted(leading, np.arange(1 << FILTER_BITS)).astype(np.int32), most=int(np.bincount(leading).max(initial=0)), counted=counted,
-        holders=(np.searchsorted(held[0], every), *held[1:]), masks=[bits_of(w) for w in words],
+        holders=(np.searchsorted(held[0], every), *held[1:]), common=(common, *numbers), masks=[bits_of(w) for w in words],
         lengths=lengths, answered=ANSWER_SHARE * np.array([len(answer_of(w)) for w in words]),
         rare_begins=np.searchsorted(rare_places[order], every), rare_items=np.repeat(np.arange(len(rare)), [len(w) for w, _ in rare])[order],
         rare_needed=np.array([k for _, k in rare], np.int64),
@@ -270,34 +288,79 @@ def places_of(hashes: np.ndarray, items: Items) -> np.ndarray:
     return out
 
 
-def held_by_texts(place: np.ndarray, owner: np.ndarray, texts: int, items: Items) -> np.ndarray:
+@dataclass
+class Parts:
+    """Parts of texts that overlap by half, so that `reach` words of a text that stand together lie within one part.
+
+    A text is cut into pieces of `reach` words. A part is two pieces, from `first` to `last`, or one if its text has no more; begins has each
+    text's first part, ends its last.
+    """
+
+    reach: int
+    begins: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    @classmethod
+    def of(cls, words: np.ndarray, reach: int) -> Parts:
+        """The parts of texts with so many words, none without."""
+        pieces = -(-words // reach)
+        count = np.maximum(pieces - 1, 1)
+        ends = np.cumsum(count) - 1
+        first = np.arange(count.sum()) + np.repeat(np.cumsum(pieces) - pieces - (ends + 1 - count), count)
+        return cls(reach, ends + 1 - count, ends, first, first + np.repeat(pieces > 1, count))
+
+    def at(self, text: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The part that holds the next `reach` words of a text from a word on, or those left."""
+        return np.minimum(self.begins[text] + word // self.reach, self.ends[text])
+
+
+def held_by_texts(place: np.ndarray, owner: np.ndarray, texts: int, items: Items, parts: Parts | None = None) -> np.ndarray:
     """Whether a text holds enough of an item's words, anywhere and in any order, for the checks to accept a region of it: texts by items.
 
-    place is the place in the vocabulary of every word of the texts, owner its text.
+    place is the place in the vocabulary of every word of the texts, owner its text. With parts, owner is the piece of a word, and parts are
+    asked for instead of texts.
     """
     begins, holder, times, answers = items.holders
+    common, common_times, common_answers = items.common
     size, count = len(items.vocabulary) + 1, len(items.ids)
-    out, step = np.zeros((texts, count), bool), max(1, 4_000_000 // max(size, count))
-    for at in range(0, texts, step):
-        part, rows = slice(*np.searchsorted(owner, [at, at + step])), min(step, texts - at)
-        seen = np.zeros(rows * size, bool)
-        seen[(owner[part] - at) * size + place[part]] = True
+    firsts, lasts = (np.arange(texts), np.arange(texts)) if parts is None else (parts.first, parts.last)
+    out, step = np.zeros((len(firsts), count), bool), max(1, 4_000_000 // max(size, count))
+    for at in range(0, len(out), step):
+        first, last = firsts[at : at + step], lasts[at : at + step]
+        words, rows = slice(*np.searchsorted(owner, [first[0], last[-1] + 1])), len(first)
+        seen = np.zeros((last[-1] + 1 - first[0], size), bool)
+        seen[owner[words] - first[0], place[words]] = True
+        if parts is not None:
+            seen = seen[first - first[0]] | seen[last - first[0]]
+        often = seen[:, common].astype(np.float32)
+        seen[:, common] = False
         text, word = np.divmod(np.flatnonzero(seen), size)
         row, entry = ranges(begins[word], begins[word + 1] - 1)
         cell = text[row] * count + holder[entry]
-        share = np.bincount(cell, times[entry], rows * count).reshape(rows, count) / items.lengths
-        answered = np.bincount(cell, answers[entry], rows * count).reshape(rows, count) >= items.answered
-        out[at : at + rows] = (share >= SHARE) | (share >= LOWER) & answered
+        share = (np.bincount(cell, times[entry], rows * count).reshape(rows, count) + often @ common_times) / items.lengths
+        unsure = ((share >= LOWER) & (share < SHARE)).ravel()
+        some, unsure = np.flatnonzero(unsure[cell]), np.flatnonzero(unsure)
+        text, item = np.divmod(unsure, count)
+        answered = np.bincount(cell[some], answers[entry[some]], rows * count)[unsure] + np.einsum("ij,ji->i", often[text], common_answers[:, item])
+        held = share >= SHARE
+        held[text, item] = answered >= items.answered[item]
+        out[at : at + rows] = held
     return out
 
 
-def rare_places(place: np.ndarray, owner: np.ndarray, held: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(item, place) of all places where a rare word of an item stands, sorted, in texts that hold enough of the item."""
-    places = np.flatnonzero((place < len(items.vocabulary)) & held.any(axis=1)[owner])
-    row, entry = ranges(items.rare_begins[place[places]], items.rare_begins[place[places] + 1] - 1)
-    item, at = items.rare_items[entry], places[row]
-    kept = held[owner[at], item]
-    item, at = item[kept], at[kept]
+def rare_places(place: np.ndarray, at: np.ndarray, one: np.ndarray, other: np.ndarray, held: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(item, place) of all places where a rare word of an item stands, sorted, in parts of texts that hold enough of the item.
+
+    at are the places of the items' words, place their places in the vocabulary, one and other the parts that they lie in.
+    """
+    some = held.any(axis=1)
+    chosen = np.flatnonzero(some[one] | some[other])
+    row, entry = ranges(items.rare_begins[place[chosen]], items.rare_begins[place[chosen] + 1] - 1)
+    item, row = items.rare_items[entry], chosen[row]
+    kept = held[one[row], item] | held[other[row], item]
+    item, at = item[kept], at[row[kept]]
     order = np.lexsort((at, item))
     return item[order], at[order]
 
@@ -337,7 +400,8 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
     A window's region is the window and half of it to both sides. A window is a candidate for an item where their cosine is high, or where
     its region holds as many of the item's rare words as a leak must. The latter overlooks none that the checks accept, so the outcome is that
     of checking every region for every item. Regions are compared word by word if they hold enough of the item's words, and of its
-    answer's, in any order, which bounds the subsequences from above; the same is asked of whole texts first, for all of their regions at once. Of an item's regions in a text the one with the largest share counts, then the largest cosine.
+    answer's, in any order, which bounds the subsequences from above; the same is asked of parts of
+    texts first, for all of their regions at once, and only windows in parts that may hold an item are looked at. Of an item's regions in a text the one with the largest share counts, then the largest cosine.
     """
     texts = np.flatnonzero(counts)
     if not len(texts):
@@ -362,8 +426,12 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
     place, text_of = places_of(hashes, items), np.repeat(np.arange(len(texts)), sizes)
     known = np.flatnonzero(place < len(items.vocabulary))  # no other word is in any subsequence
     known_words = hashes[known]
-    held = held_by_texts(place, text_of, len(texts), items)
-    rare_item, rare_place = rare_places(place, text_of, held, items)
+    reach = max((length + 2 * (length // 2)) * BLOCK for length, _ in items.scales)  # the longest region
+    parts, known_text = Parts.of(sizes, reach), text_of[known]
+    word = known - begins[known_text]
+    one, two = parts.at(known_text, word), parts.at(known_text, np.maximum(word - reach, 0))
+    held = held_by_texts(place[known], parts.first[parts.begins][known_text] + word // reach, len(texts), items, parts)
+    rare_item, rare_place = rare_places(place[known], known, one, two, held, items)
     rare_text = text_of[rare_place]
     for scale, (length, chosen) in enumerate(items.scales):
         step = max(1, length // STEP)
@@ -371,15 +439,18 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
         before = np.cumsum(windows) - windows
         owner = np.repeat(np.arange(len(texts)), windows)
         offset = (np.arange(len(owner)) - np.repeat(before, windows)) * step
+        part = parts.at(owner, np.maximum(offset - length // 2, 0) * BLOCK)
+        looked = np.flatnonzero(held[:, chosen].any(axis=1)[part])  # no other window is a candidate for any of these items
+        if not len(looked):
+            continue
         starts = first[owner] + offset
         ends = first[owner] + np.minimum(offset + length, blocks[owner])
         rows = sums.take(ends, axis=0, out=more[: len(ends)], mode="clip")
         rows -= sums.take(starts, axis=0, out=other[: len(ends)], mode="clip")
         rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
         cosines = rows @ items.vectors[chosen].T
-        w, c = np.divmod(np.flatnonzero(cosines >= COSINE), len(chosen))
-        stays = held[owner[w], chosen[c]]
-        w, c = w[stays], c[stays]
+        w, c = np.divmod(np.flatnonzero(cosines[looked] >= COSINE), len(chosen))
+        w = looked[w]
         # Regions that hold enough rare places: all from the first to the last window that reaches over a place and the needed-th from it.
         local = np.full(len(items.words), -1)
         local[chosen] = np.arange(len(chosen))
@@ -391,10 +462,12 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
         high = at_place[last]
         near = (rare_item[own][last] == at_item) & (rare_text[own][last] == at_text) & (high - low < (length + 2 * (length // 2)) * BLOCK)
         at_item, at_text, low, high = at_item[near], at_text[near], low[near] - begins[at_text[near]], high[near] - begins[at_text[near]]
-        reach = (length + length // 2) * BLOCK
-        row, number = ranges(np.maximum(0, (high - reach) // (BLOCK * step) + 1), np.minimum(windows[at_text] - 1, (low // BLOCK + length // 2) // step))
+        over = (length + length // 2) * BLOCK
+        row, number = ranges(np.maximum(0, (high - over) // (BLOCK * step) + 1), np.minimum(windows[at_text] - 1, (low // BLOCK + length // 2) // step))
         pairs = np.unique(np.concatenate([w * len(chosen) + c, (before[at_text[row]] + number) * len(chosen) + local[at_item[row]]]))
         w, c = pairs // len(chosen), pairs % len(chosen)
+        stays = held[part[w], chosen[c]]
+        w, c = w[stays], c[stays]
         if not len(w):
             continue
         left = np.maximum(begins[owner], begins[owner] + (offset - length // 2) * BLOCK)

@@ -109,10 +109,9 @@ def words_of_all(texts: list[str], members: np.ndarray = NOT_WHITE) -> tuple[np.
 
 def _word_hashes(data: bytes, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = members[raw]
-    step = np.diff(inside)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    inside = np.zeros(len(raw) + 2, bool)
+    members.take(raw, out=inside[1:-1], mode="clip")
+    starts, ends = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
     powers, inverse = _tables()
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)

@@ -276,6 +276,56 @@ def test_texts_without_enough_of_an_item_are_not_compared_by_region(monkeypatch)
     assert [(t, i) for t, i, _, _ in got] == [(20, 2)] and sum(seen) < 50
 
 
+def bag_holds(text, item):
+    """Whether a text has enough of an item's words, in any order."""
+    answer = decontaminate.answer_of(item)
+    share = np.isin(item, text).mean()
+    return share >= decontaminate.SHARE or share >= decontaminate.LOWER and np.isin(answer, text).sum() >= decontaminate.ANSWER_SHARE * len(answer)
+
+
+@pytest.mark.parametrize("common", [1, 4, 1000])
+def test_parts_of_texts_hold_items(monkeypatch, common):
+    """held_by_texts of parts against counting the words of every part and item, with words that all items or no others have."""
+    monkeypatch.setattr(decontaminate, "COMMON", common)
+    draw, reach = np.random.default_rng(common), 30
+    names = [f"t{k}" for k in range(60)]
+    items = decontaminate.make_items([(k, " ".join(draw.choice(names, 12))) for k in range(20)], np.zeros((1 << decontaminate.BITS, decontaminate.RANK), np.float32))
+    sizes = np.array([1, 29, 30, 31, 60, 61, 90, 200, 3])
+    texts = [decontaminate.terms(" ".join(draw.choice(names, n))) for n in sizes]
+    parts = decontaminate.Parts.of(sizes, reach)
+    owner, word = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(n) for n in sizes])
+    place = decontaminate.places_of(np.concatenate(texts), items)
+    known = np.flatnonzero(place < len(items.vocabulary))
+    pieces = parts.first[parts.begins][owner] + word // reach
+    got = decontaminate.held_by_texts(place[known], pieces[known], len(sizes), items, parts)
+    spans = [(t, reach * k) for t, n in enumerate(sizes) for k in range(max(1, -(-n // reach) - 1))]
+    want = [[bag_holds(texts[t][at : at + 2 * reach], item) for item in items.words] for t, at in spans]
+    assert got.tolist() == want and 0 < got.sum() < got.size
+    for t, n in enumerate(sizes):  # every run of `reach` words lies in the part of its first word
+        for at in range(n):
+            text, begin = spans[parts.at(np.array([t]), np.array([at]))[0]]
+            assert text == t and begin <= at and min(at + reach, n) <= begin + 2 * reach
+    none = decontaminate.held_by_texts(place[:0], pieces[:0], len(sizes), items, parts)
+    assert not none.any()
+
+
+def test_leaks_need_enough_words_near_each_other(monkeypatch):
+    """An item whose words are strewn over a long text costs no comparison of its regions; one that stands together is found there."""
+    names = [f"i{k}" for k in range(24)]
+    items = decontaminate.make_items([(1, " ".join(names))], np.ones((1 << decontaminate.BITS, decontaminate.RANK), np.float32))
+    space = np.ones((1 << decontaminate.BITS, decontaminate.RANK), np.float32)
+    strewn = " ".join(f"{x} " + " ".join(f"f{k}" for k in range(60)) for x in names)
+    asked = []
+    real = decontaminate.possible
+    monkeypatch.setattr(decontaminate, "possible", lambda region, *rest: asked.append(len(region)) or real(region, *rest))
+    for text, found in ((strewn, 0), (strewn + " " + " ".join(names), 1)):
+        asked.clear()
+        hashes, counts = words_of_all([text], decontaminate.WORD_BYTES)
+        got = decontaminate.leaks_in(hashes, counts, items, space)
+        assert len(got) == found and (not found or got[0][1] == 1 and got[0][3] == 1.0)
+        assert sum(asked) < 40 if found else not asked
+
+
 def test_texts_that_hold_an_item_are_never_left_out():
     """held_by_texts against counting the words of every text and item, with repeated words and words that share their leading bits."""
     draw = np.random.default_rng(10)
