@@ -361,8 +361,8 @@ def rare_places(place: np.ndarray, at: np.ndarray, one: np.ndarray, other: np.nd
     item, row = items.rare_items[entry], chosen[row]
     kept = held[one[row], item] | held[other[row], item]
     item, at = item[kept], at[row[kept]]
-    order = np.lexsort((at, item))
-    return item[order], at[order]
+    end = at.max(initial=0) + 1
+    return np.divmod(np.sort(item * end + at), end)
 
 
 def ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -115,7 +115,10 @@ def _word_hashes(data: bytes, members: np.ndarray) -> tuple[np.ndarray, np.ndarr
     powers, inverse = _tables()
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
+        values = sums[1:]
+        np.add(raw, np.uint64(1), out=values)
+        values *= powers[: len(raw)]
+        np.cumsum(values, out=values)
         return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _A), starts
 
 
