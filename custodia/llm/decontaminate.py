@@ -25,8 +25,8 @@ BLOCK, SLACK, STEP, COSINE = 6, 1.1, 3, 0.48
 SHARE, LOWER, ANSWER, ANSWER_SHARE = 0.7, 0.5, 0.2, 0.8
 #: Of the words that a leak must hold at least, the share that is asked of an item's rarest words; and bits of the table that finds these.
 RARE, FILTER_BITS = 0.4, 20
-#: Lots that are read at once.
-LOTS_AT_ONCE = 32
+#: Lots that are read at once, passages whose own terms are multiplied at once, and lots that are added up in single precision.
+LOTS_AT_ONCE, TOGETHER, ADDED = 32, 5, 256
 #: Items that are searched for in one pass over the documents, words that are searched at once, and items that make a word a common one.
 ITEMS, WORDS_AT_ONCE, COMMON = 2000, 20_000, 4
 
@@ -43,17 +43,20 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
 def passage_terms(docs: DataFrame) -> DataFrame:
     """The terms of all passages of all documents, written once, in lots of LOT passages at most; and in how many documents each occurs.
 
-    A lot holds the distinct term buckets of its passages (2 bytes each) and how many passages have each (1 byte), and, one bucket after another,
-    these passages' numbers and how often they have it (1 byte each). Each partition ends with a row that has no lot but, for each bucket, the
-    number of its documents with it, and for -1 of all.
+    A lot holds the distinct term buckets of its passages (2 bytes each): first those that one passage has, one passage after another, then the others.
+    Besides how many of the first each passage has (1 byte), and of the others in how many passages each is (1 byte) and, one bucket after another,
+    these passages' numbers (1 byte each); and of all how often a passage has them (1 byte each). Each partition ends with a row that has no lot but,
+    for each bucket, the number of its documents with it, and for -1 of all.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, rows, some, row_bits = np.zeros(1 << BITS, np.int64), 0, (1 << BITS) - 1, LOT.bit_length()
+        found, rows, some, row_bits, time_bits = np.zeros(1 << BITS, np.int64), 0, (1 << BITS) - 1, LOT.bit_length(), PASSAGE.bit_length()
         for batch in batches:
             rows += len(batch)
             for begin in range(0, len(batch), 200):
                 hashes, counts = words_of_all(list(batch["text"].iloc[begin : begin + 200]), WORD_BYTES)
+                if not len(hashes):
+                    continue
                 terms_, owner = buckets(hashes), np.repeat(np.arange(len(counts)), counts)
                 cells = ((owner << BITS) + terms_).astype(np.int32)
                 cells.sort()
@@ -61,20 +64,33 @@ def passage_terms(docs: DataFrame) -> DataFrame:
                 first = (np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)) % PASSAGE == 0
                 passage = np.cumsum(first) - 1
                 keys, times = np.unique(((passage // LOT << BITS) + terms_ << row_bits) + passage % LOT, return_counts=True)
-                places, times = (keys & (1 << row_bits) - 1).astype(np.uint8), times.astype(np.uint8)
-                keys >>= row_bits
-                heads = np.flatnonzero(np.diff(keys, prepend=-1))
-                held, distinct, lot = np.diff(np.append(heads, len(keys))).astype(np.uint8), (keys[heads] & some).astype(np.uint16), keys[heads] >> BITS
-                lots = []
-                ends = np.append(np.flatnonzero(np.diff(lot, prepend=-1)), len(heads))
-                for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    part = slice(heads[low], heads[high] if high < len(heads) else len(keys))
-                    lots.append((distinct[low:high].tobytes(), held[low:high].tobytes(), places[part].tobytes(), times[part].tobytes(), None, None))
-                yield pd.DataFrame(lots, columns=["terms", "held", "places", "times", "bucket", "n"])
+                one = np.ones(len(keys), bool)  # entries whose bucket is in no other passage of the lot
+                one[1:] = keys[1:] >> row_bits != keys[:-1] >> row_bits
+                heads = np.flatnonzero(one)
+                one[:-1] &= one[1:]
+                lot, place = keys >> BITS + row_bits, keys & (1 << row_bits) - 1
+                passages = np.bincount(passage[first] // LOT)
+                own = lot * LOT + place  # all lots but the last are full
+                alone = np.bincount(own[one], minlength=passages.sum()).astype(np.uint8)
+                order = np.sort(((own[one] << BITS) + (keys[one] >> row_bits & some) << time_bits) + times[one])
+                several = heads[~one[heads]]
+                held = np.diff(np.append(heads, len(keys)))[~one[heads]].astype(np.uint8)
+                parts = [
+                    ((order >> time_bits & some).astype(np.uint16), np.bincount(lot[one], minlength=len(passages))),
+                    ((order & (1 << time_bits) - 1).astype(np.uint8), np.bincount(lot[one], minlength=len(passages))),
+                    (alone, passages), (held, np.bincount(lot[several], minlength=len(passages))),
+                    ((keys[several] >> row_bits & some).astype(np.uint16), np.bincount(lot[several], minlength=len(passages))),
+                    (place[~one].astype(np.uint8), np.bincount(lot[~one], minlength=len(passages))), (times[~one].astype(np.uint8), np.bincount(lot[~one], minlength=len(passages))),
+                ]
+                terms_one, times_one, alone, held, terms_more, places, times_more = ([x.tobytes() for x in np.split(part, np.cumsum(sizes)[:-1])] for part, sizes in parts)
+                yield pd.DataFrame({
+                    "terms": [a + b for a, b in zip(terms_one, terms_more, strict=True)], "alone": alone, "held": held, "places": places,
+                    "times": [a + b for a, b in zip(times_one, times_more, strict=True)], "bucket": None, "n": None,
+                })
         used = np.flatnonzero(found)
-        yield pd.DataFrame({"terms": [None], "held": [None], "places": [None], "times": [None], "bucket": [np.append(used, -1)], "n": [np.append(found[used], rows)]})
+        yield pd.DataFrame({"terms": [None], "alone": [None], "held": [None], "places": [None], "times": [None], "bucket": [np.append(used, -1)], "n": [np.append(found[used], rows)]})
 
-    return cut(docs.select("text").mapInPandas(count, "terms binary, held binary, places binary, times binary, bucket array<bigint>, n array<bigint>"))
+    return cut(docs.select("text").mapInPandas(count, "terms binary, alone binary, held binary, places binary, times binary, bucket array<bigint>, n array<bigint>"))
 
 
 def document_counts(passages: DataFrame) -> tuple[np.ndarray, int]:
@@ -89,20 +105,31 @@ def document_counts(passages: DataFrame) -> tuple[np.ndarray, int]:
     return out, rows
 
 
-def _lots(rows: pd.DataFrame, idf: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
-    """(distinct term buckets, number of passages, cells, their values) of each lot; a cell is a bucket's place times this number, plus the passage."""
-    joined = [b"".join(rows[c]) for c in ("terms", "held", "places", "times")]
-    distinct, held, places, times = (np.frombuffer(x, np.uint16 if k == 0 else np.uint8) for k, x in enumerate(joined))
-    buckets_in, entries_in = rows["held"].str.len().to_numpy(), rows["places"].str.len().to_numpy()
-    distinct, buckets_to, entries_to = distinct.astype(np.int64), np.cumsum(buckets_in), np.cumsum(entries_in)
-    counts = np.maximum.reduceat(places, entries_to - entries_in).astype(np.int64) + 1
-    passage = np.repeat(np.cumsum(counts) - counts, entries_in) + places
-    values = times * np.repeat(idf[distinct], held)
-    values /= np.maximum(np.sqrt(np.bincount(passage, values**2, counts.sum())), 1e-9).astype(np.float32)[passage]
-    cells = np.repeat((np.arange(len(distinct)) - np.repeat(buckets_to - buckets_in, buckets_in)) * np.repeat(counts, buckets_in), held) + places
-    for k, count in enumerate(counts.tolist()):
-        entries = slice(entries_to[k] - entries_in[k], entries_to[k])
-        yield distinct[buckets_to[k] - buckets_in[k] : buckets_to[k]], count, cells[entries], values[entries]
+def _lots(rows: pd.DataFrame, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(distinct term buckets, how many each passage has alone, cells, values) of each lot. Values are first those of the buckets that one passage has.
+
+    The others have a cell each: the place of the bucket among those that several passages have, times the number of passages, plus the passage.
+    """
+    joined = [b"".join(rows[c]) for c in ("terms", "alone", "held", "places", "times")]
+    distinct, alone, held, places, times = (np.frombuffer(x, np.uint16 if k == 0 else np.uint8) for k, x in enumerate(joined))
+    passages, several, entries = (rows[c].str.len().to_numpy() for c in ("alone", "held", "times"))
+    distinct, passages_to, entries_to = distinct.astype(np.int64), np.cumsum(passages), np.cumsum(entries)
+    buckets_in = rows["terms"].str.len().to_numpy() // 2
+    buckets_to = np.cumsum(buckets_in)
+    single = np.arange(len(distinct)) < np.repeat(buckets_to - several, buckets_in)
+    each = np.ones(len(distinct), np.int64)
+    each[~single] = held
+    first, passage = np.repeat(single, each), np.empty(len(times), np.int64)
+    passage[first] = np.repeat(np.arange(len(alone)), alone)
+    local, count = places.astype(np.int64), np.repeat(passages, entries)[~first]
+    passage[~first] = local + np.repeat(passages_to - passages, entries)[~first]
+    values = times * np.repeat(idf[distinct], each)
+    values /= np.maximum(np.sqrt(np.bincount(passage, values**2, len(alone))), 1e-9).astype(np.float32)[passage]
+    cells = np.repeat(np.arange(len(held)) - np.repeat(np.cumsum(several) - several, several), held) * count + local
+    cells_to = np.cumsum(entries - buckets_in + several)
+    for k in range(len(rows)):
+        cell, bucket, entry, passage_to = cells_to[k], buckets_to[k], entries_to[k], passages_to[k]
+        yield distinct[bucket - buckets_in[k] : bucket], alone[passage_to - passages[k] : passage_to], cells[cell - (entries[k] - buckets_in[k] + several[k]) : cell], values[entry - entries[k] : entry]
 
 
 def _products(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, small: bool = False) -> np.ndarray:
@@ -117,27 +144,44 @@ def _products(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, small: bo
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, basis = shared.value
         total = np.zeros((basis.shape[1], basis.shape[1]) if small else basis.shape)
-        room, taken, product, added = np.empty(basis.shape[0] * LOT, np.float32), np.empty_like(basis), np.empty_like(basis), np.empty(basis.shape)  # kept, as new memory costs more than the sums
+        room, taken, product, added, some = np.empty(basis.shape[0] * LOT, np.float32), *(np.empty_like(basis) for _ in range(3)), np.zeros_like(basis)  # kept, as new memory costs more than the sums
+        done = 0
         for batch in batches:
-            for distinct, count, cells, values in (lot for at in range(0, len(batch), LOTS_AT_ONCE) for lot in _lots(batch[at : at + LOTS_AT_ONCE], idf)):
-                lot = room[: len(distinct) * count]
+            for distinct, alone, cells, values in (lot for at in range(0, len(batch), LOTS_AT_ONCE) for lot in _lots(batch[at : at + LOTS_AT_ONCE], idf)):
+                begins, single = np.cumsum(alone, dtype=np.int64) - alone, int(alone.sum(dtype=np.int64))
+                lot, narrow = room[: (len(distinct) - single) * len(alone)], np.zeros((single, TOGETHER), np.float32)
                 lot[:] = 0
-                lot[cells] = values
-                lot = lot.reshape(len(distinct), count)
-                placed = lot.T @ basis.take(distinct, axis=0, out=taken[: len(distinct)], mode="clip")
+                lot[cells] = values[single:]
+                lot = lot.reshape(-1, len(alone))
+                narrow[np.arange(single), np.repeat(np.arange(len(alone)) % TOGETHER, alone)] = values[:single]
+                edges = [*begins[::TOGETHER].tolist(), single]
+                groups = [(slice(k * TOGETHER, min((k + 1) * TOGETHER, len(alone))), slice(low, high)) for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+                vectors = basis.take(distinct, axis=0, out=taken[: len(distinct)], mode="clip")
+                placed = lot.T @ vectors[single:]
+                for these, own in groups:
+                    placed[these] += narrow[own, : these.stop - these.start].T @ vectors[own]
                 if small:
                     total += placed.T @ placed
-                else:
-                    more = total.take(distinct, axis=0, out=added[: len(distinct)], mode="clip")
-                    more += np.matmul(lot, placed, out=product[: len(distinct)])
-                    total[distinct] = more
+                    continue
+                more = product[: len(distinct)]
+                np.matmul(lot, placed, out=more[single:])
+                for these, own in groups:
+                    np.matmul(narrow[own, : these.stop - these.start], placed[these], out=more[own])
+                more += some.take(distinct, axis=0, out=added[: len(distinct)], mode="clip")
+                some[distinct] = more
+                done += 1
+                if done % ADDED == 0:
+                    total += some
+                    some[:] = 0
+        if not small:
+            total += some
         yield pd.DataFrame({"slice": range(slices), "part": [x.tobytes() for x in np.split(total, slices)]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x) for x in rows["part"]], axis=0)
         return pd.DataFrame({"slice": rows["slice"][:1], "part": [total.tobytes()]})
 
-    lots = passages.where("terms is not null").select("terms", "held", "places", "times").coalesce(2 * context.defaultParallelism)  # so many parts to add
+    lots = passages.where("terms is not null").select("terms", "alone", "held", "places", "times").coalesce(2 * context.defaultParallelism)  # so many parts to add
     summed = lots.mapInPandas(multiply, "slice int, part binary").groupBy("slice").applyInPandas(add, "slice int, part binary")
     got = sorted((r["slice"], bytes(r["part"])) for r in summed.collect())
     shared.destroy()
@@ -373,7 +417,7 @@ def ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def possible(region: np.ndarray, begins: np.ndarray, ends: np.ndarray, place: np.ndarray, item: np.ndarray, scale: int, items: Items) -> np.ndarray:
-    """Whether a region holds enough of an item's words, in any order, for the checks to accept it. begins and ends are those of all regions.
+    """Whether a region holds enough of an item's words, in any order, for the checks to accept it. Regions are sorted; begins and ends are theirs.
 
     place is the place in the vocabulary of every word of the texts, item the place of the item in its scale.
     """
@@ -384,9 +428,10 @@ def possible(region: np.ndarray, begins: np.ndarray, ends: np.ndarray, place: np
     step = max(1, min(4_000_000 // (len(items.vocabulary) + 1), 1_000_000 // where.shape[1]))
     for at in range(0, len(region), step):
         part = slice(at, at + step)
-        distinct, row = np.unique(region[part], return_inverse=True)
-        seen = np.zeros((len(distinct), len(items.vocabulary) + 1), bool)
-        owner, word = ranges(begins[distinct], ends[distinct] - 1)
+        new = np.diff(region[part], prepend=-1) > 0
+        row = np.cumsum(new) - 1
+        seen = np.zeros((row[-1] + 1, len(items.vocabulary) + 1), bool)
+        owner, word = ranges(begins[part][new], ends[part][new] - 1)
         seen[owner, place[word]] = True
         held = seen[row[:, None], where[item[part]]]
         share = (held * times[item[part]]).sum(axis=1) / sizes[part]
@@ -394,6 +439,27 @@ def possible(region: np.ndarray, begins: np.ndarray, ends: np.ndarray, place: np
     return out
 
 
+def block_sums(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, blocks: np.ndarray, some: np.ndarray, parts: Parts, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, place): running sums of the vectors of all words of the blocks in some parts of texts, none first, and the place of each text's blocks there.
+
+    The sums before and after a block are those at its place and the next; parts hold whole blocks, so blocks of a part stand one after another.
+    """
+    text = np.repeat(np.arange(len(blocks)), blocks)
+    word = (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+    kept = some[parts.at(text, word)] | some[parts.at(text, np.maximum(word - parts.reach, 0))]
+    at = (begins[text] + word)[kept]
+    left, buckets_of = ends[text[kept]] - at, buckets(hashes)
+    sums, more = np.empty((len(at) + 1, RANK), np.float32), np.empty((len(at), RANK), np.float32)
+    sums[0], summed = 0, sums[1:]
+    space.take(buckets_of[at], axis=0, out=summed, mode="clip")
+    for k in range(1, BLOCK):  # a word of every block at a time
+        space.take(buckets_of[np.minimum(at + k, len(hashes) - 1)], axis=0, out=more, mode="clip")
+        more[left <= k] = 0
+        summed += more
+    np.cumsum(summed, axis=0, out=summed)
+    return sums, np.cumsum(kept) - kept
+
+
 def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.ndarray) -> list[tuple[int, int, float, float]]:
     """(text, item, cosine, share) of the items that texts hold; the texts' words stand one after another, counts says how many each has.
 
@@ -401,7 +467,8 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
     its region holds as many of the item's rare words as a leak must. The latter overlooks none that the checks accept, so the outcome is that
     of checking every region for every item. Regions are compared word by word if they hold enough of the item's words, and of its
     answer's, in any order, which bounds the subsequences from above; the same is asked of parts of
-    texts first, for all of their regions at once, and only windows in parts that may hold an item are looked at. Of an item's regions in a text the one with the largest share counts, then the largest cosine.
+    texts first, for all of their regions at once, and only windows in parts that may hold an item have a vector and cosines, as no other can be a leak.
+    Of an item's regions in a text the one with the largest share counts, then the largest cosine.
     """
     texts = np.flatnonzero(counts)
     if not len(texts):
@@ -411,17 +478,6 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
     begins = ends_of - sizes
     blocks = -(-sizes // BLOCK)
     first = np.cumsum(blocks) - blocks
-    at = np.repeat(begins - first * BLOCK, blocks) + np.arange(blocks.sum()) * BLOCK
-    sums, more = np.empty((len(at) + 1, RANK), np.float32), np.empty((len(at), RANK), np.float32)
-    terms_, left_in = buckets(hashes), np.repeat(ends_of, blocks) - at
-    sums[0], summed = 0, sums[1:]
-    space.take(terms_[at], axis=0, out=summed, mode="clip")
-    for k in range(1, BLOCK):  # a word of every block at a time
-        space.take(terms_[np.minimum(at + k, len(terms_) - 1)], axis=0, out=more, mode="clip")
-        more[left_in <= k] = 0
-        summed += more
-    np.cumsum(summed, axis=0, out=summed)
-    other = np.empty_like(more)
     best: dict[tuple[int, int], tuple[float, float]] = {}
     place, text_of = places_of(hashes, items), np.repeat(np.arange(len(texts)), sizes)
     known = np.flatnonzero(place < len(items.vocabulary))  # no other word is in any subsequence
@@ -433,23 +489,26 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
     held = held_by_texts(place[known], parts.first[parts.begins][known_text] + word // reach, len(texts), items, parts)
     rare_item, rare_place = rare_places(place[known], known, one, two, held, items)
     rare_text = text_of[rare_place]
+    sums, summed_to = block_sums(hashes, begins, ends_of, blocks, held.any(axis=1), parts, space)
     for scale, (length, chosen) in enumerate(items.scales):
+        wanted = held[:, chosen].any(axis=1)
+        if not wanted.any():
+            continue
         step = max(1, length // STEP)
         windows = np.maximum(1, -(-(blocks - length + step) // step))
         before = np.cumsum(windows) - windows
         owner = np.repeat(np.arange(len(texts)), windows)
         offset = (np.arange(len(owner)) - np.repeat(before, windows)) * step
         part = parts.at(owner, np.maximum(offset - length // 2, 0) * BLOCK)
-        looked = np.flatnonzero(held[:, chosen].any(axis=1)[part])  # no other window is a candidate for any of these items
+        looked = np.flatnonzero(wanted[part])  # no other window is a candidate for any of these items
         if not len(looked):
             continue
-        starts = first[owner] + offset
-        ends = first[owner] + np.minimum(offset + length, blocks[owner])
-        rows = sums.take(ends, axis=0, out=more[: len(ends)], mode="clip")
-        rows -= sums.take(starts, axis=0, out=other[: len(ends)], mode="clip")
+        text, offset_in = owner[looked], offset[looked]
+        starts, ends = first[text] + offset_in, first[text] + np.minimum(offset_in + length, blocks[text])
+        rows = sums[summed_to[ends - 1] + 1] - sums[summed_to[starts]]
         rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
         cosines = rows @ items.vectors[chosen].T
-        w, c = np.divmod(np.flatnonzero(cosines[looked] >= COSINE), len(chosen))
+        w, c = np.divmod(np.flatnonzero(cosines >= COSINE), len(chosen))
         w = looked[w]
         # Regions that hold enough rare places: all from the first to the last window that reaches over a place and the needed-th from it.
         local = np.full(len(items.words), -1)
@@ -470,12 +529,12 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
         w, c = w[stays], c[stays]
         if not len(w):
             continue
-        left = np.maximum(begins[owner], begins[owner] + (offset - length // 2) * BLOCK)
-        right = np.minimum(ends_of[owner], begins[owner] + (offset + length + length // 2) * BLOCK)
+        left = np.maximum(begins[owner[w]], begins[owner[w]] + (offset[w] - length // 2) * BLOCK)
+        right = np.minimum(ends_of[owner[w]], begins[owner[w]] + (offset[w] + length + length // 2) * BLOCK)
         stays = possible(w, left, right, place, c, scale, items)
-        w, c = w[stays], c[stays]
-        left, right = np.searchsorted(known, left[w]), np.searchsorted(known, right[w])
-        for text, item, begin, end, cosine in zip(owner[w].tolist(), chosen[c].tolist(), left.tolist(), right.tolist(), cosines[w, c].tolist(), strict=True):
+        w, c, left, right = w[stays], c[stays], left[stays], right[stays]
+        left, right = np.searchsorted(known, left), np.searchsorted(known, right)
+        for text, item, begin, end, cosine in zip(owner[w].tolist(), chosen[c].tolist(), left.tolist(), right.tolist(), cosines[np.searchsorted(looked, w), c].tolist(), strict=True):
             share, leak = confirmed(items.words[item], known_words[begin:end], items.masks[item])
             if leak and (share, cosine) > best.get((text, item), (-1.0, 0.0))[::-1]:
                 best[text, item] = (cosine, share)
@@ -486,7 +545,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
     """(doc_id, item_id, cosine, share): the benchmark items that each document holds, word for word or reworded. Clean documents have no row.
 
     Term statistics and the latent space cover all passages of all documents, whose terms are written once and read by each round of the fit;
-    every window of every text is searched. The space cannot lose a leak, for windows that it overlooks are found by their rare words. Items are taken ITEMS at a time, one pass over the documents for each lot. Null or empty texts, items of fewer
+    every part of every text is asked for every item's words, and every window of the parts that hold enough of them is searched. The space cannot lose a
+    leak, for windows that it overlooks are found by their rare words. Items are taken ITEMS at a time, one pass over the documents for each lot. Null or empty texts, items of fewer
     than four words, and rows with a null id hold or are nothing. Rows that repeat an id are searched on their own.
     """
     spark = docs.sparkSession

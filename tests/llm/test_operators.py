@@ -236,6 +236,50 @@ def test_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
     assert np.allclose(got, placed.T @ placed, rtol=1e-3, atol=1e-3 * np.abs(got).max())
 
 
+def test_lots_hold_all_terms_of_all_passages(spark):
+    """The lots as they are read against TF-IDF of every passage; terms that one passage of a lot has come first."""
+    texts = [words(k, 1 + k % 90) for k in range(240)] + ["", " .", "one " * 40]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    rows = decontaminate.passage_terms(docs).where("terms is not null").toPandas()
+    idf = np.random.default_rng(3).uniform(0.5, 2, 1 << decontaminate.BITS).astype(np.float32)
+    got = []
+    for distinct, alone, cells, values in decontaminate._lots(rows, idf):
+        single = int(alone.sum(dtype=np.int64))
+        lot = np.zeros((len(alone), len(idf)))
+        lot[np.repeat(np.arange(len(alone)), alone), distinct[:single]] = values[:single]
+        bucket, passage = np.divmod(cells, len(alone))
+        lot[passage, distinct[single:][bucket]] = values[single:]
+        assert len(np.unique(distinct)) == len(distinct) and ((lot > 0).sum(axis=0)[distinct[:single]] == 1).all()
+        assert ((lot > 0).sum(axis=0)[distinct[single:]] > 1).all()
+        got.append(lot)
+    want = []
+    for ids in (decontaminate.buckets(decontaminate.terms(t)) for t in texts):
+        for k in range(0, len(ids), decontaminate.PASSAGE):
+            row = np.bincount(ids[k : k + decontaminate.PASSAGE], minlength=len(idf)) * idf
+            want.append(row / np.linalg.norm(row))
+    assert len(got) > 3 and np.allclose(np.concatenate(got), np.array(want), atol=1e-6)
+
+
+def test_vectors_are_made_only_where_an_item_may_be(monkeypatch):
+    """Texts without enough of an item's words have no vectors; the cosine of a leak among them is that of its window alone."""
+    draw = np.random.default_rng(12)
+    space = draw.normal(size=(1 << decontaminate.BITS, decontaminate.RANK)).astype(np.float32)
+    items = decontaminate.make_items([(1, " ".join(f"i{k}" for k in range(24)))], space)
+    blocks, at = items.scales[0][0], 70  # words before the item: whole blocks, so that a window begins with it
+    texts = [words(k, 400) for k in range(10)] + [" ".join([*words(20, at // 6 * 6).split(), *(f"i{k}" for k in range(24)), *words(21, 3000).split()])]
+    made, real = [], decontaminate.block_sums
+    monkeypatch.setattr(decontaminate, "block_sums", lambda *a: made.append(real(*a)) or made[-1])
+    hashes, counts = words_of_all(texts, decontaminate.WORD_BYTES)
+    got = decontaminate.leaks_in(hashes, counts, items, space)
+    assert [(t, i, s) for t, i, _, s in got] == [(10, 1, 1.0)]
+    assert 0 < len(made[0][0]) - 1 <= 3 * max(length + 2 * (length // 2) for length, _ in items.scales)
+    held, cosines = decontaminate.terms(texts[10]), []
+    for begin in range(0, len(held), 6 * max(1, blocks // 3)):
+        window = space[decontaminate.buckets(held[begin : begin + 6 * blocks])].sum(axis=0)
+        cosines.append(float(window @ items.vectors[0] / np.linalg.norm(window)))
+    assert abs(got[0][2] - max(cosines)) < 1e-4
+
+
 @pytest.mark.parametrize("replaced", [0.0, 0.2, 0.3, 0.45])
 def test_every_leak_that_the_checks_accept_is_found(spark, replaced):
     """Items planted word for word and reworded, against checking every region; the latent space is of no use here."""
