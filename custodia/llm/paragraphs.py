@@ -5,6 +5,9 @@ copied into the middle of other paragraphs is found by windows: WINDOW words fro
 words among REACH neighbours. Anchors depend only on the words around them, so every copied run of RUN words holds one whole window that is
 equal in both documents, at most REACH - 1 words from its start. So only the runs of RUN words that start there are compared, and of those all
 that another document holds are found. Runs that overlap are one passage, which is thus the whole of what was copied.
+
+Runs that start next to each other are cut into stretches, again at anchors, so that copies mostly have the same ones. Equal stretches are one class, and
+its runs are compared once, whatever the number of documents that hold it.
 """
 
 from __future__ import annotations
@@ -13,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custodia.llm.common import WHITE, cut, release
 from custodia.llm.minhash import BITS_EACH, ROW_BITS, TABLE_BITS, lots, near_groups
-from custodia.llm.shingles import run_hashes, shingle_hashes, shingle_hashes_at, words_of_all
+from custodia.llm.shingles import mix, run_hashes, shingle_hashes, shingle_hashes_at, words_of_all
 
 #: Words in the shortest paragraph and in a window; anchors are the least of so many neighbours. 26 + 20 + 4 = 50 words are never overlooked.
 MIN_WORDS, WINDOW, REACH = 30, 26, 20
@@ -76,10 +80,11 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def wanted_bits(hashes: DataFrame, count: int) -> np.ndarray:
-    """A table of bits, 32 MB at most, that knows every h of `hashes` (about `count` rows) by its last bits, and few others while it may grow."""
+    """A table of bits, 32 MB at most, that knows every h of `hashes` (about `count` rows) by two bits, and few others while it may grow."""
     size = min(TABLE_BITS, max(ROW_BITS, (BITS_EACH * max(1, count)).bit_length()))
-    bit = F.col("h").bitwiseAND(F.lit((1 << size) - 1))
-    rows = hashes.groupBy(F.shiftright(bit, ROW_BITS).alias("row")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit((1 << ROW_BITS) - 1))).alias("bits")).collect()
+    last = F.lit((1 << size) - 1)
+    bits = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(last), F.shiftrightunsigned("h", 32).bitwiseAND(last))).alias("bit"))
+    rows = bits.groupBy(F.shiftright("bit", ROW_BITS).alias("row")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit((1 << ROW_BITS) - 1))).alias("bits")).collect()
     table = np.zeros((1 << (size - ROW_BITS), (1 << ROW_BITS) // 8), np.uint8)
     for row in rows:
         table[row["row"]] = np.frombuffer(row["bits"], np.uint8)
@@ -88,15 +93,27 @@ def wanted_bits(hashes: DataFrame, count: int) -> np.ndarray:
 
 def known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes a table of wanted_bits knows."""
-    at = hashes & np.uint64(8 * len(bits) - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def marked(at: np.ndarray) -> np.ndarray:
+        at = at & np.uint64(8 * len(bits) - 1)
+        return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    out = marked(hashes)
+    out[out] = marked(hashes[out] >> np.uint64(32))
+    return out
 
 
-def runs_at(texts: list[str | None], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, hash) of the runs of RUN words that hold a known window at most REACH - 1 words from their start."""
+def stretches_at(texts: list[str | None], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, number, hash) of stretches, and the hashes of all their runs: runs of RUN words that start one word after another.
+
+    Only runs that hold a known window at most REACH - 1 words from their start are in one. A stretch begins wherever the run before is in none, and at
+    anchors, so it has REACH runs at most. The hash is one of its runs in order.
+    """
     words, counts = words_of_all([t or "" for t in texts])
     ends = np.cumsum(counts)
     owner, places, marks = anchored(texts, (words, counts))
+    cuts = np.zeros(len(words), bool)
+    cuts[(ends - counts)[owner] + places] = True
     hit = known(bits, marks)
     owner, places = owner[hit], places[hit]
     begins = (ends - counts)[owner]
@@ -106,9 +123,14 @@ def runs_at(texts: list[str | None], bits: np.ndarray) -> tuple[np.ndarray, np.n
     begin[starts[inside]] = True
     starts = np.flatnonzero(begin)
     if not len(starts):
-        return owner[:0], starts, words[:0]
-    of = np.searchsorted(ends, starts, "right")
-    return of, starts - (ends - counts)[of], run_hashes(words, RUN)[starts]
+        return owner[:0], starts, starts, words[:0], words[:0]
+    heads = np.flatnonzero(cuts[starts] | (np.diff(starts, prepend=-2) != 1))
+    numbers = np.diff(np.append(heads, len(starts)))
+    runs = run_hashes(words, RUN)[starts]
+    place = (np.arange(len(starts)) - np.repeat(heads, numbers)).astype(np.uint64)
+    hashes = mix(np.add.reduceat(mix(runs ^ mix(place + np.uint64(1))), heads) + numbers.astype(np.uint64))
+    of = np.searchsorted(ends, starts[heads], "right")
+    return of, starts[heads] - (ends - counts)[of], numbers, hashes, runs
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -116,45 +138,85 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     A run belongs to the smallest document that holds it; there it stays, everywhere else it is removed. Overlapping runs of a document that
     are removed, or that stay, are one passage, and first is the smallest document that any of them belongs to. The windows only say where to
-    look: a table of bits over those that several documents hold goes to the tasks, which hash the runs around them in a second pass.
+    look: a table of bits over those that several documents hold goes to the tasks, which hash the runs around them in a second pass. Equal
+    stretches of runs are one class; its runs are compared with those of other classes, and what is found is handed to all documents that hold it.
     """
     several = F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
     windowed = cut(windows(docs).groupBy("h").agg(*several).where("first <> last").select("h"))
     table = docs.sparkSession.sparkContext.broadcast(wanted_bits(windowed, windowed.count()))
     release(windowed)
 
-    def cut_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, done = batch["doc_id"].to_numpy(), 0
-            for some in lots(batch["text"].tolist()):
-                owner, starts, marks = runs_at(some, table.value)
-                yield pd.DataFrame({"doc_id": ids[done + owner], "start": starts, "h": marks.view(np.int64)})
+            ids, done = batch.column("doc_id").to_numpy(), 0
+            for some in lots(batch.column("text").to_pylist()):
+                owner, starts, numbers, marks, runs = stretches_at(some, table.value)
+                edges = np.concatenate([[0], np.cumsum(numbers)]).astype(np.int32)
+                columns = [ids[done + owner], starts.astype(np.int32), marks.view(np.int64), pa.ListArray.from_arrays(edges, runs.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "start", "stretch", "runs"])
                 done += len(some)
 
-    marks = cut(docs.select("doc_id", "text").mapInPandas(cut_runs, "doc_id bigint, start int, h bigint"))
+    stretches = cut(docs.select("doc_id", "text").mapInArrow(cut_stretches, "doc_id bigint, start int, stretch bigint, runs array<bigint>"))
     table.destroy()
-    shared = cut(marks.groupBy("h").agg(*several, F.count("*").alias("n")).where("first <> last").select("h", "first", "n"))
+    classes = stretches.groupBy("stretch").agg(*several, F.first("runs").alias("runs"))
+    marks = cut(classes.select("stretch", "first", "last", F.posexplode("runs").alias("place", "h")))
+    holders = marks.groupBy("h").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n"))
+    shared = cut(holders.where("first <> last").select("h", "first", "n"))
     most = max(HOT_ROWS, int((shared.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
     parts = F.ceil(F.col("n") / F.lit(most)).cast("int")
     hot = shared.where(F.col("n") > most).select("h", parts.alias("parts"))  # 1 / HOT_SHARE rows at most
-    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int"), F.lit(0))
-    dealt = marks.join(F.broadcast(hot), "h", "left").withColumn("part", part).drop("parts")
-    found = dealt.join(shared.select("h", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), ["h", "part"])
-    placed = found.select("doc_id", (F.col("first") != F.col("doc_id")).alias("removed"), "start", "first")
+    part = F.coalesce(F.pmod(F.xxhash64("stretch", "place"), F.col("parts")).cast("int"), F.lit(0))
+    dealt = marks.select("stretch", "place", "h").join(F.broadcast(hot), "h", "left").withColumn("part", part).drop("parts")
+    found = dealt.join(shared.select("h", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), ["h", "part"]).select("stretch", "place", "first")
+    found = found.repartition("stretch").sortWithinPartitions("stretch").mapInPandas(joined_places, "stretch bigint, low int, high int, first bigint")
+    placed = stretches.select("doc_id", "start", "stretch").join(found, "stretch").select(
+        "doc_id", (F.col("first") != F.col("doc_id")).alias("removed"), (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("last"), "first"
+    )
     return placed.repartition("doc_id").sortWithinPartitions("doc_id", "removed", "start").mapInPandas(joined_runs, "doc_id bigint, removed boolean, start int, words int, first bigint")
 
 
+def joined_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(stretch, low, high, first) from the shared runs (stretch, place, first) of stretches that come one after another: places in a row with one first."""
+    held: list[np.ndarray] = []  # the last stretch so far, which the next batch may go on with
+    for batch in batches:
+        if not len(batch):
+            continue
+        part = [batch[c].to_numpy() for c in ("stretch", "place", "first")]
+        part = [np.concatenate(x) for x in zip(held, part, strict=True)] if held else part
+        whole = np.flatnonzero(part[0] != part[0][-1])
+        end = whole[-1] + 1 if len(whole) else 0
+        held = [x[end:] for x in part]
+        yield _places(*(x[:end] for x in part))
+    if held:
+        yield _places(*held)
+
+
+def _places(stretch: np.ndarray, place: np.ndarray, first: np.ndarray) -> pd.DataFrame:
+    order = np.lexsort((place, stretch))
+    stretch, place, first = stretch[order], place[order], first[order]
+    heads = np.ones(len(stretch), bool)
+    heads[1:] = (stretch[1:] != stretch[:-1]) | (place[1:] != place[:-1] + 1) | (first[1:] != first[:-1])
+    heads = np.flatnonzero(heads)
+    return pd.DataFrame({"stretch": stretch[heads], "low": place[heads], "high": place[np.append(heads[1:], len(place)) - 1] if len(heads) else place, "first": first[heads]})
+
+
 def joined_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Passages from runs (doc_id, removed, start, first) sorted by the first three: runs that overlap are one passage. Holds one batch and one passage."""
+    """Passages from runs (doc_id, removed, start, first) sorted by the first three: runs that overlap are one passage. Holds one batch and one passage.
+
+    A row may stand for all runs from start to a column `last`.
+    """
     names = ["doc_id", "removed", "start", "last", "first"]
     held: list[np.ndarray] = []  # the last passage so far, which the next batch may go on with; last is where its last run starts
     for batch in batches:
         if not len(batch):
             continue
-        part = [batch[c].to_numpy() for c in ("doc_id", "removed", "start", "start", "first")]
+        part = [batch[c].to_numpy() for c in ("doc_id", "removed", "start", "last" if "last" in batch else "start", "first")]
         doc, removed, start, last, first = (np.concatenate(x) for x in zip(held, part, strict=True)) if held else part
         heads = np.ones(len(doc), bool)
-        heads[1:] = (doc[1:] != doc[:-1]) | (removed[1:] != removed[:-1]) | (start[1:] >= last[:-1] + RUN)
+        heads[1:] = (doc[1:] != doc[:-1]) | (removed[1:] != removed[:-1])
+        above = np.cumsum(heads) << 32  # rows that repeat a document may lie within each other
+        last = np.maximum.accumulate(last + above) - above
+        heads[1:] |= start[1:] >= last[:-1] + RUN
         heads = np.flatnonzero(heads)
         found = [doc[heads], removed[heads], start[heads], last[np.append(heads[1:], len(doc)) - 1], np.minimum.reduceat(first, heads)]
         held = [x[-1:] for x in found]

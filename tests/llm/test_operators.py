@@ -576,6 +576,60 @@ def test_runs_are_joined_across_batches():
     assert not list(paragraphs.joined_runs(iter([])))
 
 
+def test_equal_stretches_are_compared_once(spark, monkeypatch):
+    """The runs of 30 copies in different surroundings cost hardly more rows than those of one, and all copies are found whole."""
+    copied = words(50, 400)
+    own = [[f"d{k}n{n}" for n in range(60 + k)] for k in range(30)]
+    texts = [" ".join([*x[:-30], copied, *x[-30:]]) for x in own]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    rows, real = [], paragraphs.cut
+
+    def counted(frame):
+        out = real(frame)
+        if "place" in out.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(paragraphs, "cut", counted)
+    got = {(r.doc_id, r.start, r.words, r.first, r.removed) for r in paragraphs.repeated_runs(docs).collect()}
+    assert got == {(k, 30 + k, 400, 0, k > 0) for k in range(30)}
+    assert len(rows) == 1 and rows[0] < 351 + 30 * 4 * paragraphs.REACH < 30 * 351 / 3  # each document has runs of its own at both ends only
+
+
+def test_places_of_stretches_are_joined_across_batches():
+    draw = np.random.default_rng(13)
+    rows = sorted({(int(draw.integers(40)), int(draw.integers(20))) for _ in range(400)})
+    rows = [(*r, int(draw.integers(2))) for r in rows]
+    want = []
+    for g, k, first in rows:
+        if want and want[-1][0] == g and want[-1][2] == k - 1 and want[-1][3] == first:
+            want[-1][2] = k
+        else:
+            want.append([g, k, k, first])
+    mixed = [x for g in range(40) for x in draw.permutation([r for r in rows if r[0] == g] or np.empty((0, 3), int)).tolist()]  # places come in any order
+    frame = pd.DataFrame(mixed, columns=["stretch", "place", "first"])
+    for size in (1, 7, 1000):
+        batches = [frame.iloc[k : k + size] for k in range(0, len(frame), size)]
+        got = pd.concat(list(paragraphs.joined_places(iter([frame[:0], *batches]))))
+        assert got.values.tolist() == want
+    assert not list(paragraphs.joined_places(iter([])))
+
+
+def test_passages_of_rows_that_lie_within_each_other():
+    """Documents that repeat an id may have a row within another; the longer one tells where the passage ends."""
+    frame = pd.DataFrame({"doc_id": [1, 1, 1, 2], "removed": [True, True, True, True], "start": [0, 5, 140, 3], "last": [100, 7, 150, 3], "first": [0, 0, 0, 0]})
+    for size in (1, 4):
+        got = pd.concat(list(paragraphs.joined_runs(iter([frame.iloc[k : k + size] for k in range(0, 4, size)]))))
+        assert got[["doc_id", "start", "words"]].values.tolist() == [[1, 0, 200], [2, 3, 50]]
+
+
+def test_few_unwanted_windows_are_let_through(spark):
+    hashes = np.random.default_rng(14).integers(0, 1 << 63, 60_000)
+    wanted = spark.createDataFrame(pd.DataFrame({"h": hashes[:20_000]}))
+    hit = paragraphs.known(paragraphs.wanted_bits(wanted, 20_000), hashes.view(np.uint64))
+    assert hit[:20_000].all() and hit[20_000:].mean() < 0.02
+
+
 def test_paragraphs_are_told_by_their_words(spark):
     texts = [" ".join(["wordy"] * n) for n in (28, 29, 30, 31)]
     texts += [f" \t{t}\x0b\r" for t in texts] + [t.replace(" ", " \t\x0c") for t in texts] + ["\u00a0".join(["wordy"] * 40), "x" * 500, " " * 500, ""]
