@@ -28,7 +28,7 @@ RARE, FILTER_BITS = 0.4, 20
 #: Lots that are read at once, passages whose own terms are multiplied at once, and lots that are added up in single precision.
 LOTS_AT_ONCE, TOGETHER, ADDED = 32, 5, 256
 #: Items that are searched for in one pass over the documents, words that are searched at once, and items that make a word a common one.
-ITEMS, WORDS_AT_ONCE, COMMON = 2000, 20_000, 4
+ITEMS, WORDS_AT_ONCE, COMMON = 2000, 40_000, 4
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -377,7 +377,7 @@ def held_by_texts(place: np.ndarray, owner: np.ndarray, texts: int, items: Items
         seen = np.zeros((last[-1] + 1 - first[0], size), bool)
         seen[owner[words] - first[0], place[words]] = True
         if parts is not None:
-            seen = seen[first - first[0]] | seen[last - first[0]]
+            seen = seen.take(first - first[0], axis=0) | seen.take(last - first[0], axis=0)
         often = seen[:, common].astype(np.float32)
         seen[:, common] = False
         text, word = np.divmod(np.flatnonzero(seen), size)
@@ -439,14 +439,39 @@ def possible(region: np.ndarray, begins: np.ndarray, ends: np.ndarray, place: np
     return out
 
 
-def block_sums(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, blocks: np.ndarray, some: np.ndarray, parts: Parts, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, place): running sums of the vectors of all words of the blocks in some parts of texts, none first, and the place of each text's blocks there.
+def own_parts(held: np.ndarray, parts: Parts, begins: np.ndarray, sizes: np.ndarray, place: np.ndarray, items: Items) -> list[tuple[Parts, np.ndarray]]:
+    """For each window length, parts of texts that reach as far as its regions do, and which of them hold enough of its items: parts by items.
+
+    held says so for parts that reach as far as the longest region, and only those that do are cut into shorter ones. begins and sizes are those of the texts,
+    place is the place in the vocabulary of every word.
+    """
+    out = []
+    for scale, (length, chosen) in enumerate(items.scales):
+        reach, own, enough = (length + 2 * (length // 2)) * BLOCK, parts, held[:, chosen]
+        if 2 * reach <= parts.reach and enough.any():
+            own = Parts.of(sizes, reach)
+            text = np.repeat(np.arange(len(sizes)), own.ends + 1 - own.begins)
+            piece = own.first[own.begins][text]
+            low, high = (own.first - piece) * reach, np.minimum((own.last + 1 - piece) * reach, sizes[text])
+            enough = enough[parts.at(text, low)]  # a part of two pieces lies within one of the longer parts
+            part, item = enough.nonzero()
+            enough[part, item] = possible(part, (begins[text] + low)[part], (begins[text] + high)[part], place, item, scale, items)
+        out.append((own, enough))
+    return out
+
+
+def block_sums(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, blocks: np.ndarray, looked_at: list[tuple[Parts, np.ndarray]], space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, place): running sums of the vectors of all words of the blocks in parts that hold enough of an item, none first, and each block's place.
 
     The sums before and after a block are those at its place and the next; parts hold whole blocks, so blocks of a part stand one after another.
     """
     text = np.repeat(np.arange(len(blocks)), blocks)
     word = (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
-    kept = some[parts.at(text, word)] | some[parts.at(text, np.maximum(word - parts.reach, 0))]
+    kept = np.zeros(len(text), bool)
+    for parts, enough in looked_at:
+        some = enough.any(axis=1)
+        if some.any():
+            kept |= some[parts.at(text, word)] | some[parts.at(text, np.maximum(word - parts.reach, 0))]
     at = (begins[text] + word)[kept]
     left, buckets_of = ends[text[kept]] - at, buckets(hashes)
     sums, more = np.empty((len(at) + 1, RANK), np.float32), np.empty((len(at), RANK), np.float32)
@@ -467,7 +492,8 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
     its region holds as many of the item's rare words as a leak must. The latter overlooks none that the checks accept, so the outcome is that
     of checking every region for every item. Regions are compared word by word if they hold enough of the item's words, and of its
     answer's, in any order, which bounds the subsequences from above; the same is asked of parts of
-    texts first, for all of their regions at once, and only windows in parts that may hold an item have a vector and cosines, as no other can be a leak.
+    texts first, for all of their regions at once (of long parts, then of those as long as an item's regions need), and only windows in parts that may
+    hold an item have a vector and cosines, as no other can be a leak.
     Of an item's regions in a text the one with the largest share counts, then the largest cosine.
     """
     texts = np.flatnonzero(counts)
@@ -489,9 +515,10 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
     held = held_by_texts(place[known], parts.first[parts.begins][known_text] + word // reach, len(texts), items, parts)
     rare_item, rare_place = rare_places(place[known], known, one, two, held, items)
     rare_text = text_of[rare_place]
-    sums, summed_to = block_sums(hashes, begins, ends_of, blocks, held.any(axis=1), parts, space)
-    for scale, (length, chosen) in enumerate(items.scales):
-        wanted = held[:, chosen].any(axis=1)
+    looked_at = own_parts(held, parts, begins, sizes, place, items)
+    sums, summed_to = block_sums(hashes, begins, ends_of, blocks, looked_at, space)
+    for scale, ((length, chosen), (parts, enough)) in enumerate(zip(items.scales, looked_at, strict=True)):
+        wanted = enough.any(axis=1)
         if not wanted.any():
             continue
         step = max(1, length // STEP)
@@ -525,7 +552,7 @@ def leaks_in(hashes: np.ndarray, counts: np.ndarray, items: Items, space: np.nda
         row, number = ranges(np.maximum(0, (high - over) // (BLOCK * step) + 1), np.minimum(windows[at_text] - 1, (low // BLOCK + length // 2) // step))
         pairs = np.unique(np.concatenate([w * len(chosen) + c, (before[at_text[row]] + number) * len(chosen) + local[at_item[row]]]))
         w, c = pairs // len(chosen), pairs % len(chosen)
-        stays = held[part[w], chosen[c]]
+        stays = enough[part[w], c]
         w, c = w[stays], c[stays]
         if not len(w):
             continue

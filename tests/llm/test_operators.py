@@ -353,6 +353,29 @@ def test_parts_of_texts_hold_items(monkeypatch, common):
     assert not none.any()
 
 
+def test_short_items_are_asked_of_short_parts():
+    """own_parts against counting the words of every short part that lies in a long one with enough; long parts alone would let more through."""
+    draw, space = np.random.default_rng(15), np.zeros((1 << decontaminate.BITS, decontaminate.RANK), np.float32)
+    names = [f"t{k}" for k in range(60)]
+    items = decontaminate.make_items([(1, " ".join(draw.choice(names, 12))), (2, " ".join(draw.choice(names, 60)))], space)
+    sizes = np.array([5, 160, 700, 2000])
+    texts = [decontaminate.terms(" ".join(draw.choice(names, n))) for n in sizes]
+    place, begins = decontaminate.places_of(np.concatenate(texts), items), np.cumsum(sizes) - sizes
+    reach = max((length + 2 * (length // 2)) * decontaminate.BLOCK for length, _ in items.scales)
+    parts = decontaminate.Parts.of(sizes, reach)
+    word = np.concatenate([np.arange(n) for n in sizes])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    known = np.flatnonzero(place < len(items.vocabulary))
+    held = decontaminate.held_by_texts(place[known], (parts.first[parts.begins][owner] + word // reach)[known], len(sizes), items, parts)
+    got = decontaminate.own_parts(held, parts, begins, sizes, place, items)
+    assert [p.reach for p, _ in got] == [(length + 2 * (length // 2)) * decontaminate.BLOCK for length, _ in items.scales]
+    short = got[0][0].reach
+    spans = [(t, short * k) for t, n in enumerate(sizes) for k in range(max(1, -(-n // short) - 1))]
+    item = items.words[items.scales[0][1][0]]
+    want = [bag_holds(texts[t][at : at + 2 * short], item) for t, at in spans]
+    assert got[0][1][:, 0].tolist() == want and 0 < sum(want) < len(want) and held[:, items.scales[0][1][0]].mean() > np.mean(want)
+
+
 def test_leaks_need_enough_words_near_each_other(monkeypatch):
     """An item whose words are strewn over a long text costs no comparison of its regions; one that stands together is found there."""
     names = [f"i{k}" for k in range(24)]
